@@ -53,14 +53,24 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3, seeds: tuple = (SEED,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long; with several seeds, a row for each, with its index t."""
+def remixed(hashes: np.ndarray, t: int) -> np.ndarray:
+    """The hashes of table t: those of table 0 as they are, others mixed anew, so that their bits are independent."""
+    if t == 0:
+        return hashes
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * (t + 1) & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, size: int = 3, tables: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; a row for each table t."""
 
     def run(batches):
         for b in slices(batches):
-            texts = b.column(1).to_pylist()
-            for t, seed in enumerate(seeds):
-                fp = np.array([fingerprint(shingle_hashes(x, size, seed)) for x in texts], np.uint64).view(np.int64)
+            hashes = [shingle_hashes(x, size) for x in b.column(1).to_pylist()]
+            for t in range(tables):
+                fp = np.array([fingerprint(remixed(h, t)) for h in hashes], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(np.full(len(fp), t, np.int32))], ["doc_id", "fp", "t"])
 
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint, t int")
@@ -91,10 +101,14 @@ def _ball(segment: int, own, width: int, radius: int) -> list:
     return out
 
 
-def links(fps: DataFrame, radius: int = 3, segments: int = 2) -> DataFrame:
-    """Pairs (a, b) of distinct values of fps.fp (bigint) at distance 1 to radius, each once or more, in either order."""
+def links(fps: DataFrame, radius: int = 3, segments: int = 2, ball: int | None = None) -> DataFrame:
+    """Pairs (a, b) of distinct values of fps.fp (bigint) at distance 1 to radius, each once or more, in either order.
+
+    ball: the radius asked for within a segment. From radius // segments on, which is the default, no pair is missed; a
+    smaller one finds all pairs up to segments * (ball + 1) - 1 bits and, of those further apart, the ones that are close in a segment.
+    """
     fp = F.col("fp")
-    ball = radius // segments
+    ball = radius // segments if ball is None else ball
     held = F.array(*[F.struct(F.lit(i).alias("s"), _value(fp, *s).alias("v")) for i, s in enumerate(_segments(segments))])
     asks = [ask for i, (shift, width) in enumerate(_segments(segments)) for ask in _ball(i, _value(fp, shift, width), width, ball)]
     table = fps.select(fp.alias("b"), F.explode(held).alias("k")).select("b", "k.s", "k.v")
@@ -144,25 +158,25 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, sh array<bigint>")
 
 
-def verified_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 3, segments: int = 2, seeds: tuple = (SEED,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def verified_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 6, segments: int = 3, ball: int = 1, tables: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of the documents that a link of verified similarity joins to another; others have no row.
 
-    Candidates are links of fingerprints over shingles of `size` words, from one table per seed; each is verified by the
+    Candidates are links of fingerprints over shingles of `size` words, from several independent tables; each is verified by the
     Jaccard similarity of the two shingle sets. Copies of a text are represented by their smallest doc_id, and texts that
     share a fingerprint are compared with the first of them, so no group is expanded into all its pairs. Null doc_ids take no part.
     """
     own = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id IS NOT NULL")
     keyed = own.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    prints = fingerprints(keyed, size, seeds)
+    prints = fingerprints(keyed, size, tables)
     each = cut(prints.groupBy("doc_id", "t").agg(F.min("fp").alias("fp")), "fingerprints")
     texts = cut(keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")).join(keyed.select("doc_id", "h1", "h2"), ["h1", "h2"]).select("doc_id", "rep"), "texts")
     reps = texts.where("doc_id = rep").select("rep").distinct()
     found = None
-    for t in range(len(seeds)):
+    for t in range(tables):
         own_fp = cut(each.where(F.col("t") == t).join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "fp"), "table")
         first = own_fp.groupBy("fp").agg(F.min("doc_id").alias("first"))
         star = own_fp.join(first, "fp").where("doc_id <> first").select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
-        pair = links(first.select("fp"), radius, segments)
+        pair = links(first.select("fp"), radius, segments, ball)
         a, b = first.select(F.col("fp").alias("a"), F.col("first").alias("x")), first.select(F.col("fp").alias("b"), F.col("first").alias("y"))
         now = star.union(pair.join(a, "a").join(b, "b").select("x", "y"))
         found = now if found is None else found.union(now)
