@@ -102,7 +102,9 @@ def _ball(segment: int, own, width: int, radius: int) -> list:
 
 
 def links(fps: DataFrame, radius: int = 3, segments: int = 2, ball: int | None = None) -> DataFrame:
-    """Pairs (a, b) of distinct values of fps.fp (bigint) at distance 1 to radius, each once or more, in either order.
+    """Pairs (a, b) of distinct values of fps.fp (bigint) at distance 1 to radius, in either order.
+
+    A pair that several segments would find is left to the first of them.
 
     ball: the radius asked for within a segment. From radius // segments on, which is the default, no pair is missed; a
     smaller one finds all pairs up to segments * (ball + 1) - 1 bits and, of those further apart, the ones that are close in a segment.
@@ -113,7 +115,10 @@ def links(fps: DataFrame, radius: int = 3, segments: int = 2, ball: int | None =
     asks = [ask for i, (shift, width) in enumerate(_segments(segments)) for ask in _ball(i, _value(fp, shift, width), width, ball)]
     table = fps.select(fp.alias("b"), F.explode(held).alias("k")).select("b", "k.s", "k.v")
     asked = fps.select(fp.alias("a"), F.explode(F.concat(*asks)).alias("k")).select("a", "k.s", "k.v")
-    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    differing = F.col("a").bitwiseXOR(F.col("b"))
+    near = (F.col("a") != F.col("b")) & (F.bit_count(differing) <= radius)
+    for i, s in enumerate(_segments(segments)[:-1]):
+        near = near & ((asked.s <= i) | (F.bit_count(_value(differing, *s)) > ball))
     return asked.join(table, (asked.s == table.s) & (asked.v == table.v) & near).select("a", "b")
 
 

@@ -105,7 +105,8 @@ def train(texts: list, labels: np.ndarray, buckets: int = 1 << 18, epochs: int =
         at = np.searchsorted(doc[sentence], np.arange(len(texts[a : a + 256]) + 1))
         for d, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
             if hi > lo:
-                bags.append((ids[lo:hi], sentence[lo:hi] - sentence[lo], int(sentence[hi - 1] - sentence[lo] + 1), int(labels[a + d])))
+                bags.append((ids[lo:hi].astype(np.int32), (sentence[lo:hi] - sentence[lo]).astype(np.int32), int(sentence[hi - 1] - sentence[lo] + 1), int(labels[a + d])))
+    words.memo.clear()
     flat, start, size = words.rows.arrays()
     df = np.zeros(buckets, np.int64)
     for ids, *_ in bags:
