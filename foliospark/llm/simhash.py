@@ -16,6 +16,7 @@ cut to the shared checkpoint folder each round and nothing but one count goes to
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -101,24 +102,32 @@ def _ball(segment: int, own, width: int, radius: int) -> list:
     return out
 
 
-def links(fps: DataFrame, radius: int = 3, segments: int = 2, ball: int | None = None) -> DataFrame:
+def _within(differing, radius: int, segments: int, ball: int):
+    """Whether links() finds a pair, from the bits in which its fingerprints differ."""
+    close = [F.bit_count(_value(differing, *s)) <= ball for s in _segments(segments)]
+    return (F.bit_count(differing) <= radius) & reduce(lambda x, y: x | y, close)
+
+
+def links(fps: DataFrame, radius: int = 3, segments: int = 2, ball: int | None = None, earlier: tuple = ()) -> DataFrame:
     """Pairs (a, b) of distinct values of fps.fp (bigint) at distance 1 to radius, in either order.
 
     A pair that several segments would find is left to the first of them.
-
     ball: the radius asked for within a segment. From radius // segments on, which is the default, no pair is missed; a
     smaller one finds all pairs up to segments * (ball + 1) - 1 bits and, of those further apart, the ones that are close in a segment.
+    earlier: columns of fps with fingerprints of other tables, null where that table has no such row; pairs that those find are left out.
     """
     fp = F.col("fp")
     ball = radius // segments if ball is None else ball
     held = F.array(*[F.struct(F.lit(i).alias("s"), _value(fp, *s).alias("v")) for i, s in enumerate(_segments(segments))])
     asks = [ask for i, (shift, width) in enumerate(_segments(segments)) for ask in _ball(i, _value(fp, shift, width), width, ball)]
-    table = fps.select(fp.alias("b"), F.explode(held).alias("k")).select("b", "k.s", "k.v")
-    asked = fps.select(fp.alias("a"), F.explode(F.concat(*asks)).alias("k")).select("a", "k.s", "k.v")
+    table = fps.select(fp.alias("b"), *[F.col(e).alias(f"b_{e}") for e in earlier], F.explode(held).alias("k")).select("*", "k.s", "k.v").drop("k")
+    asked = fps.select(fp.alias("a"), *[F.col(e).alias(f"a_{e}") for e in earlier], F.explode(F.concat(*asks)).alias("k")).select("*", "k.s", "k.v").drop("k")
     differing = F.col("a").bitwiseXOR(F.col("b"))
     near = (F.col("a") != F.col("b")) & (F.bit_count(differing) <= radius)
     for i, s in enumerate(_segments(segments)[:-1]):
         near = near & ((asked.s <= i) | (F.bit_count(_value(differing, *s)) > ball))
+    for e in earlier:
+        near = near & ~F.coalesce(_within(F.col(f"a_{e}").bitwiseXOR(F.col(f"b_{e}")), radius, segments, ball), F.lit(False))
     return asked.join(table, (asked.s == table.s) & (asked.v == table.v) & near).select("a", "b")
 
 
@@ -176,12 +185,16 @@ def verified_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, rad
     each = cut(prints.groupBy("doc_id", "t").agg(F.min("fp").alias("fp")), "fingerprints")
     texts = cut(keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")).join(keyed.select("doc_id", "h1", "h2"), ["h1", "h2"]).select("doc_id", "rep"), "texts")
     reps = texts.where("doc_id = rep").select("rep").distinct()
-    found = None
+    found, firsts = None, []
     for t in range(tables):
-        own_fp = cut(each.where(F.col("t") == t).join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "fp"), "table")
+        own_fp = each.where(F.col("t") == t).join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "fp")
         first = own_fp.groupBy("fp").agg(F.min("doc_id").alias("first"))
+        for k, other in enumerate(firsts):
+            first = first.join(other.select(F.col("fp").alias(f"e{k}"), "first"), "first", "left")
+        first = cut(first, "firsts")
+        firsts.append(first)
         star = own_fp.join(first, "fp").where("doc_id <> first").select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
-        pair = links(first.select("fp"), radius, segments, ball)
+        pair = links(first, radius, segments, ball, tuple(f"e{k}" for k in range(t)))
         a, b = first.select(F.col("fp").alias("a"), F.col("first").alias("x")), first.select(F.col("fp").alias("b"), F.col("first").alias("y"))
         now = star.union(pair.join(a, "a").join(b, "b").select("x", "y"))
         found = now if found is None else found.union(now)
