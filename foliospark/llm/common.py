@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 import zlib
 from array import array
@@ -83,6 +84,20 @@ def cut(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fitted(sample: DataFrame, train):
+    """train(columns as lists) in one task on a bounded sample; the model comes back to the driver."""
+
+    def run(batches):
+        columns: list[list] = [[] for _ in sample_names]
+        for b in batches:
+            for held, c in zip(columns, b.columns, strict=True):
+                held.extend(c.to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(*columns))], pa.binary())], ["model"])
+
+    sample_names = sample.columns
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()[0])
+
+
 class Grams:
     """Hashed character n-grams of words whose ends are marked, with a memo of the n-grams themselves."""
 

@@ -42,11 +42,10 @@ def train(texts: list, langs: list, buckets: int = 1 << 16, alpha: float = 0.5)
     return Model(names, np.log(docs / max(1, docs.sum())) if names else docs, np.ascontiguousarray(logp.T))
 
 
-def labelled(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
-    """Texts and languages of a bounded sample of rows whose language is known."""
+def labelled(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(text, lang) of a bounded sample of rows whose language is known."""
     own = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    got = bounded_sample(own, "_id", limit).toPandas().sort_values("_id", kind="stable")
-    return got["_text"].tolist(), got["_lang"].tolist()
+    return bounded_sample(own, "_id", limit).select("_text", "_lang")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -75,9 +75,10 @@ class Model:
         self.values, self.bias = values, bias
 
 
-def train(texts: list, labels: np.ndarray, buckets: int = 1 << 18, dim: int = 8, epochs: int = 4, least_steps: int = 700, rate: float = 0.5, batch: int = 16, seed: int = 11) -> Model:
+def train(texts: list, labels: list, buckets: int = 1 << 18, dim: int = 8, epochs: int = 4, least_steps: int = 700, rate: float = 0.5, batch: int = 16, seed: int = 11) -> Model:
     """Vectors E and output layer O by SGD on the softmax's log loss. Small samples are passed over more often, for `least_steps`
     at least. With no or one class: the smoothed class rate for all."""
+    labels = np.array(labels, np.int64)
     if not len(texts) or labels.min() == labels.max():
         share = (labels.sum() + 1) / (len(labels) + 2)
         return Model(np.zeros(buckets), float(np.log(share / (1 - share))))

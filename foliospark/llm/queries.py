@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import bpe, language, media, packing, quality, secrets, simhash, substring, topk, toxicity
-from foliospark.llm.common import fold, table
+from foliospark.llm.common import fitted, fold, table
 
 #: Bounds of the labelled rows that the classifiers are fitted on.
 TOXICITY_ROWS, QUALITY_ROWS, LANGUAGE_ROWS = 8000, 3000, 3000
@@ -25,7 +25,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Learned from a bounded sample of the labelled rows outside the held-out fold."""
     learn = labels.where(fold(mod=5) != 0)
-    return toxicity.train(*toxicity.labelled(docs, learn, "toxic", TOXICITY_ROWS))
+    return fitted(toxicity.labelled(docs, learn, "toxic", TOXICITY_ROWS), toxicity.train)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,13 +37,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learn = table(spark, sf_dir, "labels").where(fold(mod=3) != 1)
-    model = quality.train(*toxicity.labelled(docs, learn, "quality", QUALITY_ROWS))
+    model = fitted(toxicity.labelled(docs, learn, "quality", QUALITY_ROWS), quality.train)
     return quality.score(docs, model).select("doc_id", (fold(mod=3) == 1).alias("held_out"), "score", "predicted")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = language.train(*language.labelled(docs.where(fold(mod=3) != 1), LANGUAGE_ROWS))
+    model = fitted(language.labelled(docs.where(fold(mod=3) != 1), LANGUAGE_ROWS), language.train)
     return language.score(docs, model).select("doc_id", (fold(mod=3) == 1).alias("held_out"), "lang_pred", "score")
 
 

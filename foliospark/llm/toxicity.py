@@ -90,17 +90,19 @@ def noisy_or(p: np.ndarray, doc: np.ndarray, count: int) -> np.ndarray:
     return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), count))
 
 
-def train(texts: list, labels: np.ndarray, buckets: int = 1 << 18, epochs: int = 12, least_steps: int = 900, rate: float = 0.5, l2: float = 1e-6, min_df: int = 3, batch: int = 64, seed: int = 7) -> Model:
+def train(texts: list, labels: list, buckets: int = 1 << 18, epochs: int = 12, least_steps: int = 900, rate: float = 0.5, l2: float = 1e-6, min_df: int = 3, batch: int = 64, seed: int = 7) -> Model:
     """Fit by AdaGrad on the noisy-or's log likelihood. Small samples are passed over more often, for `least_steps` at least.
 
     Without labels of both kinds the model scores every sentence low.
     """
+    labels = np.array(labels, np.int64)
     model = Model(np.zeros(buckets), -6.0)
     if not len(texts) or labels.min() == labels.max():
         return model
     words = Words(buckets)
     bags = []
     for a in range(0, len(texts), 256):
+        words.grams.memo.clear()
         ids, sentence, doc = words.bags(texts[a : a + 256])
         at = np.searchsorted(doc[sentence], np.arange(len(texts[a : a + 256]) + 1))
         for d, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
@@ -142,12 +144,11 @@ def train(texts: list, labels: np.ndarray, buckets: int = 1 << 18, epochs: int =
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, limit: int, id_col: str = "doc_id", text_col: str = "text"):
-    """Texts and labels of a bounded sample of labelled rows. The sampled ids, at most `limit`, are broadcast to the scan."""
-    ids = bounded_sample(labels.where(F.col(target).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(target).alias("_label")), id_col, limit)
+def labelled(docs: DataFrame, labels: DataFrame, target: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text, label) of a bounded sample of labelled rows. The sampled ids, at most `limit`, are broadcast to the scan."""
+    ids = bounded_sample(labels.where(F.col(target).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(target).cast("bigint").alias("_label")), id_col, limit)
     own = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    got = own.join(F.broadcast(ids), id_col).orderBy(id_col, F.xxhash64("_text")).limit(2 * limit).toPandas()
-    return got["_text"].tolist(), got["_label"].to_numpy(np.int64)
+    return own.join(F.broadcast(ids), id_col).orderBy(id_col, F.xxhash64("_text")).limit(2 * limit).select("_text", "_label")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
