@@ -1 +1 @@
-
+"""Column builders, all of them built-in expressions."""

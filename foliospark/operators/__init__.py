@@ -1 +1 @@
-
+"""Dataflow operators over documents, pass outputs and jobs."""

@@ -1 +1 @@
-
+"""The registry of queries."""

@@ -1 +1 @@
-
+"""Readers of containers, chunk files and logs."""
