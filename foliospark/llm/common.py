@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import multiprocessing
 import pickle
 import uuid
 import zlib
@@ -84,6 +85,21 @@ def cut(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _apart(make, *args) -> bytes:
+    """The pickled result of make(*args), from a process that ends with it, so that a reused worker doesn't keep its memory."""
+    fork = multiprocessing.get_context("fork")
+    here, there = fork.Pipe(duplex=False)
+    child = fork.Process(target=lambda: there.send_bytes(pickle.dumps(make(*args))))
+    child.start()
+    there.close()
+    try:
+        return here.recv_bytes()
+    except EOFError:
+        raise RuntimeError("the process that fits the model ended without a result") from None
+    finally:
+        child.join()
+
+
 def fitted(sample: DataFrame, train):
     """train(columns as lists) in one task on a bounded sample; the model comes back to the driver."""
 
@@ -92,7 +108,7 @@ def fitted(sample: DataFrame, train):
         for b in batches:
             for held, c in zip(columns, b.columns, strict=True):
                 held.extend(c.to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(*columns))], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([_apart(train, *columns)], pa.binary())], ["model"])
 
     sample_names = sample.columns
     return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()[0])
