@@ -111,7 +111,8 @@ def fitted(sample: DataFrame, train):
         yield pa.RecordBatch.from_arrays([pa.array([_apart(train, *columns)], pa.binary())], ["model"])
 
     sample_names = sample.columns
-    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()[0])
+    got = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(got[0]) if got else train(*[[] for _ in sample_names])  # an empty sample may have no task
 
 
 class Grams:
