@@ -6,9 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def whole(raw: Column) -> Column:
+    """VARIANT of a text that is one JSON value; null for anything else. The parser stops after a value, so the text is read as a list of one."""
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
+
+
 def recover(raw: Column) -> Column:
-    """VARIANT of the whole text, else of what lies between its first { and its last }; null if neither parses."""
-    return F.coalesce(F.try_parse_json(F.trim(raw)), F.try_parse_json(F.nullif(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), F.lit(""))))
+    """VARIANT of the whole text, else of what lies between its first { and its last }; null if neither is one value."""
+    return F.coalesce(whole(raw), whole(F.nullif(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), F.lit(""))))
 
 
 def strings(doc: Column, path: str) -> Column:
