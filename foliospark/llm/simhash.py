@@ -133,8 +133,8 @@ def links(fps: DataFrame, radius: int = 3, segments: int = 2, ball: int | None =
 
 def components(pairs: DataFrame) -> DataFrame:
     """(fp, label) of each value in pairs(a, b): the least value (as signed) reachable over the links."""
-    ways = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
-    both = cut(pairs.select(F.inline(ways)).distinct(), "links")
+    once = cut(pairs.select("a", "b").distinct(), "links")
+    both = once.select(F.col("a").alias("u"), F.col("b").alias("v")).union(once.select("b", "a"))
     state = cut(both.groupBy(F.col("u").alias("fp")).agg(F.least(F.min("v"), F.col("u")).alias("label")), "labels")
     while True:
         around = both.join(state.select(F.col("fp").alias("v"), "label"), "v").groupBy(F.col("u").alias("fp")).agg(F.min("label").alias("near"))
