@@ -1,17 +1,21 @@
-"""Removal of passages that a document shares with a document of smaller id.
+"""Removal of passages that a document shares with a document of smaller id, by suffix automata of the repeated passages.
 
 A window is `width` consecutive words of one document; words are runs of bytes other than space and \\t \\n \\v \\f \\r. Every
 word that is covered by a window whose word sequence also starts in a document with a smaller doc_id is removed.
 
-1. Anchors. Of the K-word hashes inside each window the least is selected, so two equal windows always select the same
-   anchor. One in about (width - K) / 2 words is an anchor; only (hash, doc_id) is shuffled.
-2. Shared anchors, those seen in two documents at least, go back to their documents, and only windows that hold one
-   are hashed as a whole. A window without one is in no other document.
-3. For each window hash the smallest doc_id is found by an aggregate that combines before the shuffle, so that a passage
-   in a third of all documents is a few numbers per task. It goes back by an equi-join that Spark can split.
-4. Each document's windows with a smaller first document cover the words to remove.
+1. References. Of the K-word hashes inside each window the least is its anchor, so equal windows have equal anchors. Windows
+   with an anchor that two documents hold are hashed as a whole (64 bits); an aggregate that combines before the shuffle
+   finds, for each hash seen in two documents, the first of them. Those windows of their first documents are the
+   reference passages: each repeated window once.
+2. Shards. A passage belongs to the shard that its document's hash and its level name; the level rises with the number of
+   documents that hold the window. The number of shards grows with the references, so that one holds about SHARD words.
+   A shard goes to 2**level tasks, so that a passage in a third of all documents is split over many, and each task has
+   about HOLDERS documents for a window.
+3. Matching statistics. Each task builds the suffix automaton of its shard, over words and not hashes, and streams whole
+   documents past it: only those that a window hash routes there. Where 50 words or more match, a state tells the
+   smallest document with the last 50 of them. Maximal spans of such words go back to the documents.
 
-Hashes are of 64 bits: a polynomial over XXH64 word hashes modulo 2**64.
+A shard goes only to the tasks whose documents can match it and not to all: the references of a corpus have no size bound.
 
 Null text: no words. Documents of a null id are kept whole and remove nothing elsewhere. Rows that repeat a doc_id are
 one document in the comparison with others, and none of them removes words from another.
@@ -31,6 +35,8 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import MEMO, Memo, cut, slices
 
 WIDTH, ANCHOR = 50, 16
+#: Words of references in a shard, and documents that hold a window for each task of its shard.
+SHARD, HOLDERS = 50_000, 64
 BASE = 0x9E3779B97F4A7C17
 INVERSE = pow(BASE, -1, 1 << 64)
 SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
@@ -78,12 +84,87 @@ def anchors_at(grams: np.ndarray, span: int, rows: int = 1 << 16) -> np.ndarray:
     return np.unique(np.concatenate([view[a : a + rows].argmin(1) + np.arange(a, min(a + rows, len(view))) for a in range(0, len(view), rows)]))
 
 
-def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
-    """True for each of n words that a window starting at one of starts covers."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + width, -1)
-    return np.cumsum(edge[:-1]) > 0
+def runs(at: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """Maximal (start, end) of the words that windows at the sorted starts cover, where starts in a run are consecutive."""
+    if not len(at):
+        return []
+    edge = np.flatnonzero(np.diff(at) != 1)
+    return list(zip(at[np.r_[0, edge + 1]].tolist(), (at[np.r_[edge, len(at) - 1]] + width).tolist(), strict=True))
+
+
+class Automaton:
+    """Suffix automaton of word sequences. After close(), `first[state]` is the smallest document with the last `width` words of the state's strings."""
+
+    def __init__(self, width: int):
+        self.width, self.ids, self.last, self.ends = width, {}, 0, 0
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.size, self.first = [-1], [0], [np.iinfo(np.int64).max]
+        self.open = True
+
+    def _extend(self, word: int, doc: int) -> None:
+        step, link, size = self.next, self.link, self.size
+        p, new = self.last, len(size)
+        step.append({})
+        size.append(size[p] + 1)
+        self.first.append(doc)
+        link.append(0)
+        while p >= 0 and word not in step[p]:
+            step[p][word] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][word]
+            if size[q] > size[p] + 1:
+                clone = len(size)
+                step.append(dict(step[q]))
+                size.append(size[p] + 1)
+                self.first.append(self.first[q])
+                link.append(link[q])
+                link[q] = clone
+                while p >= 0 and step[p].get(word) == q:
+                    step[p][word] = clone
+                    p = link[p]
+                q = clone
+            link[new] = q
+        self.last = new
+
+    def add(self, doc: int, words: list[bytes]) -> None:
+        for w in words:
+            self._extend(self.ids.setdefault(w, len(self.ids)), doc)
+        self.ends += 1  # a sign that no document has keeps the sequences apart
+        self._extend(-self.ends, doc)
+
+    def close(self) -> None:
+        order = np.argsort(np.array(self.size), kind="stable").tolist()
+        link, size, first, width = self.link, self.size, self.first, self.width
+        for v in reversed(order[1:]):
+            if first[v] < first[link[v]]:
+                first[link[v]] = first[v]
+        for v in order[1:]:
+            if size[link[v]] >= width:
+                first[v] = first[link[v]]
+        self.open = False
+
+    def starts(self, words: list[bytes], doc: int) -> np.ndarray:
+        """Starts of the windows of words that a document smaller than doc holds too."""
+        step, link, size, first, width = self.next, self.link, self.size, self.first, self.width
+        at, length, out = 0, 0, []
+        for i, word in enumerate(map(self.ids.get, words)):
+            if word is None:
+                at = length = 0
+                continue
+            to = step[at].get(word)
+            if to is None:
+                while at >= 0 and word not in step[at]:
+                    at = link[at]
+                if at < 0:
+                    at = length = 0
+                    continue
+                length, at = size[at] + 1, step[at][word]
+            else:
+                length, at = length + 1, to
+            if length >= width and first[at] < doc:
+                out.append(i - width + 1)
+        return np.array(out, np.int64)
 
 
 def _pairs(batches, make, name: str):
@@ -98,15 +179,14 @@ def _pairs(batches, make, name: str):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(docs))], [name, "doc_id"])
 
 
-def _shared(rows: DataFrame, key: str, later: bool) -> DataFrame:
-    """rows of (key, doc_id) whose key is in two documents at least; later: only those not in the first of them."""
-    first = rows.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col(key).alias("_key"), "first")
-    got = rows.join(first, rows[key] == first["_key"])
-    return (got.where("doc_id > first") if later else got).select(key, "doc_id")
+def _firsts(rows: DataFrame, key: str) -> DataFrame:
+    """Of the keys that two documents at least hold: the smallest document and the number of holders."""
+    held = rows.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("holders"))
+    return held.where("first < last").select(F.col(key).alias("_key"), "first", "holders")
 
 
-def flagged(own: DataFrame, width: int = WIDTH, k: int = ANCHOR) -> DataFrame:
-    """(_of, _hashes): for each doc_id with windows to remove, those windows' hashes. own: (doc_id, text)."""
+def routes(own: DataFrame, width: int = WIDTH, k: int = ANCHOR) -> DataFrame:
+    """(_of, refs, to): for each doc_id the windows (hash, shard, level) that it is the first to hold, and the (shard, level) of those that an earlier one holds. own: (doc_id, text)."""
 
     def anchors(batches):
         h = Hasher()
@@ -137,28 +217,88 @@ def flagged(own: DataFrame, width: int = WIDTH, k: int = ANCHOR) -> DataFrame:
 
     known = own.where("doc_id IS NOT NULL")
     a = cut(known.mapInArrow(anchors, "f bigint, doc_id bigint"), "anchors")
-    per_doc = cut(_shared(a, "f", False).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list("f").alias("shared")), "shared")
-    asked = known.join(per_doc, F.col("doc_id") == F.col("_of")).select("doc_id", "text", "shared")
+    shared = a.join(_firsts(a, "f"), F.col("f") == F.col("_key")).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list("f").alias("shared"))
+    asked = known.join(cut(shared, "shared"), F.col("doc_id") == F.col("_of")).select("doc_id", "text", "shared")
     w = cut(asked.mapInArrow(windows, "w bigint, doc_id bigint"), "windows")
-    return cut(_shared(w, "w", True).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list("w").alias("_hashes")), "flagged")
+    firsts = cut(_firsts(w, "w"), "firsts")
+    shards = max(1, -(-firsts.count() // SHARD))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("holders") / HOLDERS))).cast("int")
+    firsts = firsts.select("_key", "first", F.pmod(F.xxhash64("first"), F.lit(shards)).alias("shard"), level.alias("level"))
+    refs = firsts.groupBy("first").agg(F.collect_list(F.struct("_key", "shard", "level")).alias("refs"))
+    to = w.join(firsts, F.col("w") == F.col("_key")).where("doc_id > first").select("doc_id", "shard", "level").distinct()
+    to = to.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "level")).alias("to"))
+    both = refs.join(to, F.col("first") == F.col("doc_id"), "full")
+    return cut(both.select(F.coalesce("first", "doc_id").alias("_of"), "refs", "to"), "routes")
+
+
+def spans(own: DataFrame, width: int = WIDTH, k: int = ANCHOR) -> DataFrame:
+    """(_of, _key, _spans): for each document with words to remove its id, the hash of its text, and starts and ends by turns. own: (doc_id, text)."""
+
+    def deal(batches):
+        h = Hasher()
+        for b in slices(batches, 128):
+            rows = []
+            for doc, text, key, refs, to in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist(), strict=True):
+                if refs.is_valid:
+                    words = words_of(text)
+                    hashes, shard, level = (c.to_numpy() for c in refs.values.flatten())
+                    by = np.argsort(hashes.view(np.uint64))
+                    known = hashes.view(np.uint64)[by]
+                    found = h.windows(h.sums(words), width)
+                    place = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    at = np.flatnonzero(known[place] == found)
+                    of = level[by][place[at]]
+                    for x in np.unique(of).tolist():
+                        parts = [b" ".join(words[s:e]) for s, e in runs(at[of == x], width)]
+                        rows.append((int(shard[0]), x, 0, doc, key, b"\n".join(parts)))
+                rows.extend((t["shard"], t["level"], 1, doc, key, (text or "").encode("utf-8", "surrogatepass")) for t in to or ())
+            if rows:
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "level", "kind", "doc_id", "key", "text"])
+
+    def match(batches):
+        task, automaton = None, Automaton(width)
+        for b in slices(batches, 128):
+            rows = []
+            for shard, level, salt, kind, doc, key, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if task != (shard, level, salt):
+                    task, automaton = (shard, level, salt), Automaton(width)
+                if kind == 0:
+                    for passage in text.split(b"\n"):
+                        automaton.add(doc, passage.split())
+                    continue
+                if automaton.open:
+                    automaton.close()
+                found = runs(automaton.starts(text.split(), doc), width)
+                if found:
+                    rows.append((doc, key, [x for pair in found for x in pair]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["_of", "_key", "_spans"])
+
+    marks = routes(own, width, k)
+    asked = own.where("doc_id IS NOT NULL").join(marks, F.col("doc_id") == F.col("_of")).select("doc_id", "text", F.xxhash64("text").alias("key"), "refs", "to")
+    dealt = asked.mapInArrow(deal, "shard bigint, level int, kind int, doc_id bigint, key bigint, text binary")
+    salts = F.expr("shiftleft(1, level)")
+    salt = F.explode(F.when(F.col("kind") == 0, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), salts).cast("int"))))
+    dealt = dealt.select("shard", "level", salt.alias("salt"), "kind", "doc_id", "key", "text")
+    ordered = dealt.repartition("shard", "level", "salt").sortWithinPartitions("shard", "level", "salt", "kind", "doc_id")
+    found = ordered.mapInArrow(match, "_of bigint, _key bigint, _spans array<bigint>")
+    return cut(found.groupBy("_of", "_key").agg(F.flatten(F.collect_list("_spans")).alias("_spans")), "spans")
 
 
 def _marked(docs: DataFrame, width: int, k: int, id_col: str, text_col: str, make, schema: str, keep: tuple = ()) -> DataFrame:
-    own = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    bad = flagged(own, width, k)
     wide = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"), *[docs[c].alias(f"_kept_{c}") for c in keep])
-    joined = wide.join(bad, wide["doc_id"] == bad["_of"], "left").select("doc_id", "text", "_hashes", *[f"_kept_{c}" for c in keep])
+    bad = spans(wide.select("doc_id", "text"), width, k)
+    joined = wide.join(bad, (wide["doc_id"] == bad["_of"]) & (F.xxhash64(wide["text"]) == bad["_key"]), "left").select("doc_id", "text", "_spans", *[f"_kept_{c}" for c in keep])
 
     def run(batches):
-        h = Hasher()
         for b in slices(batches, 128):
             rows = []
-            for text, hashes in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+            for text, marked in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = words_of(text)
                 gone = np.zeros(len(words), bool)
-                if hashes.is_valid and len(words) >= width:
-                    starts = np.flatnonzero(np.isin(h.windows(h.sums(words), width), hashes.values.to_numpy().view(np.uint64)))
-                    gone = covered(starts, width, len(words))
+                for s, e in zip((marked or [])[::2], (marked or [])[1::2], strict=True):
+                    gone[s:e] = True
                 rows.append(make(text, words, gone))
             names, types = zip(*[x.split() for x in schema.split(", ")], strict=True)
             made = [pa.array(c, pa.string() if t == "string" else pa.int64()) for c, t in zip(zip(*rows, strict=True), types, strict=True)]

@@ -71,6 +71,37 @@ def test_substring_dedup_equals_brute_force(spark):
     assert substring.digest(frame(spark, rows[:1]).limit(0)).collect() == []
 
 
+def test_substring_dedup_over_many_shards_and_tasks(spark, monkeypatch):
+    monkeypatch.setattr(substring, "SHARD", 60)
+    monkeypatch.setattr(substring, "HOLDERS", 2)
+    rng = np.random.default_rng(11)
+    passages = [[f"p{i}w{x}" for x in rng.integers(0, 30, 50 + i)] for i in range(12)] + [["a", "b"] * 60, ["z"] * 130]
+    rows = [(1, " ".join(passages[0]), None), (1, " ".join(passages[1]), None), (None, " ".join(passages[2]), None), (-3, None, None)]
+    for d in range(2, 60):
+        words: list[str] = []
+        for i in rng.choice(len(passages), 3, p=np.r_[0.5, np.full(13, 0.5 / 13)]):
+            p = passages[i]
+            at = int(rng.integers(0, 8))
+            words += p[at : len(p) - int(rng.integers(0, 3))] + [f"own{d}"] * int(rng.integers(0, 2))
+        rows.append((d, " ".join(words), None))
+    got = sorted(map(tuple, substring.digest(frame(spark, rows)).collect()), key=str)
+    assert got == sorted(brute_removed(rows), key=str)
+    assert len({r[2] for r in got}) > 20
+
+
+def test_automaton_states_know_the_first_document():
+    rng = np.random.default_rng(3)
+    refs = [(int(d), [b"xy"[i : i + 1] for i in rng.integers(0, 2, 40)]) for d in rng.permutation(12)]
+    automaton = substring.Automaton(6)
+    for d, words in refs:
+        automaton.add(d, words)
+    automaton.close()
+    for d in (-1, 0, 3, 7, 12):
+        text = [b"xyz"[i : i + 1] for i in rng.choice(3, 300, p=[0.49, 0.49, 0.02])]
+        held = [i for i in range(295) if any(r < d and any(w[j : j + 6] == text[i : i + 6] for j in range(35)) for r, w in refs)]
+        assert automaton.starts(text, d).tolist() == held
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     vecs = [[float(x) for x in v] for v in rng.normal(0, 0.2, (150, 12))]
