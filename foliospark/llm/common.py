@@ -82,7 +82,17 @@ def cut(df: DataFrame, kind: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(drop, before)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._folder = path
+    return back
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the files of frames made by cut(), once all that was derived from them is itself written."""
+    for df in frames:
+        jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(df._folder)
+        path.getFileSystem(hadoop).delete(path, True)
 
 
 def _apart(make, *args) -> bytes:

@@ -32,7 +32,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import MEMO, Memo, cut, slices
+from foliospark.llm.common import MEMO, Memo, cut, drop, slices
 
 WIDTH, ANCHOR = 50, 16
 #: Words of references in a shard, and documents that hold a window for each task of its shard.
@@ -218,17 +218,22 @@ def routes(own: DataFrame, width: int = WIDTH, k: int = ANCHOR) -> DataFrame:
     known = own.where("doc_id IS NOT NULL")
     a = cut(known.mapInArrow(anchors, "f bigint, doc_id bigint"), "anchors")
     shared = a.join(_firsts(a, "f"), F.col("f") == F.col("_key")).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list("f").alias("shared"))
-    asked = known.join(cut(shared, "shared"), F.col("doc_id") == F.col("_of")).select("doc_id", "text", "shared")
+    shared = cut(shared, "shared")
+    drop(a)
+    asked = known.join(shared, F.col("doc_id") == F.col("_of")).select("doc_id", "text", "shared")
     w = cut(asked.mapInArrow(windows, "w bigint, doc_id bigint"), "windows")
-    firsts = cut(_firsts(w, "w"), "firsts")
-    shards = max(1, -(-firsts.count() // SHARD))
+    drop(shared)
+    held = cut(_firsts(w, "w"), "firsts")
+    shards = max(1, -(-held.count() // SHARD))
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("holders") / HOLDERS))).cast("int")
-    firsts = firsts.select("_key", "first", F.pmod(F.xxhash64("first"), F.lit(shards)).alias("shard"), level.alias("level"))
+    firsts = held.select("_key", "first", F.pmod(F.xxhash64("first"), F.lit(shards)).alias("shard"), level.alias("level"))
     refs = firsts.groupBy("first").agg(F.collect_list(F.struct("_key", "shard", "level")).alias("refs"))
     to = w.join(firsts, F.col("w") == F.col("_key")).where("doc_id > first").select("doc_id", "shard", "level").distinct()
     to = to.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "level")).alias("to"))
     both = refs.join(to, F.col("first") == F.col("doc_id"), "full")
-    return cut(both.select(F.coalesce("first", "doc_id").alias("_of"), "refs", "to"), "routes")
+    out = cut(both.select(F.coalesce("first", "doc_id").alias("_of"), "refs", "to"), "routes")
+    drop(w, held)
+    return out
 
 
 def spans(own: DataFrame, width: int = WIDTH, k: int = ANCHOR) -> DataFrame:
@@ -283,7 +288,9 @@ def spans(own: DataFrame, width: int = WIDTH, k: int = ANCHOR) -> DataFrame:
     dealt = dealt.select("shard", "level", salt.alias("salt"), "kind", "doc_id", "key", "text")
     ordered = dealt.repartition("shard", "level", "salt").sortWithinPartitions("shard", "level", "salt", "kind", "doc_id")
     found = ordered.mapInArrow(match, "_of bigint, _key bigint, _spans array<bigint>")
-    return cut(found.groupBy("_of", "_key").agg(F.flatten(F.collect_list("_spans")).alias("_spans")), "spans")
+    out = cut(found.groupBy("_of", "_key").agg(F.flatten(F.collect_list("_spans")).alias("_spans")), "spans")
+    drop(marks)
+    return out
 
 
 def _marked(docs: DataFrame, width: int, k: int, id_col: str, text_col: str, make, schema: str, keep: tuple = ()) -> DataFrame:
