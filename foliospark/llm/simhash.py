@@ -9,9 +9,9 @@ radius differ by at most radius // segments bits in one of them. So a table hold
 segments' values, every fingerprint asks for the small Hamming ball around each of its own, and what the table answers
 is verified by the complete distance. Where the ball has radius one, a key with one bit set additionally is asked for only
 by the side that has a zero there, so each pair is found from one side.
-Equal fingerprints are merged before that, so copies never make pairs. Components: every fingerprint takes the
-least label of its neighbours and then that of its label (pointer jumping) until nothing changes; labels and links are
-cut to the shared checkpoint folder each round and nothing but one count goes to the driver.
+Equal fingerprints are merged before that, so copies never make pairs. Components: rounds of pointer jumping contract
+the links, so that each round has fewer; labels and links are cut to the shared checkpoint folder each round and nothing
+but whether any are left goes to the driver.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import cut, slices
+from foliospark.llm.common import cut, drop, slices
 
 SEED = 42
 #: Shingle hashes whose bits are unpacked at a time.
@@ -132,17 +132,35 @@ def links(fps: DataFrame, radius: int = 3, segments: int = 2, ball: int | None =
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(fp, label) of each value in pairs(a, b): the least value (as signed) reachable over the links."""
-    once = cut(pairs.select("a", "b").distinct(), "links")
-    both = once.select(F.col("a").alias("u"), F.col("b").alias("v")).union(once.select("b", "a"))
-    state = cut(both.groupBy(F.col("u").alias("fp")).agg(F.least(F.min("v"), F.col("u")).alias("label")), "labels")
+    """(fp, label) of each value in pairs(a, b) that is in a pair of two: the least value (as signed) reachable over the links.
+
+    Each round every value takes the least of its neighbours, pointer jumping leads it to a local minimum, and the links
+    between those minima, at most half as many values, are the next round's.
+    """
+    links = cut(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    state = None
     while True:
-        around = both.join(state.select(F.col("fp").alias("v"), "label"), "v").groupBy(F.col("u").alias("fp")).agg(F.min("label").alias("near"))
-        step = state.join(around, "fp").select("fp", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        jump = state.select(F.col("fp").alias("mid"), F.col("label").alias("far"))
-        step = cut(step.join(jump, "mid").select("fp", "old", F.least("mid", "far").alias("label")), "labels")
-        state = step.select("fp", "label")
-        if step.where("label < old").isEmpty():
+        ends = links.select(F.col("u").alias("fp"), F.col("v").alias("other")).union(links.select("v", "u"))
+        step = cut(ends.groupBy("fp").agg(F.least(F.min("other"), F.col("fp")).alias("up")).withColumn("old", F.lit(None).cast("bigint")), "up")
+        moved = True
+        while moved:
+            last, far = step, step.select(F.col("fp").alias("up"), F.col("up").alias("far"))
+            step = cut(last.select("fp", "up").join(far, "up").select("fp", F.col("far").alias("up"), F.col("up").alias("old")), "up")
+            drop(last)
+            moved = not step.where("up < old").isEmpty()
+        up = step.select("fp", "up")
+        if state is None:
+            state = cut(up.withColumnRenamed("up", "label"), "labels")
+        else:
+            last = state
+            state = cut(last.join(up.withColumnRenamed("fp", "label"), "label", "left").select("fp", F.coalesce("up", "label").alias("label")), "labels")
+            drop(last)
+        last = links
+        u, v = up.select(F.col("fp").alias("u"), F.col("up").alias("x")), up.select(F.col("fp").alias("v"), F.col("up").alias("y"))
+        kept = last.join(u, "u").join(v, "v").where("x <> y")
+        links = cut(kept.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "links")
+        drop(last, step)
+        if links.isEmpty():
             return state
 
 

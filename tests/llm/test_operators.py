@@ -102,6 +102,20 @@ def test_automaton_states_know_the_first_document():
         assert automaton.starts(text, d).tolist() == held
 
 
+def test_components_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    path = list(range(-40, 40))
+    mixed = rng.permutation(np.arange(100, 160)).tolist()
+    pairs = list(zip(path, path[1:], strict=False)) + list(zip(mixed[1:], mixed, strict=False)) + [(int(a), int(b)) for a, b in rng.integers(1000, 1200, (150, 2)) if a != b]
+    label = {x: x for pair in pairs for x in pair}
+    while any(label[a] != label[b] for a, b in pairs):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    rows = spark.createDataFrame(pairs + [(b, a) for a, b in pairs[::3]], "a bigint, b bigint")
+    assert dict(map(tuple, simhash.components(rows).collect())) == label
+    assert simhash.components(rows.limit(0)).collect() == []
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     vecs = [[float(x) for x in v] for v in rng.normal(0, 0.2, (150, 12))]
