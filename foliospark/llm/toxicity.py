@@ -90,10 +90,11 @@ def noisy_or(p: np.ndarray, doc: np.ndarray, count: int) -> np.ndarray:
     return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), count))
 
 
-def train(texts: list, labels: list, buckets: int = 1 << 18, epochs: int = 12, least_steps: int = 900, rate: float = 0.5, l2: float = 1e-6, min_df: int = 3, batch: int = 64, seed: int = 7) -> Model:
+def train(texts: list, labels: list, buckets: int = 1 << 18, epochs: int = 12, least_steps: int = 900, rate: float = 0.5, l1: float = 3e-4, l2: float = 1e-6, min_df: int = 3, batch: int = 64, seed: int = 7) -> Model:
     """Fit by AdaGrad on the noisy-or's log likelihood. Small samples are passed over more often, for `least_steps` at least.
 
-    Without labels of both kinds the model scores every sentence low.
+    After each step the weights in use shrink by `l1`, scaled as the step is, and stop at zero, so that words which mark single
+    documents don't explain their labels in place of words which recur. Without labels of both kinds every sentence scores low.
     """
     labels = np.array(labels, np.int64)
     model = Model(np.zeros(buckets), -6.0)
@@ -137,7 +138,9 @@ def train(texts: list, labels: list, buckets: int = 1 << 18, epochs: int = 12, l
             used = np.flatnonzero(g)
             g = g[used] - l2 * model.weights[used]
             grad2[used] += g * g
-            model.weights[used] += rate * g / np.sqrt(grad2[used])
+            step = rate / np.sqrt(grad2[used])
+            moved = model.weights[used] + step * g
+            model.weights[used] = np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)
             gb = up.sum() / len(part)
             grad2_b += gb * gb
             model.bias += 0.3 * rate * gb / np.sqrt(grad2_b)
