@@ -96,3 +96,23 @@ def resolved(names: DataFrame, variants: DataFrame, keys: list[str], name: str)
     """names with resolved: the canonical name of its variant, else the name itself. Spark broadcasts the map only below its size threshold."""
     own = names.withColumn("norm", N.norm(F.col(name)))
     return own.join(variants.select(*keys, "norm", "canonical_name"), [*keys, "norm"], "left").withColumn("resolved", F.coalesce("canonical_name", name)).drop("canonical_name", "norm")
+
+
+def annotated(dossiers: DataFrame, variants: DataFrame, keys: list[str], surface: str = "variants", name: str = "canonical_name") -> DataFrame:
+    """dossiers with resolved_name and resolution_confidence from the first of their surface variants that is mapped; else the name and null.
+
+    dossiers need a column `group_no` that, with the keys, tells them apart.
+    """
+    ids = [*keys, "group_no"]
+    each = dossiers.select(*ids, F.posexplode(surface).alias("i", "_v")).withColumn("norm", N.norm(F.col("_v")))
+    known = variants.select(*keys, "norm", F.col("canonical_name").alias("_c"), "confidence")
+    first = each.join(known, [*keys, "norm"]).groupBy(*ids).agg(F.min_by(F.struct("_c", "confidence"), "i").alias("_r"))
+    return dossiers.join(first, ids, "left").withColumn("resolved_name", F.coalesce("_r._c", name)).withColumn("resolution_confidence", F.col("_r.confidence")).drop("_r")
+
+
+def resolution_report(groups: DataFrame, responses: DataFrame, variants: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per key: candidate groups, groups with an answer, merged groups and mapped variants."""
+    asked = groups.groupBy(*keys).agg(F.countDistinct("group_no").alias("n_groups"))
+    got = responses.groupBy(*keys).agg(F.countDistinct("group_no").alias("n_resolved"), F.countDistinct(F.when(F.col("merge"), F.col("group_no"))).alias("n_merged"))
+    mapped = variants.groupBy(*keys).agg(F.count("*").alias("n_variants"))
+    return asked.join(got, keys, "left").join(mapped, keys, "left").na.fill(0, ["n_resolved", "n_merged", "n_variants"])

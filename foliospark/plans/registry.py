@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import jsonx, names
 from foliospark.functions import text as T
-from foliospark.operators import ingest, jobs, merge, resolve
+from foliospark.operators import ingest, jobs, merge, passes, report, resolve
+from foliospark.streaming import runlog
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -366,6 +367,84 @@ def session_gaps(spark, d):
     return own.groupBy("user_id", "session").agg(F.count("*").alias("n"))
 
 
+@query("SELECT CAST(user_id AS VARCHAR) AS run, event_type, 'chunk_' || (event_id % 7) AS chunk, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE event_id % 10 <> 0")
+def log_events(spark, d):
+    """The run log as JSON lines, a tenth of them cut short."""
+    at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    line = F.to_json(F.struct(F.col("user_id").cast("string").alias("run"), "event_type", at.alias("timestamp"), F.concat(F.lit("chunk_"), (F.col("event_id") % 7).cast("string")).alias("chunk")))
+    lines = t(spark, d, "events").select(F.when(F.col("event_id") % 10 == 0, F.left(line, F.length(line) - 2)).otherwise(line).alias("value"))
+    return runlog.events(lines).select("run", "event_type", "chunk", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+def _talk(spark, d):
+    """Conversations as books and turns as chunks; equal turns of a conversation are one chunk."""
+    own = t(spark, d, "conversations").where("conv_id IS NOT NULL")
+    return own.groupBy(F.col("conv_id").alias("book"), F.col("turn").cast("int").alias("pos")).agg(F.min_by("text", F.struct("role", "text")).alias("text"), F.min("role").alias("role"))
+
+
+TALK_SQL = "t AS (SELECT conv_id AS book, CAST(turn AS INTEGER) AS pos, arg_min(text, (role, text)) AS text, min(role) AS role FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"""WITH {TALK_SQL}, r AS (SELECT book, role, count(*) AS n, min(pos) AS f FROM t GROUP BY ALL),
+o AS (SELECT book, arg_max(role, n * 1000000 - f) AS dominant_pov, string_agg(role, '|' ORDER BY f) AS observed_pov_values FROM r GROUP BY book)
+SELECT book, o.dominant_pov, o.observed_pov_values, o.observed_pov_values AS explicitly_attributed_speakers, count_if(text LIKE '%?%')::BIGINT AS dialogue_present_in_chunks FROM t JOIN o USING (book) GROUP BY ALL""")
+def dialogue_by_book(spark, d):
+    doc = F.to_json(F.struct(F.col("role").alias("pov"), F.contains("text", F.lit("?")).alias("dialogue"), F.array("role", "role").alias("explicitly_attributed_speakers")))
+    got = passes.dialogue_merge(_talk(spark, d).select("book", "pos", F.lit("dialogue").alias("pass"), doc.alias("doc")), "book")
+    lists = [F.array_join(c, "|").alias(c) for c in ("observed_pov_values", "explicitly_attributed_speakers")]
+    return got.select("book", "dominant_pov", *lists, "dialogue_present_in_chunks")
+
+
+@query(f"""WITH {TALK_SQL}, v AS (SELECT book, 'chapters' AS kind, 2 * pos AS p, role AS x FROM t UNION ALL SELECT book, 'chapters', 2 * pos + 1, left(text, 3) FROM t UNION ALL SELECT book, 'parts', pos, left(text, 1) FROM t),
+f AS (SELECT book, kind, x, min(p) AS p FROM v GROUP BY ALL) SELECT book, kind, string_agg(x, '|' ORDER BY p) AS found FROM f GROUP BY ALL""")
+def structure_by_book(spark, d):
+    doc = F.to_json(F.struct(F.array("role", F.left("text", F.lit(3))).alias("chapters"), F.array().cast("array<string>").alias("parts"), F.array(F.left("text", F.lit(1))).alias("part_divisions")))
+    got = passes.structure_merge(_talk(spark, d).select("book", "pos", F.lit("structure").alias("pass"), doc.alias("doc")), "book")
+    return got.select("book", "kind", F.array_join("values", "|").alias("found"))
+
+
+def _outputs(spark, d):
+    return passes.run(_talk(spark, d), passes.rules, ["book", "pos"])
+
+
+@query()
+def model_passes(spark, d):
+    return _outputs(spark, d).select("book", "pos", "pass", "doc", "attempts", "error")
+
+
+@query()
+def dossiers_by_book(spark, d):
+    one = F.struct("name", "role", F.array("chunk").alias("aliases"))
+    doc = F.to_json(F.struct(F.array(one).alias("character_dossiers")))
+    own = _candidates(spark, d).select("book", F.col("pos").cast("int").alias("pos"), F.lit("dossiers").alias("pass"), doc.alias("doc"))
+    return passes.dossier_merge(own, "book")
+
+
+@query()
+def book_reports(spark, d):
+    out = _outputs(spark, d)
+    entities = merge.entity_merge(passes.entity_mentions(out, "book"), ["book", "kind"], "value", F.struct("pos", "i"), "pos")
+    dossiers = passes.dossier_merge(out, "book")
+    values = dossiers.select(F.concat_ws("#", "book", "group_no").alias("g"), "book", F.lit("roles").alias("attribute"), F.explode("roles").alias("value"))
+    return report.book_report("book", _talk(spark, d), passes.structure_merge(out, "book"), passes.dialogue_merge(out, "book"), entities, dossiers, merge.conflicts(values, ["g", "book"]))
+
+
+@query("SELECT p_brand, count(DISTINCT p_size) AS n_groups, count(DISTINCT CASE WHEN p_size % 2 = 0 THEN p_size END) AS n_resolved, count(DISTINCT CASE WHEN p_size % 4 = 0 THEN p_size END) AS n_merged, "
+       f"count(DISTINCT CASE WHEN p_size % 4 = 0 THEN {NORM_SQL.format(c='p_name')} END) AS n_variants FROM part GROUP BY p_brand")
+def resolution_report(spark, d):
+    p = t(spark, d, "part").withColumn("group_no", F.col("p_size"))
+    answers = p.where("p_size % 2 = 0").select("p_brand", "group_no", (F.col("p_size") % 4 == 0).alias("merge"), F.col("p_name").alias("canonical_name"), F.lit("high").alias("confidence"), F.array("p_name").alias("members_to_merge"))
+    return resolve.resolution_report(p, answers, resolve.resolution_map(answers, ["p_brand"]), ["p_brand"])
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_name LIKE 'red%' THEN 'canonical ' || {NORM_SQL.format(c='p_name')} ELSE p_name END AS resolved_name, CASE WHEN p_name LIKE 'red%' THEN 'high' END AS resolution_confidence FROM part")
+def annotate_dossiers(spark, d):
+    p = t(spark, d, "part").withColumn("g", F.lit(0))
+    known = p.where("p_name LIKE 'red%'").select("g", names.norm(F.col("p_name")).alias("norm")).distinct().select("g", "norm", F.concat(F.lit("canonical "), "norm").alias("canonical_name"), F.lit("high").alias("confidence"))
+    rows = p.select("g", F.col("p_partkey").alias("group_no"), F.col("p_name").alias("canonical_name"), F.array(F.lit("nobody"), "p_name").alias("variants"))
+    return resolve.annotated(rows, known, ["g"]).select(F.col("group_no").alias("p_partkey"), "resolved_name", "resolution_confidence")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -116,3 +116,8 @@ def test_progress_keeps_the_last_values(spark):
     assert (p.current_pass, p.reported_tps, p.last_event_type) == ("dialogue", 44.2, "pass_start")
     assert jobs.current_chunk(e, ["run"], "i").first().current_chunk == "c1"
     assert spark.range(1).select(T.chunk_index(F.lit("chunk_001"))).first()[0] == 2
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
+def test_query_without_sql_runs(spark, name):
+    assert registry.queries()[name](spark, DATA).count() > 0
