@@ -16,6 +16,7 @@ but whether any are left goes to the driver.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
@@ -25,11 +26,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import cut, drop, slices
+from foliospark.llm.common import bounded_sample, cut, drop, slices
 
 SEED = 42
 #: Shingle hashes whose bits are unpacked at a time.
 BITS_AT_ONCE = 1 << 16
+#: Texts of the sample by which shingles are ordered, and the most shingles that it calls common.
+SAMPLE_TEXTS, COMMON = 8000, 50_000
+#: Rounds in which sets are compared with one of their key, and by how many orders that one is chosen.
+STAR_ROUNDS, STAR_ORDERS = 2, 8
+#: Words of 64 bits, each bit the parity of how many shingles fall on it: sets differ in as many shingles as bits at least.
+PARITY = [f"p{i}" for i in range(8)]
 
 
 def shingle_hashes(text: str | None, size: int, seed: int = SEED) -> np.ndarray:
@@ -180,55 +187,153 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, segments: i
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, sh): the distinct shingle hashes of each text. docs: (doc_id, text)."""
+def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes, ascending, that several texts of a bounded sample hold, and how many of them do. docs: (doc_id, text)."""
+
+    def run(batches):
+        for b in slices(batches):
+            for t in b.column(1).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, size)).view(np.int64))], ["sh"])
+
+    counts = bounded_sample(docs, "doc_id", SAMPLE_TEXTS).mapInArrow(run, "sh bigint").groupBy("sh").count().where("count > 2")
+    got = counts.orderBy(F.desc("count"), "sh").limit(COMMON).collect()
+    sh = np.array([r[0] for r in got], np.int64).view(np.uint64)
+    order = np.argsort(sh)
+    return sh[order], np.array([r[1] for r in got], np.int64)[order]
+
+
+def _prefixes(keyed: DataFrame, size: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, h1, h2, n, s1, s2, keys, PARITY): a text's count of distinct shingles, a hash pair, the prefix and the parities of their set.
+
+    The prefix is what comes first in an order of all shingles that is the same for all texts: those least common in the sample,
+    then by hash. Two sets of at least the similarity have a shingle of both prefixes in common, whatever the order.
+    """
+    held, count = common
+
+    def run(batches):
+        for b in slices(batches):
+            n, s1, s2, keys, odd = [], [], [], [], []
+            for t in b.column(3).to_pylist():
+                sh = np.unique(shingle_hashes(t, size))
+                digest = xxhash.xxh3_128_intdigest(sh.tobytes())
+                rank = np.zeros(len(sh), np.int64)
+                if len(held):
+                    at = np.minimum(np.searchsorted(held, sh), len(held) - 1)
+                    rank = np.where(held[at] == sh, count[at], 0)
+                first = np.lexsort((sh, rank))[: len(sh) - _least(similarity * len(sh)) + 1]
+                n.append(len(sh))
+                s1.append(digest >> 64)
+                s2.append(digest & (1 << 64) - 1)
+                keys.append(sh[first].view(np.int64))
+                places = (sh % np.uint64(64 * len(PARITY))).astype(np.int64)
+                odd.append(np.packbits(np.bincount(places, minlength=64 * len(PARITY)) & 1, bitorder="little").view(np.int64))
+            hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s1, s2)]
+            parity = [pa.array(x) for x in np.array(odd, np.int64).reshape(-1, len(PARITY)).T.copy()]
+            columns = [*b.columns[:3], pa.array(n, pa.int32()), *hashes, pa.array(keys, pa.list_(pa.int64())), *parity]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h1", "h2", "n", "s1", "s2", "keys", *PARITY])
+
+    schema = "doc_id bigint, h1 bigint, h2 bigint, n int, s1 bigint, s2 bigint, keys array<bigint>"
+    return keyed.select("doc_id", "h1", "h2", "text").mapInArrow(run, ", ".join([schema, *[f"{p} bigint" for p in PARITY]]))
+
+
+def _least(x: float) -> int:
+    """x rounded up, unless it is above an integer only by a rounding error."""
+    return math.ceil(x - 1e-9)
+
+
+def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(id, sh): the distinct shingle hashes of each text. texts: (id, text)."""
 
     def run(batches):
         for b in slices(batches):
             sets = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "sh"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "sh"])
 
-    return docs.mapInArrow(run, "doc_id bigint, sh array<bigint>")
+    return texts.mapInArrow(run, "id bigint, sh array<bigint>")
 
 
-def verified_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 6, segments: int = 3, ball: int = 1, tables: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of the documents that a link of verified similarity joins to another; others have no row.
+def _alike(asked: DataFrame, nodes: DataFrame, keyed: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (x, y) of asked, as (a, b), whose shingle sets have at least the Jaccard similarity."""
+    ends = asked.select(F.col("x").alias("id")).union(asked.select("y")).distinct()
+    wanted = nodes.select("id", "h1", "h2").join(ends, "id")
+    sets = cut(_shingle_sets(keyed.join(wanted, ["h1", "h2"]).select("id", "text"), size).dropDuplicates(["id"]), "sets")
+    both = asked.join(sets.select(F.col("id").alias("x"), F.col("sh").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("sh").alias("sy")), "y")
+    shared = F.size(F.array_intersect("sx", "sy"))
+    out = cut(both.where(shared >= similarity * (F.size("sx") + F.size("sy") - shared) - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b")), "alike")
+    drop(sets)
+    return out
+
+
+def _may_be_alike(similarity: float):
+    """Of two postings x and y of a key, whether their sets may have the similarity.
+
+    False only if the sizes or the parities rule it out, or the key's places, were it the first that both have: at that first key alike sets pass.
+    """
+    most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    sizes = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
+    both = F.col("x.n") + F.col("y.n")
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in PARITY])
+    return sizes & (most * (1 + similarity) >= similarity * both - 1e-9) & (differ * (1 + similarity) <= (1 - similarity) * both + 1e-9)
+
 
-    Candidates are links of fingerprints over shingles of `size` words, from several independent tables; each is verified by the
-    Jaccard similarity of the two shingle sets. Copies of a text are represented by their smallest doc_id, and texts that
-    share a fingerprint are compared with the first of them, so no group is expanded into all its pairs. Null doc_ids take no part.
+def _labelled(postings: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The postings with the component of each id, of the keys that hold several components."""
+    if label is None:
+        return postings.withColumn("label", F.col("id"))
+    own = postings.join(label.withColumnRenamed("fp", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    return own.join(mixed, "key", "left_semi")
+
+
+def _set_components(nodes: DataFrame, keyed: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(fp, label) of the nodes that pairs of at least the similarity join to others. nodes: (id, h1, h2, n, keys).
+
+    In STAR_ROUNDS the sets that share a key are compared with one of them, which joins dense groups without expanding them. Which
+    one is the first in one of STAR_ORDERS orders, by the key, as many sets of a dense group may be unlike any single one of it. Then all pairs that share a key and are still in different components are compared, so no pair is missed that would join two.
+    """
+    each = nodes.select("id", "n", F.posexplode("keys").alias("pos", "key"))
+    shared = each.groupBy("key").count().where("count > 1").select("key")
+    postings = cut(each.join(shared, "key", "left_semi").join(nodes.select("id", *PARITY), "id"), "postings")
+    edges, label = None, None
+    for step in (*range(STAR_ROUNDS), "all"):
+        own = cut(_labelled(postings, label), "labelled")
+        x, y = own.alias("x"), own.alias("y")
+        where = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _may_be_alike(similarity)
+        if step == "all":
+            where = where & (F.col("x.id") < F.col("y.id"))
+        else:
+            ranked = own.withColumn("rank", F.xxhash64(F.lit(step), F.pmod("key", F.lit(STAR_ORDERS)), "id"))
+            x = ranked.join(ranked.groupBy("key").agg(F.min("rank").alias("rank")), ["key", "rank"], "left_semi").alias("x")
+        pair = x.join(y, where).select(F.least("x.id", "y.id").alias("x"), F.greatest("x.id", "y.id").alias("y")).distinct()
+        asked = cut(pair, "candidates")
+        found = _alike(asked, nodes, keyed, size, similarity)
+        edges = found if edges is None else edges.union(found)
+        label = components(edges)
+        drop(own, asked)
+    drop(postings)
+    return label
+
+
+def verified_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of the documents that a chain of pairs of at least the similarity joins to another; others have no row.
+
+    The similarity is the Jaccard similarity of the sets of shingles of `size` words, and no pair is missed: an exact join by
+    prefixes, see _prefixes and _set_components. Texts without shingles are only alike if equal. Null doc_ids take no part.
     """
     own = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id IS NOT NULL")
     keyed = own.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    prints = fingerprints(keyed, size, tables)
-    each = cut(prints.groupBy("doc_id", "t").agg(F.min("fp").alias("fp")), "fingerprints")
-    texts = cut(keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")).join(keyed.select("doc_id", "h1", "h2"), ["h1", "h2"]).select("doc_id", "rep"), "texts")
-    reps = texts.where("doc_id = rep").select("rep").distinct()
-    found, firsts = None, []
-    for t in range(tables):
-        own_fp = each.where(F.col("t") == t).join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "fp")
-        first = own_fp.groupBy("fp").agg(F.min("doc_id").alias("first"))
-        for k, other in enumerate(firsts):
-            first = first.join(other.select(F.col("fp").alias(f"e{k}"), "first"), "first", "left")
-        first = cut(first, "firsts")
-        firsts.append(first)
-        star = own_fp.join(first, "fp").where("doc_id <> first").select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
-        pair = links(first, radius, segments, ball, tuple(f"e{k}" for k in range(t)))
-        a, b = first.select(F.col("fp").alias("a"), F.col("first").alias("x")), first.select(F.col("fp").alias("b"), F.col("first").alias("y"))
-        now = star.union(pair.join(a, "a").join(b, "b").select("x", "y"))
-        found = now if found is None else found.union(now)
-    asked = cut(found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
-    ends = asked.select(F.col("x").alias("_end")).union(asked.select("y")).distinct()
-    sets = cut(_shingle_sets(own.join(ends, F.col("doc_id") == F.col("_end"), "left_semi").select("doc_id", "text"), size).dropDuplicates(["doc_id"]), "sets")
-    both = asked.join(sets.select(F.col("doc_id").alias("x"), F.col("sh").alias("sx")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("sh").alias("sy")), "y")
-    common = F.size(F.array_intersect("sx", "sy"))
-    alike = both.where(common >= similarity * (F.size("sx") + F.size("sy") - common)).where(F.size("sx") > 0).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    copies = texts.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    label = components(alike).select(F.col("fp").alias("_rep"), "label")
-    # A copy takes its text's label; a text without links is its copies' own group.
-    of = texts.join(label, F.col("rep") == F.col("_rep"), "left").select("doc_id", F.coalesce("label", "rep").alias("component_id"), F.col("label").isNotNull().alias("linked"))
-    many = copies.select(F.col("a").alias("_many")).distinct()
-    return of.join(many, F.col("component_id") == F.col("_many"), "left").where(F.col("linked") | F.col("_many").isNotNull()).select("doc_id", "component_id").distinct()
+    prefixes = cut(_prefixes(keyed, size, similarity, _common(own, size)), "prefixes")
+    nodes = cut(prefixes.where("n > 0").drop("doc_id").dropDuplicates(["s1", "s2"]).withColumn("id", F.monotonically_increasing_id()), "nodes")
+    # Texts without shingles are their own nodes by their hash pair; those of a set share its hash pair.
+    texts = cut(prefixes.select("doc_id", F.expr("if(n > 0, s1, h1)").alias("s1"), F.expr("if(n > 0, s2, h2)").alias("s2"), F.expr("n > 0").alias("full")), "texts")
+    drop(prefixes)
+    label = _set_components(nodes, keyed, size, similarity)
+    joined = nodes.select("s1", "s2", "id").join(label.withColumnRenamed("fp", "id"), "id").select("s1", "s2", F.lit(True).alias("full"), "label")
+    of = cut(texts.join(joined, ["s1", "s2", "full"], "left").select("doc_id", "label", *[F.when(F.col("label").isNull(), F.col(c)).alias(c) for c in ("s1", "s2", "full")]), "grouped")
+    group = ["label", "s1", "s2", "full"]
+    sizes = of.groupBy(group).agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("_last")).where("component_id < _last").drop("_last")
+    same = [of[c].eqNullSafe(sizes[c]) for c in group]
+    return of.join(sizes, same).select("doc_id", "component_id").distinct()
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
