@@ -68,3 +68,20 @@ def test_texts_that_share_a_fingerprint_are_compared_with_each_other(spark):
     assert len({simhash.fingerprint(simhash.shingle_hashes(t, SIZE)) for _, t in rows}) == 1
     assert brute(rows) == {(1, 1), (2, 1), (3, 3), (4, 3)}
     assert found(spark, rows) == brute(rows)
+
+
+def test_pairs_just_above_the_similarity_are_all_found(spark):
+    rng, rows = random.Random(2), []
+    for k in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 300))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(edited(rng, words, *((0.8, 0.85), (0.85, 0.9), (0.72, 0.8))[k % 3])))]
+    assert len(brute(rows)) == 80
+    assert found(spark, rows) == brute(rows)
+
+
+def test_chains_and_dense_groups_equal_brute_force(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(edited(rng, words, 0.8, 0.95)) for _ in range(80)] + [" ".join(words[i : i + 60]) for i in range(0, 60, 4)]
+    rows = [*enumerate(texts), (200, texts[3]), (201, "a b"), (202, "a  b"), (203, ""), (204, ""), (205, None), (206, None), (207, " "), (None, texts[3])]
+    assert found(spark, rows) == brute(rows) | {(201, 201), (202, 201)}
