@@ -314,30 +314,36 @@ def _set_components(nodes: DataFrame, keyed: DataFrame, size: int, similarity: f
     return label
 
 
+def text_hashes(text) -> list:
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
 def verified_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of the documents that a chain of pairs of at least the similarity joins to another; others have no row.
+    """(doc_id, h1, h2, component_id) of the texts that a chain of pairs of at least the similarity joins to another document; others have no row.
 
     The similarity is the Jaccard similarity of the sets of shingles of `size` words, and no pair is missed: an exact join by
-    prefixes, see _prefixes and _set_components. Texts without shingles are only alike if equal. Null doc_ids take no part.
+    prefixes, see _prefixes and _set_components. h1 and h2 are the text's hashes (text_hashes), and each text of a repeated
+    doc_id is in its own group; component_id is the smallest doc_id of the group. Texts without shingles are only alike if equal. Null doc_ids take no part.
     """
     own = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id IS NOT NULL")
-    keyed = own.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    keyed = own.select("doc_id", "text", *text_hashes(F.col("text")))
     prefixes = cut(_prefixes(keyed, size, similarity, _common(own, size)), "prefixes")
     nodes = cut(prefixes.where("n > 0").drop("doc_id").dropDuplicates(["s1", "s2"]).withColumn("id", F.monotonically_increasing_id()), "nodes")
     # Texts without shingles are their own nodes by their hash pair; those of a set share its hash pair.
-    texts = cut(prefixes.select("doc_id", F.expr("if(n > 0, s1, h1)").alias("s1"), F.expr("if(n > 0, s2, h2)").alias("s2"), F.expr("n > 0").alias("full")), "texts")
+    texts = cut(prefixes.select("doc_id", "h1", "h2", F.expr("if(n > 0, s1, h1)").alias("s1"), F.expr("if(n > 0, s2, h2)").alias("s2"), F.expr("n > 0").alias("full")), "texts")
     drop(prefixes)
     label = _set_components(nodes, keyed, size, similarity)
     joined = nodes.select("s1", "s2", "id").join(label.withColumnRenamed("fp", "id"), "id").select("s1", "s2", F.lit(True).alias("full"), "label")
-    of = cut(texts.join(joined, ["s1", "s2", "full"], "left").select("doc_id", "label", *[F.when(F.col("label").isNull(), F.col(c)).alias(c) for c in ("s1", "s2", "full")]), "grouped")
+    of = cut(texts.join(joined, ["s1", "s2", "full"], "left").select("doc_id", "h1", "h2", "label", *[F.when(F.col("label").isNull(), F.col(c)).alias(c) for c in ("s1", "s2", "full")]), "grouped")
     group = ["label", "s1", "s2", "full"]
     sizes = of.groupBy(group).agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("_last")).where("component_id < _last").drop("_last")
     same = [of[c].eqNullSafe(sizes[c]) for c in group]
-    return of.join(sizes, same).select("doc_id", "component_id").distinct()
+    return of.join(sizes, same).select("doc_id", "h1", "h2", "component_id").distinct()
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents whose group holds a smaller doc_id. Rows that share a doc_id are one document: they stay or go together."""
-    gone = verified_groups(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    id_col = options.get("id_col", "doc_id")
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """docs without the rows whose text's group holds a smaller doc_id. Of a repeated doc_id, each row stays or goes by its own text."""
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    gone = verified_groups(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
+    h1, h2 = text_hashes(docs[text_col].cast("string"))
+    return docs.join(gone, (docs[id_col].cast("bigint") == F.col("_gone")) & (h1 == F.col("_h1")) & (h2 == F.col("_h2")), "left_anti")

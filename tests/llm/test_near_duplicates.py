@@ -85,3 +85,12 @@ def test_chains_and_dense_groups_equal_brute_force(spark):
     texts = [" ".join(edited(rng, words, 0.8, 0.95)) for _ in range(80)] + [" ".join(words[i : i + 60]) for i in range(0, 60, 4)]
     rows = [*enumerate(texts), (200, texts[3]), (201, "a b"), (202, "a  b"), (203, ""), (204, ""), (205, None), (206, None), (207, " "), (None, texts[3])]
     assert found(spark, rows) == brute(rows) | {(201, 201), (202, 201)}
+
+
+def test_each_text_of_a_repeated_id_has_its_own_group(spark):
+    rng = random.Random(4)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(100)] for _ in range(3)]
+    near = [" ".join(edited(rng, w, 0.85, 0.95)) for w in words]
+    rows = [(1, " ".join(words[0])), (2, " ".join(words[1])), (5, near[0]), (5, near[1]), (5, " ".join(words[2])), (6, near[2])]
+    kept = sorted((r.doc_id, r.text) for r in simhash.keep_one(frame(spark, rows)).collect())
+    assert kept == sorted([rows[0], rows[1], rows[4]])
