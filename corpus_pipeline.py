@@ -58,7 +58,7 @@ STAGES = [
     ("packing", stage_packing),
 ]
 
-#: A trained model and packing by search are beyond SQL; the tests hold each stage against a brute-force version.
+#: A trained model and packing by search are beyond SQL; the tests hold the near-duplicate groups against brute force, not run() as a whole.
 ORACLE_SQL = None
 
 
