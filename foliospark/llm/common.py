@@ -87,12 +87,16 @@ def cut(df: DataFrame, kind: str) -> DataFrame:
     return back
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    hadoop = spark._jsparkSession.sessionState().newHadoopConf()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(hadoop).delete(path, True)
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete the files of frames made by cut(), once all that was derived from them is itself written."""
     for df in frames:
-        jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        path = jvm.org.apache.hadoop.fs.Path(df._folder)
-        path.getFileSystem(hadoop).delete(path, True)
+        drop_folder(df.sparkSession, df._folder)
 
 
 def _apart(make, *args) -> bytes:

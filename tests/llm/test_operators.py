@@ -1,6 +1,7 @@
 """Each training-data operator against a brute-force version, with nulls, empty texts, ties, repeated rows and extra columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -122,7 +123,7 @@ def test_top_k_equals_brute_force(spark):
     vecs[7] = vecs[8] = vecs[9] = vecs[10]
     rows = [*enumerate(vecs), (200, None), (201, [1.0, None]), (202, [float("nan")] * 12), (203, [float("inf")] * 12), (None, vecs[0]), (40, vecs[40])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, k=5, block=4, lane=50).collect()))
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, k=5, lane=50, cells=48).collect()))
     held = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in [*enumerate(vecs), (40, vecs[40])]]
     want = []
     for a, (i, x) in enumerate(held):
@@ -132,6 +133,38 @@ def test_top_k_equals_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_top_k_of_odd_tables(spark):
+    schema = "vec_id long, embedding array<double>, v string, norm string, uid string, block string"
+    empty = spark.createDataFrame([], schema)
+    assert topk.top_k(empty, F.col("vec_id") % 20 == 0).collect() == []
+    none = spark.createDataFrame([(1, [1.0], "x", "x", "x", "x")], schema)
+    assert topk.top_k(none, F.col("vec_id") % 20 == 0).collect() == []
+    # Sums beyond a double's and a long's range, short and empty vectors, fewer candidates than k.
+    vecs = [(0, [1e30, 1.0]), (1, [-1e30, 0.5]), (2, [2.0**50, 3.0]), (3, [1.0]), (4, []), (5, [1.0e305, 0.0]), (6, [0.25, -1e15]), (7, [2.0**24, 2.0**24 + 1 / 64])]
+    rows = spark.createDataFrame([(i, v, "x", "x", "x", "x") for i, v in vecs], schema)
+    held = [(i, [math.floor(64 * x) for x in v]) for i, v in vecs]
+    want = set()
+    for i, x in held:
+        near = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x, y, strict=False)))), j) for j, y in held if j != i)[:5]
+        want |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(near)}
+    assert set(map(tuple, topk.top_k(rows, F.col("vec_id") >= 0, k=5).collect())) == want
+
+
+def test_top_k_scores_few_pairs():
+    rng = np.random.default_rng(2)
+    v = rng.normal(0, 1, (6000, 64)) * np.linspace(2, 0.5, 64)
+    v = np.floor(64 * v / np.sqrt((v**2).sum(1))[:, None])
+    ids = np.arange(len(v))
+    turn = np.linalg.eigh(v.T @ v)[1][:, ::-1]
+    block = topk.Block(ids[::20], v[::20], turn, 20)
+    block.meet(ids, ids, v)
+    row, near, score = block.found()
+    want = v[::20] @ v.T
+    want[np.arange(len(want)), ids[::20]] = -np.inf
+    assert (np.sort(score.reshape(-1, 20)) == np.sort(-np.partition(-want, 19, axis=1)[:, :20])).all()
+    assert block.pairs == 300 * 6000 and block.scored < 0.05 * block.pairs
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 
