@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliospark.functions.text import let
+
 # Title synonyms, generic words and the roles that go with a title.
 TITLES = {
     "dr": "doctor", "dr.": "doctor", "doctor": "doctor", "mr": "mr", "mr.": "mr", "mister": "mr", "mrs": "mrs", "mrs.": "mrs", "missus": "mrs",
@@ -27,57 +29,69 @@ RESOLVER_TITLES = TITLES | {"squire": "squire"}
 RESOLVER_GENERIC = (*GENERIC, "squire")
 
 
+#: White space as Python's str methods know it.
+SPACE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}"
+
+
 def norm(c: Column) -> Column:
-    """Lower case; quotes go, only a-z, digits, space, dot, hyphen and underscore stay; separators become one space."""
-    s = F.lower(F.trim(c))
-    s = F.regexp_replace(s, "[\"'‘’“”`]", "")
-    s = F.regexp_replace(s, r"[^a-z0-9\s_.-]", "")
-    return F.trim(F.regexp_replace(s, r"[\s_-]+", " "))
+    """Lower case; quotes go, only a-z, digits, white space, dot, hyphen and underscore stay; separators become one space."""
+    s = F.regexp_replace(F.lower(c), rf"[^a-z0-9{SPACE}_.-]", "")
+    return F.trim(F.regexp_replace(s, rf"[{SPACE}_-]+", " "))
 
 
 def form(c: Column, titles: dict = TITLES, generic: tuple = GENERIC) -> Column:
-    """struct(normalized, title, base, surname, given, is_generic) of a name; base holds the tokens after title and leading articles."""
+    """struct(normalized, title, base, surname, given, is_generic) of a name.
+
+    normalized is the tokens with titles in their one form and leading articles gone, base what follows the title.
+    """
     table = F.create_map(*[F.lit(x) for kv in titles.items() for x in kv])
-    n = norm(c)
-    tokens = F.transform(F.filter(F.split(n, " "), lambda t: t != ""), lambda t: F.coalesce(F.element_at(table, t), t))
-    tokens = F.filter(F.transform(tokens, lambda t, i: F.when((t == "the") & (F.size(F.filter(F.slice(tokens, 1, i + 1), lambda x: x != "the")) == 0), F.lit(None)).otherwise(t)), lambda t: t.isNotNull())
     known = F.array(*[F.lit(t) for t in sorted(set(titles.values()))])
-    first = F.try_element_at(tokens, F.lit(1))
-    title = F.when(F.array_contains(known, first), first)
-    base = F.when(title.isNotNull(), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))).otherwise(tokens)
-    plain = F.array_join(tokens, " ")
-    return F.struct(
-        n.alias("normalized"),
-        title.alias("title"),
-        F.array_join(base, " ").alias("base"),
-        F.try_element_at(base, F.lit(-1)).alias("surname"),
-        F.when(F.size(base) > 1, F.element_at(base, 1)).alias("given"),
-        (((F.size(base) == 0) & title.isNotNull()) | plain.isin(*generic)).alias("is_generic"),
-    )
+
+    def parts(tokens):
+        first = F.try_element_at(tokens, F.lit(1))
+        title = F.when(F.array_contains(known, first), first)
+        return let(F.struct(tokens.alias("all"), title.alias("title"), F.when(title.isNotNull(), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))).otherwise(tokens).alias("base")), parsed)
+
+    def parsed(p):
+        plain = F.array_join(p["all"], " ")
+        return F.struct(
+            plain.alias("normalized"),
+            p["title"].alias("title"),
+            F.array_join(p["base"], " ").alias("base"),
+            F.try_element_at(p["base"], F.lit(-1)).alias("surname"),
+            F.when(F.size(p["base"]) > 1, F.get(p["base"], F.lit(0))).alias("given"),
+            (((F.size(p["base"]) == 0) & p["title"].isNotNull()) | plain.isin(*generic)).alias("is_generic"),
+        )
+
+    bare = F.regexp_replace(norm(c), "^(?:the(?: |$))+", "")
+    return let(F.transform(F.filter(F.split(bare, " "), lambda t: t != ""), lambda t: F.coalesce(F.element_at(table, t), t)), parts)
 
 
-def roles_fit(title: Column, roles: Column) -> Column:
-    """Whether joined roles (lower case) don't speak against a title: no hints for it, no roles, or a hint among them."""
-    out = F.lit(True)
+def role_state(title: Column, roles: Column) -> Column:
+    """What the roles say about a title: free (a title without hints), hit (one of the roles holds a hint), none (no roles) or miss."""
+    joined = F.lower(F.array_join(roles, " "))
+    hits = F.lit("free")
     for t, hints in ROLE_HINTS.items():
-        hit = (roles == "") | F.exists(F.array(*[F.lit(h) for h in hints]), lambda h: F.contains(roles, h))
-        out = F.when(title == t, hit).otherwise(out)
-    return out
+        hit = F.exists(F.array(*[F.lit(h) for h in hints]), lambda h: F.contains(joined, h))
+        hits = F.when(title == t, F.when(hit, "hit").when(F.size(roles) == 0, "none").otherwise("miss")).otherwise(hits)
+    return hits
 
 
 def match_rule(a: Column, b: Column, a_roles: Column, b_roles: Column) -> Column:
-    """struct(confidence, score) of the first rule that two name forms meet."""
+    """struct(confidence, reason, score) of the first rule that two name forms meet; the roles are arrays."""
 
-    def rule(confidence, score):
-        return F.struct(F.lit(confidence).alias("confidence"), F.lit(score).alias("score"))
+    def rule(confidence, reason, score):
+        return F.struct(F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"), F.lit(score).alias("score"))
 
     same_surname = a["surname"].isNotNull() & (a["surname"] == b["surname"])
     one_untitled = (a["title"].isNull() != b["title"].isNull()) & (a["base"] == b["base"])
-    generic = lambda x, y, roles: x["is_generic"] & x["title"].isNotNull() & (x["title"] == y["title"]) & y["surname"].isNotNull() & roles_fit(x["title"], roles)
+    x, y = role_state(a["title"], a_roles), role_state(a["title"], b_roles)
+    fit = (x == "free") | (x == "hit") | (y == "hit") | ((x == "none") & (y == "none"))
+    generic = lambda p, q: p["is_generic"] & (p["title"] == q["title"]) & q["surname"].isNotNull() & fit
     return (
-        F.when((a["normalized"] != "") & (a["normalized"] == b["normalized"]), rule("safe", 100))
-        .when(same_surname & (a["title"] == b["title"]), rule("safe", 96))
-        .when(same_surname & one_untitled, rule("probable", 88))
-        .when(generic(a, b, b_roles) | generic(b, a, a_roles), rule("probable", 78))
-        .otherwise(rule("review", 0))
+        F.when(a["normalized"] == b["normalized"], rule("safe", "exact_normalized_match", 100))
+        .when(same_surname & (a["title"] == b["title"]), rule("safe", "same_title_same_surname", 96))
+        .when(same_surname & one_untitled, rule("probable", "bare_name_matches_titled_full_name", 88))
+        .when(generic(a, b) | generic(b, a), rule("probable", "generic_title_to_single_titled_name_candidate", 78))
+        .otherwise(rule("review", "no_safe_merge_rule", 0))
     )

@@ -19,8 +19,13 @@ FRONT_MATTER = ("contents", "table of contents", "preface", "introduction", "cop
 TPS = (r"(?i)([0-9]+(?:\.[0-9]+)?)[ \t]*(?:tok/s|tokens/s|tps)", r"(?i)eval rate:[ \t]*([0-9]+(?:\.[0-9]+)?)")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) where the value is computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.trim(c, F.lit(" \t\r\n\f\x0b"))
 
 
 def collapse(c: Column) -> Column:
@@ -52,13 +57,17 @@ def rejoin_hyphens(c: Column) -> Column:
 
 def is_heading(line: Column) -> Column:
     """A chapter or part line, or up to 90 characters in capitals with a Latin capital among them."""
-    s = strip(line)
+    return let(strip(line), stripped_heading)
+
+
+def stripped_heading(s: Column) -> Column:
+    """is_heading() of a line without white space at its ends. What is cheap and seldom true comes first."""
     capitals = (F.length(s) <= 90) & (s == F.upper(s)) & s.rlike("[A-Z]")
-    return (s != "") & (s.rlike(CHAPTER) | s.rlike(PART) | capitals)
+    return (s != "") & (capitals | s.rlike(CHAPTER) | s.rlike(PART))
 
 
 def is_toc_like(c: Column) -> Column:
-    return c.rlike(TOC_LEADER) | (c.rlike(CHAPTER) & c.rlike(r"[0-9]+[ \t]*$"))
+    return c.rlike(TOC_LEADER) | (c.rlike(CHAPTER) & c.rlike(r"(?:^|[^\p{L}\p{N}_])[0-9]+[ \t]*$"))
 
 
 def is_front_matter(c: Column) -> Column:
@@ -89,6 +98,12 @@ def tokens_per_second(c: Column) -> Column:
     return F.coalesce(*[F.element_at(F.filter(F.regexp_extract_all(c, F.lit(p), F.lit(1)), lambda x: x != ""), -1) for p in TPS]).try_cast("double")
 
 
+def padded(n: Column, width: int) -> Column:
+    """A number with leading zeros, longer ones as they are."""
+    s = n.cast("string")
+    return F.lpad(s, F.greatest(F.lit(width), F.length(s)), F.lit("0"))
+
+
 def natural_key(c: Column) -> Column:
     """array<struct<n, s>>: text parts in lower case (n -1) and digit runs as numbers, so that arrays compare in natural order."""
     parts = F.split(F.regexp_replace(c, "([0-9]+)", "\u0001$1\u0001"), "\u0001")
@@ -108,4 +123,54 @@ def strip_tags(html: Column) -> Column:
 
 
 def idle_timeout(base: Column, backoff: float, failures: Column, most: float) -> Column:
-    return F.least(F.lit(most), F.greatest(F.lit(1.0), F.round(base * F.pow(F.lit(backoff), failures)))).cast("bigint")
+    """min(most, max(1, base * backoff ** failures)), rounded half to even."""
+    return F.least(F.lit(most), F.greatest(F.lit(1.0), F.rint(base * F.pow(F.lit(backoff), failures)))).cast("bigint")
+
+
+def rounded(c: Column, places: int) -> Column:
+    """A double rounded by its exact value, a tie to the even digit: 2.675, which lies below, gives 2.67 and 0.125 gives 0.12."""
+    scale = 10.0**places
+
+    def scaled(x):
+        # The product with the scale is p + rest exactly: the value is split, so that its high half's product has no error.
+        high = 134217729.0 * x["v"] - (134217729.0 * x["v"] - x["v"])
+        rest = (high * scale - x["p"]) + (x["v"] - high) * scale
+        low = x["p"] - F.pmod(x["p"], F.lit(1.0))
+        return let(F.struct(low.alias("low"), ((x["p"] - low) - 0.5 + rest).alias("over")), chosen)
+
+    def chosen(y):
+        up = (y["over"] > 0) | ((y["over"] == 0) & (F.pmod(y["low"], F.lit(2.0)) == 1))
+        return (y["low"] + F.when(up, 1.0).otherwise(0.0)) / scale
+
+    return let(F.struct(c.alias("v"), (c * scale).alias("p")), scaled)
+
+
+def file_name(name: Column, stem: str = "manuscript", ending: str = ".pdf") -> Column:
+    """A safe name for an upload: the slug of its last part's stem, and the part's ending as it is; both have a default."""
+    last = F.regexp_extract(name, "([^/]*)/*$", 1)
+    own = F.regexp_extract(last, r"[^.].*?(\.[^.]+)$", 1)
+    return F.concat(_or(slug(F.left(last, F.length(last) - F.length(own))), stem), _or(own, ending))
+
+
+def archive_name(title: Column, book: Column) -> Column:
+    return F.concat(F.coalesce(F.nullif(slug(title), F.lit("")), book), F.lit("_archive.mprep.zip"))
+
+
+def _or(c: Column, default: str) -> Column:
+    return F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
+
+
+def seconds(c: Column) -> Column:
+    """Seconds as shown: one decimal and the unit, a hyphen for none."""
+    return F.coalesce(F.concat(F.format_string("%.1f", rounded(c, 1)), F.lit("s")), F.lit("-"))
+
+
+def age(ts: Column, now: Column) -> Column:
+    """The time since ts as shown, never negative."""
+    return seconds(F.greatest(F.lit(0.0), F.unix_micros(now.cast("timestamp")).cast("double") / 1e6 - F.unix_micros(ts.cast("timestamp")).cast("double") / 1e6))
+
+
+def byte_size(c: Column) -> Column:
+    n = c.cast("double")
+    shown = lambda per, unit: F.concat(F.format_string("%.1f", n / per), F.lit(unit))
+    return F.when(n.isNull() | (n < 0), "n/a").when(n < 1024, F.concat(c.cast("bigint").cast("string"), F.lit(" B"))).when(n < 1024**2, shown(1024, " KB")).otherwise(shown(1024**2, " MB"))

@@ -1,147 +1,214 @@
-"""Raw text to lines, paragraphs and chunks."""
+"""Raw text to lines, paragraphs and chunks.
+
+A document is one row, and all of its cleaning, folding and chunking happens inside that row, on arrays: no line or
+paragraph is shuffled. Only what is listed across documents' lines (repeated_lines) or rows made from the arrays is a table of its own.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
+from foliospark.functions.text import let
+
+
+def plain(c: Column) -> Column:
+    return T.plain_breaks(T.plain_punctuation(c))
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, line_no from 0, line, stripped) of every line, punctuation and line breaks in plain form."""
-    plain = T.plain_breaks(T.plain_punctuation(F.col(text_col)))
-    return docs.select(key, F.posexplode(F.split(plain, "\n", -1)).alias("line_no", "line")).withColumn("stripped", T.strip(F.col("line")))
+    return docs.select(key, F.posexplode(F.split(plain(F.col(text_col)), "\n", -1)).alias("line_no", "line")).withColumn("stripped", T.strip(F.col("line")))
+
+
+def may_repeat(s: Column) -> Column:
+    """Whether a stripped line counts as a header or footer when it comes again: up to 120 characters, no chapter or part."""
+    return (s != "") & (F.length(s) <= 120) & ~s.rlike(T.CHAPTER) & ~s.rlike(T.PART)
 
 
 def repeated_lines(all_lines: DataFrame, key: str = "doc_id", least: int = 3) -> DataFrame:
-    """(key, stripped, cnt): lines of a document that occur `least` times or more, up to 120 characters, no chapter or part."""
+    """(key, stripped, cnt): lines of a document that occur `least` times or more, see may_repeat()."""
     s = F.col("stripped")
-    own = all_lines.where((s != "") & (F.length(s) <= 120) & ~s.rlike(T.CHAPTER) & ~s.rlike(T.PART))
-    return own.groupBy(key, "stripped").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= least)
+    return all_lines.groupBy(key, "stripped").agg(F.count("*").alias("cnt")).where((F.col("cnt") >= least) & may_repeat(s))
 
 
-def filtered_lines(all_lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """all_lines with drop: page_marker, repeated_header or null. Headings are never dropped as repeated."""
-    rep = repeated_lines(all_lines, key).select(F.col(key).alias("_k"), F.col("stripped").alias("_s"))
-    joined = all_lines.join(rep, (F.col(key) == F.col("_k")) & (F.col("stripped") == F.col("_s")), "left")
-    s = F.col("stripped")
-    kind = F.when(s.rlike(T.PAGE_MARKER), "page_marker").when(F.col("_s").isNotNull() & ~T.is_heading(s), "repeated_header")
-    return joined.withColumn("drop", kind).drop("_k", "_s")
-
-
-def clean_stats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    got = filtered_lines(lines(docs, key), key)
-    return got.groupBy(key).agg(
-        F.count("*").alias("n_lines"),
-        F.count_if(F.col("drop") == "page_marker").alias("removed_page_markers"),
-        F.count_if(F.col("drop") == "repeated_header").alias("removed_repeated_headers"),
-        (F.sum(F.length("line")) + F.count("*") - 1).alias("raw_char_count"),
-        F.sum(T.word_count(F.col("line"))).alias("raw_word_count"),
-        F.coalesce(F.sum(F.when(F.col("drop").isNull(), T.word_count(F.col("line")))), F.lit(0)).alias("kept_word_count"),
-    )
+def marked_lines(text: Column) -> Column:
+    """array<struct<i, line, s, drop>> of a text's lines: s is stripped, drop is page_marker, repeated_header or null.
 
+    A line is repeated if three equal ones may repeat. Sorted, equal lines are neighbours, so that each looks two places to either side.
+    """
+
+    def kind(s, place, at):
+        near = lambda by: F.coalesce(F.get(place, at + by)["s"] == s, F.lit(False))
+        repeated = (near(-2) & near(-1)) | (near(-1) & near(1)) | (near(1) & near(2))
+        return F.when(repeated & may_repeat(s) & ~T.stripped_heading(s), "repeated_header")
+
+    def known(by_text):
+        return F.transform(by_text, lambda r, at: F.struct(r["i"].alias("i"), r["line"].alias("line"), r["s"].alias("s"), F.when(r["s"].rlike(T.PAGE_MARKER), "page_marker").otherwise(kind(r["s"], by_text, at)).alias("drop")))
 
-def paragraphs(all_lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, para_no, kind, text). Blank lines part paragraphs; headings, scene breaks and table-of-contents lines stand alone.
+    own = F.transform(F.split(text, "\n", -1), lambda line, i: F.struct(T.strip(line).alias("s"), i.alias("i"), line.alias("line")))
+    return F.sort_array(let(F.sort_array(own), known))
 
-    Gaps and islands: a line opens an island if it is blank or special or follows a special one.
+
+def folded(text: Column) -> Column:
+    """array<struct<kind, text>> of a text's paragraphs: blank lines part them; headings, scene breaks and table-of-contents lines stand alone.
+
+    Each line gets a letter for its kind and special ones empty lines around them, so that the text falls into paragraphs at empty lines.
     """
-    s = F.col("stripped")
-    kind = F.when(T.is_heading(s), "heading").when(s.rlike(T.SCENE_BREAK), "scene_break").when(s.rlike(T.TOC_LEADER), "toc")
-    order = W.partitionBy(key).orderBy("line_no")
-    marked = all_lines.withColumn("kind", kind)
-    opens = (s == "") | F.col("kind").isNotNull() | F.coalesce(F.lag("kind").over(order).isNotNull(), F.lit(False))
-    island = F.sum(F.col("opens").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))
-    held = marked.withColumn("opens", opens).withColumn("island", island).where(s != "")
-    rows = F.array_sort(F.collect_list(F.struct("line_no", "stripped")))
-    joined = F.array_join(F.transform(rows, lambda r: r["stripped"]), " ")
-    folded = held.groupBy(key, "island").agg(F.first("kind", ignorenulls=True).alias("kind"), joined.alias("raw"))
-    number = F.row_number().over(W.partitionBy(key).orderBy("island")) - 1
-    return folded.select(key, number.alias("para_no"), F.coalesce("kind", F.lit("text")).alias("kind"), F.when(F.col("kind").isNull(), T.collapse(F.col("raw"))).otherwise(F.col("raw")).alias("text"))
-
-
-def clean_paragraphs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+
+    def lettered(line):
+        return let(T.strip(line), lambda s: F.when(s == "", s).when(T.stripped_heading(s), around("h", s)).when(s.rlike(T.SCENE_BREAK), around("s", s)).when(s.rlike(T.TOC_LEADER), around("c", s)).otherwise(F.concat(F.lit("t"), s)))
+
+    around = lambda letter, s: F.concat(F.lit("\n" + letter), s, F.lit("\n"))
+    parts = F.split(F.array_join(F.transform(F.split(text, "\n", -1), lettered), "\n"), "\n\n+")
+    trimmed = F.filter(F.transform(parts, lambda p: F.trim(p, F.lit("\n"))), lambda p: p != "")
+    names = F.create_map(*[F.lit(x) for kv in (("t", "text"), ("h", "heading"), ("s", "scene_break"), ("c", "toc")) for x in kv])
+    joined = lambda p: T.collapse(F.replace(F.substring(p, 2, 2**31 - 1), F.lit("\nt"), F.lit(" ")))
+    return F.transform(trimmed, lambda p: F.struct(F.element_at(names, F.left(p, F.lit(1))).alias("kind"), F.when(F.left(p, F.lit(1)) == "t", joined(p)).otherwise(F.substring(p, 2, 2**31 - 1)).alias("text")))
+
+
+def cleaned(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, n_lines, removed_page_markers, removed_repeated_headers, raw_char_count, raw_word_count, paras, clean_text).
+
+    Page markers and repeated headers go, hyphens at line ends are rejoined, lines are folded into paragraphs; raw counts are those of the
+    text in plain form. A null text has null counts and no paragraphs.
+    """
+    marked = docs.select(key, plain(F.col(text_col)).alias("_t")).withColumn("_l", marked_lines(F.col("_t")))
+    count = lambda kind: F.size(F.filter("_l", lambda r: F.coalesce(r["drop"] == kind, F.lit(False)))).cast("bigint")
+    kept = F.transform(F.filter("_l", lambda r: r["drop"].isNull()), lambda r: r["line"])
+    counted = marked.select(
+        key, F.size("_l").cast("bigint").alias("n_lines"), count("page_marker").alias("removed_page_markers"), count("repeated_header").alias("removed_repeated_headers"),
+        F.length("_t").cast("bigint").alias("raw_char_count"), T.word_count(F.col("_t")).alias("raw_word_count"), T.rejoin_hyphens(F.array_join(kept, "\n")).alias("_kept"),
+    )
+    out = counted.withColumn("paras", folded(F.col("_kept"))).drop("_kept")
+    text = F.concat(F.array_join(F.transform("paras", lambda p: p["text"]), "\n\n"), F.lit("\n"))
+    return out.withColumn("clean_text", text)
+
+
+def clean_stats(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """cleaned() with clean_char_count and clean_word_count in place of the texts."""
+    got = cleaned(docs, key, text_col)
+    return got.withColumn("clean_char_count", F.length("clean_text").cast("bigint")).withColumn("clean_word_count", T.word_count(F.col("clean_text"))).drop("paras", "clean_text")
+
+
+def paragraph_rows(held: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, para_no, kind, text) from (key, paras)."""
+    return held.select(key, F.posexplode("paras").alias("para_no", "_p")).select(key, "para_no", "_p.kind", "_p.text")
+
+
+def paragraphs(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, para_no, kind, text) of the texts as they are; for filtered ones take cleaned()."""
+    return paragraph_rows(docs.select(key, folded(plain(F.col(text_col))).alias("paras")), key)
+
+
+def clean_paragraphs(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines filtered, hyphens at line ends rejoined, folded into paragraphs."""
-    kept = filtered_lines(lines(docs, key), key).where("drop IS NULL")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n")
-    whole = kept.groupBy(key).agg(T.rejoin_hyphens(text).alias("text"))
-    return paragraphs(lines(whole, key), key)
+    return paragraph_rows(cleaned(docs, key, text_col), key)
 
 
-def structure_hints(paras: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, kind, value, first_para): distinct part, chapter and scene-break paragraphs in the order of their first appearance."""
-    t = F.col("text")
-    kind = F.when(t.rlike(T.PART), "part").when(t.rlike(T.CHAPTER), "chapter").when(t.rlike(T.SCENE_BREAK), "scene_break")
-    return paras.withColumn("hint", kind).where("hint IS NOT NULL").groupBy(key, F.col("hint").alias("kind"), t.alias("value")).agg(F.min("para_no").alias("first_para"))
+def gathered(paras: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, paras) from rows (key, para_no, text): one shuffle, for paragraphs that come from elsewhere."""
+    rows = F.array_sort(F.collect_list(F.struct("para_no", F.lit("text").alias("kind"), "text")))
+    return paras.groupBy(key).agg(F.transform(rows, lambda r: F.struct(r["kind"].alias("kind"), r["text"].alias("text"))).alias("paras"))
 
 
-def chunked(paras: DataFrame, key: str = "doc_id", least: int = 1200, target: int = 1800, most: int = 2200) -> DataFrame:
-    """paras with chunk_no, part_hint and chapter_hint of the chunk each goes to.
+def structure_hints(held: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, parts, chapters, scene_breaks) from (key, paras): each distinct one in the order of its first appearance; a part goes before a chapter, a chapter before a scene break."""
+    texts = F.transform("paras", lambda p: T.strip(p["text"]))
+    part, chapter, scene = (lambda t: t.rlike(T.PART)), (lambda t: t.rlike(T.CHAPTER)), (lambda t: t.rlike(T.SCENE_BREAK))
+    return held.select(
+        key,
+        F.array_distinct(F.filter(texts, part)).alias("parts"),
+        F.array_distinct(F.filter(texts, lambda t: chapter(t) & ~part(t))).alias("chapters"),
+        F.array_distinct(F.filter(texts, lambda t: scene(t) & ~part(t) & ~chapter(t))).alias("scene_breaks"),
+    )
+
+
+CUT = "array<struct<start:int,size:int,words:bigint,chars:bigint,part:int,chapter:int>>"
+
 
-    The greedy rules depend on all before, so they are one fold over a document's small facts (words and flags, not texts).
+def _cuts(facts: Column, least: int, target: int, most: int) -> Column:
+    """The chunks (CUT) that a greedy walk over a text's paragraph facts closes; the walk keeps the open chunk and the last part and chapter.
+
+    A chunk takes the part that is known when it is closed: a part that opens the next chunk counts if it is what closes this one.
+    """
+    zero = F.expr(f"named_struct('at', 0, 'start', 0, 'words', 0L, 'chars', 0L, 'part', -1, 'chapter', -1, 'out', CAST(array() AS {CUT}))")
+
+    def closed(acc, end, words, chars, part, chapter):
+        return F.struct(acc["start"].alias("start"), (end - acc["start"]).alias("size"), words.alias("words"), chars.alias("chars"), part.alias("part"), chapter.alias("chapter"))
+
+    def step(acc, p):
+        part = F.when(p["part"], acc["at"]).otherwise(acc["part"])
+        filled = acc["at"] > acc["start"]
+        before = filled & F.when(p["chapter"], acc["words"] >= least).when(p["scene"], acc["words"] >= target).otherwise(acc["words"] + p["w"] > most)
+        first = F.when(before, F.array_append(acc["out"], closed(acc, acc["at"], acc["words"], acc["chars"], part, acc["chapter"]))).otherwise(acc["out"])
+        opened = F.struct(
+            (acc["at"] + 1).alias("at"), F.when(before, acc["at"]).otherwise(acc["start"]).alias("start"),
+            F.when(before, p["w"]).otherwise(acc["words"] + p["w"]).alias("words"), F.when(before, p["c"]).otherwise(acc["chars"] + p["c"]).alias("chars"),
+            part.alias("part"), F.when(p["chapter"], acc["at"]).otherwise(acc["chapter"]).alias("chapter"), first.alias("out"),
+        )
+        return let(opened, lambda a: after(a, ~p["chapter"] & ~p["scene"] & p["ends"] & (a["words"] >= target)))
+
+    def after(a, full):
+        done = F.array_append(a["out"], closed(a, a["at"], a["words"], a["chars"], a["part"], a["chapter"]))
+        zeroed = F.struct(a["at"].alias("at"), a["at"].alias("start"), F.lit(0).cast("bigint").alias("words"), F.lit(0).cast("bigint").alias("chars"), a["part"].alias("part"), a["chapter"].alias("chapter"), done.alias("out"))
+        return F.when(full, zeroed).otherwise(a)
+
+    def flushed(a):
+        rest = closed(a, a["at"], a["words"], a["chars"], a["part"], a["chapter"])
+        return F.when(a["at"] > a["start"], F.array_append(a["out"], rest)).otherwise(a["out"])
+
+    return F.aggregate(facts, zero, step, flushed)
+
+
+def chunk_records(held: DataFrame, key: str = "doc_id", least: int = 1200, target: int = 1800, most: int = 2200) -> DataFrame:
+    """A row per chunk of (key, paras): (key, chunk_no, chunk_id, text, n_paragraphs, word_count, char_count, start_offset, end_offset,
+    true_start, part_hint, chapter_hint, contains_toc_like_content, contains_front_matter, warnings).
+
+    Offsets add up the chunks' lengths; true_start is the chunk's place in the clean text, which has one line break more between chunks.
     """
     if not least <= target <= most:
         raise ValueError("least <= target <= most is needed")
-    t = F.col("text")
-    fact = F.struct(
-        "para_no",
-        T.word_count(t).alias("w"),
-        t.rlike(T.CHAPTER).alias("chapter"),
-        t.rlike(T.SCENE_BREAK).alias("scene"),
-        (t.rlike("[.\"']$") | T.is_heading(t)).alias("ends"),
-    )
-    facts = paras.groupBy(key).agg(F.array_sort(F.collect_list(fact)).alias("facts"))
-    zero = F.expr("named_struct('no', 0, 'words', 0L, 'filled', false, 'out', CAST(array() AS array<struct<para_no:int,chunk_no:int>>))")
 
-    def step(acc, p):
-        before = (
-            F.when(p["chapter"], acc["filled"] & (acc["words"] >= least))
-            .when(p["scene"], acc["filled"] & (acc["words"] >= target))
-            .otherwise(acc["filled"] & (acc["words"] + p["w"] > most))
-        )
-        no = acc["no"] + before.cast("int")
-        words = F.when(before, p["w"]).otherwise(acc["words"] + p["w"])
-        after = ~p["chapter"] & ~p["scene"] & (words >= target) & p["ends"]
-        return F.struct(
-            (no + after.cast("int")).alias("no"),
-            F.when(after, F.lit(0).cast("bigint")).otherwise(words).alias("words"),
-            (~after).alias("filled"),
-            F.array_append(acc["out"], F.struct(p["para_no"].alias("para_no"), no.alias("chunk_no"))).alias("out"),
-        )
-
-    dealt = facts.select(key, F.inline(F.aggregate("facts", zero, step)["out"]))
-    joined = paras.join(dealt, [key, "para_no"])
-    chunk = W.partitionBy(key).orderBy("chunk_no").rangeBetween(W.unboundedPreceding, 0)
-    chapter = F.when(t.rlike(T.CHAPTER), F.struct("para_no", "text"))
-    # A part is known from the paragraph that closes the chunk before it, if that paragraph begins the next chunk.
-    first = F.col("para_no") == F.min("para_no").over(W.partitionBy(key, "chunk_no"))
-    part = F.when(t.rlike(T.PART), F.struct("para_no", "text"))
-    early = F.max(F.when(first, part)).over(W.partitionBy(key).orderBy("chunk_no").rangeBetween(W.unboundedPreceding, 1))
-    hints = joined.withColumn("chapter_hint", F.max(chapter).over(chunk)["text"]).withColumn("part_hint", F.greatest(F.max(part).over(chunk), early)["text"])
-    return hints
-
-
-def chunk_records(with_chunks: DataFrame, key: str = "doc_id", least: int = 1200) -> DataFrame:
-    t = F.col("text")
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_no", "text"))), lambda r: r["text"]), "\n\n")
-    each = with_chunks.groupBy(key, "chunk_no").agg(
-        F.concat(texts, F.lit("\n")).alias("text"),
-        F.first("part_hint").alias("part_hint"),
-        F.first("chapter_hint").alias("chapter_hint"),
-        F.bool_or(T.is_toc_like(t)).alias("contains_toc_like_content"),
-        F.bool_or(T.is_front_matter(t)).alias("contains_front_matter"),
-    )
-    sized = each.withColumn("word_count", T.word_count(F.col("text"))).withColumn("char_count", F.length("text").cast("bigint"))
-    end = F.sum("char_count").over(W.partitionBy(key).orderBy("chunk_no").rowsBetween(W.unboundedPreceding, 0))
+    def fact(p):
+        t = p["text"]
+        chapter = t.rlike(T.CHAPTER)
+        ends = t.rlike("[.\"']$") | T.stripped_heading(t)
+        return F.struct(T.word_count(t).alias("w"), F.length(t).cast("bigint").alias("c"), chapter.alias("chapter"), t.rlike(T.PART).alias("part"), t.rlike(T.SCENE_BREAK).alias("scene"), ends.alias("ends"))
+
+    own = held.withColumn("_cuts", _cuts(F.transform("paras", fact), least, target, most))
+    size = lambda c: c["chars"] + 2 * (c["size"] - 1) + 1
+    ends = F.aggregate("_cuts", F.expr("named_struct('n', 0L, 'out', CAST(array() AS array<bigint>))"), lambda a, c: let(a["n"] + size(c), lambda n: F.struct(n.alias("n"), F.array_append(a["out"], n).alias("out"))), lambda a: a["out"])
+    each = own.withColumn("_ends", ends).select(key, "paras", "_ends", F.posexplode("_cuts").alias("chunk_no", "_c"))
+    c = F.col("_c")
+    texts = F.transform(F.slice("paras", c["start"] + 1, c["size"]), lambda p: p["text"])
+    hint = lambda i: F.when(i >= 0, F.get("paras", i)["text"])
+    end = F.get("_ends", F.col("chunk_no"))
+    rows = each.select(
+        key, "chunk_no", F.concat(F.lit("chunk_"), T.padded(F.col("chunk_no"), 3)).alias("chunk_id"), F.concat(F.array_join(texts, "\n\n"), F.lit("\n")).alias("text"),
+        c["size"].alias("n_paragraphs"), c["words"].alias("word_count"), size(c).alias("char_count"), (end - size(c)).alias("start_offset"), end.alias("end_offset"),
+        (end - size(c) + F.col("chunk_no")).alias("true_start"), hint(c["part"]).alias("part_hint"), hint(c["chapter"]).alias("chapter_hint"),
+        F.exists(texts, T.is_toc_like).alias("contains_toc_like_content"), F.exists(texts, T.is_front_matter).alias("contains_front_matter"),
+    )
     warnings = F.array_compact(F.array(F.when(F.col("word_count") < least, "short_chunk"), F.when(F.col("contains_toc_like_content"), "toc_like_content"), F.when(F.col("contains_front_matter"), "front_matter_like")))
-    return (
-        sized.withColumn("end_offset", end)
-        .withColumn("start_offset", F.col("end_offset") - F.col("char_count"))
-        .withColumn("warnings", warnings)
-        .withColumn("chunk_id", F.concat(F.lit("chunk_"), F.lpad(F.col("chunk_no").cast("string"), F.greatest(F.lit(3), F.length(F.col("chunk_no").cast("string"))), F.lit("0"))))
-    )
+    return rows.withColumn("warnings", warnings)
+
+
+def chunked(paras: DataFrame, key: str = "doc_id", least: int = 1200, target: int = 1800, most: int = 2200) -> DataFrame:
+    """(key, chunk_no, para_no): which chunk each of the paragraphs (key, para_no, text) goes to."""
+    if not least <= target <= most:
+        raise ValueError("least <= target <= most is needed")
+    got = chunk_records(gathered(paras, key), key, least, target, most).select(key, "chunk_no", "n_paragraphs")
+    ends = got.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_no", "n_paragraphs"))).alias("c"))
+    numbers = F.flatten(F.transform("c", lambda r: F.array_repeat(r["chunk_no"], r["n_paragraphs"])))
+    return ends.select(key, F.posexplode(numbers).alias("para_no", "chunk_no")).select(key, "chunk_no", "para_no")
+
+
+def chunk_stats(records: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, chunk_count, total_chunk_words, avg_chunk_words) of chunk_records()."""
+    n, words = F.count("*"), F.sum("word_count")
+    return records.groupBy(key).agg(n.alias("chunk_count"), words.alias("total_chunk_words"), T.rounded(words / n, 2).alias("avg_chunk_words"))
 
 
 def fixed_chunks(docs: DataFrame, size: int = 2000, key: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,3 +217,11 @@ def fixed_chunks(docs: DataFrame, size: int = 2000, key: str = "doc_id", text_co
     rows = docs.select(key, n.alias("n")).where("n > 0")
     cuts = rows.select(key, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / size))).alias("chunk_no"))
     return cuts.select(key, "chunk_no", F.least(F.lit(size).cast("bigint"), F.col("n") - F.col("chunk_no") * size).alias("n_words"))
+
+
+def plain_lines(docs: DataFrame, title: str, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, text): the older cleaner. Blank lines, lines of digits, the title's own line and lines with fewer than three letters go."""
+    s = T.strip
+    letters = lambda x: F.length(F.regexp_replace(x, "[^a-zA-Z]", "")) >= 3
+    kept = F.filter(F.transform(F.split(F.col(text_col), "\n", -1), s), lambda x: (x != "") & ~x.rlike("^[0-9]+$") & (F.lower(x) != title.lower()) & letters(x))
+    return docs.select(key, F.array_join(kept, "\n").alias("text"))

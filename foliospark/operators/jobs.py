@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliospark.functions import text as T
+
 # Job states, in the order of the summary, and the passes of a chunk.
 STATUSES = ("queued", "running", "paused", "pause_requested", "cancel_requested", "succeeded", "failed", "cancelled")
 TERMINAL = ("succeeded", "failed", "cancelled")
@@ -51,26 +53,76 @@ def upsert(rows: DataFrame, keys: list[str], order: str, kept: str, values: list
     return rows.groupBy(*keys).agg(F.min(order).alias("created"), F.max(order).alias("updated"), F.max_by(kept, F.when(F.col(kept).isNotNull(), F.col(order))).alias(kept), *[F.max_by(v, order).alias(v) for v in values])
 
 
-def progress(events: DataFrame, keys: list[str], order: str, lower: Column | None = None) -> DataFrame:
-    """A row per key from events(keys, order, event_type, chunk, pass, value): counts, the last events and the last values that aren't null."""
-    own = events if lower is None else events.where(F.col(order).isNull() | (F.col(order) >= lower))
+#: Fields of the run log and what they are, besides the keys and the order.
+EVENT = {"event_type": "string", "chunk": "string", "pass": "string", "step": "string", "model": "string", "attempt": "int", "idle_timeout_s": "double", "idle_timeout_failures_for_pass": "int", "reported_tps": "double", "estimated_tps": "double", "message": "string"}
+
+
+def since(events: DataFrame, ts: str, lower: Column | None) -> DataFrame:
+    """Events from a time on; those without a time stay."""
+    return events if lower is None else events.where(F.col(ts).isNull() | (F.col(ts) >= lower))
+
+
+def progress(events: DataFrame, keys: list[str], order: str, lower: Column | None = None, ts: str | None = None) -> DataFrame:
+    """A row per key from events: counts, the last event, and the last value of each field that isn't null.
+
+    order tells which event is the last: a place in the log, or a time, by which events without one can't be. ts is the events' time,
+    for `lower` and last_event_at; order itself where it isn't given. Of EVENT those fields count that the events have.
+    """
+    ts = ts or order
+    own = since(events, ts, lower)
+    has = set(own.columns)
+    at = F.col(order)
+    last = lambda name, where=None: F.max_by(name, F.when(F.col(name).isNotNull() if where is None else where, at))
+    text = lambda name: last(name, F.coalesce(F.col(name) != "", F.lit(False)))
+    values = {
+        "current_step": ("step", text), "current_model": ("model", text), "current_attempt": ("attempt", last), "current_idle_timeout_s": ("idle_timeout_s", last),
+        "idle_backoffs": ("idle_timeout_failures_for_pass", last), "reported_tps": ("reported_tps", last), "estimated_tps": ("estimated_tps", last),
+    }
     return own.groupBy(*keys).agg(
         F.count_if(F.col("event_type") == "chunk_success").alias("chunks_completed"),
         F.count_if(F.col("event_type") == "chunk_failure").alias("chunks_failed"),
         F.max_by("event_type", order).alias("last_event_type"),
-        F.max(order).alias("last_event_at"),
-        F.max_by("pass", F.when(F.col("pass").isin(*PASSES), F.col(order))).alias("current_pass"),
-        F.max_by("value", F.when(F.col("value").isNotNull(), F.col(order))).alias("reported_tps"),
+        F.max_by(ts, order).alias("last_event_at"),
+        last("pass", F.col("pass").isin(*PASSES)).alias("current_pass"),
+        *[how(field).alias(name) for name, (field, how) in values.items() if field in has],
     )
 
 
 def current_chunk(events: DataFrame, keys: list[str], order: str) -> DataFrame:
     """(keys, current_chunk): the latest started chunk whose last event isn't its end, else the latest started."""
-    chunks = events.where(F.col("chunk").isNotNull()).groupBy(*keys, "chunk").agg(F.max(F.when(F.col("event_type") == "chunk_start", F.col(order))).alias("started"), F.max_by("event_type", order).alias("last"))
+    chunks = events.where(F.col("chunk") != "").groupBy(*keys, "chunk").agg(F.max(F.when(F.col("event_type") == "chunk_start", F.col(order))).alias("started"), F.max_by(F.coalesce("event_type", F.lit("")), order).alias("last"))
     open_ = ~F.col("last").isin("chunk_success", "chunk_failure")
     return chunks.where("started IS NOT NULL").groupBy(*keys).agg(F.max_by("chunk", F.struct(open_.alias("o"), F.col("started").alias("s"))).alias("current_chunk"))
 
 
+def full_progress(events: DataFrame, runs: DataFrame, keys: list[str], order: str, ts: str | None = None, lower: str | None = None, recent: int = 8) -> DataFrame:
+    """progress() of each of the runs(keys, chunks_total), with the current chunk and pass, their places and percents, and the last events.
+
+    lower: a column of runs, the time before which a run's events don't count. Runs without events have zeros, nulls and no events.
+    chunk_percent counts from the current chunk's number (its trailing digits and one), else from the chunks that are done.
+    """
+    own = events
+    if lower is not None:
+        own = events.join(runs.select(*keys, F.col(lower).alias("_lower")), keys).where(F.col(ts or order).isNull() | F.col("_lower").isNull() | (F.col(ts or order) >= F.col("_lower"))).drop("_lower")
+    fields = [c for c in (ts or order, "event_type", "chunk", "pass", "step", "message") if c in own.columns]
+    # Spark keeps the last `recent` rows of a key before the shuffle.
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order)))
+    last = own.withColumn("_n", place).where(F.col("_n") <= recent).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("_n"), F.struct(*fields).alias("e")))).alias("_r"))
+    last = last.select(*keys, F.transform("_r", lambda r: r["e"]).alias("recent_events"))
+    got = runs.select(*keys, "chunks_total").join(progress(own, keys, order, ts=ts), keys, "left").join(current_chunk(own, keys, order), keys, "left").join(last, keys, "left")
+    got = got.na.fill(0, [c for c in ("chunks_completed", "chunks_failed", "idle_backoffs", "chunks_total") if c in got.columns])
+    done, total = F.col("chunks_completed"), F.col("chunks_total")
+    number = F.coalesce(F.nullif(T.chunk_index(F.col("current_chunk")), F.lit(0)), done + 1)
+    index = F.when(F.col("current_chunk").isNotNull(), number).when((done > 0) & (total > 0) & (done >= total), total)
+    at = F.nullif(F.array_position(F.array(*[F.lit(p) for p in PASSES]), F.col("current_pass")), F.lit(0))
+    percent = lambda part, whole: T.rounded(part.cast("double") / whole * 100, 1)
+    out = got.withColumn("current_chunk_index", index).withColumn("current_pass_index", at)
+    begun = F.col("current_chunk").isNotNull() & (F.col("current_chunk_index") != 0)
+    chunk_percent = F.when(total > 0, F.when(begun, percent(F.col("current_chunk_index") - 1, total)).otherwise(percent(done, total))).otherwise(0.0)
+    pass_percent = F.coalesce(percent(F.col("current_pass_index") - 1, F.lit(len(PASSES))), F.lit(0.0))
+    return out.withColumn("chunk_percent", chunk_percent).withColumn("pass_percent", pass_percent)
+
+
 def incomplete(inputs: DataFrame, outputs: DataFrame, key: str, passes: tuple = (*PASSES, "timing")) -> DataFrame:
     """Inputs without a complete set of outputs(key, pass)."""
     done = outputs.where(F.col("pass").isin(*passes)).groupBy(key).agg(F.countDistinct("pass").alias("n")).where(F.col("n") == len(passes))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliospark.functions import jsonx
 from foliospark.functions import names as N
+from foliospark.functions import text as T
+from foliospark.operators import folds
 
 # What more than `over` distinct values of an attribute are called.
 CONFLICTS = (
@@ -41,48 +43,82 @@ def entity_merge(mentions: DataFrame, keys: list[str], value: str, order: Column
     return a.join(b, [*keys, "norm"])
 
 
-def completeness(chunks: DataFrame, present: DataFrame, passes: tuple, key: str) -> DataFrame:
-    """(pass, present, missing) over all chunks. present: (key, pass) of the outputs that exist."""
-    wanted = chunks.select(key).distinct().withColumn("pass", F.explode(F.array(*[F.lit(p) for p in passes])))
-    have = present.select(key, "pass").distinct().withColumn("_has", F.lit(1))
-    return wanted.join(have, [key, "pass"], "left").groupBy("pass").agg(F.count("_has").alias("present"), F.count_if(F.col("_has").isNull()).alias("missing"))
+def completeness(chunks: DataFrame, present: DataFrame, passes: tuple, key: str, keys: list[str] = ()) -> DataFrame:
+    """(keys, pass, present, missing, missing_ids) over all chunks. present: (keys, key, pass) of the outputs that exist, malformed ones too."""
+    ids = [*keys, key]
+    wanted = chunks.select(*ids).distinct().withColumn("pass", F.explode(F.array(*[F.lit(p) for p in passes])))
+    have = present.select(*ids, "pass").distinct().withColumn("_has", F.lit(1))
+    gone = F.col("_has").isNull()
+    listed = F.transform(F.array_sort(F.collect_list(F.when(gone, F.struct(T.natural_key(F.col(key).cast("string")).alias("n"), F.col(key).cast("string").alias("k"))))), lambda r: r["k"])
+    return wanted.join(have, [*ids, "pass"], "left").groupBy(*keys, "pass").agg(F.count("_has").alias("present"), F.count_if(gone).alias("missing"), listed.alias("missing_ids"))
 
 
 def conflicts(values: DataFrame, keys: list[str], rules: tuple = CONFLICTS) -> DataFrame:
-    """(keys, type, severity, n_values) from values(keys, attribute, value): attributes with more distinct non-empty values than allowed."""
-    cleaned = values.withColumn("value", F.trim("value")).where("value <> ''")
-    counted = cleaned.groupBy(*keys, "attribute").agg(F.countDistinct("value").alias("n_values"))
+    """(keys, type, severity, n_values, values) from values(keys, attribute, value, pos): attributes with more distinct non-empty values than allowed.
+
+    The values are trimmed and in the order of their first pos.
+    """
+    cleaned = values.withColumn("value", T.strip(F.col("value"))).where("value <> ''")
+    first = cleaned.groupBy(*keys, "attribute", "value").agg(F.min("pos").alias("_p"))
+    counted = first.groupBy(*keys, "attribute").agg(F.count("*").alias("n_values"), in_order("value", "_p").alias("values"))
     rule = F.element_at(F.create_map(*[x for a, t, s, n in rules for x in (F.lit(a), F.struct(F.lit(t).alias("type"), F.lit(s).alias("severity"), F.lit(n).alias("over")))]), F.col("attribute"))
-    return counted.withColumn("rule", rule).where("n_values > rule.over").select(*keys, "rule.type", "rule.severity", "n_values")
+    return counted.withColumn("rule", rule).where("n_values > rule.over").select(*keys, "rule.type", "rule.severity", "n_values", "values")
+
+
+def in_order(value: str, pos: str) -> Column:
+    """The values of a group as a list in the order of pos."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))), lambda r: r["v"])
+
+
+FIT = "group_no bigint, target_pos bigint, target_name string, confidence string, reason string, score int"
 
 
 def first_fit(candidates: DataFrame, key: str) -> DataFrame:
-    """(key, pos, group_no): each candidate (key, pos, name, roles) joins the first group that holds a member it matches.
+    """(key, pos, name, group_no, target_pos, target_name, confidence, reason, score) of candidates(key, pos, name, roles).
 
-    Order decides, so a key's candidates are one fold; matches are computed as expressions on the pairs that share a surname,
-    a title or a normal form, and only the matching pairs reach the fold.
+    Each candidate, in the order of pos (unique in a key), joins the first group that holds a member it matches (names.match_rule); the
+    target is the first such member, null where a group begins. Order decides, so a key's candidates are one fold; what it remembers
+    are not pairs but, for each of the few things by which names match, the first member of each group that has it.
     """
-    own = candidates.select(key, "pos", N.form(F.col("name")).alias("f"), F.lower(F.array_join("roles", " ")).alias("r"))
-    shares = F.array_distinct(F.array_compact(F.array(F.concat(F.lit("n:"), "f.normalized"), F.concat(F.lit("s:"), "f.surname"), F.concat(F.lit("t:"), "f.title"))))
-    blocked = own.withColumn("block", F.explode(shares))
-    a = blocked.select(key, "block", F.col("pos").alias("a"), F.col("f").alias("fa"), F.col("r").alias("ra"))
-    b = blocked.select(key, "block", F.col("pos").alias("b"), F.col("f").alias("fb"), F.col("r").alias("rb"))
-    rule = N.match_rule(F.col("fa"), F.col("fb"), F.col("ra"), F.col("rb"))
-    edges = a.join(b, [key, "block"]).where("a > b").where(rule["score"] > 0).select(key, "a", "b").distinct()
-    partners = edges.groupBy(key, F.col("a").alias("pos")).agg(F.sort_array(F.collect_list("b")).alias("earlier"))
-    rows = own.join(partners, [key, "pos"], "left").select(key, "pos", F.coalesce("earlier", F.array().cast("array<bigint>")).alias("earlier"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        group: dict[int, int] = {}
+    f = N.form(F.col("name"))
+    own = candidates.select(key, F.col("pos").cast("bigint").alias("pos"), "name", f.alias("f"), "roles").select("*", N.role_state(F.col("f.title"), F.col("roles")).alias("state")).drop("roles")
+    kinds = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in (key, "pos", "name"))
+
+    def begin():
+        first: dict[tuple, dict[int, tuple]] = {}
+        lowest: dict[tuple, int] = {}
         made = 0
-        for pos, earlier in zip(pdf["pos"], pdf["earlier"], strict=True):
-            met = [group[e] for e in earlier]
-            group[pos] = min(met) if met else made
+
+        def step(row: dict):
+            nonlocal made
+            f, state = row["f"], row["state"]
+            plain, title, base, surname = f["normalized"], f["title"], f["base"], f["surname"]
+            fit = {"free": ("free",), "hit": ("hit", "none", "miss"), "none": ("hit", "none"), "miss": ("hit",)}[state]
+            has, wants = [("name", plain)], [(("name", plain), "safe", "exact_normalized_match", 100)]
+            if surname and title:
+                has += [("titled surname", surname, title), ("titled base", base), ("named", title, state)]
+                wants += [(("titled surname", surname, title), "safe", "same_title_same_surname", 96), (("bare base", base), "probable", "bare_name_matches_titled_full_name", 88)]
+                wants += [(("generic", title, s), "probable", "generic_title_to_single_titled_name_candidate", 78) for s in fit]
+            elif surname:
+                has += [("bare base", base)]
+                wants += [(("titled base", base), "probable", "bare_name_matches_titled_full_name", 88)]
+            elif title:
+                has += [("generic", title, state)]
+                wants += [(("named", title, s), "probable", "generic_title_to_single_titled_name_candidate", 78) for s in fit]
+            met = [lowest[w[0]] for w in wants if w[0] in lowest]
+            group = min(met, default=made)
             made += not met
-        return pdf[[key, "pos"]].assign(group_no=[group[p] for p in pdf["pos"]])
+            # Rules come in the order of their rank, so of those that lead to the same member the first counts.
+            targets = [(first[k][group], -score, c, r) for k, c, r, score in wants if group in first.get(k, ())]
+            for h in has:
+                first.setdefault(h, {}).setdefault(group, (row["pos"], row["name"]))
+                lowest[h] = min(group, lowest.get(h, group))
+            (at, name), score, confidence, reason = min(targets, default=((None, None), None, None, None))
+            yield row[key], row["pos"], row["name"], group, at, name, confidence, reason, None if score is None else -score
 
-    return rows.groupBy(key).applyInPandas(fold, f"{key} {rows.schema[key].dataType.simpleString()}, pos bigint, group_no bigint")
+        return step
+
+    return folds.streamed(own, [key], ["pos"], begin, f"{kinds}, {FIT}")
 
 
 def group_label(members: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,6 +129,39 @@ def group_label(members: DataFrame, keys: list[str]) -> DataFrame:
     return members.groupBy(*keys).agg(F.max_by("name", rank).alias("label"))
 
 
+def group_confidence(surface: DataFrame, notes: DataFrame, book: str) -> DataFrame:
+    """(book, group_no, merge_confidence, merge_reasons) of surface(book, group_no, surface_variants).
+
+    A note (first_fit's row with a target) counts for every group of the book whose surface variants hold both its names: safe goes
+    before probable, single stands for none, and reasons are in the order of the notes.
+    """
+    distinct = notes.where("target_name IS NOT NULL").groupBy(book, "name", "target_name", "confidence", "reason").agg(F.min("pos").alias("_p"))
+    each = surface.select(book, "group_no", F.explode("surface_variants").alias("name"), "surface_variants")
+    met = each.join(distinct, [book, "name"]).where(F.array_contains("surface_variants", F.col("target_name")))
+    reasons = met.groupBy(book, "group_no", "reason").agg(F.min("_p").alias("_p"), F.bool_or(F.col("confidence") == "safe").alias("_safe"))
+    found = reasons.groupBy(book, "group_no").agg(F.bool_or("_safe").alias("_safe"), in_order("reason", "_p").alias("merge_reasons"))
+    known = F.when(F.col("_safe"), "safe").when(F.col("_safe").isNotNull(), "probable").otherwise("single")
+    return surface.select(book, "group_no").join(found, [book, "group_no"], "left").select(book, "group_no", known.alias("merge_confidence"), F.coalesce("merge_reasons", F.array().cast("array<string>")).alias("merge_reasons"))
+
+
+def exact_groups(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """The older merge of dossiers: candidates(keys, pos, name) with norm and canonical_name, the first name of each normal form; empty forms go."""
+    own = candidates.withColumn("norm", N.norm(F.col("name"))).where("norm <> ''")
+    return own.join(own.groupBy(*keys, "norm").agg(F.min_by("name", "pos").alias("canonical_name")), [*keys, "norm"])
+
+
+def timing_summary(timings: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, total_seconds, passes) from timings(keys, doc): sums of the numbers among the JSON's values, rounded to three places."""
+    v = jsonx.whole(F.col("doc"))
+    own = timings.select(*keys, v.alias("v"))
+    total = own.groupBy(*keys).agg(T.rounded(F.coalesce(F.sum(jsonx.number(F.col("v"), "$.total_duration_seconds")), F.lit(0.0)), 3).alias("total_seconds"))
+    entries = F.map_entries(F.try_variant_get("v", "$.passes", "map<string,variant>"))
+    each = own.select(*keys, F.explode(entries).alias("e")).select(*keys, F.col("e.key").alias("pass"), jsonx.number(F.col("e.value"), "$").alias("s")).where("s IS NOT NULL")
+    sums = each.groupBy(*keys, "pass").agg(T.rounded(F.sum("s"), 3).alias("s"))
+    passes = sums.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pass", "s")))).alias("passes"))
+    return total.join(passes, list(keys), "left").withColumn("passes", F.coalesce("passes", F.create_map().cast("map<string,double>")))
+
+
 def timing_rollup(passes: DataFrame, keys: list[str], name: str, seconds: str) -> DataFrame:
     return passes.groupBy(*keys, name).agg(F.round(F.sum(seconds), 3).alias("total_seconds"), F.count("*").alias("n"))
 

@@ -10,12 +10,15 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.functions import jsonx
+from foliospark.functions import text as T
 from foliospark.operators import jobs, merge
 
 Model = Callable[[str, str, float], str]
@@ -129,36 +132,56 @@ def _docs(outputs: DataFrame, name: str) -> DataFrame:
     return outputs.where(F.col("pass") == name).withColumn("v", jsonx.whole(F.col("doc")))
 
 
-def _in_order(rows: DataFrame, book: str, keys: list[str], value: str = "value") -> DataFrame:
-    """Values of rows(book, keys, pos, i, value) as one list per key, each once, in the order of their first appearance."""
-    first = rows.groupBy(book, *keys, value).agg(F.min(F.struct("pos", "i")).alias("_f"))
-    sorted_ = F.array_sort(F.collect_list(F.struct("_f", value)))
-    return first.groupBy(book, *keys).agg(F.transform(sorted_, lambda r: r[value]).alias("values"))
+def _in_order(rows: DataFrame, book: str, keys: list[str], value: str = "value", identity: str | None = None) -> DataFrame:
+    """Values of rows(book, keys, pos, i, value) as one list per key, each once by its identity, in the order of their first appearance."""
+    own = rows.withColumn("_id", F.col(identity or value)).groupBy(book, *keys, "_id").agg(F.min(F.struct("pos", "i", F.col(value).alias("v"))).alias("_f"))
+    return own.groupBy(book, *keys).agg(F.transform(F.array_sort(F.collect_list("_f")), lambda r: r["v"]).alias("values"))
+
+
+def _either(new: str, old: str, take):
+    """take() of the newer key, or of the older one where the newer holds nothing, an empty list included."""
+    v = F.col("v")
+    return F.when(jsonx.truthy(v, f"$.{new}"), take(v, f"$.{new}")).otherwise(take(v, f"$.{old}"))
+
+
+def structure_chunks(outputs: DataFrame, book: str) -> DataFrame:
+    """(book, pos, chapters, parts, scene_breaks, status) of each chunk's structure pass: values that aren't strings as JSON, status an empty text where there is none."""
+    shown = lambda v, path: F.transform(jsonx.items(v, path), jsonx.shown)
+    status = F.coalesce(jsonx.shown(jsonx.get(F.col("v"), "$.status")), F.lit(""))
+    return _docs(outputs, "structure").select(book, "pos", _either("chapters", "chapter_titles", shown).alias("chapters"), _either("parts", "part_divisions", shown).alias("parts"), shown(F.col("v"), "$.scene_breaks").alias("scene_breaks"), status.alias("status"))
 
 
 def structure_merge(outputs: DataFrame, book: str) -> DataFrame:
-    """(book, kind, values): chapters, parts and scene breaks of a book in order, from outputs(book, pos, pass, doc). Older key names count if the newer list is empty."""
-    lists = {"chapters": ("chapters", "chapter_titles"), "parts": ("parts", "part_divisions"), "scene_breaks": ("scene_breaks", "scene_breaks")}
+    """(book, kind, values): chapters, parts and scene breaks of a book in order, from outputs(book, pos, pass, doc).
+
+    Chapters and parts are strings; scene breaks may be any JSON value, then shown as JSON.
+    """
+    texts = lambda v, path: F.transform(jsonx.strings(v, path), lambda s: F.struct(s.alias("value"), s.alias("id")))
+    any_ = lambda v, path: F.transform(jsonx.items(v, path), lambda x: F.struct(jsonx.shown(x).alias("value"), jsonx.identity(x).alias("id")))
+    found = (("chapters", _either("chapters", "chapter_titles", texts)), ("parts", _either("parts", "part_divisions", texts)), ("scene_breaks", any_(F.col("v"), "$.scene_breaks")))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("found")) for k, c in found])
+    rows = _docs(outputs, "structure").select(book, "pos", F.inline(kinds)).select(book, "kind", "pos", F.posexplode("found").alias("i", "x")).select(book, "kind", "pos", "i", "x.value", "x.id")
+    return _in_order(rows, book, ["kind"], identity="id")
 
-    def either(new, old):
-        own = jsonx.strings(F.col("v"), f"$.{new}")
-        return F.when(F.size(own) > 0, own).otherwise(jsonx.strings(F.col("v"), f"$.{old}"))
 
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), either(*names).alias("found")) for k, names in lists.items()])
-    rows = _docs(outputs, "structure").select(book, "pos", F.inline(kinds)).select(book, "kind", "pos", F.posexplode("found").alias("i", "value"))
-    return _in_order(rows, book, ["kind"])
+def dialogue_chunks(outputs: DataFrame, book: str) -> DataFrame:
+    """(book, pos, pov, dialogue, internal_thought, explicitly_attributed_speakers, unattributed_dialogue_present) of each chunk's dialogue pass."""
+    v = F.col("v")
+    flags = [jsonx.truthy(v, f"$.{k}").alias(k) for k in ("dialogue", "internal_thought", "unattributed_dialogue_present")]
+    speakers = F.transform(jsonx.items(v, "$.explicitly_attributed_speakers"), jsonx.shown)
+    return _docs(outputs, "dialogue").select(book, "pos", jsonx.shown(jsonx.get(v, "$.pov")).alias("pov"), flags[0], flags[1], speakers.alias("explicitly_attributed_speakers"), flags[2])
 
 
 def dialogue_merge(outputs: DataFrame, book: str) -> DataFrame:
-    """A row per book: counts of chunks, points of view with the most frequent one (first seen on ties), and speakers in order."""
+    """A row per book: counts of chunks, points of view with the most frequent one (first seen on ties), and speakers in order. Only strings are views or speakers; flags count as in truthy()."""
     rows = _docs(outputs, "dialogue")
-    true = lambda k: F.count_if(F.coalesce(F.try_variant_get("v", f"$.{k}", "boolean"), F.lit(False)))
+    true = lambda k: F.count_if(jsonx.truthy(F.col("v"), f"$.{k}"))
     counts = rows.groupBy(book).agg(
         true("dialogue").alias("dialogue_present_in_chunks"),
         true("internal_thought").alias("internal_thought_present_in_chunks"),
         true("unattributed_dialogue_present").alias("unattributed_dialogue_present_in_chunks"),
     )
-    pov = rows.select(book, "pos", F.lit(0).alias("i"), F.try_variant_get("v", "$.pov", "string").alias("value")).where("value <> ''")
+    pov = rows.select(book, "pos", F.lit(0).alias("i"), jsonx.string(F.col("v"), "$.pov").alias("value")).where("value <> ''")
     speakers = rows.select(book, "pos", F.posexplode(jsonx.strings(F.col("v"), "$.explicitly_attributed_speakers")).alias("i", "value"))
     empty = F.array().cast("array<string>")
     out = counts.join(merge.dominant(pov, [book], "value", F.col("pos")).withColumnRenamed("dominant", "dominant_pov"), book, "left")
@@ -167,43 +190,187 @@ def dialogue_merge(outputs: DataFrame, book: str) -> DataFrame:
     return out
 
 
-def entity_mentions(outputs: DataFrame, book: str, kinds: tuple = ("characters", "places", "objects", "identity_notes")) -> DataFrame:
+ENTITY_KINDS = ("characters", "places", "objects", "identity_notes")
+
+
+def entity_mentions(outputs: DataFrame, book: str, kinds: tuple = ENTITY_KINDS) -> DataFrame:
     """(book, kind, pos, i, value) of the entity lists; merge.entity_merge() groups them."""
     each = F.array(*[F.struct(F.lit(k).alias("kind"), jsonx.strings(F.col("v"), f"$.{k}").alias("found")) for k in kinds])
     return _docs(outputs, "entities").select(book, "pos", F.inline(each)).select(book, "kind", "pos", F.posexplode("found").alias("i", "value"))
 
 
+def entity_lists(outputs: DataFrame, book: str) -> DataFrame:
+    """(book, kind, values): the exact names of each kind, each once in the order of their first appearance."""
+    return _in_order(entity_mentions(outputs, book), book, ["kind"])
+
+
 # Single and list attributes of a dossier and the lists of a merged dossier that they go to.
-SINGLE = {"role": "roles", "biography": "biographies", "vocal_notes": "vocal_notes", "accent": "accents", "spoken_dialogue": "spoken_dialogue_values", "identity_status": "identity_status_values"}
+SINGLE = {"role": "roles", "biography": "biographies", "vocal_notes": "vocal_notes", "accent": "accents", "identity_status": "identity_status_values"}
 LISTED = {"aliases": "aliases", "roles": "roles", "personality_traits": "personality_traits"}
+MERGED = ("variants", "aliases", "roles", "biographies", "personality_traits", "vocal_notes", "accents", "spoken_dialogue_values", "identity_status_values")
+
+
+#: Places in a book count chunks by this step; a chunk has far fewer dossiers, so this keeps the order without a window over the book.
+PLACES = 1_000_000
+
+
+def chunk_of(pos: Column) -> Column:
+    """The chunk of a dossier's place in its book."""
+    return F.floor(pos / PLACES).cast("int")
 
 
 def dossier_rows(outputs: DataFrame, book: str) -> DataFrame:
-    """(book, chunk, pos, name, roles, v): the dossiers with a name, pos counting over the book's chunks in order. A list under an older key counts if the newer is none."""
+    """(book, chunk, pos, name, aliases, roles, v): the dossiers with a name that is a text, pos counting over the book's chunks in order.
+
+    The older key counts if the newer holds no list; what isn't an object is no dossier, and what isn't a string no alias or role.
+    """
     found = F.coalesce(F.try_variant_get("v", "$.character_dossiers", "array<variant>"), F.try_variant_get("v", "$.dossiers", "array<variant>"))
     rows = _docs(outputs, "dossiers").select(book, F.col("pos").alias("chunk"), F.posexplode(found).alias("i", "v"))
-    named = rows.withColumn("name", F.trim(F.try_variant_get("v", "$.name", "string"))).where("name <> '' AND is_variant_null(v) = false")
-    one = F.try_variant_get("v", "$.role", "string")
-    roles = F.concat(F.when(one != "", F.array(one)).otherwise(F.array().cast("array<string>")), jsonx.strings(F.col("v"), "$.roles"))
-    # A chunk has far fewer than a million dossiers, so this keeps the order without a window over the book.
-    return named.select(book, "chunk", (F.col("chunk").cast("bigint") * 1_000_000 + F.col("i")).alias("pos"), "name", roles.alias("roles"), "v")
+    named = rows.where(jsonx.kind(F.col("v")).startswith("OBJECT")).withColumn("name", jsonx.string(F.col("v"), "$.name")).where(T.strip(F.col("name")) != "")
+    v = F.col("v")
+    roles = F.array_distinct(F.filter(F.concat(F.array(T.strip(jsonx.string(v, "$.role"))), jsonx.trimmed_strings(v, "$.roles")), lambda r: r.isNotNull() & (r != "")))
+    return named.select(book, "chunk", (F.col("chunk").cast("bigint") * PLACES + F.col("i")).alias("pos"), "name", jsonx.trimmed_strings(v, "$.aliases").alias("aliases"), roles.alias("roles"), "v")
 
 
 def dossier_merge(outputs: DataFrame, book: str) -> DataFrame:
-    """A row per book and group of dossiers of one character: canonical_name, chunks, variants and the attributes' values, each once and in order."""
+    """A row per book and group of dossiers of one character.
+
+    (book, group_no, place, canonical_name, surface_variants, chunks, n_dossiers, merge_confidence, merge_reasons, source_dossiers, MERGED):
+    lists hold each value once and in order, surface variants all names before all aliases; place numbers a book's groups by the natural order
+    of their names. An attribute of another type than the one meant is left out.
+    """
     own = dossier_rows(outputs, book)
-    groups = merge.first_fit(own.select(book, "pos", "name", "roles"), book)
-    members = own.join(groups, [book, "pos"])
+    notes = resolver_notes(own, book)
+    members = own.join(notes.select(book, "pos", "group_no"), [book, "pos"])
     keys = [book, "group_no"]
-    out = merge.group_label(members, keys).withColumnRenamed("label", "canonical_name")
-    values = [F.struct(F.lit("variants").alias("attribute"), F.lit(0).alias("rank"), F.array("name").alias("found"))]
-    values += [F.struct(F.lit(to).alias("attribute"), F.lit(0).alias("rank"), F.array_compact(F.array(F.nullif(F.try_variant_get("v", f"$.{a}", "string"), F.lit("")))).alias("found")) for a, to in SINGLE.items()]
-    values += [F.struct(F.lit(to).alias("attribute"), F.lit(1).alias("rank"), jsonx.strings(F.col("v"), f"$.{a}").alias("found")) for a, to in LISTED.items()]
-    flat = members.select(*keys, "pos", F.inline(F.array(*values))).select(*keys, "attribute", "pos", "rank", F.posexplode("found").alias("_i", "value"))
-    lists = _in_order(flat.withColumn("i", F.struct("rank", "_i")), book, ["group_no", "attribute"])
-    by_name = lists.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("attribute", "values")))).alias("attributes"))
-    chunks = members.groupBy(*keys).agg(F.array_sort(F.collect_set("chunk")).alias("chunks"), F.count("*").alias("n_dossiers"))
-    out = out.join(by_name, keys).join(chunks, keys)
-    every = ("variants", *dict.fromkeys([*SINGLE.values(), *LISTED.values()]))
+    v = F.col("v")
+
+    def entry(to, rank, values, ids=None):
+        pairs = F.transform(values, lambda x: F.struct(x.alias("value"), x.alias("id"))) if ids is None else F.arrays_zip(values.alias("value"), ids.alias("id"))
+        return F.struct(F.lit(to).alias("attribute"), F.lit(rank).alias("rank"), pairs.cast("array<struct<value:string,id:string>>").alias("found"))
+
+    one = lambda c: F.array_compact(F.array(F.nullif(c, F.lit(""))))
+    spoken = jsonx.get(v, "$.spoken_dialogue")
+    there = jsonx.kind(spoken) != "VOID"
+    lists = [entry("variants", 0, F.array("name")), entry("names", 0, F.array("name")), entry("names", 1, F.col("aliases"))]
+    lists += [entry(to, 0, one(jsonx.string(v, f"$.{a}"))) for a, to in SINGLE.items()]
+    lists += [entry(to, 1, jsonx.strings(v, f"$.{a}")) for a, to in LISTED.items()]
+    lists += [F.struct(F.lit("spoken_dialogue_values").alias("attribute"), F.lit(0).alias("rank"), F.when(there, F.array(F.struct(jsonx.shown(spoken).alias("value"), jsonx.identity(spoken).alias("id")))).alias("found"))]
+    flat = members.select(*keys, "pos", F.inline(F.array(*lists))).select(*keys, "attribute", "pos", "rank", F.posexplode("found").alias("_i", "x")).select(*keys, "attribute", "pos", "rank", "_i", "x.value", "x.id")
+    # Of a group's surface variants the names of all members come before their aliases.
+    surface = F.col("attribute") == "names"
+    placed = flat.withColumn("i", F.struct("pos", "rank", "_i")).withColumn("pos", F.when(surface, F.col("rank").cast("bigint")).otherwise(F.col("pos")))
+    by_name = _in_order(placed, book, ["group_no", "attribute"], identity="id").groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("attribute", "values")))).alias("attributes"))
     empty = F.array().cast("array<string>")
-    return out.select(*keys, "canonical_name", "chunks", "n_dossiers", *[F.coalesce(F.try_element_at("attributes", F.lit(a)), empty).alias(a) for a in every])
+    base = merge.group_label(members, keys).withColumnRenamed("label", "canonical_name").join(by_name, keys)
+    out = base.select(*keys, "canonical_name", *[F.coalesce(F.try_element_at("attributes", F.lit(a)), empty).alias(to) for a, to in (("names", "surface_variants"), *((m, m) for m in MERGED))])
+    source = F.struct("pos", "chunk", F.to_json("v").alias("dossier"))
+    chunks = members.groupBy(*keys).agg(
+        F.array_sort(F.collect_set("chunk")).alias("chunks"), F.count("*").alias("n_dossiers"),
+        F.transform(F.array_sort(F.collect_list(source)), lambda r: F.struct(r["chunk"].alias("chunk"), r["dossier"].alias("dossier"))).alias("source_dossiers"),
+    )
+    known = merge.group_confidence(out.select(*keys, "surface_variants"), notes, book)
+    place = F.row_number().over(W.partitionBy(book).orderBy(T.natural_key(F.col("canonical_name")), "group_no")) - 1
+    return out.join(chunks, keys).join(known, keys).withColumn("place", place)
+
+
+def resolver_notes(dossiers: DataFrame, book: str) -> DataFrame:
+    """merge.first_fit of dossier_rows(): a row per dossier with its group; those with a target are the notes on why it joined."""
+    return merge.first_fit(dossiers.select(book, "pos", "name", "roles"), book)
+
+
+def conflict_report(book: str, dossiers: DataFrame, entities: DataFrame, dialogue: DataFrame, statuses: DataFrame) -> DataFrame:
+    """(book, scope, place, name, kind, type, severity, values, variants, surface_variants, chunks, merge_confidence, message).
+
+    scope character: attributes of a merged dossier with several values. scope entity: a kind's normal forms with several
+    surface variants. scope global: several points of view, or several non-blank structure statuses. dossiers: dossier_merge();
+    entities: merge.entity_merge() by book and kind; dialogue: dialogue_merge(); statuses: structure_chunks().
+    """
+    c = F.col
+    attributes = [a for a, *_ in merge.CONFLICTS]
+    each = dossiers.select(book, "group_no", F.inline(F.array(*[F.struct(F.lit(a).alias("attribute"), c(a).alias("found")) for a in attributes])))
+    values = each.select(book, "group_no", "attribute", F.posexplode("found").alias("pos", "value"))
+    facts = dossiers.select(book, "group_no", "place", c("canonical_name").alias("name"), "variants", "surface_variants", c("chunks").cast("array<string>").alias("chunks"), "merge_confidence")
+    message = F.element_at(F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv]), c("type"))
+    people = merge.conflicts(values, [book, "group_no"]).join(facts, [book, "group_no"]).select(book, F.lit("character").alias("scope"), "place", "name", F.lit(None).cast("string").alias("kind"), "type", "severity", "values", "variants", "surface_variants", "chunks", "merge_confidence", F.concat(message, F.lit(" observed for "), "name", F.lit(".")).alias("message"))
+    none = {"variants": "array<string>", "surface_variants": "array<string>", "chunks": "array<string>", "merge_confidence": "string", "kind": "string", "name": "string", "place": "int", "severity": "string"}
+
+    def rows(df, **cols):
+        got = {x: cols.get(x, F.lit(None).cast(none[x]) if x in none else None) for x in people.columns[1:]}
+        return df.select(book, *[v.alias(k) for k, v in got.items()])
+
+    varied = entities.where(F.size("variants") > 1)
+    order = F.row_number().over(W.partitionBy(book, "kind").orderBy(T.natural_key(c("canonical")), "norm")) - 1
+    forms = rows(varied.withColumn("_n", order), scope=F.lit("entity"), place=c("_n"), name=c("canonical"), kind=c("kind"), type=F.lit("entity_variants"), values=c("variants"), variants=c("variants"), chunks=c("chunks").cast("array<string>"), message=F.concat(F.lit("Multiple surface variants map to "), "canonical", F.lit(".")))
+    views = rows(dialogue.where(F.size("observed_pov_values") > 1), scope=F.lit("global"), place=F.lit(0), type=F.lit("multiple_pov_values"), severity=F.lit("medium"), values=c("observed_pov_values"), message=F.lit("Multiple POV values were observed across chunks."))
+    stated = _in_order(statuses.select(book, "pos", F.lit(0).alias("i"), T.strip(c("status")).alias("value")).where("value <> ''"), book, []).where(F.size("values") > 1)
+    states = rows(stated, scope=F.lit("global"), place=F.lit(1), type=F.lit("structure_status_variation"), severity=F.lit("low"), values=c("values"), message=F.lit("Multiple structure status values were observed across chunks."))
+    return reduce(DataFrame.unionByName, [people, forms, views, states])
+
+
+# What a conflict's message begins with.
+MESSAGES = {
+    "role_conflict": "Multiple roles", "accent_conflict": "Multiple accent recommendations", "spoken_dialogue_conflict": "Conflicting spoken_dialogue values",
+    "identity_status_conflict": "Multiple identity_status values", "vocal_notes_drift": "Many vocal note variants",
+}
+
+
+def conflict_summary(report: DataFrame, books: DataFrame, book: str) -> DataFrame:
+    """(book, character_conflict_count, entity_variant_note_count, global_conflict_count): characters with conflicts, forms with variants, global ones; zeros for the other books."""
+    scope = F.col("scope")
+    got = report.groupBy(book).agg(
+        F.countDistinct(F.when(scope == "character", F.col("place"))).alias("character_conflict_count"), F.count_if(scope == "entity").alias("entity_variant_note_count"), F.count_if(scope == "global").alias("global_conflict_count")
+    )
+    return books.select(book).distinct().join(got, book, "left").na.fill(0)
+
+
+def merge_report(book: str, chunks: DataFrame, outputs: DataFrame, dossiers: DataFrame) -> DataFrame:
+    """(book, chunk_count, present_counts map, missing map of ids, resolver_merge_count). chunks: (book, chunk_id); outputs: (book, chunk_id, pass) that exist, malformed ones too."""
+    each = merge.completeness(chunks, outputs, PASS_FILES, "chunk_id", [book])
+    counts = each.groupBy(book).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("present") > 0, F.struct("pass", "present"))))).alias("present_counts"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("missing") > 0, F.struct("pass", "missing_ids"))))).alias("missing"),
+    )
+    merged = dossiers.groupBy(book).agg(F.count_if(F.size("surface_variants") > 1).alias("resolver_merge_count"))
+    n = chunks.groupBy(book).agg(F.countDistinct("chunk_id").alias("chunk_count"))
+    return n.join(counts, book).join(merged, book, "left").na.fill(0, ["resolver_merge_count"]).select(book, "chunk_count", "present_counts", "missing", "resolver_merge_count")
+
+
+#: The outputs of a chunk that is complete.
+PASS_FILES = (*jobs.PASSES, "timing")
+
+
+def chunk_summary(outputs: DataFrame, book: str, chunk: str = "chunk_id") -> DataFrame:
+    """(book, chunk, passes_completed, STRUCTURE, DIALOGUE, ENTITIES lists, n_characters, n_dossiers, timing, line) of chunks that have any result.
+
+    outputs: (book, chunk, pass, doc), doc null where it can't be parsed. One pivot by pass; lists keep only what is there, as JSON.
+    """
+    passes = F.col("pass")
+    docs = {p: F.first(F.when(passes == p, jsonx.whole(F.col("doc"))), ignorenulls=True).alias(p) for p in PASS_FILES}
+    wide = outputs.groupBy(book, chunk).agg(*docs.values())
+    done = F.array_compact(F.array(*[F.when(F.col(p).isNotNull(), p) for p in jobs.PASSES]))
+    shown = lambda p, k: jsonx.shown(jsonx.get(F.col(p), f"$.{k}")).alias(k)
+    listed = lambda p, k: F.transform(jsonx.items(F.col(p), f"$.{k}"), jsonx.shown).alias(k)
+    lists = [listed("structure", k) for k in ("chapters", "parts", "scene_breaks")] + [listed("dialogue", "explicitly_attributed_speakers")] + [listed("entities", k) for k in ENTITY_KINDS] + [listed("dossiers", "character_dossiers")]
+    singles = [shown("structure", "status")] + [shown("dialogue", k) for k in ("pov", "dialogue", "internal_thought", "unattributed_dialogue_present")]
+    got = wide.select(book, chunk, done.alias("passes_completed"), *lists, *singles, F.to_json("timing").alias("timing"))
+    size = F.size
+    line = F.concat_ws(" | ", F.col(chunk).cast("string"), F.concat(size("passes_completed").cast("string"), F.lit("/4 passes")), F.concat(size("characters").cast("string"), F.lit(" characters")), F.concat(size("character_dossiers").cast("string"), F.lit(" dossiers")))
+    any_ = (size("passes_completed") > 0) | (F.coalesce("timing", F.lit("{}")) != "{}")
+    return got.where(any_).withColumn("line", line)
+
+
+def tokens_estimate(text: Column, seconds: Column, reported: Column) -> Column:
+    """The rate that a runtime reports, else words per second of what it has written, over a millisecond at least."""
+    return F.coalesce(reported, T.word_count(text) / F.greatest(seconds, F.lit(0.001)))
+
+
+def sliced(chunks: DataFrame, name: str, start_at: str | None = None, limit: int | None = None) -> DataFrame:
+    """Chunks in the plain order of their names, from the first called start_at, with or without its ending, on (none if there is none); `limit` of them at most."""
+    own = chunks
+    if start_at:
+        stem = F.regexp_replace(F.col(name), r"(?<=[^.])\.[^.]*$", "")
+        there = chunks.where((F.col(name) == start_at) | (stem == start_at)).agg(F.min(name).alias("_s"))
+        own = chunks.join(F.broadcast(there), F.col(name) >= F.col("_s")).drop("_s")
+    own = own.orderBy(name)
+    return own if limit is None else own.limit(limit)

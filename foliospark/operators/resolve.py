@@ -2,94 +2,229 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions import jsonx
 from foliospark.functions import names as N
 from foliospark.functions import text as T
+from foliospark.operators import folds
 
 #: From this score on two names may be one character.
 LINK = 45
 
 
+#: The sources of the pool, in the order in which they count.
+SOURCES = ("entities", "entities_normalized", "dialogue", "dossiers", "conflict_report")
+LISTS = ("roles", "chunks", "variants", "accents")
+
+
+def pool_rows(rows: DataFrame, key: str, source: str, name: str = "name", pos: str = "pos", **lists: Column) -> DataFrame:
+    """rows as input of pool(): (key, source, pos, name, roles, chunks, variants, accents), lists that aren't given empty, blank names dropped."""
+    empty = F.array().cast("array<string>")
+    got = [F.coalesce(lists[x].cast("array<string>"), empty).alias(x) if x in lists else empty.alias(x) for x in LISTS]
+    return rows.select(key, F.lit(source).alias("source"), F.col(pos).cast("bigint").alias("pos"), F.col(name).alias("name"), *got).where(T.strip(F.col("name")) != "")
+
+
+def character_pool(book: str, entities: DataFrame, normalized: DataFrame, speakers: DataFrame, dossiers: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """pool() of a book's five sources.
+
+    entities, speakers: (book, pos, name). normalized: (book, pos, canonical, variants, chunks). dossiers: (book, pos, name, roles,
+    chunks, variants, surface_variants, accents). conflicts: (book, pos, name, variants, surface_variants, chunks).
+    """
+    c, both = F.col, F.concat("variants", "surface_variants")
+    parts = [
+        pool_rows(entities, book, "entities"),
+        pool_rows(normalized, book, "entities_normalized", "canonical", variants=c("variants"), chunks=c("chunks")),
+        pool_rows(speakers, book, "dialogue"),
+        pool_rows(dossiers, book, "dossiers", roles=c("roles"), chunks=c("chunks"), variants=both, accents=c("accents")),
+        pool_rows(conflicts, book, "conflict_report", variants=both, chunks=c("chunks")),
+    ]
+    return pool(reduce(DataFrame.unionByName, parts), book)
+
+
 def pool(rows: DataFrame, key: str) -> DataFrame:
-    """(key, norm, name, f, chunks, roles, variants) from rows(key, pos, name, chunk, role), grouped by normal form."""
-    own = rows.withColumn("norm", N.norm(F.col("name"))).where("norm <> ''")
+    """(key, norm, name, first, f, sources, roles, chunks, variants, accents) from rows as pool_rows() makes them.
+
+    Names are grouped by normal form, an empty one too; the first name stands for the group, `first` is its place. Lists hold each value once in the order
+    of its first appearance, a row's name before its variants; sources keep repeats.
+    """
+    rank = F.array_position(F.array(*[F.lit(s) for s in SOURCES]), F.col("source"))
+    own = rows.withColumn("norm", N.norm(F.col("name"))).withColumn("at", F.struct(rank.alias("rank"), "pos")).withColumn("variants", F.concat(F.array("name"), "variants"))
+
+    def listed(x: str) -> Column:
+        return F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", x))), lambda r: r[x])))
+
     return own.groupBy(key, "norm").agg(
-        F.min_by("name", "pos").alias("name"),
-        F.array_sort(F.collect_set("chunk")).alias("chunks"),
-        F.array_sort(F.collect_set(F.lower("role"))).alias("roles"),
-        F.array_sort(F.collect_set(N.norm(F.col("name")))).alias("variants"),
+        F.min_by("name", "at").alias("name"),
+        F.min("at").alias("first"),
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "source"))), lambda r: r["source"]).alias("sources"),
+        *[listed(x).alias(x) for x in LISTS],
     ).withColumn("f", N.form(F.col("name"), N.RESOLVER_TITLES, N.RESOLVER_GENERIC))
 
 
 def scored_pairs(people: DataFrame, key: str, least: int = LINK) -> DataFrame:
-    """(key, a, b, score) with a < b by normal form, of pairs that reach `least`.
+    """(key, a, b, score, reasons) with a < b by normal form, of pairs of pool() that reach `least`, LINK at least.
 
-    A pair that shares no surname, title, given name, normal form or variant has chunk and role overlap alone, 32 at most.
-    So these five are the join keys, and nothing is compared with everything.
+    A pair's points decide what it must share, so nothing is compared with everything. Without an equal form, surname or
+    variant (100, 40, 50) a pair has title 20, given name 15, twice 22 for a title that stands alone, chunks 20 and roles 12 at most. So it
+    needs a title that stands alone on one side, or title and given name, or title and a role, or given name and a role.
     """
+    if least < LINK:
+        raise ValueError(f"pairs below {LINK} points aren't found")
     f = F.col("f")
-    blocks = F.array_distinct(F.array_compact(F.concat(F.array(F.concat(F.lit("s:"), f["surname"]), F.concat(F.lit("t:"), f["title"]), F.concat(F.lit("g:"), f["given"])), F.transform("variants", lambda v: F.concat(F.lit("v:"), v)))))
-    blocked = people.select(key, F.explode(blocks).alias("block"), F.struct("norm", "f", "chunks", "roles", "variants").alias("p"))
-    a, b = blocked.select(key, "block", F.col("p").alias("a")), blocked.select(key, "block", F.col("p").alias("b"))
-    pairs = a.join(b, [key, "block"]).where("a.norm < b.norm")
-    x, y = F.col("a"), F.col("b")
+    lower = F.array_distinct(F.transform("roles", lambda r: F.lower(r)))
+    spoken = F.array_distinct(F.transform("variants", lambda v: N.norm(v)))
+    own = people.select(key, "norm", "f", "chunks", lower.alias("roles"), spoken.alias("spoken"))
+
+    def tag(kind, *parts):
+        return F.concat_ws("\u0001", F.lit(kind), *parts)
+
+    with_role = lambda kind, x: F.when(x.isNotNull(), F.transform("roles", lambda r: tag(kind, x, r)))
+    single = F.array(F.when(f["surname"].isNotNull(), tag("s", f["surname"])), tag("n", f["normalized"]), F.when(f["title"].isNotNull() & f["given"].isNotNull(), tag("tg", f["title"], f["given"])))
+    empty = F.array().cast("array<string>")
+    several = [F.transform("spoken", lambda v: tag("v", v)), with_role("tr", f["title"]), with_role("gr", f["given"])]
+    blocks = F.array_distinct(F.array_compact(F.concat(single, *[F.coalesce(s, empty) for s in several])))
+    blocked = own.select(key, F.explode(blocks).alias("block"), "norm")
+    same = blocked.alias("x").join(blocked.alias("y"), [key, "block"]).where("x.norm < y.norm").select(key, F.col("x.norm").alias("a"), F.col("y.norm").alias("b"))
+    titled = own.where("f.title IS NOT NULL").select(key, F.col("f.title").alias("title"), "norm", F.col("f.is_generic").alias("alone"))
+    alone = titled.where("alone").alias("x").join(titled.alias("y"), [key, "title"]).where("x.norm <> y.norm").select(key, F.least("x.norm", "y.norm").alias("a"), F.greatest("x.norm", "y.norm").alias("b"))
+    asked = same.union(alone).distinct()
+    facts = lambda n: own.select(key, F.col("norm").alias(n), F.struct("f", "chunks", "roles", "spoken").alias(f"_{n}"))
+    pairs = asked.join(facts("a"), [key, "a"]).join(facts("b"), [key, "b"])
+    x, y = F.col("_a"), F.col("_b")
     fx, fy = x["f"], y["f"]
     eq = lambda u, v: F.coalesce((u == v) & (u != ""), F.lit(False))
-    points = lambda cond, n: F.when(cond, n).otherwise(0)
     common = F.size(F.array_intersect(x["chunks"], y["chunks"]))
-    score = (
-        points(eq(fx["normalized"], fy["normalized"]), 100)
-        + points(eq(fx["base"], fy["base"]) & fx["title"].eqNullSafe(fy["title"]), 95)
-        + points(eq(fx["surname"], fy["surname"]), 40)
-        + points(eq(fx["title"], fy["title"]), 20)
-        + points(eq(fx["given"], fy["given"]), 15)
-        + points(fx["is_generic"] & eq(fx["title"], fy["title"]), 22)
-        + points(fy["is_generic"] & eq(fx["title"], fy["title"]), 22)
-        + F.least(F.lit(20), common * 4)
-        + points(F.arrays_overlap(x["roles"], y["roles"]), 12)
-        + points(F.arrays_overlap(x["variants"], y["variants"]), 50)
-    )
-    return pairs.select(key, x["norm"].alias("a"), y["norm"].alias("b"), score.alias("score")).where(F.col("score") >= least).distinct()
+    same_title = eq(fx["title"], fy["title"])
+    points = [
+        ("exact_normalized_match", fx["normalized"] == fy["normalized"], F.lit(100)),
+        ("same_base_tokens_and_title", eq(fx["base"], fy["base"]) & fx["title"].eqNullSafe(fy["title"]), F.lit(95)),
+        ("same_surname", eq(fx["surname"], fy["surname"]), F.lit(40)),
+        ("same_title", same_title, F.lit(20)),
+        ("same_given_name", eq(fx["given"], fy["given"]), F.lit(15)),
+        ("generic_title_to_titled_name", fx["is_generic"] & same_title, F.lit(22)),
+        ("generic_title_to_titled_name", fy["is_generic"] & same_title, F.lit(22)),
+        ("chunk_overlap", common > 0, F.least(F.lit(20), common * 4)),
+        ("role_overlap", F.arrays_overlap(x["roles"], y["roles"]), F.lit(12)),
+        ("variant_overlap", F.arrays_overlap(x["spoken"], y["spoken"]), F.lit(50)),
+    ]
+    score = reduce(lambda p, q: p + q, [F.when(met, n).otherwise(0) for _, met, n in points])
+    reasons = F.array_compact(F.array(*[F.when(met, reason) for reason, met, _ in points]))
+    return pairs.select(key, "a", "b", score.alias("score"), reasons.alias("reasons")).where(F.col("score") >= least)
 
 
 def clusters(people: DataFrame, pairs: DataFrame, key: str, least: int = 2, most: int = 8) -> DataFrame:
-    """(key, group_no, norm): stars around seeds taken in natural order; used names are skipped, a group keeps its first `most` names.
+    """(key, group_no, member_no, norm, name): stars around seeds taken in natural order; used names are skipped, a group keeps its first `most` names.
 
-    Names beyond `most` stay free and may seed or join a later group. The order decides, so a key's linked names are one fold.
+    Names beyond `most`, a seed too, stay free and may seed or join a later group. The order decides, so a key's linked names are one fold
+    that remembers the names used; with `least` below two, names without links are groups too.
     """
+    place = F.struct(T.natural_key(F.col("name")).alias("n"), F.col("first").alias("first"))
+    names = people.select(key, "norm", "name", place.alias("place"))
     edges = pairs.select(key, "a", "b").union(pairs.select(key, F.col("b").alias("a"), F.col("a").alias("b")))
-    rows = edges.groupBy(key, F.col("a").alias("norm")).agg(F.sort_array(F.collect_set("b")).alias("near"))
-    own = rows.join(people.select(key, "norm", "name"), [key, "norm"])
-    flat = F.array_join(F.transform(T.natural_key(F.col("name")), lambda p: F.concat(F.when(p["n"] >= 0, F.lit("0")).otherwise(F.lit("-")), F.lpad(F.greatest(p["n"], F.lit(0)).cast("string"), 20, "0"), p["s"], F.lit("\u0001"))), "")
-    own = own.withColumn("order", flat).drop("name")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "norm"])
-        place = {n: i for i, n in enumerate(pdf["norm"])}
+    near = edges.join(names.withColumnRenamed("norm", "b"), [key, "b"]).groupBy(key, F.col("a").alias("norm")).agg(F.array_sort(F.collect_list(F.struct("place", F.col("b").alias("norm"), "name"))).alias("near"))
+    own = names.join(near, [key, "norm"], "inner" if least > 1 else "left")
+    # The seed takes its own place among its neighbours, so that the fold has nothing to sort.
+    seated = F.array_sort(F.concat(F.array(F.struct("place", "norm", "name")), F.coalesce("near", F.array().cast(near.schema["near"].dataType))))
+    rows = own.select(key, "place", "norm", F.transform(seated, lambda r: F.struct(r["norm"].alias("norm"), r["name"].alias("name"))).alias("star"))
+
+    def begin():
         used: set[str] = set()
-        out = []
-        for norm, near in zip(pdf["norm"], pdf["near"], strict=True):
-            if norm in used:
-                continue
-            group = sorted([norm, *[n for n in near if n not in used and n in place]], key=place.get)
+        made = 0
+
+        def step(row: dict):
+            nonlocal made
+            if row["norm"] in used:
+                return
+            group = [m for m in row["star"] if m["norm"] not in used]
             if len(group) >= least:
-                group = group[:most]
-                used.update(group)
-                out.append(group)
-        got = [(i, n) for i, g in enumerate(out) for n in g]
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(got), "group_no": [i for i, _ in got], "norm": [n for _, n in got]})
+                for i, m in enumerate(group[:most]):
+                    used.add(m["norm"])
+                    yield row[key], made, i, m["norm"], m["name"]
+                made += 1
 
-    return own.groupBy(key).applyInPandas(fold, f"{key} {own.schema[key].dataType.simpleString()}, group_no bigint, norm string")
+        return step
+
+    return folds.streamed(rows, [key], ["place"], begin, f"`{key}` {rows.schema[key].dataType.simpleString()}, group_no bigint, member_no int, norm string, name string")
+
+
+def payloads(people: DataFrame, groups: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """(key, group_no, payload): a group's members with what is known of them, as the JSON that an adjudicating model is asked with.
+
+    pairing_reasons holds the reasons of all names that the group's pairs with its seed link; here of the members that are left.
+    """
+    f = F.col("f")
+    member = F.struct("name", F.col("norm").alias("normalized"), f["title"].alias("title"), f["surname"].alias("surname"), f["given"].alias("given"), f["is_generic"].alias("is_generic"), "roles", "chunks", "variants", "accents", "sources")
+    own = groups.join(people.drop("name", "first"), [key, "norm"])
+    members = own.groupBy(key, "group_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("member_no", member.alias("m")))), lambda r: r["m"]).alias("members"))
+    x, y = (groups.select(key, "group_no", F.col("norm").alias(n), F.col("name").alias(f"{n}_name")) for n in ("a", "b"))
+    why = pairs.join(x, [key, "a"]).join(y, [key, "group_no", "b"]).select(key, "group_no", "a_name", "b_name", "score", "reasons")
+    reasons = why.groupBy(key, "group_no").agg(F.array_sort(F.collect_list(F.struct("a_name", "b_name", "score", "reasons"))).alias("pairing_reasons"))
+    group_id = F.concat(F.lit("group_"), T.padded(F.col("group_no"), 3))
+    out = members.join(reasons, [key, "group_no"], "left").withColumn("group_id", group_id)
+    return out.select(key, "group_no", F.to_json(F.struct("group_id", "members", "pairing_reasons")).alias("payload"))
+
+
+ANSWER = "canonical_name string, merge boolean, confidence string, members_to_merge array<string>, members_to_keep_separate array<string>, reasons array<string>"
+
+
+def adjudicated(people: DataFrame, groups: DataFrame, pairs: DataFrame, key: str, model) -> DataFrame:
+    """(key, group_no, raw, error, canonical_name, merge, confidence, members_to_merge, members_to_keep_separate, reasons), one call of the model per group.
+
+    model: a function payload -> text, run on the executors; SYSTEM holds what it is to be told. An answer that holds no JSON object gives an
+    error and no merge. Where it names no canonical name, group_label's rule chooses one of the members.
+    """
+    asked = payloads(people, groups, pairs, key)
+
+    def call(batches):
+        for pdf in batches:
+            out = []
+            for payload in pdf["payload"]:
+                try:
+                    out.append((model(payload), None))
+                except Exception as e:  # what a model client raises is unknown; the failure is the row's result
+                    out.append((None, f"{type(e).__name__}: {e}"))
+            yield pdf[[key, "group_no"]].assign(raw=[r for r, _ in out], error=[e for _, e in out])
+
+    rows = asked.mapInPandas(call, f"`{key}` {asked.schema[key].dataType.simpleString()}, group_no bigint, raw string, error string")
+    v = F.col("v")
+    lists = [F.array_distinct(jsonx.strings(v, f"$.{x}")).alias(x) for x in ("members_to_merge", "members_to_keep_separate", "reasons")]
+    answers = rows.withColumn("v", jsonx.recover(T.strip(F.col("raw")))).select(
+        key, "group_no", "raw", F.coalesce("error", F.when(v.isNull(), "no JSON object in the answer")).alias("error"),
+        F.nullif(T.strip(jsonx.string(v, "$.canonical_name")), F.lit("")).alias("named"), jsonx.truthy(v, "$.merge").alias("merge"),
+        F.when(jsonx.get(v, "$.confidence").isNull(), "review").otherwise(jsonx.shown(jsonx.get(v, "$.confidence"))).alias("confidence"), *lists,
+    )
+    return canonical(answers, groups, key)
+
+
+def canonical(answers: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """answers(key, group_no, named, ...) with canonical_name: the name given, else the member that group_label's rule chooses."""
+    f = N.form(F.col("name"), N.RESOLVER_TITLES, N.RESOLVER_GENERIC)
+    size = F.when(f["base"] == "", 0).otherwise(F.size(F.split(f["base"], " ")))
+    rank = F.struct(f["title"].isNotNull().cast("int") + size, F.length("name"), -F.col("member_no"))
+    label = groups.groupBy(key, "group_no").agg(F.max_by("name", rank).alias("_label"))
+    return answers.join(label, [key, "group_no"], "left").withColumn("canonical_name", F.coalesce("named", "_label")).drop("named", "_label")
+
+
+# What an adjudicating model is told, in short.
+SYSTEM = """You decide which names in a group stand for one character of a book.
+Answer with one JSON object: canonical_name, merge, confidence, members_to_merge, members_to_keep_separate, reasons.
+Merge only names that the evidence ties together; keep the others separate."""
 
 
 def resolution_map(responses: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, norm, canonical_name, confidence): of merged groups' variants the last written wins. responses: keys, group_no, merge, canonical_name, confidence, members_to_merge."""
-    rows = responses.where("merge").select(*keys, "group_no", "canonical_name", "confidence", F.posexplode("members_to_merge").alias("i", "variant"))
-    last = F.max_by(F.struct("canonical_name", "confidence"), F.struct("group_no", "i"))
-    return rows.withColumn("norm", N.norm(F.col("variant"))).where("norm <> ''").groupBy(*keys, "norm").agg(last.alias("r")).select(*keys, "norm", "r.*")
+    """(keys, norm, variant, canonical_name, confidence, reasons): of merged groups' variants the last written wins.
+
+    responses: keys, group_no, merge, canonical_name, confidence, members_to_merge and, if known, reasons. Variants needn't be members of
+    the group; an empty normal form is a key like any other.
+    """
+    why = F.col("reasons") if "reasons" in responses.columns else F.array().cast("array<string>")
+    rows = responses.where("merge").select(*keys, "group_no", "canonical_name", "confidence", why.alias("reasons"), F.posexplode("members_to_merge").alias("i", "variant"))
+    last = F.max_by(F.struct("variant", "canonical_name", "confidence", "reasons"), F.struct("group_no", "i"))
+    return rows.withColumn("norm", N.norm(F.col("variant"))).where("norm IS NOT NULL").groupBy(*keys, "norm").agg(last.alias("r")).select(*keys, "norm", "r.*")
 
 
 def resolved(names: DataFrame, variants: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -99,15 +234,17 @@ def resolved(names: DataFrame, variants: DataFrame, keys: list[str], name: str)
 
 
 def annotated(dossiers: DataFrame, variants: DataFrame, keys: list[str], surface: str = "variants", name: str = "canonical_name") -> DataFrame:
-    """dossiers with resolved_name and resolution_confidence from the first of their surface variants that is mapped; else the name and null.
+    """dossiers with resolved_name, resolution_confidence and resolution_reasons from the first of their surface variants that is mapped; else the name and nulls.
 
     dossiers need a column `group_no` that, with the keys, tells them apart.
     """
     ids = [*keys, "group_no"]
     each = dossiers.select(*ids, F.posexplode(surface).alias("i", "_v")).withColumn("norm", N.norm(F.col("_v")))
-    known = variants.select(*keys, "norm", F.col("canonical_name").alias("_c"), "confidence")
-    first = each.join(known, [*keys, "norm"]).groupBy(*ids).agg(F.min_by(F.struct("_c", "confidence"), "i").alias("_r"))
-    return dossiers.join(first, ids, "left").withColumn("resolved_name", F.coalesce("_r._c", name)).withColumn("resolution_confidence", F.col("_r.confidence")).drop("_r")
+    why = F.col("reasons") if "reasons" in variants.columns else F.lit(None).cast("array<string>")
+    known = variants.select(*keys, "norm", F.col("canonical_name").alias("_c"), "confidence", why.alias("_w"))
+    first = each.join(known, [*keys, "norm"]).groupBy(*ids).agg(F.min_by(F.struct("_c", "confidence", "_w"), "i").alias("_r"))
+    out = dossiers.join(first, ids, "left").withColumn("resolved_name", F.coalesce("_r._c", name))
+    return out.withColumn("resolution_confidence", F.col("_r.confidence")).withColumn("resolution_reasons", F.col("_r._w")).drop("_r")
 
 
 def resolution_report(groups: DataFrame, responses: DataFrame, variants: DataFrame, keys: list[str]) -> DataFrame:

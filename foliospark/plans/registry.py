@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.functions import jsonx, names
 from foliospark.functions import text as T
-from foliospark.operators import ingest, jobs, merge, passes, report, resolve
+from foliospark.operators import book, control, ingest, jobs, merge, passes, report, resolve
 from foliospark.streaming import runlog
 
 QUERIES: dict = {}
@@ -30,16 +32,57 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-NORM_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({c})), '[\x22''‘’“”`]', '', 'g'), '[^a-z0-9\s_.-]', '', 'g'), '[\s_-]+', ' ', 'g'))"
-LINES_SQL = r"""
-d AS (SELECT doc_id, regexp_replace(translate(text, chr(8216) || chr(8217) || chr(8220) || chr(8221) || chr(8211) || chr(160), '''''""- '), '\r\n?', chr(10), 'g') AS t FROM documents),
+def _talk(spark, d):
+    """Conversations as books and turns as chunks, repeated turns in the order of role and text; turns without a conversation are book -1."""
+    own = t(spark, d, "conversations").withColumn("book", F.coalesce("conv_id", F.lit(-1)))
+    place = F.row_number().over(W.partitionBy("book").orderBy("turn", "role", "text")) - 1
+    return own.select("book", place.alias("pos"), "text", "role")
+
+
+TALK_SQL = "t AS (SELECT coalesce(conv_id, -1) AS book, CAST(row_number() OVER (PARTITION BY coalesce(conv_id, -1) ORDER BY turn, role, text) - 1 AS INTEGER) AS pos, text, role FROM conversations)"
+
+
+NORM_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(trim({c})), '`', ''''), '[\x22''‘’]', '', 'g'), '[^a-z0-9\s_.-]', '', 'g'), '[\s_-]+', ' ', 'g'))"
+CHAPTER_SQL, PART_SQL = r"(?i)^[ \t]*chapter[ \t]+[ivxlcdm0-9]+(?:[^\p{L}\p{N}_]|$)", r"(?i)^[ \t]*part[ \t]+[\p{L}\p{N}_]+"
+SCENE_SQL, TOC_SQL = r"^[ \t]*(?:\*[ \t]*\*[ \t]*\*|-[ \t]*-[ \t]*-|•[ \t]*•[ \t]*•)[ \t]*$", r"\.{3,}[ \t]*[0-9]+[ \t]*$"
+STRIP_SQL = r"regexp_replace({c}, '^[ \t\r\n\f\x0B]+|[ \t\r\n\f\x0B]+$', '', 'g')"
+
+
+def heading_sql(s: str) -> str:
+    return rf"{s} <> '' AND (regexp_matches({s}, '{CHAPTER_SQL}') OR regexp_matches({s}, '{PART_SQL}') OR (length({s}) <= 90 AND {s} = upper({s}) AND regexp_matches({s}, '[A-Z]')))"
+
+
+def lines_sql(text: str = "text") -> str:
+    """Tables d (texts in plain form), s (lines), r (repeated lines) and h (lines with flags)."""
+    return rf"""
+d AS (SELECT doc_id, regexp_replace(translate({text}, chr(8216) || chr(8217) || chr(8220) || chr(8221) || chr(8211) || chr(160), '''''""- '), '\r\n?', chr(10), 'g') AS t FROM documents),
 l AS (SELECT doc_id, unnest(range(len(string_split(t, chr(10))))) AS line_no, unnest(string_split(t, chr(10))) AS line FROM d),
-s AS (SELECT *, regexp_replace(line, '^[ \t\r\n\f\x0B]+|[ \t\r\n\f\x0B]+$', '', 'g') AS stripped FROM l),
+s AS (SELECT *, {STRIP_SQL.format(c='line')} AS stripped FROM l),
 r AS (SELECT doc_id, stripped, count(*) AS cnt FROM s WHERE stripped <> '' AND length(stripped) <= 120
-      AND NOT regexp_matches(stripped, '(?i)^[ \t]*chapter[ \t]+[ivxlcdm0-9]+(?:[^\p{L}\p{N}_]|$)') AND NOT regexp_matches(stripped, '(?i)^[ \t]*part[ \t]+[\p{L}\p{N}_]+') GROUP BY ALL HAVING count(*) >= 3),
-h AS (SELECT s.*, stripped <> '' AND (regexp_matches(stripped, '(?i)^[ \t]*chapter[ \t]+[ivxlcdm0-9]+(?:[^\p{L}\p{N}_]|$)') OR regexp_matches(stripped, '(?i)^[ \t]*part[ \t]+[\p{L}\p{N}_]+')
-      OR (length(stripped) <= 90 AND stripped = upper(stripped) AND regexp_matches(stripped, '[A-Z]'))) AS heading,
-      regexp_matches(stripped, '(?i)^[ \t]*(?:page[ \t]+[0-9]+|[0-9]+/[0-9]+|[0-9]+)[ \t]*$') AS page_marker FROM s)"""
+      AND NOT regexp_matches(stripped, '{CHAPTER_SQL}') AND NOT regexp_matches(stripped, '{PART_SQL}') GROUP BY ALL HAVING count(*) >= 3),
+h AS (SELECT s.*, {heading_sql('stripped')} AS heading, regexp_matches(stripped, '(?i)^[ \t]*(?:page[ \t]+[0-9]+|[0-9]+/[0-9]+|[0-9]+)[ \t]*$') AS page_marker FROM s)"""
+
+
+LINES_SQL = lines_sql()
+
+
+def folded_sql(lines: str) -> str:
+    """Tables ending in para (doc_id, para_no, kind, text) from lines (doc_id, line_no, stripped, heading)."""
+    return rf"""
+k AS (SELECT *, CASE WHEN heading THEN 'heading' WHEN regexp_matches(stripped, '{SCENE_SQL}') THEN 'scene_break' WHEN regexp_matches(stripped, '{TOC_SQL}') THEN 'toc' END AS kind FROM {lines}),
+o AS (SELECT *, stripped = '' OR kind IS NOT NULL OR coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) IS NOT NULL, false) AS opens FROM k),
+i AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM o),
+g AS (SELECT doc_id, island, max(kind) AS kind, string_agg(stripped, ' ' ORDER BY line_no) AS raw FROM i WHERE stripped <> '' GROUP BY ALL),
+para AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS INTEGER) AS para_no, coalesce(kind, 'text') AS kind,
+ CASE WHEN kind IS NULL THEN trim(regexp_replace(raw, '[ \t\r\n\f\x0B]+', ' ', 'g')) ELSE raw END AS text FROM g)"""
+
+
+def clean_sql(text: str = "text") -> str:
+    """lines_sql() and, of the lines that stay, the paragraphs; m has all lines with rep, whether they are repeated headers."""
+    return rf"""{lines_sql(text)}, m AS (SELECT h.*, NOT page_marker AND r.cnt IS NOT NULL AND NOT heading AS rep FROM h LEFT JOIN r USING (doc_id, stripped)),
+kt AS (SELECT doc_id, regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '([A-Za-z])-\n([a-z])', '\1\2', 'g') AS t FROM m WHERE NOT page_marker AND NOT rep GROUP BY doc_id),
+kl AS (SELECT doc_id, unnest(range(len(string_split(t, chr(10))))) AS line_no, {STRIP_SQL.format(c='unnest(string_split(t, chr(10)))')} AS stripped FROM kt),
+kh AS (SELECT *, {heading_sql('stripped')} AS heading FROM kl),{folded_sql('kh')}"""
 
 
 @query(rf"SELECT doc_id, CAST(len(regexp_extract_all(text, '{WORD}')) AS BIGINT) AS n_words, CAST(length(text) AS BIGINT) AS n_code_points FROM documents")
@@ -57,17 +100,30 @@ def norm_names(spark, d):
     return t(spark, d, "customer").select("c_custkey", names.norm(F.col("c_name")).alias("norm"))
 
 
-TITLES_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in names.TITLES.items()) + "}"
-TITLED = "CASE p_size % 4 WHEN 0 THEN 'Dr. ' WHEN 1 THEN 'the Capt. ' WHEN 2 THEN 'Miss ' ELSE '' END || p_name"
+# The tables that names are told by, for the SQL alone.
+TITLES_SQL = """MAP {'dr': 'doctor', 'dr.': 'doctor', 'doctor': 'doctor', 'mr': 'mr', 'mr.': 'mr', 'mister': 'mr', 'mrs': 'mrs', 'mrs.': 'mrs', 'missus': 'mrs',
+ 'miss': 'miss', 'ms': 'ms', 'ms.': 'ms', 'capt': 'captain', 'capt.': 'captain', 'capn': 'captain', 'captain': 'captain', 'sir': 'sir', 'lady': 'lady', 'lord': 'lord',
+ 'prof': 'professor', 'prof.': 'professor', 'professor': 'professor', 'rev': 'reverend', 'rev.': 'reverend', 'reverend': 'reverend'{more}}}"""
+GENERIC_SQL = "('doctor', 'captain', 'mr', 'mrs', 'miss', 'ms', 'professor', 'reverend', 'sir', 'lady', 'lord', 'narrator', 'mother', 'father', 'boy', 'girl', 'man', 'woman', 'stranger', 'innkeeper'{more})"
+TITLED = (
+    "CASE p_partkey % 11 WHEN 0 THEN 'Dr. ' || p_name WHEN 1 THEN 'the Capt. ' || p_name WHEN 2 THEN 'Miss ' || split_part(p_name, ' ', 2) WHEN 3 THEN 'Doctor ' || split_part(p_name, ' ', 2) "
+    "WHEN 4 THEN 'the Doctor' WHEN 5 THEN 'captain' WHEN 6 THEN 'The ' || p_name WHEN 7 THEN 'Squire ' || split_part(p_name, ' ', 2) WHEN 8 THEN 'the stranger' WHEN 9 THEN 'Stranger' ELSE p_name END"
+)
+ROLE = "CASE p_size % 4 WHEN 0 THEN 'Ship Surgeon' WHEN 1 THEN 'innkeeper' WHEN 2 THEN 'an old sailor' END"
+
 
+def forms_sql(rows: str, out: str, more_titles: str = "", more_words: str = "", name: str = "name") -> str:
+    """Table `out`: rows with n (normalized), t (title), b (base), s (surname), g (given), alone (generic) of a name."""
+    titles, words = TITLES_SQL.replace("{more}}", more_titles + "}").replace("}}", "}"), GENERIC_SQL.replace("{more}", more_words)
+    return rf"""
+{out}_n AS (SELECT *, {NORM_SQL.format(c=name)} AS norm FROM {rows}),
+{out}_k AS (SELECT *, list_transform(list_filter(string_split(regexp_replace(norm, '^(the( |$))+', ''), ' '), lambda x: x <> ''), lambda x: coalesce({titles}[x], x)) AS tok FROM {out}_n),
+{out}_f AS (SELECT *, array_to_string(tok, ' ') AS n, CASE WHEN list_contains(map_values({titles}), tok[1]) THEN tok[1] END AS t FROM {out}_k),
+{out}_b AS (SELECT *, CASE WHEN t IS NULL THEN tok ELSE tok[2:] END AS base FROM {out}_f),
+{out} AS (SELECT *, array_to_string(base, ' ') AS b, base[-1] AS s, CASE WHEN len(base) > 1 THEN base[1] END AS g, (len(base) = 0 AND t IS NOT NULL) OR n IN {words} AS alone FROM {out}_b)"""
 
-@query(rf"""
-WITH n AS (SELECT p_partkey, {NORM_SQL.format(c='(' + TITLED + ')')} AS normalized FROM part),
-k AS (SELECT *, list_transform(list_filter(string_split(normalized, ' '), lambda x: x <> '' AND x <> 'the'), lambda x: coalesce({TITLES_SQL}[x], x)) AS tok FROM n),
-f AS (SELECT *, CASE WHEN list_contains(map_values({TITLES_SQL}), tok[1]) THEN tok[1] END AS title FROM k),
-b AS (SELECT *, CASE WHEN title IS NULL THEN tok ELSE tok[2:] END AS base FROM f)
-SELECT p_partkey, normalized, title, array_to_string(base, ' ') AS base, base[-1] AS surname, CASE WHEN len(base) > 1 THEN base[1] END AS given,
- (len(base) = 0 AND title IS NOT NULL) OR array_to_string(tok, ' ') IN {names.GENERIC!r} AS is_generic FROM b""")
+
+@query(f"WITH {forms_sql('part', 'f', name='(' + TITLED + ')')} SELECT p_partkey, n AS normalized, t AS title, b AS base, s AS surname, g AS given, alone AS is_generic FROM f")
 def name_forms(spark, d):
     return t(spark, d, "part").select("p_partkey", names.form(F.expr(TITLED)).alias("f")).select("p_partkey", "f.*")
 
@@ -83,56 +139,119 @@ def repeated_lines(spark, d):
     return ingest.repeated_lines(ingest.lines(t(spark, d, "documents")))
 
 
-@query("WITH" + LINES_SQL + rf""", k AS (SELECT h.*, NOT page_marker AND r.cnt IS NOT NULL AND NOT heading AS rep FROM h LEFT JOIN r USING (doc_id, stripped))
+CLEAN_STATS_SQL = rf""", x AS (SELECT doc_id, CAST(sum(length(text)) + 2 * count(*) - 1 AS BIGINT) AS clean_char_count, CAST(sum(len(regexp_extract_all(text, '{WORD}'))) AS BIGINT) AS clean_word_count FROM para GROUP BY doc_id)
 SELECT doc_id, count(*) AS n_lines, count_if(page_marker)::BIGINT AS removed_page_markers, count_if(rep)::BIGINT AS removed_repeated_headers,
  CAST(sum(length(line)) + count(*) - 1 AS BIGINT) AS raw_char_count, CAST(sum(len(regexp_extract_all(line, '{WORD}'))) AS BIGINT) AS raw_word_count,
- CAST(coalesce(sum(CASE WHEN NOT page_marker AND NOT rep THEN len(regexp_extract_all(line, '{WORD}')) END), 0) AS BIGINT) AS kept_word_count FROM k GROUP BY doc_id""")
+ coalesce(any_value(clean_char_count), 1) AS clean_char_count, coalesce(any_value(clean_word_count), 0) AS clean_word_count FROM m LEFT JOIN x USING (doc_id) GROUP BY doc_id"""
+
+
+@query("WITH" + clean_sql() + CLEAN_STATS_SQL)
 def clean_stats(spark, d):
     return ingest.clean_stats(t(spark, d, "documents"))
 
 
+#: Documents as books: blank lines, parts, chapters, scene breaks, dot leaders, front matter, page numbers, running heads and broken words.
+BOOK = (
+    "CASE WHEN doc_id % 3 = 0 THEN 'Contents' || chr(10) || chr(10) || 'PART ' || source || chr(10) ELSE '' END || "
+    "replace(replace(replace(replace(replace(replace(text, ', of', chr(10) || '* * *' || chr(10) || 'of'), ', in', chr(10) || 'Chapter 7 ..... 12' || chr(10) || 'in'), ', er', chr(10) || 'part two' || chr(10) || 'er'), "
+    "', la', chr(10) || 'CHAPTER IV' || chr(10) || 'la'), '. ', '.' || chr(10) || chr(10) || 'My Header' || chr(10) || '3' || chr(10)), ' th', '-' || chr(10) || 'th')"
+)
+
+
+def _books(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.expr(BOOK.replace("chr(10)", "'\\n'")).alias("text"))
+
+
+@query("WITH" + clean_sql(BOOK) + CLEAN_STATS_SQL)
+def book_clean_stats(spark, d):
+    return ingest.clean_stats(_books(spark, d))
+
+
+@query("WITH" + clean_sql(BOOK) + " SELECT doc_id, para_no, kind, text FROM para")
+def book_paragraphs(spark, d):
+    return ingest.clean_paragraphs(_books(spark, d))
+
+
+def chunks_sql(least: int, target: int, most: int) -> str:
+    """Tables ending in chunk (doc_id, chunk_no, start, size, words, part, chapter) from para; a step of c is a paragraph."""
+    full = f"NOT ch AND NOT sc AND ends AND nw >= {target}"
+    return rf"""
+p AS (SELECT doc_id, para_no, text, CAST(len(regexp_extract_all(text, '{WORD}')) AS BIGINT) AS w, regexp_matches(text, '{CHAPTER_SQL}') AS ch, regexp_matches(text, '{PART_SQL}') AS pt,
+ regexp_matches(text, '{SCENE_SQL}') AS sc, regexp_matches(text, '[.\x22'']$') OR {heading_sql('text')} AS ends FROM para),
+c AS (
+ SELECT doc_id, -1 AS i, 0 AS start, 0::BIGINT AS words, NULL::INT AS part, NULL::INT AS chapter, NULL::STRUCT(start INT, size INT, words BIGINT, part INT, chapter INT) AS early, NULL::STRUCT(start INT, size INT, words BIGINT, part INT, chapter INT) AS late FROM (SELECT DISTINCT doc_id FROM p)
+ UNION ALL
+ SELECT doc_id, i, CASE WHEN {full} THEN i + 1 ELSE ns END, CASE WHEN {full} THEN 0 ELSE nw END, np, nc,
+  CASE WHEN before THEN {{'start': start, 'size': i - start, 'words': words, 'part': np, 'chapter': chapter}} END, CASE WHEN {full} THEN {{'start': ns, 'size': i + 1 - ns, 'words': nw, 'part': np, 'chapter': nc}} END
+ FROM (SELECT *, CASE WHEN before THEN i ELSE start END AS ns, CASE WHEN before THEN w ELSE words + w END AS nw FROM (
+  SELECT c.doc_id, p.para_no AS i, c.start, c.words, c.chapter, p.w, p.ch, p.sc, p.ends, CASE WHEN p.pt THEN p.para_no ELSE c.part END AS np, CASE WHEN p.ch THEN p.para_no ELSE c.chapter END AS nc,
+   p.para_no > c.start AND CASE WHEN p.ch THEN c.words >= {least} WHEN p.sc THEN c.words >= {target} ELSE c.words + p.w > {most} END AS before FROM c JOIN p ON p.doc_id = c.doc_id AND p.para_no = c.i + 1))),
+lastc AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1),
+cuts AS (SELECT doc_id, early AS k FROM c WHERE early IS NOT NULL UNION ALL SELECT doc_id, late FROM c WHERE late IS NOT NULL
+ UNION ALL SELECT doc_id, {{'start': start, 'size': i + 1 - start, 'words': words, 'part': part, 'chapter': chapter}} FROM lastc WHERE i + 1 > start),
+chunk AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k.start) - 1 AS INTEGER) AS chunk_no, k.* FROM cuts)"""
+
+
+RECORDS_SQL = rf""", j AS (SELECT c.doc_id, c.chunk_no, any_value(c.words) AS words, any_value(c.part) AS part, any_value(c.chapter) AS chapter, count(*) AS n_paragraphs, string_agg(p.text, chr(10) || chr(10) ORDER BY p.para_no) || chr(10) AS text,
+ bool_or(regexp_matches(p.text, '{TOC_SQL}') OR (ch AND regexp_matches(p.text, '(?:^|[^\p{{L}}\p{{N}}_])[0-9]+[ \t]*$'))) AS toc,
+ bool_or(lower(p.text) IN ('contents', 'table of contents', 'preface', 'introduction', 'copyright', 'title page')) AS front FROM chunk c JOIN p ON p.doc_id = c.doc_id AND p.para_no >= c.start AND p.para_no < c.start + c.size GROUP BY ALL),
+e AS (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY chunk_no) AS stop FROM j)
+SELECT e.doc_id, chunk_no, 'chunk_' || CASE WHEN chunk_no < 1000 THEN lpad(CAST(chunk_no AS VARCHAR), 3, '0') ELSE CAST(chunk_no AS VARCHAR) END AS chunk_id, sha256(e.text) AS text_sha256, CAST(n_paragraphs AS INTEGER) AS n_paragraphs, words AS word_count, CAST(length(e.text) AS BIGINT) AS char_count,
+ CAST(stop - length(e.text) AS BIGINT) AS start_offset, CAST(stop AS BIGINT) AS end_offset, CAST(stop - length(e.text) + chunk_no AS BIGINT) AS true_start, a.text AS part_hint, b.text AS chapter_hint, toc AS contains_toc_like_content, front AS contains_front_matter,
+ concat_ws('|', CASE WHEN words < {{least}} THEN 'short_chunk' END, CASE WHEN toc THEN 'toc_like_content' END, CASE WHEN front THEN 'front_matter_like' END) AS warnings
+FROM e LEFT JOIN p a ON a.doc_id = e.doc_id AND a.para_no = e.part LEFT JOIN p b ON b.doc_id = e.doc_id AND b.para_no = e.chapter"""
+
+
+@query("WITH RECURSIVE" + clean_sql(BOOK) + "," + chunks_sql(10, 40, 60) + RECORDS_SQL.replace("{least}", "10"))
+def book_chunks(spark, d):
+    """The ingest path: lines filtered, words rejoined, paragraphs folded and cut into chunks with their metrics and hints."""
+    got = ingest.chunk_records(ingest.cleaned(_books(spark, d)), least=10, target=40, most=60)
+    return got.withColumn("text_sha256", F.sha2("text", 256)).withColumn("warnings", F.array_join("warnings", "|")).drop("text")
+
+
+@query("WITH RECURSIVE" + clean_sql(BOOK) + "," + chunks_sql(10, 40, 60) + " SELECT doc_id, count(*) AS chunk_count, CAST(sum(words) AS BIGINT) AS total_chunk_words, round_even(CAST(sum(words) AS DOUBLE) / count(*), 2) AS avg_chunk_words FROM chunk GROUP BY doc_id")
+def chunk_stats(spark, d):
+    return ingest.chunk_stats(ingest.chunk_records(ingest.cleaned(_books(spark, d)), least=10, target=40, most=60))
+
+
+@query("WITH" + clean_sql(BOOK) + rf""", v AS (SELECT doc_id, para_no, text, CASE WHEN regexp_matches(text, '{PART_SQL}') THEN 'parts' WHEN regexp_matches(text, '{CHAPTER_SQL}') THEN 'chapters' WHEN regexp_matches(text, '{SCENE_SQL}') THEN 'scene_breaks' END AS kind FROM para),
+f AS (SELECT doc_id, kind, text, min(para_no) AS first FROM v GROUP BY ALL), a AS (SELECT doc_id, kind, string_agg(text, '|' ORDER BY first) AS x FROM f GROUP BY ALL)
+SELECT doc_id, coalesce(max(x) FILTER (kind = 'parts'), '') AS parts, coalesce(max(x) FILTER (kind = 'chapters'), '') AS chapters, coalesce(max(x) FILTER (kind = 'scene_breaks'), '') AS scene_breaks FROM documents LEFT JOIN a USING (doc_id) GROUP BY doc_id""")
+def structure_hints(spark, d):
+    got = ingest.structure_hints(ingest.cleaned(_books(spark, d)))
+    return got.select("doc_id", *[F.array_join(k, "|").alias(k) for k in ("parts", "chapters", "scene_breaks")])
+
+
 @query("WITH" + LINES_SQL + " SELECT doc_id, count_if(heading)::BIGINT AS headings, count_if(page_marker)::BIGINT AS page_markers, count_if(stripped = '')::BIGINT AS blanks FROM h GROUP BY doc_id")
 def line_kinds(spark, d):
     s = F.col("stripped")
     return ingest.lines(t(spark, d, "documents")).groupBy("doc_id").agg(F.count_if(T.is_heading(s)).alias("headings"), F.count_if(s.rlike(T.PAGE_MARKER)).alias("page_markers"), F.count_if(s == "").alias("blanks"))
 
 
-@query("WITH" + LINES_SQL + r""", k AS (SELECT *, CASE WHEN heading THEN 'heading' WHEN regexp_matches(stripped, '^[ \t]*(?:\*[ \t]*\*[ \t]*\*|-[ \t]*-[ \t]*-|•[ \t]*•[ \t]*•)[ \t]*$') THEN 'scene_break'
- WHEN regexp_matches(stripped, '\.{3,}[ \t]*[0-9]+[ \t]*$') THEN 'toc' END AS kind FROM h),
-o AS (SELECT *, stripped = '' OR kind IS NOT NULL OR coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) IS NOT NULL, false) AS opens FROM k),
-i AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM o),
-g AS (SELECT doc_id, island, max(kind) AS kind, string_agg(stripped, ' ' ORDER BY line_no) AS raw FROM i WHERE stripped <> '' GROUP BY ALL)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS INTEGER) AS para_no, coalesce(kind, 'text') AS kind,
- CASE WHEN kind IS NULL THEN trim(regexp_replace(raw, '[ \t\r\n\f\x0B]+', ' ', 'g')) ELSE raw END AS text FROM g""")
+@query("WITH" + LINES_SQL + "," + folded_sql("h") + " SELECT doc_id, para_no, kind, text FROM para")
 def paragraph_fold(spark, d):
-    return ingest.paragraphs(ingest.lines(t(spark, d, "documents")))
+    return ingest.paragraphs(t(spark, d, "documents"))
 
 
-PARA_SQL = LINES_SQL + rf""", p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS i, stripped AS text, CAST(len(regexp_extract_all(stripped, '{WORD}')) AS BIGINT) AS w,
- regexp_matches(stripped, '["''.]$') OR heading AS ends FROM h WHERE stripped <> ''),
-c AS (SELECT doc_id, i, w, 0 AS chunk_no, CASE WHEN w >= 40 AND ends THEN 0 ELSE w END AS words, NOT (w >= 40 AND ends) AS filled, (w >= 40 AND ends) AS closed FROM p WHERE i = 0
- UNION ALL
- SELECT doc_id, i, w, no, CASE WHEN n >= 40 AND ends THEN 0 ELSE n END, NOT (n >= 40 AND ends), n >= 40 AND ends FROM (
-  SELECT p.doc_id, p.i, p.w, p.ends, c.chunk_no + CASE WHEN c.closed OR (c.filled AND c.words + p.w > 60) THEN 1 ELSE 0 END AS no,
-   CASE WHEN c.filled AND c.words + p.w > 60 THEN p.w ELSE c.words + p.w END AS n FROM c JOIN p ON p.doc_id = c.doc_id AND p.i = c.i + 1))"""
+LINE_PARAS_SQL = LINES_SQL + ", para AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS INTEGER) AS para_no, stripped AS text FROM s WHERE stripped <> '')"
 
 
 def _line_paragraphs(spark, d):
-    """Each line that isn't blank as a paragraph: the test documents have no blank lines."""
-    own = ingest.lines(t(spark, d, "documents")).where("stripped <> ''")
-    number = F.row_number().over(W.partitionBy("doc_id").orderBy("line_no")) - 1
-    return own.select("doc_id", number.alias("para_no"), F.col("stripped").alias("text"))
+    """Each line that isn't blank as a paragraph."""
+    lines = F.transform(F.split(ingest.plain(F.col("text")), "\n", -1), T.strip)
+    paras = F.transform(F.filter(lines, lambda s: s != ""), lambda s: F.struct(F.lit("text").alias("kind"), s.alias("text")))
+    return t(spark, d, "documents").select("doc_id", paras.alias("paras"))
 
 
-@query("WITH RECURSIVE" + PARA_SQL + " SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(sum(w) AS BIGINT) AS word_count, count(*) AS n_paragraphs FROM c GROUP BY ALL")
+@query("WITH RECURSIVE" + LINE_PARAS_SQL + "," + chunks_sql(10, 40, 60) + " SELECT doc_id, chunk_no, words AS word_count, size AS n_paragraphs FROM chunk")
 def chunk_words(spark, d):
-    got = ingest.chunked(_line_paragraphs(spark, d), least=10, target=40, most=60)
-    return got.groupBy("doc_id", "chunk_no").agg(F.sum(T.word_count(F.col("text"))).alias("word_count"), F.count("*").alias("n_paragraphs"))
+    return ingest.chunk_records(_line_paragraphs(spark, d), least=10, target=40, most=60).select("doc_id", "chunk_no", "word_count", "n_paragraphs")
 
 
-@query()
+@query("WITH RECURSIVE" + LINE_PARAS_SQL + "," + chunks_sql(10, 40, 60) + RECORDS_SQL.replace("{least}", "10"))
 def chunk_records(spark, d):
-    return ingest.chunk_records(ingest.chunked(_line_paragraphs(spark, d), least=10, target=40, most=60), least=10)
+    got = ingest.chunk_records(_line_paragraphs(spark, d), least=10, target=40, most=60)
+    return got.withColumn("text_sha256", F.sha2("text", 256)).withColumn("warnings", F.array_join("warnings", "|")).drop("text")
 
 
 @query(rf"WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '{WORD}')) AS n FROM documents), k AS (SELECT doc_id, n, unnest(range(0, (n - 1) // 100 + 1)) AS chunk_no FROM n WHERE n > 0) SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(least(100, n - chunk_no * 100) AS BIGINT) AS n_words FROM k")
@@ -191,44 +310,113 @@ def timing_rollup(spark, d):
 
 
 @query("""WITH p AS (SELECT doc_id, 'quality' AS pass FROM labels WHERE quality = 1 UNION SELECT doc_id, 'toxic' FROM labels WHERE toxic = 0)
-SELECT w.pass, count(p.doc_id) AS present, count_if(p.doc_id IS NULL)::BIGINT AS missing FROM (SELECT DISTINCT doc_id, pass FROM documents, (VALUES ('quality'), ('toxic')) v(pass)) w LEFT JOIN p USING (doc_id, pass) GROUP BY w.pass""")
+SELECT w.pass, count(p.doc_id) AS present, count_if(p.doc_id IS NULL)::BIGINT AS missing, coalesce(string_agg(CAST(w.doc_id AS VARCHAR), ' ' ORDER BY w.doc_id) FILTER (p.doc_id IS NULL), '') AS missing_ids FROM (SELECT DISTINCT doc_id, pass FROM documents, (VALUES ('quality'), ('toxic')) v(pass)) w LEFT JOIN p USING (doc_id, pass) GROUP BY w.pass""")
 def completeness_missing(spark, d):
     labels = t(spark, d, "labels")
     have = labels.where("quality = 1").select("doc_id", F.lit("quality").alias("pass")).union(labels.where("toxic = 0").select("doc_id", F.lit("toxic")))
-    return merge.completeness(t(spark, d, "documents"), have, ("quality", "toxic"), "doc_id")
+    got = merge.completeness(t(spark, d, "documents"), have, ("quality", "toxic"), "doc_id")
+    return got.withColumn("missing_ids", F.array_join("missing_ids", " "))
 
 
 RULES = (("segment", "segment_conflict", "medium", 1), ("priority", "priority_drift", "low", 2), ("status", "status_conflict", "high", 1))
 
 
-@query("""WITH v AS (SELECT o_custkey AS c, o_orderpriority AS p, o_orderstatus AS s FROM orders)
-SELECT c, 'priority_drift' AS type, 'low' AS severity, count(DISTINCT p) AS n_values FROM v GROUP BY c HAVING count(DISTINCT p) > 2
-UNION ALL SELECT c, 'status_conflict', 'high', count(DISTINCT s) FROM v GROUP BY c HAVING count(DISTINCT s) > 1""")
+@query("""WITH v AS (SELECT o_custkey AS c, 'priority' AS a, o_orderpriority AS v, min(o_orderkey) AS f FROM orders GROUP BY ALL UNION ALL SELECT o_custkey, 'status', o_orderstatus, min(o_orderkey) FROM orders GROUP BY ALL)
+SELECT c, CASE a WHEN 'priority' THEN 'priority_drift' ELSE 'status_conflict' END AS type, CASE a WHEN 'priority' THEN 'low' ELSE 'high' END AS severity, count(*) AS n_values, string_agg(v, '|' ORDER BY f) AS values
+FROM v GROUP BY c, a HAVING count(*) > CASE a WHEN 'priority' THEN 2 ELSE 1 END""")
 def conflict_report(spark, d):
     o = t(spark, d, "orders")
-    values = o.select(F.col("o_custkey").alias("c"), F.lit("priority").alias("attribute"), F.col("o_orderpriority").alias("value")).union(o.select("o_custkey", F.lit("status"), "o_orderstatus"))
-    return merge.conflicts(values, ["c"], RULES)
+    values = o.select(F.col("o_custkey").alias("c"), F.inline(F.array(F.struct(F.lit("priority").alias("attribute"), F.col("o_orderpriority").alias("value")), F.struct(F.lit("status").alias("attribute"), F.col("o_orderstatus").alias("value")))), F.col("o_orderkey").alias("pos"))
+    return merge.conflicts(values, ["c"], RULES).withColumn("values", F.array_join("values", "|"))
 
 
 def _candidates(spark, d):
-    p = t(spark, d, "part").select(F.col("p_brand").alias("book"), F.col("p_partkey").alias("pos"), F.expr(TITLED).alias("name"), F.col("p_type").alias("chunk"), F.col("p_type").alias("role"))
-    return p
+    return t(spark, d, "part").select(F.col("p_brand").alias("book"), F.col("p_partkey").alias("pos"), F.expr(TITLED).alias("name"), F.expr(ROLE).alias("role"))
 
 
-@query()
+CANDIDATES_SQL = f"part_c AS (SELECT p_brand AS book, p_partkey AS pos, {TITLED} AS name, coalesce(lower({ROLE}), '') AS r, p_type AS chunk FROM part)"
+# Whether the roles of two names with the title t don't speak against them.
+FIT_SQL = """CASE {t} WHEN 'doctor' THEN regexp_matches({x} || ' ' || {y}, 'doctor|physician|surgeon|magistrate') OR {x} || {y} = '' WHEN 'captain' THEN regexp_matches({x} || ' ' || {y}, 'captain|sailor|seaman|pirate|buccaneer') OR {x} || {y} = ''
+ WHEN 'professor' THEN regexp_matches({x} || ' ' || {y}, 'professor|teacher') OR {x} || {y} = '' WHEN 'reverend' THEN regexp_matches({x} || ' ' || {y}, 'priest|clergyman|reverend') OR {x} || {y} = '' ELSE true END"""
+
+
+def match_sql(m: str, f: str) -> str:
+    fit = FIT_SQL.format(t=f"{f}.t", x=f"{m}.r", y=f"{f}.r")
+    return f"""CASE WHEN {m}.n = {f}.n THEN 100 WHEN {f}.s IS NOT NULL AND {m}.s = {f}.s AND {m}.t = {f}.t THEN 96 WHEN {f}.s IS NOT NULL AND {m}.s = {f}.s AND ({m}.t IS NULL) <> ({f}.t IS NULL) AND {m}.b = {f}.b THEN 88
+ WHEN {m}.t = {f}.t AND ({f}.alone AND {m}.s IS NOT NULL OR {m}.alone AND {f}.s IS NOT NULL) AND ({fit}) THEN 78 ELSE 0 END"""
+
+
+# Each candidate against all before it, in the order of pos: `held` has a book's members so far.
+FIRST_FIT_SQL = f"""WITH RECURSIVE {CANDIDATES_SQL}, {forms_sql('part_c', 'f')}, q AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY pos) AS i FROM f),
+x AS (
+ SELECT book, pos, name, i, 0::BIGINT AS grp, NULL::STRUCT(pos BIGINT, name VARCHAR, grp BIGINT, score INT) AS target, 1::BIGINT AS made, [{{'pos': pos, 'name': name, 'n': n, 't': t, 'b': b, 's': s, 'alone': alone, 'r': r, 'grp': 0::BIGINT}}] AS held FROM q WHERE i = 1
+ UNION ALL
+ SELECT book, pos, name, i, gr, target, made + CASE WHEN target IS NULL THEN 1 ELSE 0 END, list_append(held, {{'pos': pos, 'name': name, 'n': n, 't': t, 'b': b, 's': s, 'alone': alone, 'r': r, 'grp': gr}}) FROM (
+  SELECT *, hits[1] AS target, coalesce(hits[1].grp, made) AS gr FROM (
+   SELECT q.*, x.made, x.held, list_sort(list_filter(list_transform(x.held, lambda m: {{'grp': m.grp, 'pos': m.pos, 'name': m.name, 'score': {match_sql('m', 'q')}}}), lambda h: h.score > 0)) AS sorted,
+    list_transform(sorted, lambda h: {{'pos': h.pos, 'name': h.name, 'grp': h.grp, 'score': h.score}}) AS hits FROM x JOIN q ON q.book = x.book AND q.i = x.i + 1)))
+"""
+
+
+@query(FIRST_FIT_SQL + """SELECT book, pos, name, grp AS group_no, coalesce(target.pos, -1) AS target_pos, target.name AS target_name, CASE WHEN target.score >= 96 THEN 'safe' WHEN target.score > 0 THEN 'probable' END AS confidence,
+ CASE target.score WHEN 100 THEN 'exact_normalized_match' WHEN 96 THEN 'same_title_same_surname' WHEN 88 THEN 'bare_name_matches_titled_full_name' WHEN 78 THEN 'generic_title_to_single_titled_name_candidate' END AS reason, coalesce(target.score, 0) AS score FROM x""")
 def first_fit_groups(spark, d):
-    rows = _candidates(spark, d).select("book", "pos", "name", F.array(F.lower("role")).alias("roles"))
-    return merge.first_fit(rows, "book")
+    rows = _candidates(spark, d).select("book", "pos", "name", F.array_compact(F.array("role")).alias("roles"))
+    return merge.first_fit(rows, "book").na.fill({"target_pos": -1, "score": 0})
 
 
-@query()
+#: The sources of the pool by part, and the SQL of the pool: names by normal form, each list in the order of source and place.
+POOL_SQL = f"""{CANDIDATES_SQL}, e AS (SELECT c.*, 1 + pos % 5 AS rank FROM part_c c), en AS (SELECT *, {NORM_SQL.format(c='name')} AS pn FROM e),
+first_ AS (SELECT book, pn, arg_min(name, (rank, pos)) AS name, min((rank, pos)) AS first, string_agg(CASE rank WHEN 1 THEN 'entities' WHEN 2 THEN 'entities_normalized' WHEN 3 THEN 'dialogue' WHEN 4 THEN 'dossiers' ELSE 'conflict_report' END, '|' ORDER BY rank, pos) AS sources FROM en GROUP BY ALL),
+attr AS (SELECT book, pn, 'role' AS k, r AS v, min((rank, pos, 0)) AS f FROM en WHERE rank = 4 AND r <> '' GROUP BY ALL UNION ALL SELECT book, pn, 'chunk', chunk, min((rank, pos, 0)) FROM en WHERE rank IN (2, 4, 5) GROUP BY ALL
+ UNION ALL SELECT book, pn, 'variant', v, min((rank, pos, i)) FROM (SELECT *, name AS v, 0 AS i FROM en UNION ALL SELECT *, 'my ' || name, 1 FROM en WHERE rank IN (2, 4, 5)) GROUP BY ALL)"""
+
+
+@query(f"""WITH {POOL_SQL} SELECT p.book, p.pn AS norm, p.name, p.sources, coalesce(string_agg(v, '|' ORDER BY f) FILTER (k = 'role'), '') AS roles, coalesce(string_agg(v, '|' ORDER BY f) FILTER (k = 'chunk'), '') AS chunks,
+ string_agg(v, '|' ORDER BY f) FILTER (k = 'variant') AS variants FROM first_ p LEFT JOIN attr a ON a.book = p.book AND a.pn = p.pn GROUP BY ALL""")
+def character_pool(spark, d):
+    got = _pool(spark, d)
+    return got.select("book", "norm", "name", *[F.array_join(x, "|").alias(x) for x in ("sources", "roles", "chunks", "variants")])
+
+
+def _pool(spark, d):
+    p = t(spark, d, "part").select(F.col("p_brand").alias("book"), F.col("p_partkey").alias("pos"), F.expr(TITLED).alias("name"), F.array_compact(F.array(F.lower(F.expr(ROLE)))).alias("roles"), F.array("p_type").alias("chunks"))
+    p = p.withColumn("variants", F.array(F.concat(F.lit("my "), "name"))).withColumn("surface_variants", F.array("name")).withColumn("accents", F.array().cast("array<string>"))
+    part = lambda i: p.where(F.col("pos") % 5 == i)
+    return resolve.character_pool("book", part(0), part(1).withColumn("canonical", F.col("name")), part(2), part(3), part(4))
+
+
+# All pairs of a book's pool, scored as they stand.
+PAIRS_SQL = f"""{POOL_SQL}, pool AS (SELECT p.*, list(DISTINCT v) FILTER (k = 'role') AS roles, list(DISTINCT v) FILTER (k = 'chunk') AS chunks, list(DISTINCT v) FILTER (k = 'variant') AS variants FROM first_ p LEFT JOIN attr a ON a.book = p.book AND a.pn = p.pn GROUP BY ALL),
+{forms_sql('pool', 'z', ", 'squire': 'squire'", ", 'squire'")},
+zz AS (SELECT *, list_transform(variants, lambda x: {NORM_SQL.format(c='x')}) AS said FROM z),
+pairs AS (SELECT x.book, x.pn AS a, y.pn AS b, x.name AS a_name, y.name AS b_name,
+ CASE WHEN x.n = y.n THEN 100 ELSE 0 END + CASE WHEN x.b <> '' AND x.b = y.b AND x.t IS NOT DISTINCT FROM y.t THEN 95 ELSE 0 END + CASE WHEN x.s = y.s THEN 40 ELSE 0 END + CASE WHEN x.t = y.t THEN 20 ELSE 0 END + CASE WHEN x.g = y.g THEN 15 ELSE 0 END
+ + CASE WHEN x.alone AND x.t = y.t THEN 22 ELSE 0 END + CASE WHEN y.alone AND x.t = y.t THEN 22 ELSE 0 END + least(20, 4 * coalesce(len(list_intersect(x.chunks, y.chunks)), 0)) + CASE WHEN len(list_intersect(x.roles, y.roles)) > 0 THEN 12 ELSE 0 END + CASE WHEN len(list_intersect(x.said, y.said)) > 0 THEN 50 ELSE 0 END AS score,
+ concat_ws('|', CASE WHEN x.n = y.n THEN 'exact_normalized_match' END, CASE WHEN x.b <> '' AND x.b = y.b AND x.t IS NOT DISTINCT FROM y.t THEN 'same_base_tokens_and_title' END, CASE WHEN x.s = y.s THEN 'same_surname' END, CASE WHEN x.t = y.t THEN 'same_title' END,
+  CASE WHEN x.g = y.g THEN 'same_given_name' END, CASE WHEN x.alone AND x.t = y.t THEN 'generic_title_to_titled_name' END, CASE WHEN y.alone AND x.t = y.t THEN 'generic_title_to_titled_name' END, CASE WHEN len(list_intersect(x.chunks, y.chunks)) > 0 THEN 'chunk_overlap' END,
+  CASE WHEN len(list_intersect(x.roles, y.roles)) > 0 THEN 'role_overlap' END, CASE WHEN len(list_intersect(x.said, y.said)) > 0 THEN 'variant_overlap' END) AS reasons
+ FROM zz x JOIN zz y ON x.book = y.book AND x.pn < y.pn)"""
+
+
+@query(f"WITH {PAIRS_SQL} SELECT book, a, b, CAST(score AS INTEGER) AS score, reasons FROM pairs WHERE score >= 45")
 def score_pairs(spark, d):
-    return resolve.scored_pairs(resolve.pool(_candidates(spark, d), "book"), "book")
+    return resolve.scored_pairs(_pool(spark, d), "book").withColumn("reasons", F.array_join("reasons", "|"))
 
 
-@query()
+# Seeds in the order of lower-cased names, which hold no digits; `used` has the names taken so far.
+@query(f"""WITH RECURSIVE {PAIRS_SQL}, both_ AS (SELECT book, a, b FROM pairs WHERE score >= 45 UNION ALL SELECT book, b, a FROM pairs WHERE score >= 45),
+o AS (SELECT book, pn, name, row_number() OVER (PARTITION BY book ORDER BY lower(name), first) AS i FROM first_),
+star AS (SELECT o.book, o.i, o.pn, list_sort(list_append(list(n.i), any_value(o.i))) AS near FROM o JOIN both_ e ON e.book = o.book AND e.a = o.pn JOIN o n ON n.book = e.book AND n.pn = e.b GROUP BY ALL),
+seat AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY i) AS turn FROM star),
+x AS (SELECT book, 0::BIGINT AS turn, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS grp, -1::BIGINT AS made FROM (SELECT DISTINCT book FROM seat)
+ UNION ALL
+ SELECT book, turn, CASE WHEN len(g) >= 2 THEN list_concat(used, g[1:8]) ELSE used END, CASE WHEN len(g) >= 2 THEN g[1:8] ELSE [] END, made + CASE WHEN len(g) >= 2 THEN 1 ELSE 0 END
+ FROM (SELECT x.book, s.turn, x.used, x.made, CASE WHEN list_contains(x.used, s.i) THEN [] ELSE list_filter(s.near, lambda n: NOT list_contains(x.used, n)) END AS g FROM x JOIN seat s ON s.book = x.book AND s.turn = x.turn + 1)),
+m AS (SELECT book, made AS group_no, unnest(range(len(grp))) AS member_no, unnest(grp) AS i FROM x WHERE len(grp) > 0)
+SELECT m.book, m.group_no, CAST(m.member_no AS INTEGER) AS member_no, o.pn AS norm, o.name FROM m JOIN o ON o.book = m.book AND o.i = m.i""")
 def cluster_candidates(spark, d):
-    people = resolve.pool(_candidates(spark, d), "book")
+    people = _pool(spark, d)
     return resolve.clusters(people, resolve.scored_pairs(people, "book"), "book")
 
 
@@ -247,7 +435,7 @@ def incomplete_chunks(spark, d):
     return jobs.incomplete(t(spark, d, "documents").select("doc_id", "source"), out, "doc_id", ("quality", "toxic"))
 
 
-@query("SELECT n_nationkey, CAST(least(600.0, greatest(1.0, round(180 * pow(1.5, n_nationkey)))) AS BIGINT) AS timeout_s FROM nation")
+@query("SELECT n_nationkey, CAST(least(600.0, greatest(1.0, round_even(180 * pow(1.5, n_nationkey), 0))) AS BIGINT) AS timeout_s FROM nation")
 def backoff_schedule(spark, d):
     return t(spark, d, "nation").select("n_nationkey", T.idle_timeout(F.lit(180), 1.5, F.col("n_nationkey"), 600.0).alias("timeout_s"))
 
@@ -284,7 +472,7 @@ PASS = "CASE event_id % 5 WHEN 0 THEN 'structure' WHEN 1 THEN 'dialogue' WHEN 2
 
 
 def _log(spark, d):
-    return t(spark, d, "events").select("user_id", "event_id", "ts", F.expr(EVENT_TYPE).alias("event_type"), F.concat(F.lit("chunk_"), (F.col("event_id") % 7).cast("string")).alias("chunk"), F.expr(PASS).alias("pass"), F.expr("CASE WHEN event_type = 'view' THEN value END").alias("value"))
+    return t(spark, d, "events").select("user_id", "event_id", "ts", F.expr(EVENT_TYPE).alias("event_type"), F.concat(F.lit("chunk_"), (F.col("event_id") % 7).cast("string")).alias("chunk"), F.expr(PASS).alias("pass"), F.expr("CASE WHEN event_type = 'view' THEN value END").alias("reported_tps"))
 
 
 @query(f"""WITH e AS (SELECT user_id, event_id, {EVENT_TYPE} AS et, {PASS} AS p, CASE WHEN event_type = 'view' THEN value END AS v FROM events)
@@ -324,6 +512,166 @@ def upsert_latest(spark, d):
     return jobs.upsert(own, ["o_custkey"], "o_orderkey", "p", ["o_orderstatus"])
 
 
+# Orders as jobs: half of them of the five-stage pipeline. A job's first stages have succeeded, the next is as the job is.
+JOB_STATUS = "CASE o_orderkey % 8 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'paused' WHEN 3 THEN 'pause_requested' WHEN 4 THEN 'cancel_requested' WHEN 5 THEN 'succeeded' WHEN 6 THEN 'failed' ELSE 'cancelled' END"
+STAGE_STATUS = "CASE WHEN o_orderkey % 8 = 5 THEN 'succeeded' WHEN i < o_orderkey % 3 THEN 'succeeded' WHEN i = o_orderkey % 3 AND o_orderkey % 8 IN (1, 3, 4) THEN 'running' WHEN i = o_orderkey % 3 AND o_orderkey % 8 = 6 THEN 'failed' ELSE 'pending' END"
+NOW = "1999-01-01 00:00:00"
+
+
+def _now():
+    return F.lit(NOW).cast("timestamp")
+
+
+def _jobs(spark, d):
+    o = t(spark, d, "orders")
+    none = lambda k: F.lit(None).cast("string").alias(k)
+    asked = o.select(
+        F.col("o_orderkey").cast("string").alias("job_id"), F.expr("CASE WHEN o_orderkey % 2 = 0 THEN 'manuscript-prep' ELSE 'ingest' END").alias("pipeline"), F.expr("concat('book_', o_custkey % 50)").alias("book_slug"), none("title"),
+        F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey").cast("string")).alias("manuscript_id"), none("config_profile_id"), none("config_path"), none("input_path"), F.expr("concat('u', o_custkey % 7)").alias("owner_user_id"), none("owner_username"),
+        F.create_map(F.lit("_claimed_at"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit("_control_target_status"), F.when(F.col("o_orderkey") % 8 == 3, "paused").otherwise("")).alias("options"), "o_orderkey", "o_orderdate",
+    )
+    own = control.created(asked, _now())
+    key = F.col("job_id").cast("bigint")
+    status = F.expr(JOB_STATUS.replace("o_orderkey", "CAST(job_id AS BIGINT)"))
+    stages = F.transform("stage_runs", lambda s, i: s.withField("status", _stage_status(key, i)).withField("stdout_path", F.concat(F.lit("/runs/"), "job_id", F.lit("/"), s["name"], F.lit(".out"))))
+    files = F.array(*[F.struct(F.lit(n).alias("name"), F.concat(F.lit("/runs/"), "job_id", F.lit(f"//{n}")).alias("path"), F.lit("text").alias("kind"), F.lit("ingest").alias("stage"), F.create_map(F.lit("exists"), F.lit("true")).alias("metadata")) for n in control.INGEST_ARTIFACTS])
+    dates = o.select(F.col("o_orderkey").cast("string").alias("job_id"), F.col("o_orderdate").cast("timestamp").alias("_at"))
+    out = own.withColumn("status", status).withColumn("stage_runs", stages).withColumn("artifacts", F.slice(files.cast(f"array<{control.ARTIFACT}>"), 1, (key % 3 + 2).cast("int"))).join(dates, "job_id")
+    return out.withColumn("created_at", F.col("_at")).withColumn("updated_at", F.col("_at")).drop("_at")
+
+
+def _stage_status(key, i):
+    running, failed = (key % 8).isin(1, 3, 4), key % 8 == 6
+    return F.when(key % 8 == 5, "succeeded").when(i < key % 3, "succeeded").when((i == key % 3) & running, "running").when((i == key % 3) & failed, "failed").otherwise("pending")
+
+
+JOBS_SQL = f"j AS (SELECT *, CAST(o_orderkey AS VARCHAR) AS job_id, {JOB_STATUS} AS status, list_transform(range(CASE WHEN o_orderkey % 2 = 0 THEN 5 ELSE 1 END), lambda i: {STAGE_STATUS}) AS st FROM orders)"
+
+
+def _shown(jobs, *more):
+    """What the job queries return of a job: its stages' states and errors as texts."""
+    each = lambda f: F.array_join(F.transform("stage_runs", lambda s: F.coalesce(s[f].cast("string"), F.lit("-"))), "|")
+    return jobs.select("job_id", "status", each("status").alias("stages"), each("error").alias("errors"), *more)
+
+
+def jobs_sql(status: str, stage: str, error: str, where: str = "true", more: str = "") -> str:
+    return f"WITH {JOBS_SQL}, k AS (SELECT *, list_position(st, 'running') AS r FROM j WHERE {where}) SELECT job_id, {status} AS status, array_to_string(list_transform(st, lambda s, i: {stage}), '|') AS stages, array_to_string(list_transform(st, lambda s, i: {error}), '|') AS errors{more} FROM k"
+
+
+OVER, IDLE = "status IN ('succeeded', 'failed', 'cancelled')", "status IN ('queued', 'paused')"
+
+
+@query(f"WITH {JOBS_SQL} SELECT job_id, CASE WHEN o_orderkey % 2 = 0 THEN 'manuscript-prep' ELSE 'ingest' END AS pipeline, 'queued' AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'ingest:pending|orchestrate:pending|merge:pending|resolve:pending|report:pending' ELSE 'ingest:pending' END AS stages FROM j")
+def jobs_created(spark, d):
+    asked = _jobs(spark, d).select("job_id", "pipeline", *control.REQUEST, "options")
+    return control.created(asked, _now()).select("job_id", "pipeline", "status", F.array_join(F.transform("stage_runs", lambda s: F.concat(s["name"], F.lit(":"), s["status"])), "|").alias("stages"))
+
+
+@query(jobs_sql(f"CASE WHEN {OVER} THEN status WHEN {IDLE} THEN 'cancelled' ELSE 'cancel_requested' END", f"CASE WHEN {IDLE} AND i = greatest(coalesce(r, 0), 1) THEN 'cancelled' ELSE s END", f"CASE WHEN {IDLE} AND i = greatest(coalesce(r, 0), 1) OR NOT {OVER} AND NOT {IDLE} AND i = r THEN 'enough' ELSE '-' END", more=f", CASE WHEN {OVER} THEN '-' ELSE 'cancelled' END AS target"))
+def jobs_cancelled(spark, d):
+    got = control.requested(_jobs(spark, d), "cancel", _now(), "enough")
+    return _shown(got, F.when(F.element_at("options", "_cancel_reason") == "enough", F.element_at("options", "_control_target_status")).otherwise("-").alias("target"))
+
+
+@query(jobs_sql(f"CASE WHEN {OVER} OR status = 'paused' THEN 'queued' ELSE status END", f"CASE WHEN {OVER} THEN 'pending' WHEN status = 'paused' AND s <> 'succeeded' THEN 'pending' ELSE s END", "'-'", more=f", CASE WHEN {OVER} THEN 0 ELSE o_orderkey % 3 + 2 END::INT AS n_artifacts, CASE WHEN status = 'paused' THEN 0 ELSE 2 END AS n_options"))
+def jobs_rerun(spark, d):
+    return _shown(control.rerun(_jobs(spark, d), _now()), F.size("artifacts").alias("n_artifacts"), F.size("options").alias("n_options"))
+
+
+@query(jobs_sql("'queued'", "CASE WHEN i = r THEN 'pending' ELSE s END", "CASE WHEN i = r THEN 'Recovered from stale running state' ELSE '-' END", f"status = 'running' AND o_orderdate <= TIMESTAMP '{NOW}' - INTERVAL 31536000 SECOND", ", 'w1' AS worker"))
+def jobs_recovered(spark, d):
+    return _shown(control.recovered(_jobs(spark, d), "w1", _now(), 31536000), F.element_at("options", "_recovered_by").alias("worker"))
+
+
+@query(jobs_sql("CASE WHEN status = 'pause_requested' THEN 'paused' ELSE 'cancelled' END", "CASE WHEN i = r THEN CASE WHEN status = 'pause_requested' THEN 'paused' ELSE 'cancelled' END ELSE s END", "CASE WHEN i = r THEN CASE WHEN status = 'pause_requested' THEN 'Paused by housekeeping' ELSE 'Cancelled by housekeeping' END ELSE '-' END", f"status IN ('pause_requested', 'cancel_requested') AND o_orderdate <= TIMESTAMP '{NOW}' - INTERVAL 15 SECOND"))
+def jobs_finalized(spark, d):
+    return _shown(control.finalized(_jobs(spark, d), _now()))
+
+
+@query(jobs_sql("CASE WHEN len(list_filter(st[2:], lambda x: x <> 'succeeded')) = 0 THEN 'succeeded' ELSE status END", "CASE WHEN i = 1 THEN 'succeeded' ELSE s END", "'-'"))
+def jobs_marked(spark, d):
+    return _shown(control.marked(_jobs(spark, d), "ingest", "succeeded", _now()))
+
+
+@query(f"WITH {JOBS_SQL} SELECT CAST(o_custkey AS VARCHAR) AS manuscript_id, job_id, st[1] AS status FROM j WHERE o_custkey % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, job_id) = 1")
+def latest_ingest(spark, d):
+    return control.latest_ingest(_jobs(spark, d)).select("manuscript_id", "job_id", "status")
+
+
+def _manuscripts(spark, d):
+    return t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("manuscript_id"), F.concat(F.lit("/up/"), "c_name").alias("source_path"))
+
+
+@query(f"""WITH {JOBS_SQL}, n AS (SELECT CAST(o_custkey AS VARCHAR) AS manuscript_id, job_id, o_orderkey % 3 + 2 AS n FROM j WHERE o_custkey % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, job_id) = 1)
+SELECT CAST(c_custkey AS VARCHAR) AS manuscript_id, job_id, CASE WHEN n = 4 THEN 'chunk_manifest|clean_text|ingest_manifest|raw_text' ELSE '' END AS artifacts, CASE WHEN n IS NULL THEN 'No ingest results available for this manuscript yet' WHEN n = 2 THEN 'Missing ingest artifact: clean_text' WHEN n = 3 THEN 'Missing ingest artifact: chunk_manifest' ELSE '' END AS error
+FROM customer LEFT JOIN n ON manuscript_id = CAST(c_custkey AS VARCHAR)""")
+def ingest_results(spark, d):
+    got = control.ingest_results(_manuscripts(spark, d), _jobs(spark, d))
+    return got.select("manuscript_id", "job_id", F.coalesce(F.array_join(F.array_sort(F.map_keys("artifacts")), "|"), F.lit("")).alias("artifacts"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query(f"""WITH {JOBS_SQL}, f AS (SELECT CAST(c_custkey AS VARCHAR) AS manuscript_id, '/up/' || c_name AS path, 3 AS depth FROM customer UNION SELECT CAST(o_custkey AS VARCHAR), '/runs/' || job_id || '/' || unnest(['ingest', 'orchestrate', 'merge', 'resolve', 'report'][1:CASE WHEN o_orderkey % 2 = 0 THEN 5 ELSE 1 END]) || '.out', 4 FROM j WHERE o_custkey % 10 <> 0
+ UNION SELECT CAST(o_custkey AS VARCHAR), '/runs/' || job_id || '/' || unnest(['ingest_manifest', 'raw_text', 'clean_text', 'chunk_manifest'][1:o_orderkey % 3 + 2]), 4 FROM j WHERE o_custkey % 10 <> 0)
+SELECT manuscript_id, CAST(row_number() OVER (PARTITION BY manuscript_id ORDER BY depth DESC, path DESC) AS INTEGER) AS place, path FROM f""")
+def deletion_paths(spark, d):
+    return control.paths(_manuscripts(spark, d), _jobs(spark, d))
+
+
+@query(f"WITH {JOBS_SQL}, a AS (SELECT job_id, unnest(['ingest_manifest', 'raw_text', 'clean_text', 'chunk_manifest'][1:o_orderkey % 3 + 2]) AS name FROM j) SELECT job_id, name, CAST(row_number() OVER (PARTITION BY job_id ORDER BY name) AS INTEGER) AS place FROM a")
+def artifacts_shown(spark, d):
+    return control.shown_artifacts(_jobs(spark, d)).select("job_id", "name", "place")
+
+
+@query(f"WITH {JOBS_SQL} SELECT job_id, status FROM j WHERE o_custkey % 7 = 3 AND o_custkey % 10 <> 0 AND o_custkey = 3 AND o_orderkey % 2 = 1 UNION ALL SELECT job_id, status FROM j WHERE o_custkey % 7 = 5")
+def jobs_visible(spark, d):
+    own = _jobs(spark, d)
+    one = control.listed(control.visible(own, "u3"), manuscript_id="3", pipeline="ingest").select("job_id", "status")
+    return one.union(control.visible(own, "u5", "user").select("job_id", "status"))
+
+
+@query(f"WITH {JOBS_SQL} SELECT job_id, CASE WHEN o_orderkey % 5 = 0 THEN 'archived' ELSE status END AS status FROM j WHERE o_orderkey % 7 <> 0")
+def jobs_updated(spark, d):
+    own = _jobs(spark, d)
+    changed = own.where("CAST(job_id AS BIGINT) % 5 = 0").withColumn("status", F.lit("archived"))
+    return control.deleted(control.updated(own, changed), own.where("CAST(job_id AS BIGINT) % 7 = 0")).select("job_id", "status")
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, ts, {EVENT_TYPE} AS et, 'chunk_' || (event_id % 7) AS chunk, {PASS} AS p, CASE WHEN event_type = 'view' THEN value END AS v FROM events WHERE ts >= TIMESTAMP '2024-01-05'),
+c AS (SELECT user_id, chunk, max(event_id) FILTER (et = 'chunk_start') AS st, arg_max(et, event_id) AS last FROM e GROUP BY ALL), k AS (SELECT user_id, chunk FROM c WHERE st IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY last IN ('chunk_success', 'chunk_failure'), st DESC) = 1),
+g AS (SELECT user_id, count_if(et = 'chunk_success') AS done, count_if(et = 'chunk_failure') AS failed, arg_max(et, event_id) AS last, arg_max(p, event_id) FILTER (p IN ('structure', 'dialogue', 'entities')) AS pass, arg_max(v, event_id) FILTER (v IS NOT NULL) AS tps FROM e GROUP BY user_id),
+r AS (SELECT user_id, string_agg(et, '|' ORDER BY event_id) AS recent FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 8) GROUP BY user_id)
+SELECT u.user_id, coalesce(done, 0)::BIGINT AS chunks_completed, coalesce(failed, 0)::BIGINT AS chunks_failed, last AS last_event_type, coalesce(pass, '-') AS current_pass, coalesce(tps, -1) AS reported_tps, coalesce(k.chunk, '-') AS current_chunk, coalesce(CAST(right(k.chunk, 1) AS BIGINT) + 1, -1) AS current_chunk_index,
+ round(CASE WHEN k.chunk IS NULL THEN coalesce(done, 0) ELSE CAST(right(k.chunk, 1) AS BIGINT) END / 9.0 * 100, 1)::DOUBLE AS chunk_percent, CASE pass WHEN 'dialogue' THEN 25.0 WHEN 'entities' THEN 50.0 ELSE 0.0 END::DOUBLE AS pass_percent, coalesce(recent, '') AS recent
+FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN g USING (user_id) LEFT JOIN k USING (user_id) LEFT JOIN r USING (user_id)""")
+def run_progress(spark, d):
+    log = _log(spark, d)
+    runs = log.groupBy("user_id").agg(F.lit(9).alias("chunks_total"), F.lit("2024-01-05").cast(log.schema["ts"].dataType).alias("since"))
+    got = jobs.full_progress(log, runs, ["user_id"], "event_id", "ts", "since")
+    dash = lambda k, v: F.coalesce(F.col(k), F.lit(v)).alias(k)
+    return got.select("user_id", "chunks_completed", "chunks_failed", "last_event_type", dash("current_pass", "-"), dash("reported_tps", -1.0), dash("current_chunk", "-"), dash("current_chunk_index", -1), "chunk_percent", "pass_percent", F.coalesce(F.array_join(F.transform("recent_events", lambda e: e["event_type"]), "|"), F.lit("")).alias("recent"))
+
+
+@query(f"""WITH {TALK_SQL}, o AS (SELECT *, pos % 4 AS k FROM t)
+SELECT book, 'chunk_' || lpad(CAST(pos AS VARCHAR), 3, '0') AS chunk_id, CASE k WHEN 0 THEN 'structure|entities' WHEN 1 THEN 'dialogue' ELSE 'dossiers' END AS passes_completed, CASE k WHEN 0 THEN role ELSE '' END AS characters, CASE WHEN k = 1 THEN role ELSE '-' END AS pov,
+ 'chunk_' || lpad(CAST(pos AS VARCHAR), 3, '0') || ' | ' || CASE k WHEN 0 THEN 2 ELSE 1 END || '/4 passes | ' || CASE k WHEN 0 THEN 1 ELSE 0 END || ' characters | ' || CASE k WHEN 2 THEN 1 ELSE 0 END || ' dossiers' AS line FROM o WHERE k < 3""")
+def chunk_summaries(spark, d):
+    """Chunks by what their passes found; a fourth of them has only an output that can't be parsed."""
+    docs = {0: [("structure", '{"status": "ok"}'), ("entities", None)], 1: [("dialogue", None)], 2: [("dossiers", '{"character_dossiers": [{"name": "x"}]}')], 3: [("structure", "{bad")]}
+    named = _talk(spark, d).withColumn("chunk_id", F.concat(F.lit("chunk_"), T.padded(F.col("pos"), 3)))
+    own = {"entities": F.to_json(F.struct(F.array("role").alias("characters"))), "dialogue": F.to_json(F.struct(F.col("role").alias("pov"), F.lit(True).alias("dialogue")))}
+    parts = [named.where(F.col("pos") % 4 == k).select("book", "chunk_id", F.lit(p).alias("pass"), (own[p] if doc is None else F.lit(doc)).alias("doc")) for k, ps in docs.items() for p, doc in ps]
+    got = passes.chunk_summary(reduce(DataFrame.union, parts), "book")
+    return got.select("book", "chunk_id", F.array_join("passes_completed", "|").alias("passes_completed"), F.array_join("characters", "|").alias("characters"), F.coalesce("pov", F.lit("-")).alias("pov"), "line")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'n/a' WHEN c_acctbal * 500 < 1024 THEN CAST(floor(c_acctbal * 500) AS BIGINT) || ' B' WHEN c_acctbal * 500 < 1048576 THEN format('{:.1f} KB', floor(c_acctbal * 500) / 1024) ELSE format('{:.1f} MB', floor(c_acctbal * 500) / 1048576) END AS size,
+ format('{:.1f}s', c_acctbal) AS seconds, lower(c_mktsegment) || '_' || c_custkey || '_archive.mprep.zip' AS archive, 'my_' || lower(c_mktsegment) || '.PDF' AS file FROM customer""")
+def shown_values(spark, d):
+    c = F.col
+    bytes_ = F.floor(c("c_acctbal") * 500)
+    return t(spark, d, "customer").select("c_custkey", T.byte_size(F.when(c("c_acctbal") < 0, -1).otherwise(bytes_)).alias("size"), T.seconds(c("c_acctbal")).alias("seconds"), T.archive_name(F.concat("c_mktsegment", F.lit(" - "), c("c_custkey").cast("string"), F.lit("!")), F.lit("x")).alias("archive"), T.file_name(F.concat(F.lit("/tmp/My "), "c_mktsegment", F.lit(".PDF"))).alias("file"))
+
+
 @query("SELECT user_id, arg_max(event_type, event_id) AS status, max(event_id) AS last_event FROM events GROUP BY user_id")
 def heartbeat_latest(spark, d):
     return t(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("status"), F.max("event_id").alias("last_event"))
@@ -376,15 +724,6 @@ def log_events(spark, d):
     return runlog.events(lines).select("run", "event_type", "chunk", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
-def _talk(spark, d):
-    """Conversations as books and turns as chunks; equal turns of a conversation are one chunk."""
-    own = t(spark, d, "conversations").where("conv_id IS NOT NULL")
-    return own.groupBy(F.col("conv_id").alias("book"), F.col("turn").cast("int").alias("pos")).agg(F.min_by("text", F.struct("role", "text")).alias("text"), F.min("role").alias("role"))
-
-
-TALK_SQL = "t AS (SELECT conv_id AS book, CAST(turn AS INTEGER) AS pos, arg_min(text, (role, text)) AS text, min(role) AS role FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL)"
-
-
 @query(f"""WITH {TALK_SQL}, r AS (SELECT book, role, count(*) AS n, min(pos) AS f FROM t GROUP BY ALL),
 o AS (SELECT book, arg_max(role, n * 1000000 - f) AS dominant_pov, string_agg(role, '|' ORDER BY f) AS observed_pov_values FROM r GROUP BY book)
 SELECT book, o.dominant_pov, o.observed_pov_values, o.observed_pov_values AS explicitly_attributed_speakers, count_if(text LIKE '%?%')::BIGINT AS dialogue_present_in_chunks FROM t JOIN o USING (book) GROUP BY ALL""")
@@ -412,21 +751,56 @@ def model_passes(spark, d):
     return _outputs(spark, d).select("book", "pos", "pass", "doc", "attempts", "error")
 
 
-@query()
-def dossiers_by_book(spark, d):
-    one = F.struct("name", "role", F.array("chunk").alias("aliases"))
+ACCENT, SPOKEN, VOICE = "CASE p_size % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'broad' END", "CASE p_size % 5 WHEN 0 THEN true WHEN 1 THEN false END", "CASE p_partkey % 3 WHEN 0 THEN p_type END"
+
+
+def _dossier_docs(spark, d):
+    """A dossier per part, each the only one of its chunk."""
+    e = F.expr
+    one = F.struct(e(TITLED).alias("name"), e(ROLE).alias("role"), F.array("p_type", F.lit(" "), "p_type").alias("aliases"), F.array(F.lit("quick"), "p_type").alias("personality_traits"), e(ACCENT).alias("accent"), e(SPOKEN).alias("spoken_dialogue"), e(VOICE).alias("vocal_notes"), F.lit(7).alias("biography"))
     doc = F.to_json(F.struct(F.array(one).alias("character_dossiers")))
-    own = _candidates(spark, d).select("book", F.col("pos").cast("int").alias("pos"), F.lit("dossiers").alias("pass"), doc.alias("doc"))
-    return passes.dossier_merge(own, "book")
+    return t(spark, d, "part").select(F.col("p_brand").alias("book"), F.col("p_partkey").cast("int").alias("pos"), F.lit("dossiers").alias("pass"), doc.alias("doc"))
+
+
+DOSSIERS_SQL = FIRST_FIT_SQL + f""", mem AS (SELECT x.book, x.grp, x.pos, x.name, x.target, q.t, len(q.base) AS base_len, {ROLE} AS role, {ACCENT} AS accent, CASE WHEN {SPOKEN} THEN 'true' WHEN NOT {SPOKEN} THEN 'false' END AS spoken, {VOICE} AS voice, p_type FROM x JOIN q USING (book, pos) JOIN part ON p_partkey = x.pos),
+vals AS (SELECT book, grp, 'variants' AS k, name AS v, pos AS o FROM mem UNION ALL SELECT book, grp, 'aliases', p_type, pos * 2 FROM mem UNION ALL SELECT book, grp, 'aliases', ' ', pos * 2 + 1 FROM mem UNION ALL SELECT book, grp, 'roles', role, pos FROM mem WHERE role IS NOT NULL
+ UNION ALL SELECT book, grp, 'traits', 'quick', pos * 2 FROM mem UNION ALL SELECT book, grp, 'traits', p_type, pos * 2 + 1 FROM mem UNION ALL SELECT book, grp, 'accents', accent, pos FROM mem WHERE accent IS NOT NULL UNION ALL SELECT book, grp, 'spoken', spoken, pos FROM mem WHERE spoken IS NOT NULL
+ UNION ALL SELECT book, grp, 'vocal', voice, pos FROM mem WHERE voice IS NOT NULL UNION ALL SELECT book, grp, 'surface', name, pos FROM mem UNION ALL SELECT book, grp, 'surface', p_type, 1000000000 + pos FROM mem UNION ALL SELECT book, grp, 'chunks', CAST(pos AS VARCHAR), pos FROM mem),
+firsts AS (SELECT book, grp, k, v, min(o) AS o FROM vals GROUP BY ALL),
+lists AS (SELECT book, grp, k, string_agg(v, '|' ORDER BY o) AS v, count(*) AS n FROM firsts GROUP BY ALL),
+notes AS (SELECT book, name, target.name AS target, target.score AS score, min(pos) AS o FROM x WHERE target IS NOT NULL GROUP BY ALL),
+met AS (SELECT a.book, a.grp, n.score, min(n.o) AS o FROM firsts a JOIN notes n ON n.book = a.book AND n.name = a.v JOIN firsts b ON b.book = a.book AND b.grp = a.grp AND b.k = 'surface' AND b.v = n.target WHERE a.k = 'surface' GROUP BY ALL),
+why AS (SELECT book, grp, max(score) AS best, string_agg(CASE score WHEN 100 THEN 'exact_normalized_match' WHEN 96 THEN 'same_title_same_surname' WHEN 88 THEN 'bare_name_matches_titled_full_name' ELSE 'generic_title_to_single_titled_name_candidate' END, '|' ORDER BY o) AS reasons FROM met GROUP BY ALL),
+label AS (SELECT book, grp, arg_max(name, (CASE WHEN t IS NULL THEN 0 ELSE 1 END + base_len, length(name), -pos)) AS canonical_name, count(*) AS n_dossiers FROM mem GROUP BY ALL),
+dossier AS (SELECT l.book, l.grp, canonical_name, n_dossiers, row_number() OVER (PARTITION BY l.book ORDER BY lower(canonical_name), l.grp) - 1 AS place, CASE WHEN best >= 96 THEN 'safe' WHEN best > 0 THEN 'probable' ELSE 'single' END AS merge_confidence, coalesce(reasons, '') AS merge_reasons FROM label l LEFT JOIN why w ON w.book = l.book AND w.grp = l.grp)"""
+DOSSIER_LISTS = {"variants": "variants", "surface": "surface_variants", "aliases": "aliases", "roles": "roles", "traits": "personality_traits", "accents": "accents", "spoken": "spoken_dialogue_values", "vocal": "vocal_notes", "chunks": "chunks"}
+
+
+@query(DOSSIERS_SQL + " SELECT d.book, d.grp AS group_no, CAST(place AS INTEGER) AS place, canonical_name, n_dossiers, merge_confidence, merge_reasons, " + ", ".join(f"coalesce(max(l.v) FILTER (l.k = '{k}'), '') AS {v}" for k, v in DOSSIER_LISTS.items()) + " FROM dossier d JOIN lists l ON l.book = d.book AND l.grp = d.grp GROUP BY ALL")
+def dossiers_by_book(spark, d):
+    got = passes.dossier_merge(_dossier_docs(spark, d), "book")
+    return got.select("book", "group_no", "place", "canonical_name", "n_dossiers", "merge_confidence", *[F.array_join(F.col(c).cast("array<string>"), "|").alias(c) for c in ("merge_reasons", *DOSSIER_LISTS.values())])
+
+
+@query(DOSSIERS_SQL + """ SELECT d.book, 'character' AS scope, CAST(d.place AS INTEGER) AS place, d.canonical_name AS name, CASE k WHEN 'roles' THEN 'role_conflict' WHEN 'accents' THEN 'accent_conflict' WHEN 'spoken' THEN 'spoken_dialogue_conflict' ELSE 'vocal_notes_drift' END AS type,
+ CASE k WHEN 'roles' THEN 'medium' WHEN 'vocal' THEN 'low' ELSE 'high' END AS severity, l.v AS values FROM dossier d JOIN lists l ON l.book = d.book AND l.grp = d.grp WHERE k IN ('roles', 'accents', 'spoken') AND l.n > 1 OR k = 'vocal' AND l.n > 2
+UNION ALL SELECT p_type, 'entity', CAST(row_number() OVER (PARTITION BY p_type ORDER BY lower(canonical), norm) - 1 AS INTEGER), canonical, 'entity_variants', '', variants FROM (SELECT p_type, norm, arg_min(v, f) AS canonical, string_agg(v, '|' ORDER BY f) AS variants, count(*) AS n FROM (SELECT p_type, v, norm, min(p_partkey) AS f FROM
+ (SELECT p_type, p_partkey, """ + ENTITY + " AS v, " + NORM_SQL.format(c="(" + ENTITY + ")") + """ AS norm FROM part) GROUP BY ALL) GROUP BY ALL) WHERE n > 1
+UNION ALL SELECT 'Brand#1', 'global', 0, '', 'multiple_pov_values', 'medium', 'first|third' UNION ALL SELECT 'Brand#1', 'global', 1, '', 'structure_status_variation', 'low', 'ok|partial'""")
+def book_conflicts(spark, d):
+    m = t(spark, d, "part").withColumn("v", F.expr(ENTITY))
+    entities = merge.entity_merge(m.withColumn("book", F.col("p_type")).withColumn("kind", F.lit("characters")), ["book", "kind"], "v", F.col("p_partkey"), "p_brand")
+    said = [("Brand#1", 0, "dialogue", '{"pov": "first"}'), ("Brand#1", 1, "dialogue", '{"pov": "third"}'), ("Brand#2", 0, "dialogue", '{"pov": "third"}'), ("Brand#1", 0, "structure", '{"status": " ok"}'), ("Brand#1", 1, "structure", '{"status": 3}'), ("Brand#1", 2, "structure", '{"status": "partial"}')]
+    out = spark.createDataFrame(said, "book string, pos int, pass string, doc string")
+    got = passes.conflict_report("book", passes.dossier_merge(_dossier_docs(spark, d), "book"), entities, passes.dialogue_merge(out, "book"), passes.structure_chunks(out, "book").withColumn("status", F.when(F.col("status") == "3", "").otherwise(F.col("status"))))
+    return got.select("book", "scope", "place", F.coalesce("name", F.lit("")).alias("name"), "type", F.coalesce("severity", F.lit("")).alias("severity"), F.array_join("values", "|").alias("values"))
 
 
 @query()
 def book_reports(spark, d):
-    out = _outputs(spark, d)
-    entities = merge.entity_merge(passes.entity_mentions(out, "book"), ["book", "kind"], "value", F.struct("pos", "i"), "pos")
-    dossiers = passes.dossier_merge(out, "book")
-    values = dossiers.select(F.concat_ws("#", "book", "group_no").alias("g"), "book", F.lit("roles").alias("attribute"), F.explode("roles").alias("value"))
-    return report.book_report("book", _talk(spark, d), passes.structure_merge(out, "book"), passes.dialogue_merge(out, "book"), entities, dossiers, merge.conflicts(values, ["g", "book"]))
+    """The report tables of all books, from passes by rules; tests/test_stream_report.py holds them against expected cells."""
+    m = book.Merged(_outputs(spark, d).withColumn("chunk_id", F.concat(F.lit("chunk_"), T.padded(F.col("pos"), 3))))
+    return report.book_report("book", _talk(spark, d), m.structure, m.dialogue, m.entities, m.dossiers, m.conflicts, m.names, m.report, m.timing)
 
 
 @query("SELECT p_brand, count(DISTINCT p_size) AS n_groups, count(DISTINCT CASE WHEN p_size % 2 = 0 THEN p_size END) AS n_resolved, count(DISTINCT CASE WHEN p_size % 4 = 0 THEN p_size END) AS n_merged, "

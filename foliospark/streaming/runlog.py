@@ -12,17 +12,23 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliospark.operators import jobs
 
-FIELDS = {"run": "string", "timestamp": "string", "event_type": "string", "chunk": "string", "pass": "string", "value": "double"}
+FIELDS = {"run": "string", "timestamp": "string", **jobs.EVENT}
 
 
-def events(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Events of a batch or a stream of JSON lines. Blank and malformed lines and lines that aren't objects go; a bad time is null."""
+def events(lines: DataFrame, line: str = "value", keep: tuple = ()) -> DataFrame:
+    """Events (FIELDS, the time as ts) of a batch or a stream of JSON lines. Blank and malformed lines and lines that aren't objects go; a bad time is null."""
     doc = F.try_parse_json(F.col(line))
-    own = lines.select(doc.alias("v")).where("schema_of_variant(v) LIKE 'OBJECT%'")
-    got = own.select(*[F.try_variant_get("v", f"$.{name}", kind).alias(name) for name, kind in FIELDS.items()])
+    own = lines.select(doc.alias("v"), *keep).where("schema_of_variant(v) LIKE 'OBJECT%'")
+    got = own.select(*[F.try_variant_get("v", f"$.{name}", kind).alias(name) for name, kind in FIELDS.items()], *keep)
     return got.withColumn("ts", F.expr("try_to_timestamp(timestamp)")).drop("timestamp")
 
 
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """Events of a log's files with `place`, the order of the lines, by the files' names and then as they are written; for jobs.full_progress()."""
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"))
+    return events(lines, keep=("place",))
+
+
 def read_lines(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     return spark.readStream.format("text").option("maxFilesPerTrigger", files_per_trigger).load(path)
 

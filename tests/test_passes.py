@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.operators import passes
 
@@ -64,6 +65,29 @@ def test_dossiers_of_a_book(spark):
     )
     out = spark.createDataFrame(rows, "book string, pos int, pass string, doc string")
     got = passes.dossier_merge(out, "book").orderBy("group_no").collect()
-    assert [(r.canonical_name, r.chunks, r.n_dossiers) for r in got] == [("Dr. Livesey", [0, 2], 2), ("Jim", [2], 1)]
+    assert [(r.canonical_name, r.chunks, r.n_dossiers, r.merge_confidence, r.merge_reasons) for r in got] == [("Dr. Livesey", [0, 2], 2, "probable", ["generic_title_to_single_titled_name_candidate"]), ("Jim", [2], 1, "single", [])]
     assert got[0].variants == ["Dr. Livesey", "the doctor"] and got[0].roles == ["physician", "magistrate"] and got[0].accents == ["plain"]
-    assert got[0].aliases == [] and got[1].spoken_dialogue_values == ["true"]
+    assert got[0].aliases == [] and got[1].spoken_dialogue_values == ["true"] and got[0].vocal_notes == []
+
+
+def test_values_of_other_types_are_left_out(spark):
+    odd = [{"name": 7}, "x", {"name": "A", "accent": 5, "role": ["r"], "spoken_dialogue": None, "aliases": [" a ", "", 3, "a"]}, {"name": "a", "spoken_dialogue": "True", "identity_status": {"k": 1}}, {"name": "a", "spoken_dialogue": True}, {"name": "a", "spoken_dialogue": False}]
+    out = spark.createDataFrame(answers(("b", 0, "dossiers", {"character_dossiers": odd})), "book string, pos int, pass string, doc string")
+    (r,) = passes.dossier_merge(out, "book").collect()
+    assert (r.canonical_name, r.accents, r.roles, r.identity_status_values, r.spoken_dialogue_values, r.aliases) == ("A", [], [], [], ["True", "false"], [" a ", "", "a"])
+    assert r.surface_variants == ["A", "a"] and len(r.source_dossiers) == 4
+    flags = answers(("b", 0, "dialogue", {"dialogue": "false", "internal_thought": 0, "unattributed_dialogue_present": [], "pov": 3}), ("b", 1, "dialogue", {"dialogue": 0.0, "internal_thought": {"a": 1}, "pov": ""}))
+    d = passes.dialogue_merge(spark.createDataFrame(flags, "book string, pos int, pass string, doc string"), "book").first()
+    assert (d.dialogue_present_in_chunks, d.internal_thought_present_in_chunks, d.unattributed_dialogue_present_in_chunks, d.observed_pov_values) == (1, 1, 0, [])
+    shapes = answers(("b", 0, "structure", {"chapters": [1], "chapter_titles": ["I"], "scene_breaks": [1, "1", {"a": 2}], "status": None}))
+    s = spark.createDataFrame(shapes, "book string, pos int, pass string, doc string")
+    assert {r.kind: r["values"] for r in passes.structure_merge(s, "book").collect()} == {"scene_breaks": ["1", '{"a":2}']}
+    assert passes.structure_chunks(s, "book").first().chapters == ["1"]
+
+
+def test_a_slice_of_chunks_and_rates(spark):
+    chunks = spark.createDataFrame([(n,) for n in ("c_10.txt", "c_2.txt", "c_1.txt", "c_3.txt")], "name string")
+    names = lambda **k: [r.name for r in passes.sliced(chunks, "name", **k).collect()]
+    assert names(start_at="c_10", limit=2) == ["c_10.txt", "c_2.txt"] and names(start_at="x") == [] and len(names()) == 4
+    one = spark.createDataFrame([("a b c", 0.0, None), ("a b c", 2.0, 7.0)], "t string, s double, r double")
+    assert [r[0] for r in one.select(passes.tokens_estimate(F.col("t"), F.col("s"), F.col("r"))).collect()] == [3000.0, 7.0]

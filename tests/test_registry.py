@@ -13,7 +13,7 @@ from foliospark.operators import ingest, jobs, merge, resolve
 from foliospark.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "nation customer supplier part orders lineitem events documents pages labels conversations".split()
+TABLES = "region benchmark embeddings nation customer supplier part orders lineitem events documents pages labels conversations".split()
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -72,9 +72,15 @@ def test_cleaning_removes_page_markers_and_repeated_headers(spark):
 def test_chunk_hints_and_offsets(spark):
     paras = ["CHAPTER I", "one two three.", "CHAPTER II", "four five six."]
     df = spark.createDataFrame([(1, i, p) for i, p in enumerate(paras)], "doc_id int, para_no int, text string")
-    got = ingest.chunk_records(ingest.chunked(df, least=1, target=5, most=8), least=1).orderBy("chunk_no").collect()
+    got = ingest.chunk_records(ingest.gathered(df), least=1, target=5, most=8).orderBy("chunk_no").collect()
     assert [r.chapter_hint for r in got] == ["CHAPTER I", "CHAPTER II"]
     assert got[0].start_offset == 0 and got[1].start_offset == got[0].end_offset and got[0].chunk_id == "chunk_000"
+    parts = spark.createDataFrame([(1, i, p) for i, p in enumerate(["PART ONE", "a b c d e.", "PART TWO", "f g h."])], "doc_id int, para_no int, text string")
+    got = ingest.chunk_records(ingest.gathered(parts), least=1, target=5, most=8).orderBy("chunk_no").collect()
+    assert [(r.part_hint, r.text) for r in got] == [("PART ONE", "PART ONE\n\na b c d e.\n"), ("PART TWO", "PART TWO\n\nf g h.\n")]
+    early = spark.createDataFrame([(1, i, p) for i, p in enumerate(["a b c d", "PART TWO of all of it"])], "doc_id int, para_no int, text string")
+    got = ingest.chunk_records(ingest.gathered(early), least=1, target=5, most=8).orderBy("chunk_no").collect()
+    assert [r.part_hint for r in got] == ["PART TWO of all of it"] * 2
     with pytest.raises(ValueError):
         ingest.chunked(df, least=9, target=5, most=8)
 
@@ -91,8 +97,14 @@ def test_name_forms_and_rules(spark):
     f = [r.f for r in df.select(names.form(F.col("n")).alias("f")).collect()]
     assert (f[0].title, f[0].surname) == ("captain", "flint") and f[2].is_generic and f[3].is_generic
     pair = spark.createDataFrame([("Dr. Livesey", "doctor"), ("Jim Hawkins", "Hawkins"), ("Mr. Hands", "Hands")], "a string, b string")
-    rule = names.match_rule(names.form(F.col("a")), names.form(F.col("b")), F.lit(""), F.lit(""))
+    none = F.array().cast("array<string>")
+    rule = names.match_rule(names.form(F.col("a")), names.form(F.col("b")), none, none)
     assert [r.r.score for r in pair.select(rule.alias("r")).collect()] == [78, 0, 88]
+    more = [("the captain", "captain", 100), ("Dr. Livesey", "Doctor Livesey", 100), ("The", "é", 100), ("Mr. A Hands", "mister b hands", 96), ("sir", "mr x", 0)]
+    pair = spark.createDataFrame(more, "a string, b string, want int")
+    assert all(r.r.score == r.want for r in pair.select("want", rule.alias("r")).collect())
+    roles = names.match_rule(names.form(F.lit("doctor")), names.form(F.lit("Dr. Livesey")), F.array(F.lit("Physician")), F.array(F.lit("innkeeper")))
+    assert spark.range(1).select(roles.alias("r")).first().r.score == 78
 
 
 def test_first_fit_takes_the_first_group(spark):
@@ -101,17 +113,9 @@ def test_first_fit_takes_the_first_group(spark):
     assert [r.group_no for r in got] == [0, 1, 0, 0, 1]
 
 
-def test_blocking_loses_no_pair(spark):
-    people = resolve.pool(registry._candidates(spark, DATA), "book")
-    got = {(r.book, r.a, r.b) for r in resolve.scored_pairs(people, "book").collect()}
-    assert got and all(a < b for _, a, b in got)
-    grouped = resolve.clusters(people, resolve.scored_pairs(people, "book"), "book").toPandas()
-    assert not grouped.duplicated(["book", "norm"]).any() and grouped.groupby(["book", "group_no"]).size().between(2, 8).all()
-
-
 def test_progress_keeps_the_last_values(spark):
     rows = [(1, 1, "chunk_start", "c1", "structure", None), (1, 2, "pass_success", "c1", "structure", 44.2), (1, 3, "pass_start", "c1", "dialogue", None)]
-    e = spark.createDataFrame(rows, "run int, i int, event_type string, chunk string, pass string, value double")
+    e = spark.createDataFrame(rows, "run int, i int, event_type string, chunk string, pass string, reported_tps double")
     p = jobs.progress(e, ["run"], "i").first()
     assert (p.current_pass, p.reported_tps, p.last_event_type) == ("dialogue", 44.2, "pass_start")
     assert jobs.current_chunk(e, ["run"], "i").first().current_chunk == "c1"
@@ -121,3 +125,43 @@ def test_progress_keeps_the_last_values(spark):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     assert registry.queries()[name](spark, DATA).count() > 0
+
+
+def test_rounding_follows_the_exact_value(spark):
+    rng = random.Random(1)
+    xs = [2.675, 0.125, -2.5, 6945.95, 0.0] + [rng.randrange(10**6) / 1000 for _ in range(500)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = df.select("x", *[T.rounded(F.col("x"), n).alias(f"r{n}") for n in (1, 2)]).collect()
+    assert all(r.r1 == round(r.x, 1) and r.r2 == round(r.x, 2) for r in got)
+
+
+def test_shown_texts(spark):
+    one = spark.createDataFrame([("a/b/My Book.v2.PDF", ".hidden", "x", 1536, 59.96)], "f string, g string, h string, n long, s double")
+    r = one.select(T.file_name(F.col("f")), T.file_name(F.col("g")), T.file_name(F.col("h")), T.byte_size(F.col("n")), T.seconds(F.col("s")), T.seconds(F.lit(None).cast("double")), T.age(F.lit("2024-01-01 00:00:00"), F.lit("2024-01-01 00:01:00.25"))).first()
+    assert tuple(r) == ("my_bookv2.PDF", "hidden.pdf", "x.pdf", "1.5 KB", "60.0s", "-", "60.2s")
+    assert spark.range(1).select(T.is_toc_like(F.lit("Chapter IX9"))).first()[0] is False
+
+
+def test_odd_documents(spark):
+    rows = [(1, None), (2, ""), (3, "\n\n"), (4, "A\n" * 5), (5, "x \t\n" * 4 + "y"), (6, "t\nh\n* * *\nc\ns"), (6, "t")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").withColumn("paras", F.lit(1)).withColumn("_t", F.lit(1))
+    got = {r.doc_id: r for r in ingest.clean_stats(docs.where("text IS NULL OR text <> 't'")).collect()}
+    assert got[1].raw_char_count is None and (got[2].n_lines, got[2].clean_char_count) == (1, 1) and got[4].removed_repeated_headers == 0 and got[5].removed_repeated_headers == 4
+    assert [(r.kind, r.text) for r in ingest.paragraphs(docs.where("doc_id = 6 AND text <> 't'")).orderBy("para_no").collect()] == [("text", "t h"), ("scene_break", "* * *"), ("text", "c s")]
+    assert ingest.chunk_records(ingest.cleaned(docs.limit(0))).collect() == []
+    kept = ingest.plain_lines(spark.createDataFrame([(1, "My Book\n12\n\nab1\nabc d")], "doc_id int, text string"), "my book")
+    assert kept.first().text == "abc d"
+
+
+def test_answers_of_a_model_decide(spark):
+    people = [("b", "entities", i, n, [], [], [], []) for i, n in enumerate(["Dr. Livesey", "the doctor", "Doctor Livesey", "Jim"])]
+    pool = resolve.pool(spark.createDataFrame(people, "book string, source string, pos long, name string, roles array<string>, chunks array<string>, variants array<string>, accents array<string>").withColumn("chunks", F.array(F.lit("c1"))), "book")
+    pairs = resolve.scored_pairs(pool, "book")
+    groups = resolve.clusters(pool, pairs, "book").cache()
+    assert [r.name for r in groups.orderBy("member_no").collect()] == ["Doctor Livesey", "Dr. Livesey", "the doctor"]
+    said = {"good": 'Well: {"merge": 1, "confidence": "high", "members_to_merge": ["the doctor", "the doctor", 4], "canonical_name": " "}', "bad": "no"}
+    good, bad = (resolve.adjudicated(pool, groups, pairs, "book", lambda payload, k=k: said[k]).first() for k in said)
+    assert (good.canonical_name, good.merge, good.members_to_merge, good.error) == ("Doctor Livesey", True, ["the doctor"], None)
+    assert (bad.canonical_name, bad.merge, bad.confidence, bad.error) == ("Doctor Livesey", False, "review", "no JSON object in the answer")
+    with pytest.raises(ValueError):
+        resolve.scored_pairs(pool, "book", 40)
