@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import MEMO, Csr, Grams, Memo, bounded_sample, slices
 
 SCHEMA = "doc_id bigint, lang_pred string, score double"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]+")  # runs of letters and of signs such as ½ or Ⅷ, which words_of() parts from them
 NGRAMS = (1, 2, 3)
 
 
@@ -27,6 +27,12 @@ class Model:
         self.langs, self.prior, self.logp = langs, prior, logp
 
 
+def words_of(text: str | None) -> list[str]:
+    """Maximal runs of letters, in lower case."""
+    runs = LETTERS.findall((text or "").lower())
+    return [w for r in runs for w in ([r] if r.isalpha() else "".join(c if c.isalpha() else " " for c in r).split())]
+
+
 def train(texts: list, langs: list, buckets: int = 1 << 16, alpha: float = 0.5) -> Model:
     names = sorted(set(langs))
     at = {x: i for i, x in enumerate(names)}
@@ -34,7 +40,7 @@ def train(texts: list, langs: list, buckets: int = 1 << 16, alpha: float = 0.5)
     memo = Memo(lambda w: np.array(of(w)))
     counts = np.zeros((len(names), buckets))
     for t, x in zip(texts, langs, strict=True):
-        grams = [memo[w] for w in LETTERS.findall((t or "").lower())]
+        grams = [memo[w] for w in words_of(t)]
         if grams:
             counts[at[x]] += np.bincount(np.concatenate(grams), minlength=buckets)
     docs = np.bincount([at[x] for x in langs], minlength=len(names)) if names else np.zeros(0)
@@ -67,7 +73,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 matrix = np.zeros((0, k))
             grams.memo.trim()
             n = b.num_rows
-            lists = [LETTERS.findall((t or "").lower()) for t in b.column(1).to_pylist()]
+            lists = [words_of(t) for t in b.column(1).to_pylist()]
             size = np.array([len(x) for x in lists], np.int64)
             if k:
                 ids = np.fromiter((memo[w] for ws in lists for w in ws), np.int64, int(size.sum()))
