@@ -1,7 +1,7 @@
 """Secret scans over a trigram inverted index, in DataFrame functions alone.
 
-From each rule's regex a Boolean trigram query is derived: what every match must contain, as an OR of ANDs of trigrams
-of the ASCII-lower-cased text. Postings (trigram, doc_id) are built for the trigrams that the queries mention, and
+From each rule's regex a Boolean trigram query is derived: what every match must contain, as an AND of clauses, each an OR
+of ANDs of trigrams of the ASCII-lower-cased text. Postings (trigram, doc_id) are built for the trigrams that the queries mention, and
 intersected per document by an aggregate; documents that satisfy a rule's query are its candidates. Only candidates are
 verified with the regex. Rules without a mandatory trigram (a run of hex digits has none) scan every document.
 
@@ -57,8 +57,8 @@ def trigrams(s: str) -> frozenset[str]:
     return frozenset(s[i : i + 3] for i in range(len(s) - 2))
 
 
-def query(regex: str) -> frozenset[frozenset[str]] | None:
-    """The Boolean query of a regex: an OR (outer) of ANDs (inner) of lower-case trigrams; None if nothing is mandatory.
+def query(regex: str) -> tuple[frozenset[frozenset[str]], ...]:
+    """The Boolean query of a regex: clauses that all hold, each an OR (outer) of ANDs (inner) of lower-case trigrams; none if nothing is mandatory.
 
     The regex is read from left to right with the set of exact strings that the part so far can end in. Where that set can
     no longer be kept, what it demands is added to the query and a new set begins.
@@ -116,9 +116,7 @@ def query(regex: str) -> frozenset[frozenset[str]] | None:
                 longer = {""}
             exact = longer
     flush(exact)
-    if not clauses:
-        return None
-    return min(clauses, key=lambda c: (len(c), -min(map(len, c))))
+    return tuple(dict.fromkeys(clauses))
 
 
 def folded(text: Column) -> Column:
@@ -128,8 +126,8 @@ def folded(text: Column) -> Column:
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, rules): for each document with a candidate rule that has a query, the kinds of those rules."""
-    queries = {r.kind: q for r in rules if (q := query(r.regex)) is not None}
-    grams = sorted({t for q in queries.values() for a in q for t in a})
+    queries = {r.kind: q for r in rules if (q := query(r.regex))}
+    grams = sorted({t for q in queries.values() for clause in q for a in clause for t in a})
     text = F.col("_folded")
     present = F.filter(F.array(*[F.when(F.contains(text, F.lit(t)), F.struct(F.lit(i // 60).alias("w"), F.lit(1 << i % 60).cast("bigint").alias("bit"))) for i, t in enumerate(grams)]), lambda x: x.isNotNull())
     postings = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), folded(F.col(text_col)).alias("_folded")).select("doc_id", F.explode(present).alias("gram"))  # gram: its word of the bitmap and its bit there
@@ -145,7 +143,10 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id",
                 parts.append(F.col(f"w{w}").bitwiseAND(F.lit(mask).cast("bigint")) == F.lit(mask).cast("bigint"))
         return _fold(parts, lambda a, b: a & b)
 
-    hits = [F.when(_fold([all_of(a) for a in sorted(q, key=sorted)], lambda a, b: a | b), F.lit(kind)) for kind, q in queries.items()]
+    def one_of(clause: frozenset[frozenset[str]]) -> Column:
+        return _fold([all_of(a) for a in sorted(clause, key=sorted)], lambda a, b: a | b)
+
+    hits = [F.when(_fold([one_of(c) for c in q], lambda a, b: a & b), F.lit(kind)) for kind, q in queries.items()]
     return held.select("doc_id", F.filter(F.array(*hits), lambda x: x.isNotNull()).alias("rules")).where(F.size("rules") > 0)
 
 
@@ -163,16 +164,32 @@ def spans_of(text: Column, rule: Rule) -> Column:
     gaps = F.transform(F.split(text, rule.regex, -1), F.length)
     held = F.transform(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)), F.length) if rule.group else sizes
     rows = F.arrays_zip(sizes.alias("size"), F.slice(gaps, 1, F.size(sizes)).alias("gap"), held.alias("held"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,held:int>>").alias("out"))
-    walked = F.aggregate(
-        rows,
-        start,
-        lambda acc, r: F.struct(
-            (acc["at"] + r["gap"] + r["size"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + r["gap"]).alias("start"), (acc["at"] + r["gap"] + r["size"]).alias("end"), r["held"].alias("held")))).alias("out"),
-        ),
-    )["out"]
-    return F.transform(F.filter(walked, lambda x: x["held"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return F.transform(F.filter(_placed(rows), lambda x: x["held"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+
+
+#: Matches that are summed up at a time: appending to a list copies it, so lists are kept short.
+RUN = 128
+
+
+def _placed(rows: Column) -> Column:
+    """array<struct<start, end, held>> from array<struct<size, gap, held>>: the running sums, first over runs of RUN rows and then within each."""
+    runs = F.transform(F.filter(F.sequence(F.lit(0), F.floor(F.size(rows) / RUN).cast("int")), lambda i: i * RUN < F.size(rows)), lambda i: F.slice(rows, i * RUN + 1, RUN))
+
+    def within(run: Column, base: Column) -> Column:
+        start = F.struct(base.alias("at"), F.array().cast("array<struct<start:int,end:int,held:int>>").alias("out"))
+
+        def step(acc, r):
+            begin, end = acc["at"] + r["gap"], acc["at"] + r["gap"] + r["size"]
+            return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), r["held"].alias("held"))).alias("out"))
+
+        return F.aggregate(run, start, step)["out"]
+
+    def based(held: Column) -> Column:
+        lengths = F.transform(held, lambda run: F.aggregate(run, F.lit(0), lambda n, r: n + r["gap"] + r["size"]))
+        begun = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+        return F.flatten(F.transform(F.arrays_zip(held.alias("run"), begun.alias("base")), lambda x: within(x["run"], x["base"])))
+
+    return F.get(F.transform(F.array(runs), based), F.lit(0))
 
 
 def _named(spans: Column, k: int, kind: str) -> Column:
@@ -184,17 +201,18 @@ def _of_kind(found: Column, kind: str) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of docs, and found: array<struct<start, k, kind, end>> of all spans, by start, then by the rules' order."""
+    """All rows and columns of docs, and found: array<struct<start, k, kind, end>> of all spans, by start, then by the rules' order. A column `found` of the caller's gives way."""
     names = {r.kind: k for k, r in enumerate(rules)}
-    asked = candidates(docs, rules, id_col, text_col).select(F.col("doc_id").alias("_cand_id"), F.col("rules").alias("_rules"))
-    joined = docs.join(asked, docs[id_col] == F.col("_cand_id"), "left")
+    apart = F.struct(F.col("doc_id").alias("id"), "rules").alias("_of")
+    asked = candidates(docs, rules, id_col, text_col).select(apart).alias("_candidates")
+    joined = docs.join(asked, docs[id_col] == F.col("_candidates._of.id"), "left")
     text = F.coalesce(docs[text_col], F.lit(""))
     parts = []
     for r in rules:
-        has = F.array_contains("_rules", r.kind) | docs[id_col].isNull() if query(r.regex) is not None else F.lit(True)
+        has = F.array_contains(F.col("_candidates._of.rules"), r.kind) | docs[id_col].isNull() if query(r.regex) else F.lit(True)
         found = _named(spans_of(text, r), names[r.kind], r.kind)
         parts.append(F.when(has & F.regexp_like(text, F.lit(r.regex)), found).otherwise(F.array().cast("array<struct<start:int,k:int,kind:string,end:int>>")))
-    return joined.select(*[docs[c] for c in docs.columns], F.array_sort(F.concat(*parts)).alias("found"))
+    return joined.select(*[docs[c] for c in docs.columns if c != "found"], F.array_sort(F.concat(*parts)).alias("found"))
 
 
 def written(found: Column) -> Column:
