@@ -203,7 +203,7 @@ def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(keyed: DataFrame, size: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, h1, h2, n, s1, s2, keys, PARITY): a text's count of distinct shingles, a hash pair, the prefix and the parities of their set.
+    """(doc_id, h1, h2, n, s1, s2, fp, keys, PARITY): a text's count of distinct shingles, a hash pair, the fingerprint, the prefix and the parities of their set.
 
     The prefix is what comes first in an order of all shingles that is the same for all texts: those least common in the sample,
     then by hash. Two sets of at least the similarity have a shingle of both prefixes in common, whatever the order.
@@ -212,7 +212,7 @@ def _prefixes(keyed: DataFrame, size: int, similarity: float, common: tuple[np.n
 
     def run(batches):
         for b in slices(batches):
-            n, s1, s2, keys, odd = [], [], [], [], []
+            n, s1, s2, fp, keys, odd = [], [], [], [], [], []
             for t in b.column(3).to_pylist():
                 sh = np.unique(shingle_hashes(t, size))
                 digest = xxhash.xxh3_128_intdigest(sh.tobytes())
@@ -224,15 +224,16 @@ def _prefixes(keyed: DataFrame, size: int, similarity: float, common: tuple[np.n
                 n.append(len(sh))
                 s1.append(digest >> 64)
                 s2.append(digest & (1 << 64) - 1)
+                fp.append(fingerprint(sh))
                 keys.append(sh[first].view(np.int64))
                 places = (sh % np.uint64(64 * len(PARITY))).astype(np.int64)
                 odd.append(np.packbits(np.bincount(places, minlength=64 * len(PARITY)) & 1, bitorder="little").view(np.int64))
-            hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s1, s2)]
+            hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s1, s2, fp)]
             parity = [pa.array(x) for x in np.array(odd, np.int64).reshape(-1, len(PARITY)).T.copy()]
             columns = [*b.columns[:3], pa.array(n, pa.int32()), *hashes, pa.array(keys, pa.list_(pa.int64())), *parity]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h1", "h2", "n", "s1", "s2", "keys", *PARITY])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h1", "h2", "n", "s1", "s2", "fp", "keys", *PARITY])
 
-    schema = "doc_id bigint, h1 bigint, h2 bigint, n int, s1 bigint, s2 bigint, keys array<bigint>"
+    schema = "doc_id bigint, h1 bigint, h2 bigint, n int, s1 bigint, s2 bigint, fp bigint, keys array<bigint>"
     return keyed.select("doc_id", "h1", "h2", "text").mapInArrow(run, ", ".join([schema, *[f"{p} bigint" for p in PARITY]]))
 
 
@@ -276,27 +277,45 @@ def _may_be_alike(similarity: float):
     return sizes & (most * (1 + similarity) >= similarity * both - 1e-9) & (differ * (1 + similarity) <= (1 - similarity) * both + 1e-9)
 
 
-def _labelled(postings: DataFrame, label: DataFrame | None) -> DataFrame:
+def _labelled(postings: DataFrame, label: DataFrame) -> DataFrame:
     """The postings with the component of each id, of the keys that hold several components."""
-    if label is None:
-        return postings.withColumn("label", F.col("id"))
     own = postings.join(label.withColumnRenamed("fp", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     return own.join(mixed, "key", "left_semi")
 
 
-def _set_components(nodes: DataFrame, keyed: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(fp, label) of the nodes that pairs of at least the similarity join to others. nodes: (id, h1, h2, n, keys).
+def _fingerprint_pairs(nodes: DataFrame, radius: int, segments: int) -> DataFrame:
+    """(x, y) of nodes(id, fp) that multi-index hashing finds: those of a fingerprint with its least id, and of each fingerprint that has links the least id with that of its least partner.
 
-    In STAR_ROUNDS the sets that share a key are compared with one of them, which joins dense groups without expanding them. Which
-    one is the first in one of STAR_ORDERS orders, by the key, as many sets of a dense group may be unlike any single one of it. Then all pairs that share a key and are still in different components are compared, so no pair is missed that would join two.
+    So there are at most as many pairs as nodes, however dense a group is.
     """
+    classes = nodes.groupBy("fp").agg(F.min("id").alias("least"))
+    same = nodes.join(classes, "fp").where("id > least").select(F.col("least").alias("x"), F.col("id").alias("y"))
+    found = cut(links(classes.select("fp"), radius, segments), "links")
+    ends = found.select(F.col("a").alias("fp"), F.col("b").alias("other")).union(found.select("b", "a"))
+    partner = ends.groupBy("fp").agg(F.min("other").alias("other"))
+    near = partner.join(classes, "fp").withColumnRenamed("least", "x").join(classes.select(F.col("fp").alias("other"), F.col("least").alias("y")), "other")
+    out = cut(same.union(near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))).distinct(), "candidates")
+    drop(found)
+    return out
+
+
+def _set_components(nodes: DataFrame, keyed: DataFrame, size: int, similarity: float, radius: int, segments: int) -> DataFrame:
+    """(fp, label) of the nodes that pairs of at least the similarity join to others. nodes: (id, h1, h2, n, fp, keys).
+
+    First the pairs that the fingerprints find are verified. Then, in STAR_ROUNDS, the sets that share a key and are in different components are compared with one
+    of them, which joins dense groups without expanding them. Which one is the first in one of STAR_ORDERS orders, by the key, as many sets of a
+    dense group may be unlike any single one of it. At last all pairs that share a key and are still in different components are compared, so no pair is missed that would join two.
+    """
+    asked = _fingerprint_pairs(nodes, radius, segments)
+    edges = _alike(asked, nodes, keyed, size, similarity)
+    label = components(edges)
+    drop(asked)
     each = nodes.select("id", "n", F.posexplode("keys").alias("pos", "key"))
     shared = each.groupBy("key").count().where("count > 1").select("key")
-    postings = cut(each.join(shared, "key", "left_semi").join(nodes.select("id", *PARITY), "id"), "postings")
-    edges, label = None, None
+    postings = cut(each.join(shared, "key", "left_semi"), "postings")
     for step in (*range(STAR_ROUNDS), "all"):
-        own = cut(_labelled(postings, label), "labelled")
+        own = cut(_labelled(postings, label).join(nodes.select("id", *PARITY), "id"), "labelled")
         x, y = own.alias("x"), own.alias("y")
         where = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _may_be_alike(similarity)
         if step == "all":
@@ -306,8 +325,7 @@ def _set_components(nodes: DataFrame, keyed: DataFrame, size: int, similarity: f
             x = ranked.join(ranked.groupBy("key").agg(F.min("rank").alias("rank")), ["key", "rank"], "left_semi").alias("x")
         pair = x.join(y, where).select(F.least("x.id", "y.id").alias("x"), F.greatest("x.id", "y.id").alias("y")).distinct()
         asked = cut(pair, "candidates")
-        found = _alike(asked, nodes, keyed, size, similarity)
-        edges = found if edges is None else edges.union(found)
+        edges = edges.union(_alike(asked, nodes, keyed, size, similarity))
         label = components(edges)
         drop(own, asked)
     drop(postings)
@@ -318,11 +336,12 @@ def text_hashes(text) -> list:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
 
 
-def verified_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def verified_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 3, segments: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, h1, h2, component_id) of the texts that a chain of pairs of at least the similarity joins to another document; others have no row.
 
-    The similarity is the Jaccard similarity of the sets of shingles of `size` words, and no pair is missed: an exact join by
-    prefixes, see _prefixes and _set_components. h1 and h2 are the text's hashes (text_hashes), and each text of a repeated
+    The similarity is the Jaccard similarity of the sets of shingles of `size` words. Candidates are what multi-index hashing finds within `radius` bits of
+    the sets' fingerprints; pairs of that similarity often differ in more bits than any table can be asked for, so an exact join by prefixes
+    follows for the sets that are still apart and no pair is missed, see _prefixes and _set_components. h1 and h2 are the text's hashes (text_hashes), and each text of a repeated
     doc_id is in its own group; component_id is the smallest doc_id of the group. Texts without shingles are only alike if equal. Null doc_ids take no part.
     """
     own = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id IS NOT NULL")
@@ -332,7 +351,7 @@ def verified_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     # Texts without shingles are their own nodes by their hash pair; those of a set share its hash pair.
     texts = cut(prefixes.select("doc_id", "h1", "h2", F.expr("if(n > 0, s1, h1)").alias("s1"), F.expr("if(n > 0, s2, h2)").alias("s2"), F.expr("n > 0").alias("full")), "texts")
     drop(prefixes)
-    label = _set_components(nodes, keyed, size, similarity)
+    label = _set_components(nodes, keyed, size, similarity, radius, segments)
     joined = nodes.select("s1", "s2", "id").join(label.withColumnRenamed("fp", "id"), "id").select("s1", "s2", F.lit(True).alias("full"), "label")
     of = cut(texts.join(joined, ["s1", "s2", "full"], "left").select("doc_id", "h1", "h2", "label", *[F.when(F.col("label").isNull(), F.col(c)).alias(c) for c in ("s1", "s2", "full")]), "grouped")
     group = ["label", "s1", "s2", "full"]
@@ -344,6 +363,7 @@ def verified_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows whose text's group holds a smaller doc_id. Of a repeated doc_id, each row stays or goes by its own text."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    gone = verified_groups(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
+    gone = verified_groups(docs, **options).where("doc_id <> component_id").select(F.struct("doc_id", "h1", "h2").alias("of")).alias("_twins")
     h1, h2 = text_hashes(docs[text_col].cast("string"))
-    return docs.join(gone, (docs[id_col].cast("bigint") == F.col("_gone")) & (h1 == F.col("_h1")) & (h2 == F.col("_h2")), "left_anti")
+    of = F.col("_twins.of")
+    return docs.join(gone, (docs[id_col].cast("bigint") == of["doc_id"]) & (h1 == of["h1"]) & (h2 == of["h2"]), "left_anti")
