@@ -90,7 +90,7 @@ def noisy_or(p: np.ndarray, doc: np.ndarray, count: int) -> np.ndarray:
     return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), count))
 
 
-def train(texts: list, labels: list, buckets: int = 1 << 18, epochs: int = 12, least_steps: int = 900, rate: float = 0.5, l1: float = 3e-4, l2: float = 1e-6, min_df: int = 3, batch: int = 64, seed: int = 7) -> Model:
+def train(texts: list, labels: list, buckets: int = 1 << 18, epochs: int = 20, least_steps: int = 900, rate: float = 0.5, l1: float = 3e-4, l2: float = 1e-6, min_df: int = 3, batch: int = 64, seed: int = 7) -> Model:
     """Fit by AdaGrad on the noisy-or's log likelihood. Small samples are passed over more often, for `least_steps` at least.
 
     After each step the weights in use shrink by `l1`, scaled as the step is, and stop at zero, so that words which mark single
@@ -148,7 +148,8 @@ def train(texts: list, labels: list, buckets: int = 1 << 18, epochs: int = 12, l
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label) of a bounded sample of labelled rows. The sampled ids, at most `limit`, are broadcast to the scan."""
+    """(text, label) of a bounded sample of labelled rows. The sampled ids, at most `limit`, are broadcast to the scan; as ids may repeat
+    among the documents, so is the number of rows bounded, by 2 * limit."""
     ids = bounded_sample(labels.where(F.col(target).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(target).cast("bigint").alias("_label")), id_col, limit)
     own = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     return own.join(F.broadcast(ids), id_col).orderBy(id_col, F.xxhash64("_text")).limit(2 * limit).select("_text", "_label")
