@@ -58,7 +58,7 @@ STAGES = [
     ("packing", stage_packing),
 ]
 
-#: A trained model and packing by search are beyond SQL; the tests hold the near-duplicate groups against brute force, not run() as a whole.
+#: A trained model and packing by search are beyond SQL; tests/llm/test_pipeline.py holds every stage, each on its own input, and run() against brute force.
 ORACLE_SQL = None
 
 
