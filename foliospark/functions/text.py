@@ -162,7 +162,7 @@ def _or(c: Column, default: str) -> Column:
 
 def seconds(c: Column) -> Column:
     """Seconds as shown: one decimal and the unit, a hyphen for none."""
-    return F.coalesce(F.concat(F.format_string("%.1f", rounded(c, 1)), F.lit("s")), F.lit("-"))
+    return F.when(c.isNull(), "-").otherwise(F.concat(F.format_string("%.1f", rounded(c, 1)), F.lit("s")))
 
 
 def age(ts: Column, now: Column) -> Column:
