@@ -29,8 +29,8 @@ def strip(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """Runs of white space become one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, rf"{WS}+", " "))
+    """Runs of white space become one space, none at the ends. Most texts have no runs, and looking for one is cheaper than writing a text anew."""
+    return F.trim(F.when(c.rlike(rf"{WS}{{2}}|[\t\r\n\f\x0B]"), F.regexp_replace(c, rf"{WS}+", " ")).otherwise(c))
 
 
 def slug(c: Column) -> Column:
@@ -44,15 +44,18 @@ def word_count(c: Column) -> Column:
 
 def plain_punctuation(c: Column) -> Column:
     """Curly quotes, en dashes and no-break spaces in their plain form; em dashes stay."""
-    return F.translate(c, "\u2018\u2019\u201c\u201d\u2013\u00a0", "''\"\"- ")
+    for plain, signs in (("'", "\u2018\u2019"), ('"', "\u201c\u201d"), ("-", "\u2013"), (" ", "\u00a0")):
+        for sign in signs:
+            c = F.replace(c, F.lit(sign), F.lit(plain))
+    return c
 
 
 def plain_breaks(c: Column) -> Column:
-    return F.regexp_replace(c, "\r\n?", "\n")
+    return F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def rejoin_hyphens(c: Column) -> Column:
-    return F.regexp_replace(c, "([A-Za-z])-\n([a-z])", "$1$2")
+    return F.when(F.contains(c, F.lit("-\n")), F.regexp_replace(c, "([A-Za-z])-\n([a-z])", "$1$2")).otherwise(c)
 
 
 def is_heading(line: Column) -> Column:

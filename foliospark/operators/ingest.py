@@ -64,7 +64,7 @@ def folded(text: Column) -> Column:
     parts = F.split(F.array_join(F.transform(F.split(text, "\n", -1), lettered), "\n"), "\n\n+")
     trimmed = F.filter(F.transform(parts, lambda p: F.trim(p, F.lit("\n"))), lambda p: p != "")
     names = F.create_map(*[F.lit(x) for kv in (("t", "text"), ("h", "heading"), ("s", "scene_break"), ("c", "toc")) for x in kv])
-    joined = lambda p: T.collapse(F.replace(F.substring(p, 2, 2**31 - 1), F.lit("\nt"), F.lit(" ")))
+    joined = lambda p: let(F.replace(F.substring(p, 2, 2**31 - 1), F.lit("\nt"), F.lit(" ")), T.collapse)
     return F.transform(trimmed, lambda p: F.struct(F.element_at(names, F.left(p, F.lit(1))).alias("kind"), F.when(F.left(p, F.lit(1)) == "t", joined(p)).otherwise(F.substring(p, 2, 2**31 - 1)).alias("text")))
 
 
@@ -174,7 +174,7 @@ def chunk_records(held: DataFrame, key: str = "doc_id", least: int = 1200, targe
     def fact(p):
         t = p["text"]
         chapter = t.rlike(T.CHAPTER)
-        ends = t.rlike("[.\"']$") | T.stripped_heading(t)
+        ends = F.right(t, F.lit(1)).isin(".", '"', "'") | T.stripped_heading(t)
         return F.struct(T.word_count(t).alias("w"), F.length(t).cast("bigint").alias("c"), chapter.alias("chapter"), t.rlike(T.PART).alias("part"), t.rlike(T.SCENE_BREAK).alias("scene"), ends.alias("ends"))
 
     own = held.withColumn("_cuts", _cuts(F.transform("paras", fact), least, target, most))
@@ -183,13 +183,15 @@ def chunk_records(held: DataFrame, key: str = "doc_id", least: int = 1200, targe
     each = own.withColumn("_ends", ends).select(key, "paras", "_ends", F.posexplode("_cuts").alias("chunk_no", "_c"))
     c = F.col("_c")
     texts = F.transform(F.slice("paras", c["start"] + 1, c["size"]), lambda p: p["text"])
+    body = let(texts, lambda t: F.struct(F.array_join(t, "\n\n").alias("text"), F.exists(t, T.is_toc_like).alias("toc"), F.exists(t, T.is_front_matter).alias("front")))
+    each = each.withColumn("_b", body)
     hint = lambda i: F.when(i >= 0, F.get("paras", i)["text"])
     end = F.get("_ends", F.col("chunk_no"))
     rows = each.select(
-        key, "chunk_no", F.concat(F.lit("chunk_"), T.padded(F.col("chunk_no"), 3)).alias("chunk_id"), F.concat(F.array_join(texts, "\n\n"), F.lit("\n")).alias("text"),
+        key, "chunk_no", F.concat(F.lit("chunk_"), T.padded(F.col("chunk_no"), 3)).alias("chunk_id"), F.concat("_b.text", F.lit("\n")).alias("text"),
         c["size"].alias("n_paragraphs"), c["words"].alias("word_count"), size(c).alias("char_count"), (end - size(c)).alias("start_offset"), end.alias("end_offset"),
         (end - size(c) + F.col("chunk_no")).alias("true_start"), hint(c["part"]).alias("part_hint"), hint(c["chapter"]).alias("chapter_hint"),
-        F.exists(texts, T.is_toc_like).alias("contains_toc_like_content"), F.exists(texts, T.is_front_matter).alias("contains_front_matter"),
+        F.col("_b.toc").alias("contains_toc_like_content"), F.col("_b.front").alias("contains_front_matter"),
     )
     warnings = F.array_compact(F.array(F.when(F.col("word_count") < least, "short_chunk"), F.when(F.col("contains_toc_like_content"), "toc_like_content"), F.when(F.col("contains_front_matter"), "front_matter_like")))
     return rows.withColumn("warnings", warnings)
