@@ -191,9 +191,9 @@ def test_secret_scan_equals_brute_force(spark):
 
 
 def test_trigram_queries(spark):
-    assert secrets.query("[0-9a-f]{16,}") is None
-    assert secrets.query("AKIA[A-Z0-9]+") == {frozenset({"aki", "kia"})}
-    assert frozenset({"api", "pik", "ike", "key"}) in secrets.query(secrets.BASE[0].regex)
+    assert secrets.query("[0-9a-f]{16,}") == ()
+    assert secrets.query("AKIA[A-Z0-9]+") == (frozenset({frozenset({"aki", "kia"})}),)
+    assert any(frozenset({"api", "pik", "ike", "key"}) in clause for clause in secrets.query(secrets.BASE[0].regex))
 
 
 def test_redaction(spark):
