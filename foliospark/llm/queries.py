@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, language, media, packing, quality, secrets, simhash, substring, topk, toxicity
+from foliospark.llm import bpe, conversations, language, media, packing, quality, secrets, sharding, simhash, substring, topk, toxicity, txlog
 from foliospark.llm.common import fitted, fold, table
 
 #: Bounds of the labelled rows that the classifiers are fitted on.
@@ -67,8 +67,20 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return txlog.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_bpe, op3_toxicity, op4_quality, op5_language, op6_substring_dedup, op7_topk, op8_secrets, op9_simhash, op10_media)}
+    return {f.__name__: f for f in (op1_packing, op2_bpe, op3_toxicity, op4_quality, op5_language, op6_substring_dedup, op7_topk, op8_secrets, op9_simhash, op10_media, op11_sharding, op12_transactions, op13_conversations)}
 
 
 OP6_SQL = r"""
