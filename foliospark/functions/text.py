@@ -155,8 +155,8 @@ def file_name(name: Column, stem: str = "manuscript", ending: str = ".pdf") -> C
     return F.concat(_or(slug(F.left(last, F.length(last) - F.length(own))), stem), _or(own, ending))
 
 
-def archive_name(title: Column, book: Column) -> Column:
-    return F.concat(F.coalesce(F.nullif(slug(title), F.lit("")), book), F.lit("_archive.mprep.zip"))
+def archive_name(title: Column, book: Column, ending: str = "_archive.zip") -> Column:
+    return F.concat(F.coalesce(F.nullif(slug(title), F.lit("")), book), F.lit(ending))
 
 
 def _or(c: Column, default: str) -> Column:

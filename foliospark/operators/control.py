@@ -21,7 +21,7 @@ PIPELINES = {
     "merge": ("merge",),
     "resolve": ("resolve",),
     "report": ("report",),
-    "manuscript-prep": ("ingest", "orchestrate", "merge", "resolve", "report"),
+    "full": ("ingest", "orchestrate", "merge", "resolve", "report"),
 }
 INGEST_ARTIFACTS = ("ingest_manifest", "raw_text", "clean_text", "chunk_manifest")
 # Artifacts that are listed first.

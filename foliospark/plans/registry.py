@@ -526,7 +526,7 @@ def _jobs(spark, d):
     o = t(spark, d, "orders")
     none = lambda k: F.lit(None).cast("string").alias(k)
     asked = o.select(
-        F.col("o_orderkey").cast("string").alias("job_id"), F.expr("CASE WHEN o_orderkey % 2 = 0 THEN 'manuscript-prep' ELSE 'ingest' END").alias("pipeline"), F.expr("concat('book_', o_custkey % 50)").alias("book_slug"), none("title"),
+        F.col("o_orderkey").cast("string").alias("job_id"), F.expr("CASE WHEN o_orderkey % 2 = 0 THEN 'full' ELSE 'ingest' END").alias("pipeline"), F.expr("concat('book_', o_custkey % 50)").alias("book_slug"), none("title"),
         F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey").cast("string")).alias("manuscript_id"), none("config_profile_id"), none("config_path"), none("input_path"), F.expr("concat('u', o_custkey % 7)").alias("owner_user_id"), none("owner_username"),
         F.create_map(F.lit("_claimed_at"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit("_control_target_status"), F.when(F.col("o_orderkey") % 8 == 3, "paused").otherwise("")).alias("options"), "o_orderkey", "o_orderdate",
     )
@@ -561,7 +561,7 @@ def jobs_sql(status: str, stage: str, error: str, where: str = "true", more: str
 OVER, IDLE = "status IN ('succeeded', 'failed', 'cancelled')", "status IN ('queued', 'paused')"
 
 
-@query(f"WITH {JOBS_SQL} SELECT job_id, CASE WHEN o_orderkey % 2 = 0 THEN 'manuscript-prep' ELSE 'ingest' END AS pipeline, 'queued' AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'ingest:pending|orchestrate:pending|merge:pending|resolve:pending|report:pending' ELSE 'ingest:pending' END AS stages FROM j")
+@query(f"WITH {JOBS_SQL} SELECT job_id, CASE WHEN o_orderkey % 2 = 0 THEN 'full' ELSE 'ingest' END AS pipeline, 'queued' AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'ingest:pending|orchestrate:pending|merge:pending|resolve:pending|report:pending' ELSE 'ingest:pending' END AS stages FROM j")
 def jobs_created(spark, d):
     asked = _jobs(spark, d).select("job_id", "pipeline", *control.REQUEST, "options")
     return control.created(asked, _now()).select("job_id", "pipeline", "status", F.array_join(F.transform("stage_runs", lambda s: F.concat(s["name"], F.lit(":"), s["status"])), "|").alias("stages"))
@@ -665,7 +665,7 @@ def chunk_summaries(spark, d):
 
 
 @query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'n/a' WHEN c_acctbal * 500 < 1024 THEN CAST(floor(c_acctbal * 500) AS BIGINT) || ' B' WHEN c_acctbal * 500 < 1048576 THEN format('{:.1f} KB', floor(c_acctbal * 500) / 1024) ELSE format('{:.1f} MB', floor(c_acctbal * 500) / 1048576) END AS size,
- format('{:.1f}s', c_acctbal) AS seconds, lower(c_mktsegment) || '_' || c_custkey || '_archive.mprep.zip' AS archive, 'my_' || lower(c_mktsegment) || '.PDF' AS file FROM customer""")
+ format('{:.1f}s', c_acctbal) AS seconds, lower(c_mktsegment) || '_' || c_custkey || '_archive.zip' AS archive, 'my_' || lower(c_mktsegment) || '.PDF' AS file FROM customer""")
 def shown_values(spark, d):
     c = F.col
     bytes_ = F.floor(c("c_acctbal") * 500)

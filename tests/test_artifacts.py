@@ -70,7 +70,7 @@ def test_configurations():
 
 
 def jobs(spark):
-    asked = spark.createDataFrame([("j1", "ingest", "m1"), ("j2", "manuscript-prep", "m1")], "job_id string, pipeline string, manuscript_id string")
+    asked = spark.createDataFrame([("j1", "ingest", "m1"), ("j2", "full", "m1")], "job_id string, pipeline string, manuscript_id string")
     for c in control.REQUEST:
         asked = asked if c == "manuscript_id" else asked.withColumn(c, F.lit(None).cast("string"))
     made = control.created(asked.withColumn("options", F.lit(None).cast("map<string,string>")), now())
@@ -83,7 +83,7 @@ def test_an_archive_there_and_back(spark):
     files = spark.createDataFrame([("/src/a.txt", b"A"), ("/src/d/b.txt", b"B"), ("/r/j1/raw.txt", b"raw"), ("/srcx/c", b"no")], "path string, content binary")
     out = archives.exported(books, jobs(spark), files, now()).cache()
     packed = {r.manuscript_id: r for r in out.collect()}
-    assert packed["m1"].name == "my_book_archive.mprep.zip" and packed["m2"].name == "two_archive.mprep.zip"
+    assert packed["m1"].name == "my_book_archive.zip" and packed["m2"].name == "two_archive.zip"
     with zipfile.ZipFile(io.BytesIO(packed["m1"].content)) as z:
         assert sorted(z.namelist()) == ["bundle.json", "jobs/j1/artifacts/raw_text/raw.txt", "source/a.txt", "source/d/b.txt"]
         bundle = json.loads(z.read("bundle.json"))
@@ -104,9 +104,9 @@ def test_requests_and_stages(spark):
     own = jobs(spark)
     with pytest.raises(Exception, match="unknown pipeline"):
         control.created(own.select(F.lit("x").alias("job_id"), F.lit("none").alias("pipeline"), *control.REQUEST, "options"), now()).collect()
-    run = control.claimed(own, "w", now(), include=("manuscript-prep",)).first()
+    run = control.claimed(own, "w", now(), include=("full",)).first()
     assert (run.job_id, run.status, run.stage_runs[0].status, run.options["_worker_id"]) == ("j2", "running", "running", "w")
-    assert control.claimed(own, "w", now(), exclude=("ingest", "manuscript-prep")).collect() == []
+    assert control.claimed(own, "w", now(), exclude=("ingest", "full")).collect() == []
     failed = control.marked(own, "ingest", "failed", now(), "oops").orderBy("job_id").first()
     assert (failed.status, failed.stage_runs[0].error) == ("failed", "oops")
     paused = control.marked(own, "ingest", "paused", now(), "later").first()
