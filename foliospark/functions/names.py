@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import let
+from foliospark.functions.text import SPACE, let
 
 # Title synonyms, generic words and the roles that go with a title.
 TITLES = {
@@ -29,10 +29,6 @@ RESOLVER_TITLES = TITLES | {"squire": "squire"}
 RESOLVER_GENERIC = (*GENERIC, "squire")
 
 
-#: White space as Python's str methods know it.
-SPACE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}"
-
-
 def norm(c: Column) -> Column:
     """Lower case; quotes go, only a-z, digits, white space, dot, hyphen and underscore stay; separators become one space."""
     s = F.regexp_replace(F.lower(c), rf"[^a-z0-9{SPACE}_.-]", "")

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WS = r"[ \t\r\n\f\x0B]"
-WORD = r"[^ \t\r\n\f\x0B]+"
+#: White space, inside a class and as one: what Python's str methods and \\s take for it. Digits are those of any script.
+SPACE = r"\t-\r\x1C-\x20\x85\p{Z}"
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+WS, WORD, DIGIT = f"[{SPACE}]", f"[^{SPACE}]+", r"\p{Nd}"
 # Line patterns.
-PAGE_MARKER = r"(?i)^[ \t]*(?:page[ \t]+[0-9]+|[0-9]+/[0-9]+|[0-9]+)[ \t]*$"
-CHAPTER = r"(?i)^[ \t]*chapter[ \t]+[ivxlcdm0-9]+(?:[^\p{L}\p{N}_]|$)"
-PART = r"(?i)^[ \t]*part[ \t]+[\p{L}\p{N}_]+"
-SCENE_BREAK = r"^[ \t]*(?:\*[ \t]*\*[ \t]*\*|-[ \t]*-[ \t]*-|•[ \t]*•[ \t]*•)[ \t]*$"
-TOC_LEADER = r"\.{3,}[ \t]*[0-9]+[ \t]*$"
+PAGE_MARKER = rf"(?i)^{WS}*(?:page{WS}+{DIGIT}+|{DIGIT}+/{DIGIT}+|{DIGIT}+){WS}*$"
+CHAPTER = rf"(?i)^{WS}*chapter{WS}+[ivxlcdm0-9]+(?:[^\p{{L}}\p{{N}}_]|$)"
+PART = rf"(?i)^{WS}*part{WS}+[\p{{L}}\p{{N}}_]+"
+SCENE_BREAK = rf"^{WS}*(?:\*{WS}*\*{WS}*\*|-{WS}*-{WS}*-|•{WS}*•{WS}*•){WS}*$"
+TOC_LEADER = rf"\.{{3,}}{WS}*{DIGIT}+{WS}*$"
+TOC_CHAPTER = rf"(?:^|[^\p{{L}}\p{{N}}_]){DIGIT}+{WS}*$"
+#: The zeros of all scripts' decimal digits.
+ZEROS = [c for c in range(0x11000) if unicodedata.decimal(chr(c), None) == 0]
 # Lines that look like front matter.
 FRONT_MATTER = ("contents", "table of contents", "preface", "introduction", "copyright", "title page")
 # Token rates that a model runtime prints.
@@ -25,12 +32,12 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.trim(c, F.lit(" \t\r\n\f\x0b"))
+    return F.trim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
     """Runs of white space become one space, none at the ends. Most texts have no runs, and looking for one is cheaper than writing a text anew."""
-    return F.trim(F.when(c.rlike(rf"{WS}{{2}}|[\t\r\n\f\x0B]"), F.regexp_replace(c, rf"{WS}+", " ")).otherwise(c))
+    return F.trim(F.when(c.rlike(rf"{WS}{{2}}|[{SPACE}&&[^ ]]"), F.regexp_replace(c, rf"{WS}+", " ")).otherwise(c))
 
 
 def slug(c: Column) -> Column:
@@ -70,7 +77,7 @@ def stripped_heading(s: Column) -> Column:
 
 
 def is_toc_like(c: Column) -> Column:
-    return c.rlike(TOC_LEADER) | (c.rlike(CHAPTER) & c.rlike(r"(?:^|[^\p{L}\p{N}_])[0-9]+[ \t]*$"))
+    return c.rlike(TOC_LEADER) | (c.rlike(CHAPTER) & c.rlike(TOC_CHAPTER))
 
 
 def is_front_matter(c: Column) -> Column:
@@ -108,9 +115,12 @@ def padded(n: Column, width: int) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """array<struct<n, s>>: text parts in lower case (n -1) and digit runs as numbers, so that arrays compare in natural order."""
-    parts = F.split(F.regexp_replace(c, "([0-9]+)", "\u0001$1\u0001"), "\u0001")
-    return F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.struct(p.try_cast("bigint").alias("n"), F.lit("").alias("s"))).otherwise(F.struct(F.lit(-1).cast("bigint").alias("n"), F.lower(p).alias("s"))))
+    """array<struct<n, s>>: text parts in lower case (n -1) and digit runs of any length by their value (its length and digits), so that arrays compare in natural order."""
+    ascii_digits = "".join(chr(z + d) for z in ZEROS for d in range(10)), "0123456789" * len(ZEROS)
+    own = F.when(c.rlike(rf"[{DIGIT}&&[^0-9]]"), F.translate(c, *ascii_digits)).otherwise(c)
+    parts = F.split(F.regexp_replace(own, "([0-9]+)", "\u0001$1\u0001"), "\u0001")
+    number = lambda p: let(F.regexp_replace(p, "^0+(?=.)", ""), lambda v: F.struct(F.length(v).alias("n"), v.alias("s")))
+    return F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), number(p)).otherwise(F.struct(F.lit(-1).alias("n"), F.lower(p).alias("s"))))
 
 
 def source_format(path: Column) -> Column:

@@ -125,7 +125,7 @@ def structure_hints(held: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-CUT = "array<struct<start:int,size:int,words:bigint,chars:bigint,part:int,chapter:int>>"
+CUT = "array<struct<start:int,size:int,words:bigint,chars:bigint,part:int,chapter:int,upto:bigint>>"
 
 
 def _cuts(facts: Column, least: int, target: int, most: int) -> Column:
@@ -133,10 +133,10 @@ def _cuts(facts: Column, least: int, target: int, most: int) -> Column:
 
     A chunk takes the part that is known when it is closed: a part that opens the next chunk counts if it is what closes this one.
     """
-    zero = F.expr(f"named_struct('at', 0, 'start', 0, 'words', 0L, 'chars', 0L, 'part', -1, 'chapter', -1, 'out', CAST(array() AS {CUT}))")
+    zero = F.expr(f"named_struct('at', 0, 'start', 0, 'words', 0L, 'chars', 0L, 'upto', 0L, 'part', -1, 'chapter', -1, 'out', CAST(array() AS {CUT}))")
 
     def closed(acc, end, words, chars, part, chapter):
-        return F.struct(acc["start"].alias("start"), (end - acc["start"]).alias("size"), words.alias("words"), chars.alias("chars"), part.alias("part"), chapter.alias("chapter"))
+        return F.struct(acc["start"].alias("start"), (end - acc["start"]).alias("size"), words.alias("words"), chars.alias("chars"), part.alias("part"), chapter.alias("chapter"), acc["upto"].alias("upto"))
 
     def step(acc, p):
         part = F.when(p["part"], acc["at"]).otherwise(acc["part"])
@@ -146,13 +146,13 @@ def _cuts(facts: Column, least: int, target: int, most: int) -> Column:
         opened = F.struct(
             (acc["at"] + 1).alias("at"), F.when(before, acc["at"]).otherwise(acc["start"]).alias("start"),
             F.when(before, p["w"]).otherwise(acc["words"] + p["w"]).alias("words"), F.when(before, p["c"]).otherwise(acc["chars"] + p["c"]).alias("chars"),
-            part.alias("part"), F.when(p["chapter"], acc["at"]).otherwise(acc["chapter"]).alias("chapter"), first.alias("out"),
+            (acc["upto"] + p["c"]).alias("upto"), part.alias("part"), F.when(p["chapter"], acc["at"]).otherwise(acc["chapter"]).alias("chapter"), first.alias("out"),
         )
         return let(opened, lambda a: after(a, ~p["chapter"] & ~p["scene"] & p["ends"] & (a["words"] >= target)))
 
     def after(a, full):
         done = F.array_append(a["out"], closed(a, a["at"], a["words"], a["chars"], a["part"], a["chapter"]))
-        zeroed = F.struct(a["at"].alias("at"), a["at"].alias("start"), F.lit(0).cast("bigint").alias("words"), F.lit(0).cast("bigint").alias("chars"), a["part"].alias("part"), a["chapter"].alias("chapter"), done.alias("out"))
+        zeroed = F.struct(a["at"].alias("at"), a["at"].alias("start"), F.lit(0).cast("bigint").alias("words"), F.lit(0).cast("bigint").alias("chars"), a["upto"].alias("upto"), a["part"].alias("part"), a["chapter"].alias("chapter"), done.alias("out"))
         return F.when(full, zeroed).otherwise(a)
 
     def flushed(a):
@@ -177,22 +177,20 @@ def chunk_records(held: DataFrame, key: str = "doc_id", least: int = 1200, targe
         ends = F.right(t, F.lit(1)).isin(".", '"', "'") | T.stripped_heading(t)
         return F.struct(T.word_count(t).alias("w"), F.length(t).cast("bigint").alias("c"), chapter.alias("chapter"), t.rlike(T.PART).alias("part"), t.rlike(T.SCENE_BREAK).alias("scene"), ends.alias("ends"))
 
-    own = held.withColumn("_cuts", _cuts(F.transform("paras", fact), least, target, most))
-    size = lambda c: c["chars"] + 2 * (c["size"] - 1) + 1
-    ends = F.aggregate("_cuts", F.expr("named_struct('n', 0L, 'out', CAST(array() AS array<bigint>))"), lambda a, c: let(a["n"] + size(c), lambda n: F.struct(n.alias("n"), F.array_append(a["out"], n).alias("out"))), lambda a: a["out"])
-    each = own.withColumn("_ends", ends).select(key, "paras", "_ends", F.posexplode("_cuts").alias("chunk_no", "_c"))
-    c = F.col("_c")
-    texts = F.transform(F.slice("paras", c["start"] + 1, c["size"]), lambda p: p["text"])
-    body = let(texts, lambda t: F.struct(F.array_join(t, "\n\n").alias("text"), F.exists(t, T.is_toc_like).alias("toc"), F.exists(t, T.is_front_matter).alias("front")))
-    each = each.withColumn("_b", body)
-    hint = lambda i: F.when(i >= 0, F.get("paras", i)["text"])
-    end = F.get("_ends", F.col("chunk_no"))
-    rows = each.select(
-        key, "chunk_no", F.concat(F.lit("chunk_"), T.padded(F.col("chunk_no"), 3)).alias("chunk_id"), F.concat("_b.text", F.lit("\n")).alias("text"),
-        c["size"].alias("n_paragraphs"), c["words"].alias("word_count"), size(c).alias("char_count"), (end - size(c)).alias("start_offset"), end.alias("end_offset"),
-        (end - size(c) + F.col("chunk_no")).alias("true_start"), hint(c["part"]).alias("part_hint"), hint(c["chapter"]).alias("chapter_hint"),
-        F.col("_b.toc").alias("contains_toc_like_content"), F.col("_b.front").alias("contains_front_matter"),
-    )
+    def made(c, paras, no):
+        texts = F.transform(F.slice(paras, c["start"] + 1, c["size"]), lambda p: p["text"])
+        hint = lambda i: F.when(i >= 0, F.get(paras, i)["text"])
+        # Up to a chunk's end there are `upto` characters, two line breaks between the paragraphs of a chunk and one after it.
+        end = c["upto"] + 2 * (c["start"] + c["size"]) - no - 1
+        size = c["chars"] + 2 * (c["size"] - 1) + 1
+        return let(texts, lambda t: F.struct(
+            F.concat(F.array_join(t, "\n\n"), F.lit("\n")).alias("text"), c["size"].alias("n_paragraphs"), c["words"].alias("word_count"), size.alias("char_count"), (end - size).alias("start_offset"), end.alias("end_offset"),
+            (end - size + no).alias("true_start"), hint(c["part"]).alias("part_hint"), hint(c["chapter"]).alias("chapter_hint"), F.exists(t, T.is_toc_like).alias("contains_toc_like_content"), F.exists(t, T.is_front_matter).alias("contains_front_matter"),
+        ))
+
+    # A chunk's struct holds its own paragraphs only, so that exploding doesn't copy the book into each chunk.
+    each = held.select(key, F.posexplode(let(F.col("paras"), lambda paras: F.transform(_cuts(F.transform(paras, fact), least, target, most), lambda c, no: made(c, paras, no)))).alias("chunk_no", "_c"))
+    rows = each.select(key, "chunk_no", F.concat(F.lit("chunk_"), T.padded(F.col("chunk_no"), 3)).alias("chunk_id"), "_c.*")
     warnings = F.array_compact(F.array(F.when(F.col("word_count") < least, "short_chunk"), F.when(F.col("contains_toc_like_content"), "toc_like_content"), F.when(F.col("contains_front_matter"), "front_matter_like")))
     return rows.withColumn("warnings", warnings)
 

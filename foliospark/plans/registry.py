@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,10 @@ from foliospark.streaming import runlog
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-WORD = r"[^ \t\r\n\f\x0B]+"
+#: White space for the SQL, its code points one by one.
+SPACE_SQL = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+S = f"[{SPACE_SQL}]"
+WORD = f"[^{SPACE_SQL}]+"
 
 
 def query(sql: str | None = None):
@@ -43,9 +47,14 @@ TALK_SQL = "t AS (SELECT coalesce(conv_id, -1) AS book, CAST(row_number() OVER (
 
 
 NORM_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(trim({c})), '`', ''''), '[\x22''‘’]', '', 'g'), '[^a-z0-9\s_.-]', '', 'g'), '[\s_-]+', ' ', 'g'))"
-CHAPTER_SQL, PART_SQL = r"(?i)^[ \t]*chapter[ \t]+[ivxlcdm0-9]+(?:[^\p{L}\p{N}_]|$)", r"(?i)^[ \t]*part[ \t]+[\p{L}\p{N}_]+"
-SCENE_SQL, TOC_SQL = r"^[ \t]*(?:\*[ \t]*\*[ \t]*\*|-[ \t]*-[ \t]*-|•[ \t]*•[ \t]*•)[ \t]*$", r"\.{3,}[ \t]*[0-9]+[ \t]*$"
-STRIP_SQL = r"regexp_replace({c}, '^[ \t\r\n\f\x0B]+|[ \t\r\n\f\x0B]+$', '', 'g')"
+CHAPTER_SQL, PART_SQL = rf"(?i)^{S}*chapter{S}+[ivxlcdm0-9]+(?:[^\p{{L}}\p{{N}}_]|$)", rf"(?i)^{S}*part{S}+[\p{{L}}\p{{N}}_]+"
+SCENE_SQL, TOC_SQL = rf"^{S}*(?:\*{S}*\*{S}*\*|-{S}*-{S}*-|•{S}*•{S}*•){S}*$", rf"\.{{3,}}{S}*\p{{Nd}}+{S}*$"
+
+
+def strip_sql(c: str) -> str:
+    return f"regexp_replace({c}, '^{S}+|{S}+$', '', 'g')"
+
+
 
 
 def heading_sql(s: str) -> str:
@@ -57,10 +66,10 @@ def lines_sql(text: str = "text") -> str:
     return rf"""
 d AS (SELECT doc_id, regexp_replace(translate({text}, chr(8216) || chr(8217) || chr(8220) || chr(8221) || chr(8211) || chr(160), '''''""- '), '\r\n?', chr(10), 'g') AS t FROM documents),
 l AS (SELECT doc_id, unnest(range(len(string_split(t, chr(10))))) AS line_no, unnest(string_split(t, chr(10))) AS line FROM d),
-s AS (SELECT *, {STRIP_SQL.format(c='line')} AS stripped FROM l),
+s AS (SELECT *, {strip_sql('line')} AS stripped FROM l),
 r AS (SELECT doc_id, stripped, count(*) AS cnt FROM s WHERE stripped <> '' AND length(stripped) <= 120
       AND NOT regexp_matches(stripped, '{CHAPTER_SQL}') AND NOT regexp_matches(stripped, '{PART_SQL}') GROUP BY ALL HAVING count(*) >= 3),
-h AS (SELECT s.*, {heading_sql('stripped')} AS heading, regexp_matches(stripped, '(?i)^[ \t]*(?:page[ \t]+[0-9]+|[0-9]+/[0-9]+|[0-9]+)[ \t]*$') AS page_marker FROM s)"""
+h AS (SELECT s.*, {heading_sql('stripped')} AS heading, regexp_matches(stripped, '(?i)^{S}*(?:page{S}+\p{{Nd}}+|\p{{Nd}}+/\p{{Nd}}+|\p{{Nd}}+){S}*$') AS page_marker FROM s)"""
 
 
 LINES_SQL = lines_sql()
@@ -74,14 +83,14 @@ o AS (SELECT *, stripped = '' OR kind IS NOT NULL OR coalesce(lag(kind) OVER (PA
 i AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM o),
 g AS (SELECT doc_id, island, max(kind) AS kind, string_agg(stripped, ' ' ORDER BY line_no) AS raw FROM i WHERE stripped <> '' GROUP BY ALL),
 para AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS INTEGER) AS para_no, coalesce(kind, 'text') AS kind,
- CASE WHEN kind IS NULL THEN trim(regexp_replace(raw, '[ \t\r\n\f\x0B]+', ' ', 'g')) ELSE raw END AS text FROM g)"""
+ CASE WHEN kind IS NULL THEN trim(regexp_replace(raw, '{S}+', ' ', 'g')) ELSE raw END AS text FROM g)"""
 
 
 def clean_sql(text: str = "text") -> str:
     """lines_sql() and, of the lines that stay, the paragraphs; m has all lines with rep, whether they are repeated headers."""
     return rf"""{lines_sql(text)}, m AS (SELECT h.*, NOT page_marker AND r.cnt IS NOT NULL AND NOT heading AS rep FROM h LEFT JOIN r USING (doc_id, stripped)),
 kt AS (SELECT doc_id, regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '([A-Za-z])-\n([a-z])', '\1\2', 'g') AS t FROM m WHERE NOT page_marker AND NOT rep GROUP BY doc_id),
-kl AS (SELECT doc_id, unnest(range(len(string_split(t, chr(10))))) AS line_no, {STRIP_SQL.format(c='unnest(string_split(t, chr(10)))')} AS stripped FROM kt),
+kl AS (SELECT doc_id, unnest(range(len(string_split(t, chr(10))))) AS line_no, {strip_sql('unnest(string_split(t, chr(10)))')} AS stripped FROM kt),
 kh AS (SELECT *, {heading_sql('stripped')} AS heading FROM kl),{folded_sql('kh')}"""
 
 
@@ -131,7 +140,7 @@ def name_forms(spark, d):
 @query("SELECT s_suppkey, lower(regexp_extract(s_name, '^([^0-9]*)', 1)) AS prefix, CAST(regexp_extract(s_name, '([0-9]+)$', 1) AS BIGINT) AS number FROM supplier")
 def natural_keys(spark, d):
     key = T.natural_key(F.col("s_name"))
-    return t(spark, d, "supplier").select("s_suppkey", key[0]["s"].alias("prefix"), key[1]["n"].alias("number"))
+    return t(spark, d, "supplier").select("s_suppkey", key[0]["s"].alias("prefix"), key[1]["s"].cast("bigint").alias("number"))
 
 
 @query("WITH" + LINES_SQL + " SELECT doc_id, stripped, CAST(cnt AS BIGINT) AS cnt FROM r")
@@ -150,16 +159,18 @@ def clean_stats(spark, d):
     return ingest.clean_stats(t(spark, d, "documents"))
 
 
-#: Documents as books: blank lines, parts, chapters, scene breaks, dot leaders, front matter, page numbers, running heads and broken words.
+#: Documents as books: blank lines, parts, chapters, scene breaks, dot leaders, front matter, page numbers, running heads and broken words, some with white space and digits beyond ASCII.
 BOOK = (
     "CASE WHEN doc_id % 3 = 0 THEN 'Contents' || chr(10) || chr(10) || 'PART ' || source || chr(10) ELSE '' END || "
-    "replace(replace(replace(replace(replace(replace(text, ', of', chr(10) || '* * *' || chr(10) || 'of'), ', in', chr(10) || 'Chapter 7 ..... 12' || chr(10) || 'in'), ', er', chr(10) || 'part two' || chr(10) || 'er'), "
-    "', la', chr(10) || 'CHAPTER IV' || chr(10) || 'la'), '. ', '.' || chr(10) || chr(10) || 'My Header' || chr(10) || '3' || chr(10)), ' th', '-' || chr(10) || 'th')"
+    "replace(replace(replace(replace(replace(replace(replace(text, ', of', chr(10) || '* * *' || chr(10) || 'of'), ', in', chr(10) || 'Chapter 7 ..... 12' || chr(10) || 'in'), ', er', chr(10) || 'part two' || chr(10) || 'er'), "
+    "', la', chr(10) || chr(12288) || 'CHAPTER' || chr(8201) || 'IV' || chr(133) || chr(10) || 'la'), '. ', '.' || chr(10) || chr(10) || 'My Header' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '3' ELSE chr(1635) END || chr(10)), ' th', '-' || chr(10) || 'th'), ' an', chr(8195) || chr(12288) || 'an')"
 )
 
 
 def _books(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.expr(BOOK.replace("chr(10)", "'\\n'")).alias("text"))
+    shown = re.sub(r"chr\((\d+)\)", lambda m: f"'\\u{int(m[1]):04x}'", BOOK)
+    return t(spark, d, "documents").select("doc_id", F.expr(shown).alias("text"))
+
 
 
 @query("WITH" + clean_sql(BOOK) + CLEAN_STATS_SQL)
@@ -193,7 +204,7 @@ chunk AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k.
 
 
 RECORDS_SQL = rf""", j AS (SELECT c.doc_id, c.chunk_no, any_value(c.words) AS words, any_value(c.part) AS part, any_value(c.chapter) AS chapter, count(*) AS n_paragraphs, string_agg(p.text, chr(10) || chr(10) ORDER BY p.para_no) || chr(10) AS text,
- bool_or(regexp_matches(p.text, '{TOC_SQL}') OR (ch AND regexp_matches(p.text, '(?:^|[^\p{{L}}\p{{N}}_])[0-9]+[ \t]*$'))) AS toc,
+ bool_or(regexp_matches(p.text, '{TOC_SQL}') OR (ch AND regexp_matches(p.text, '(?:^|[^\p{{L}}\p{{N}}_])\p{{Nd}}+{S}*$'))) AS toc,
  bool_or(lower(p.text) IN ('contents', 'table of contents', 'preface', 'introduction', 'copyright', 'title page')) AS front FROM chunk c JOIN p ON p.doc_id = c.doc_id AND p.para_no >= c.start AND p.para_no < c.start + c.size GROUP BY ALL),
 e AS (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY chunk_no) AS stop FROM j)
 SELECT e.doc_id, chunk_no, 'chunk_' || CASE WHEN chunk_no < 1000 THEN lpad(CAST(chunk_no AS VARCHAR), 3, '0') ELSE CAST(chunk_no AS VARCHAR) END AS chunk_id, sha256(e.text) AS text_sha256, CAST(n_paragraphs AS INTEGER) AS n_paragraphs, words AS word_count, CAST(length(e.text) AS BIGINT) AS char_count,
@@ -682,7 +693,7 @@ def artifact_checksums(spark, d):
     return t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("n_bytes"))
 
 
-@query(r"""WITH f AS (SELECT doc_id, source, trim(regexp_replace(text, '[ \t\r\n\f\x0B]+', ' ', 'g')) AS x FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS row_no FROM f)
+@query(rf"""WITH f AS (SELECT doc_id, source, trim(regexp_replace(text, '{S}+', ' ', 'g')) AS x FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS row_no FROM f)
 SELECT doc_id, source, CAST(row_no AS INTEGER) AS row_no, CASE WHEN length(x) > 220 THEN rtrim(left(x, 219)) || '…' ELSE x END AS cell FROM r WHERE row_no <= 40""")
 def report_rows(spark, d):
     return merge.numbered(t(spark, d, "documents"), ["source"], ["doc_id"], 40).select("doc_id", "source", "row_no", T.truncate(F.col("text"), 220).alias("cell"))
