@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import jsonx, names
 from foliospark.functions import text as T
-from foliospark.operators import book, control, ingest, jobs, merge, passes, report, resolve
+from foliospark.operators import book, control, ingest, jobs, longbooks, merge, passes, report, resolve, scans
 from foliospark.streaming import runlog
 
 QUERIES: dict = {}
@@ -244,6 +244,19 @@ def paragraph_fold(spark, d):
     return ingest.paragraphs(t(spark, d, "documents"))
 
 
+LONG_SQL = ", q AS (SELECT source AS doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY p.doc_id, para_no) - 1 AS INTEGER) AS para_no, p.text FROM para p JOIN documents USING (doc_id) WHERE source IS NOT NULL),"
+
+
+@query("WITH RECURSIVE" + clean_sql(BOOK) + LONG_SQL + chunks_sql(10, 40, 60).replace("FROM para)", "FROM q)") + RECORDS_SQL.replace("{least}", "10"))
+def long_book_chunks(spark, d):
+    """All documents of a source as one book, which no task holds: chunks by successor pointers and pointer jumping."""
+    own = ingest.cleaned(_books(spark, d)).join(t(spark, d, "documents").select("doc_id", "source"), "doc_id").where("source IS NOT NULL").select("doc_id", "source", "paras")
+    placed = scans.preceded(own, ["source"], "doc_id", {"before": ("sum", F.size("paras").cast("bigint"))}, scans.levels_of(own, "doc_id"))
+    paras = placed.select("source", "before", F.posexplode("paras").alias("i", "p")).select(F.col("source").alias("doc_id"), (F.col("before") + F.col("i")).alias("para_no"), "p.text")
+    got = longbooks.chunk_records(paras, least=10, target=40, most=60)
+    return got.withColumn("text_sha256", F.sha2("text", 256)).withColumn("warnings", F.array_join("warnings", "|")).drop("text")
+
+
 LINE_PARAS_SQL = LINES_SQL + ", para AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS INTEGER) AS para_no, stripped AS text FROM s WHERE stripped <> '')"
 
 

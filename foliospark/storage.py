@@ -22,4 +22,17 @@ def kept(df: DataFrame, kind: str) -> DataFrame:
     """df written to the shared folder and read again, so that what uses it several times doesn't compute it again."""
     path = shared_dir(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._folder = path
+    return back
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the files of frames made by kept(), once all that was derived from them is itself written."""
+    for df in frames:
+        drop_folder(df.sparkSession, df._folder)
