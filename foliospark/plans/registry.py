@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from foliospark.functions import jsonx, names
 from foliospark.functions import text as T
 from foliospark.operators import book, control, ingest, jobs, longbooks, merge, passes, report, resolve, scans
-from foliospark.streaming import runlog
+from foliospark.storage import shared_dir
+from foliospark.streaming import runlog, watch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -739,6 +740,26 @@ def session_gaps(spark, d):
     return own.groupBy("user_id", "session").agg(F.count("*").alias("n"))
 
 
+WATCHED = "CASE event_type WHEN 'signup' THEN 'pass_start' WHEN 'purchase' THEN 'pass_success' WHEN 'error' THEN 'pass_failure' ELSE event_type END"
+WATCH_LIMITS = {"retries": 2, "idle": 6 * 3600, "backoff": 1.5, "most": 12 * 3600, "hard": 48 * 3600}
+
+
+@query()
+def watched_passes(spark, d):
+    """The events replayed as a stream by their own times: attempts that end by success, error, or an idle or hard timeout; tests/test_watch.py replays them one by one."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before, (out, checkpoint) = spark.conf.get(key), (shared_dir(spark, "watched"), shared_dir(spark, "watched-checkpoint"))
+    table = t(spark, d, "events")
+    stream = spark.readStream.schema(table.schema).parquet(f"{d}/events.parque[t]").select("user_id", F.expr(WATCHED).alias("event_type"), F.col("ts").cast("timestamp").alias("ts"), "event_id").withWatermark("ts", "0 seconds")
+    got = watch.watched(stream, ["user_id"], limits=watch.Limits(**WATCH_LIMITS), clock="event", place="event_id")
+    watch.use_rocksdb(spark)
+    try:
+        got.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(got.schema).parquet(out)
+
+
 @query("SELECT CAST(user_id AS VARCHAR) AS run, event_type, 'chunk_' || (event_id % 7) AS chunk, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE event_id % 10 <> 0")
 def log_events(spark, d):
     """The run log as JSON lines, a tenth of them cut short."""
