@@ -19,6 +19,7 @@ from pyspark.sql.utils import AnalysisException
 from foliospark.functions import jsonx
 from foliospark.functions import text as T
 from foliospark.operators import control, passes
+from foliospark.sources import chunkfolders
 
 # Tables that a job store keeps in one file each, by file name.
 STORE = {"workers": "_workers.json", "users": "_users.json", "manuscripts": "_manuscripts.json", "config_profiles": "_config_profiles.json", "artifact_index": "_artifact_index.json"}
@@ -75,27 +76,12 @@ def with_manifest(chunks: DataFrame, entries: DataFrame) -> DataFrame:
     return chunks.join(entries.select("book", "chunk_id", F.col("entry").alias("manifest_entry")), ["book", "chunk_id"], "left")
 
 
-def _one_file(spark: SparkSession, path: str) -> DataFrame:
-    """(value) of a file, no row where there is none. Spark's sources pass over names that begin with _, so the driver reads it: a store keeps each of its small tables whole in one file."""
-    jvm = spark._jvm
-    file = jvm.org.apache.hadoop.fs.Path(path)
-    fs = file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    texts = []
-    if fs.exists(file):
-        stream = fs.open(file)
-        try:
-            texts.append((jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"),))
-        finally:
-            stream.close()
-    return spark.createDataFrame(texts, "value string")
-
-
 def job_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """A folder of job files as tables: jobs (control.JOB) and, as VARIANTs v, the rows of workers, users, manuscripts and config_profiles, and the artifact index."""
+    """A folder of job files, on a path that all nodes see, as tables: jobs (control.JOB) and, as VARIANTs v, the rows of workers, users, manuscripts and config_profiles, and the artifact index."""
     rows = whole_files(spark, path, "*.json")
     out = {"jobs": rows.select(F.from_json("value", control.JOB).alias("j")).where("j.job_id IS NOT NULL").select("j.*")}
     for name, file in STORE.items():
-        v = _one_file(spark, f"{path.rstrip('/')}/{file}").select(jsonx.whole(F.col("value")).alias("v"))
+        v = chunkfolders.read(spark, path, names=file).where("book IS NULL").select(jsonx.whole(F.col("text")).alias("v"))
         if name == "artifact_index":
             entries = v.select(F.explode(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))).alias("e"))
             out[name] = entries.select(F.col("e.key").alias("job_id"), F.explode(jsonx.items(F.col("e.value"), "$")).alias("v"))
