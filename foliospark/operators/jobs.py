@@ -88,6 +88,48 @@ def progress(events: DataFrame, keys: list[str], order: str, lower: Column | Non
     )
 
 
+def progress_state(events: DataFrame, keys: list[str], order: str, ts: str | None = None) -> DataFrame:
+    """progress() in a form that merges: counts, and for each value that it keeps the last (order, value); order is an event's place in the log."""
+    has, at, ts = set(events.columns), F.col(order), ts or order
+    last = lambda name, where: F.max(F.when(where & at.isNotNull(), F.struct(at.alias("at"), F.col(name).alias("v"))))
+    some = {f: F.col(f).isNotNull() for f in ("model", "attempt", "idle_timeout_s", "idle_timeout_failures_for_pass", "reported_tps", "estimated_tps")}
+    some |= {f: F.coalesce(F.col(f) != "", F.lit(False)) for f in ("step", "model")} | {"pass": F.col("pass").isin(*PASSES)}
+    return events.groupBy(*keys).agg(
+        F.count_if(F.col("event_type") == "chunk_success").alias("chunks_completed"), F.count_if(F.col("event_type") == "chunk_failure").alias("chunks_failed"),
+        last("event_type", F.lit(True)).alias("last_event_type"), last(ts, F.lit(True)).alias("last_event_at"), *[last(f, some[f]).alias(name) for name, f in LAST.items() if f in has],
+    )
+
+
+#: What progress() calls the last value of a field.
+LAST = {
+    "current_pass": "pass", "current_step": "step", "current_model": "model", "current_attempt": "attempt", "current_idle_timeout_s": "idle_timeout_s",
+    "idle_backoffs": "idle_timeout_failures_for_pass", "reported_tps": "reported_tps", "estimated_tps": "estimated_tps",
+}
+
+
+def merged_state(states: DataFrame, keys: list[str]) -> DataFrame:
+    """One progress_state() per key of several, in any grouping."""
+    counts = ("chunks_completed", "chunks_failed")
+    return states.groupBy(*keys).agg(*[(F.sum if c in counts else F.max)(c).alias(c) for c in states.columns if c not in keys])
+
+
+def shown_state(states: DataFrame, keys: list[str]) -> DataFrame:
+    """progress() from a merged state."""
+    return states.select(*keys, *[(F.col(c) if c.startswith("chunks_") else F.col(f"{c}.v")).alias(c) for c in states.columns if c not in keys])
+
+
+def chunk_bitmaps(events: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, bucket, bitmap): which chunks, by their numbers, were completed, however often. Bitmaps of several batches merge: see chunks_done()."""
+    number = T.chunk_index(F.col("chunk"))
+    own = events.where("event_type = 'chunk_success'").where(number.isNotNull()).select(*keys, number.alias("_n"))
+    return own.groupBy(*keys, F.bitmap_bucket_number("_n").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_n")).alias("bitmap"))
+
+
+def chunks_done(bitmaps: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, chunks_completed): how many different chunks are completed, from bitmaps of any number of batches. Chunks without a number don't count."""
+    return bitmaps.groupBy(*keys, "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bitmap")).alias("_n")).groupBy(*keys).agg(F.sum("_n").alias("chunks_completed"))
+
+
 def current_chunk(events: DataFrame, keys: list[str], order: str) -> DataFrame:
     """(keys, current_chunk): the latest started chunk whose last event isn't its end, else the latest started."""
     chunks = events.where(F.col("chunk") != "").groupBy(*keys, "chunk").agg(F.max(F.when(F.col("event_type") == "chunk_start", F.col(order))).alias("started"), F.max_by(F.coalesce("event_type", F.lit("")), order).alias("last"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import jsonx, names
 from foliospark.functions import text as T
-from foliospark.operators import book, control, ingest, jobs, longbooks, merge, passes, report, resolve, scans
+from foliospark.operators import book, control, ingest, jobevents, jobs, longbooks, merge, passes, report, resolve, scans
 from foliospark.storage import shared_dir
 from foliospark.streaming import runlog, watch
 
@@ -697,6 +697,36 @@ def shown_values(spark, d):
     return t(spark, d, "customer").select("c_custkey", T.byte_size(F.when(c("c_acctbal") < 0, -1).otherwise(bytes_)).alias("size"), T.seconds(c("c_acctbal")).alias("seconds"), T.archive_name(F.concat("c_mktsegment", F.lit(" - "), c("c_custkey").cast("string"), F.lit("!")), F.lit("x")).alias("archive"), T.file_name(F.concat(F.lit("/tmp/My "), "c_mktsegment", F.lit(".PDF"))).alias("file"))
 
 
+ACTION = "CASE event_id % 10 WHEN 0 THEN 'create' WHEN 1 THEN 'claim' WHEN 2 THEN 'pause' WHEN 3 THEN 'run' WHEN 4 THEN 'claim' WHEN 5 THEN 'cancel' WHEN 6 THEN 'stopped' WHEN 7 THEN 'succeed' WHEN 8 THEN 'fail' ELSE CASE WHEN event_type = 'error' THEN 'delete' ELSE 'recover' END END"
+JOB_STEPS_SQL = f"""RECURSIVE e AS (SELECT user_id, event_id, {ACTION} AS action, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+m(action, before, after) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}')" for a, rules in jobevents.ACTIONS.items() for b, c in rules.items())}),
+r AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::VARCHAR AS action, 'none' AS before, 'none' AS after, true AS legal FROM (SELECT DISTINCT user_id FROM e)
+ UNION ALL SELECT e.user_id, e.i, e.event_id, e.action, r.after, coalesce(m.after, r.after), m.after IS NOT NULL FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1 LEFT JOIN m ON m.action = e.action AND m.before = r.after)"""
+
+
+def _job_events(spark, d):
+    return t(spark, d, "events").select("user_id", "event_id", F.expr(ACTION).alias("action"))
+
+
+@query(f"WITH {JOB_STEPS_SQL} SELECT user_id, arg_max(after, i) AS status, count(*) FILTER (i > 0) AS events, count(*) FILTER (NOT legal) AS illegal, max(event_id) AS updated FROM r GROUP BY user_id")
+def job_states(spark, d):
+    """The latest-state view over an event table, by composing transition functions."""
+    return jobevents.latest(_job_events(spark, d), "user_id", "event_id")
+
+
+@query(f"WITH {JOB_STEPS_SQL} SELECT user_id, event_id, action, before FROM r WHERE NOT legal")
+def illegal_steps(spark, d):
+    return jobevents.illegal(_job_events(spark, d), "user_id", "event_id")
+
+
+@query(f"SELECT user_id, count(DISTINCT event_id % 7) AS chunks_completed FROM events WHERE {EVENT_TYPE} = 'chunk_success' GROUP BY user_id")
+def distinct_chunks(spark, d):
+    """Chunks completed, each once however often it was tried: bitmaps of two halves of the log, merged."""
+    log = _log(spark, d)
+    halves = [jobs.chunk_bitmaps(log.where(F.col("event_id") % 2 == k), ["user_id"]) for k in (0, 1)]
+    return jobs.chunks_done(halves[0].unionByName(halves[1]), ["user_id"])
+
+
 @query("SELECT user_id, arg_max(event_type, event_id) AS status, max(event_id) AS last_event FROM events GROUP BY user_id")
 def heartbeat_latest(spark, d):
     return t(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("status"), F.max("event_id").alias("last_event"))
