@@ -68,9 +68,10 @@ def pool(rows: DataFrame, key: str) -> DataFrame:
 def scored_pairs(people: DataFrame, key: str, least: int = LINK) -> DataFrame:
     """(key, a, b, score, reasons) with a < b by normal form, of pairs of pool() that reach `least`, LINK at least.
 
-    A pair's points decide what it must share, so nothing is compared with everything. Without an equal form, surname or
-    variant (100, 40, 50) a pair has title 20, given name 15, twice 22 for a title that stands alone, chunks 20 and roles 12 at most. So it
-    needs a title that stands alone on one side, or title and given name, or title and a role, or given name and a role.
+    A pair's points decide what it must share, so nothing is compared with everything, and no surname or title blocks by itself. Equal forms
+    have 100 and variants 50 points. A surname has 40, so it needs a title (20), a given name (15), a role (12) or two chunks (4 each)
+    besides. Without it there are title and given name with a role or three chunks; title and role with four chunks; given name and role with five;
+    and a title that stands alone (20 and 22) with the same title, a role or a chunk, or another that stands alone.
     """
     if least < LINK:
         raise ValueError(f"pairs below {LINK} points aren't found")
@@ -79,19 +80,28 @@ def scored_pairs(people: DataFrame, key: str, least: int = LINK) -> DataFrame:
     spoken = F.array_distinct(F.transform("variants", lambda v: N.norm(v)))
     own = people.select(key, "norm", "f", "chunks", lower.alias("roles"), spoken.alias("spoken"))
 
-    def tag(kind, *parts):
-        return F.concat_ws("\u0001", F.lit(kind), *parts)
-
-    with_role = lambda kind, x: F.when(x.isNotNull(), F.transform("roles", lambda r: tag(kind, x, r)))
-    single = F.array(F.when(f["surname"].isNotNull(), tag("s", f["surname"])), tag("n", f["normalized"]), F.when(f["title"].isNotNull() & f["given"].isNotNull(), tag("tg", f["title"], f["given"])))
-    empty = F.array().cast("array<string>")
-    several = [F.transform("spoken", lambda v: tag("v", v)), with_role("tr", f["title"]), with_role("gr", f["given"])]
-    blocks = F.array_distinct(F.array_compact(F.concat(single, *[F.coalesce(s, empty) for s in several])))
-    blocked = own.select(key, F.explode(blocks).alias("block"), "norm")
-    same = blocked.alias("x").join(blocked.alias("y"), [key, "block"]).where("x.norm < y.norm").select(key, F.col("x.norm").alias("a"), F.col("y.norm").alias("b"))
-    titled = own.where("f.title IS NOT NULL").select(key, F.col("f.title").alias("title"), "norm", F.col("f.is_generic").alias("alone"))
-    alone = titled.where("alone").alias("x").join(titled.alias("y"), [key, "title"]).where("x.norm <> y.norm").select(key, F.least("x.norm", "y.norm").alias("a"), F.greatest("x.norm", "y.norm").alias("b"))
-    asked = same.union(alone).distinct()
+    title, given, surname, alone = f["title"], f["given"], f["surname"], F.coalesce(f["is_generic"], F.lit(False))
+    chunks = F.array_compact(F.array_distinct("chunks"))
+    empty = F.array().cast("array<struct<tag:string,chunk:string,need:int,asks:boolean>>")
+
+    def block(kind, parts, chunk=None, need=1, asks=None):
+        """What pairs must share: a tag of parts, none of them null, with `need` chunks; at least one of the two asks for it."""
+        tag = F.concat_ws("\u0001", F.lit(kind), *parts)
+        made = F.struct(tag.alias("tag"), (chunk if chunk is not None else F.lit("")).cast("string").alias("chunk"), F.lit(need).alias("need"), (asks if asks is not None else F.lit(True)).alias("asks"))
+        return F.when(reduce(lambda x, y: x & y, [p.isNotNull() for p in parts]), made)
+
+    each = lambda values, of: F.coalesce(F.array_compact(F.transform(values, of)), empty)
+    role_chunk = lambda kind, part, need: F.coalesce(F.flatten(F.transform("roles", lambda r: each(chunks, lambda c: block(kind, [part, r], c, need)))), empty)
+    single = [block("n", [f["normalized"]]), block("st", [surname, title]), block("sg", [surname, given]), F.when(alone, block("tt", [title]))]
+    several = [
+        each("spoken", lambda v: block("v", [v])), each("roles", lambda r: block("sr", [surname, r])), each(chunks, lambda c: block("sc", [surname], c, 2)),
+        each("roles", lambda r: block("tgr", [title, given, r])), each(chunks, lambda c: block("tgc", [title, given], c, 3)), role_chunk("trc", title, 4), role_chunk("grc", given, 5),
+        each("roles", lambda r: block("ar", [title, r], asks=alone)), each(chunks, lambda c: block("ac", [title, c], asks=alone)),
+    ]
+    rows = own.select(key, "norm", F.explode(F.array_distinct(F.concat(F.array_compact(F.array(*single)), *several))).alias("b")).select(key, "norm", "b.*")
+    x, y = rows.where("asks").alias("x"), rows.alias("y")
+    met = x.join(y, [key, "tag", "chunk"]).where("x.norm < y.norm OR (x.norm > y.norm AND NOT y.asks)").groupBy(key, "tag", F.least("x.norm", "y.norm").alias("a"), F.greatest("x.norm", "y.norm").alias("b")).agg(F.count("*").alias("n"), F.max("x.need").alias("need"))
+    asked = met.where("n >= need").select(key, "a", "b").distinct()
     facts = lambda n: own.select(key, F.col("norm").alias(n), F.struct("f", "chunks", "roles", "spoken").alias(f"_{n}"))
     pairs = asked.join(facts("a"), [key, "a"]).join(facts("b"), [key, "b"])
     x, y = F.col("_a"), F.col("_b")
