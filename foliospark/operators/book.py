@@ -63,25 +63,32 @@ class Merged:
         ids = self.chunks.groupBy(self.book).agg(F.map_from_entries(F.collect_set(F.struct(F.col("pos").cast("int"), "chunk_id"))).alias("_ids"))
         return rows.join(ids, self.book)
 
+    def per_chunk(self, rows: DataFrame, **empty: Column) -> DataFrame:
+        """(book, per_chunk): a record of each chunk in order, with the columns of rows(book, pos, ...), or what `empty` says of them where a chunk has none."""
+        own = self.chunks.select(self.book, "pos", "chunk_id").join(rows, [self.book, "pos"], "left")
+        fields = [F.coalesce(F.col(x), empty[x]).alias(x) if x in empty else F.col(x) for x in rows.columns if x not in (self.book, "pos")]
+        return listed(own, self.book, ["pos"], F.struct("chunk_id", *fields), "per_chunk")
+
     def documents(self) -> dict[str, DataFrame]:
         b, c = self.book, F.col
         books = self.chunks
         at = self.chunks.select(b, "pos", "chunk_id")
         lists = lambda df, kinds: [df.where(c("kind") == k).select(b, c("values").alias(k)) for k in kinds]
-        per_chunk = lambda df: listed(at.join(df, [b, "pos"], "left"), b, ["pos"], F.struct("chunk_id", *[x for x in df.columns if x not in (b, "pos")]), "per_chunk")
+        per_chunk = self.per_chunk
         status = listed(at.join(self.structure_chunks, [b, "pos"], "left"), b, ["pos"], F.struct("chunk_id", F.coalesce("status", F.lit("")).alias("status")), "statuses")
         structure = _joined(books, b, [*lists(self.structure, ("chapters", "parts", "scene_breaks")), per_chunk(self.structure_chunks), status])
         dialogue = _joined(books, b, [self.dialogue, per_chunk(self.dialogue_chunks)])
         form = F.struct("canonical", "variants", self._ids("chunks").alias("chunks"))
         forms = self.named(self.entities)
         normalized = [listed(forms.where(c("kind") == k), b, [T.natural_key(c("canonical")), "norm"], form, f"{k}_normalized") for k in passes.ENTITY_KINDS]
-        entities = _joined(books, b, [*lists(self.names, passes.ENTITY_KINDS), *normalized])
+        none = F.array().cast("array<variant>")
+        entities = _joined(books, b, [self.per_chunk(passes.entity_chunks(self.outputs, b), **dict.fromkeys(passes.ENTITY_KINDS, none)), *lists(self.names, passes.ENTITY_KINDS), *normalized])
         source = F.transform("source_dossiers", lambda s: F.struct(F.element_at("_ids", s["chunk"].cast("int")).alias("chunk_id"), F.parse_json(s["dossier"]).alias("dossier")))
         dossier = F.struct(c("canonical_name").alias("name"), "canonical_name", "surface_variants", *passes.MERGED, self._ids("chunks").alias("chunks"), "merge_confidence", c("merge_reasons").alias("merge_reason"), source.alias("source_dossiers"))
         merged = listed(self.named(self.dossiers), b, ["place"], dossier, "character_dossiers")
         said = self.notes.where("target_name IS NOT NULL")
         note = F.struct(c("name").alias("source_name"), "target_name", "confidence", "reason", "score", F.element_at("_ids", passes.chunk_of(c("pos"))).alias("chunk_id"))
-        dossiers = _joined(books, b, [merged, listed(self.named(said), b, ["pos"], note, "resolver_notes")])
+        dossiers = _joined(books, b, [self.per_chunk(passes.dossier_chunks(self.outputs, b), character_dossiers=none), merged, listed(self.named(said), b, ["pos"], note, "resolver_notes")])
         clash = F.struct("type", "severity", "values", "message")
         people = self.conflicts.where("scope = 'character'").groupBy(b, "place", "name", "variants", "surface_variants", "chunks", "merge_confidence").agg(F.array_sort(F.collect_list(clash)).alias("conflicts"))
         parts = [listed(people, b, ["place"], F.struct("name", "variants", "surface_variants", "chunks", "merge_confidence", "conflicts"), "character_conflicts")]
@@ -98,7 +105,9 @@ class Merged:
         b = self.book
         parts = {name: kept(_doc(df, b, name), name) for name, df in self.documents().items()}
         held = [df.select(b, F.parse_json("body").alias(name)) for name, df in parts.items()]
-        timing = self.timing.select(b, F.struct(F.col("total_seconds").alias("book_total_duration_seconds"), F.col("passes").alias("pass_total_duration_seconds")).alias("timing_summary"))
+        each = self.per_chunk(passes.timing_chunks(self.outputs, b), passes=F.parse_json(F.lit("{}")))
+        summary = F.struct(F.coalesce("total_seconds", F.lit(0.0)).alias("book_total_duration_seconds"), F.coalesce("passes", F.create_map().cast("map<string,double>")).alias("pass_total_duration_seconds"), "per_chunk")
+        timing = each.join(self.timing, b, "left").select(b, summary.alias("timing_summary"))
         whole = reduce(lambda x, y: x.join(y, b, "left"), [*held, timing])
         fields = [F.col(b).cast("string").alias("book_slug"), "merge_report", "timing_summary", "conflict_report", *[F.col(f"{p}_merged").alias(p) for p in ("structure", "dialogue", "entities", "dossiers")]]
         return reduce(DataFrame.union, [*parts.values(), _doc(whole, b, "book_merged", fields)])

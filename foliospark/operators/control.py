@@ -26,6 +26,9 @@ PIPELINES = {
 INGEST_ARTIFACTS = ("ingest_manifest", "raw_text", "clean_text", "chunk_manifest")
 # Artifacts that are listed first.
 PREFERRED = ("book_merged", "merge_report", "conflict_report", "book_resolved", "resolution_map", "resolution_report", "report_pdf", "orchestrator_log")
+# What jobs and requests are told.
+RECOVERED, PAUSED, CANCELLED = "Recovered from stale running state", "Paused by housekeeping", "Cancelled by housekeeping"
+NO_INGEST, MISSING_ARTIFACT, UNKNOWN_PROFILE = "No ingest results available for this manuscript yet", "Missing ingest artifact: ", "Unknown config profile: "
 CONTROL_KEYS = ("_pause_requested_at", "_cancel_requested_at", "_cancel_reason", "_control_target_status", "_worker_id", "_claimed_at")
 
 STAGE = "struct<name:string,status:string,started_at:timestamp,finished_at:timestamp,error:string,command:array<string>,exit_code:int,stdout_path:string,stderr_path:string>"
@@ -168,7 +171,7 @@ def recovered(jobs: DataFrame, worker_id: str, now: Column, seconds: int = 600)
     at = F.element_at("options", "_claimed_at").try_cast("timestamp")
     stale = jobs.where((F.col("status") == "running") & _older(at, now, seconds))
     none = F.lit(None)
-    pending = _change(F.col("stage_runs"), _first(F.col("stage_runs"), "running"), lambda s: _stage(s, status=F.lit("pending"), started_at=none.cast("timestamp"), finished_at=none.cast("timestamp"), error=F.lit("Recovered from stale running state")))
+    pending = _change(F.col("stage_runs"), _first(F.col("stage_runs"), "running"), lambda s: _stage(s, status=F.lit("pending"), started_at=none.cast("timestamp"), finished_at=none.cast("timestamp"), error=F.lit(RECOVERED)))
     return _with(stale, F.lit(True), status=F.lit("queued"), updated_at=now, stage_runs=pending, options=_put(F.col("options"), {"_recovered_by": F.lit(worker_id), "_recovered_at": now}))
 
 
@@ -178,7 +181,7 @@ def finalized(jobs: DataFrame, now: Column, seconds: int = 15) -> DataFrame:
     at = F.coalesce(option("_pause_requested_at"), option("_cancel_requested_at"), F.col("updated_at").cast("string")).try_cast("timestamp")
     stale = jobs.where(F.col("status").isin("cancel_requested", "pause_requested") & _older(at, now, seconds))
     target = F.coalesce(option("_control_target_status"), F.lit("cancelled"))
-    why = F.when(target == "paused", "Paused by housekeeping").otherwise("Cancelled by housekeeping")
+    why = F.when(target == "paused", PAUSED).otherwise(CANCELLED)
     ended = _change(F.col("stage_runs"), _first(F.col("stage_runs"), "running"), lambda s: _stage(s, status=target, finished_at=now, error=F.coalesce(F.nullif(s["error"], F.lit("")), why)))
     return _with(stale, F.lit(True), status=target, updated_at=now, stage_runs=ended)
 
@@ -226,7 +229,7 @@ def ingest_results(manuscripts: DataFrame, jobs: DataFrame) -> DataFrame:
     found = F.map_from_entries(F.array_compact(F.array(*[entry(n) for n in INGEST_ARTIFACTS])))
     missing = F.get(F.filter(F.array(*[F.lit(n) for n in INGEST_ARTIFACTS]), lambda n: ~F.map_contains_key("_a", n)), F.lit(0))
     own = rows.withColumn("_a", F.coalesce(found, F.create_map().cast(f"map<string,{ARTIFACT}>")))
-    error = F.when(F.col("job_id").isNull(), "No ingest results available for this manuscript yet").when(missing.isNotNull(), F.concat(F.lit("Missing ingest artifact: "), missing))
+    error = F.when(F.col("job_id").isNull(), NO_INGEST).when(missing.isNotNull(), F.concat(F.lit(MISSING_ARTIFACT), missing))
     return own.withColumn("error", error).select("manuscript_id", "job_id", F.when(F.col("error").isNull(), F.col("_a")).alias("artifacts"), "error")
 
 
@@ -268,6 +271,28 @@ def upsert_manuscripts(manuscripts: DataFrame, changes: DataFrame) -> DataFrame:
     return rows.select(manuscripts.columns)
 
 
+def upsert_profiles(profiles: DataFrame, changes: DataFrame) -> DataFrame:
+    """The table (config_profile_id, name, config_path, version, checksum, metadata, created_at, updated_at) after changes(config_profile_id, name, config_path, version, checksum, metadata, at), in the order of at.
+
+    A profile is one by name and version. It keeps its id and creation time and takes all else from the last change; a new one has its first change's id. Null names or versions are equal.
+    """
+    old = profiles.select("*", F.col("created_at").alias("_at"), F.lit(0).alias("_new"))
+    new = changes.select(*[c for c in changes.columns if c != "at"], F.col("at").alias("created_at"), F.col("at").alias("updated_at"), F.col("at").alias("_at"), F.lit(1).alias("_new"))
+    order = F.struct("_new", "_at", "config_profile_id")
+    # A struct holds null values too, which max_by of the column alone would pass over.
+    last = F.max_by(F.struct("config_path", "checksum", "metadata", "updated_at"), order).alias("_last")
+    rows = old.unionByName(new.select(old.columns)).groupBy("name", "version").agg(F.min_by("config_profile_id", order).alias("config_profile_id"), F.min_by("created_at", order).alias("created_at"), last)
+    return rows.select("config_profile_id", "name", "version", "created_at", "_last.*").select(profiles.columns)
+
+
+def with_profile(requests: DataFrame, profiles: DataFrame) -> DataFrame:
+    """requests with config_profile, the profile of their config_profile_id as a struct, and profile_error where one is asked for that doesn't exist; an empty id asks for none."""
+    known = profiles.select(F.col("config_profile_id").alias("_id"), F.struct(*profiles.columns).alias("config_profile"))
+    asked = F.nullif(F.col("config_profile_id"), F.lit(""))
+    out = requests.join(known, asked == F.col("_id"), "left").drop("_id")
+    return out.withColumn("profile_error", F.when(asked.isNotNull() & F.col("config_profile").isNull(), F.concat(F.lit(UNKNOWN_PROFILE), asked)))
+
+
 def throughput(reported: Column, estimated: Column) -> Column:
     """The rate shown: the reported one unless there is none or it is zero, else the estimate."""
     return F.coalesce(F.nullif(reported, F.lit(0.0)), F.nullif(estimated, F.lit(0.0)))

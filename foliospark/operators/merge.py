@@ -163,7 +163,8 @@ def timing_summary(timings: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def timing_rollup(passes: DataFrame, keys: list[str], name: str, seconds: str) -> DataFrame:
-    return passes.groupBy(*keys, name).agg(F.round(F.sum(seconds), 3).alias("total_seconds"), F.count("*").alias("n"))
+    """(keys, name, total_seconds, n): sums rounded to three places, a tie to the even digit."""
+    return passes.groupBy(*keys, name).agg(T.rounded(F.sum(seconds).cast("double"), 3).alias("total_seconds"), F.count("*").alias("n"))
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:

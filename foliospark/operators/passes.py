@@ -232,6 +232,24 @@ def dossier_rows(outputs: DataFrame, book: str) -> DataFrame:
     return named.select(book, "chunk", (F.col("chunk").cast("bigint") * PLACES + F.col("i")).alias("pos"), "name", jsonx.trimmed_strings(v, "$.aliases").alias("aliases"), roles.alias("roles"), "v")
 
 
+def entity_chunks(outputs: DataFrame, book: str, kinds: tuple = ENTITY_KINDS) -> DataFrame:
+    """(book, pos, kinds): the lists of each chunk's entities pass as they are, VARIANTs; an empty one for anything that is no list."""
+    return _docs(outputs, "entities").select(book, "pos", *[jsonx.items(F.col("v"), f"$.{k}").alias(k) for k in kinds])
+
+
+def dossier_chunks(outputs: DataFrame, book: str) -> DataFrame:
+    """(book, pos, character_dossiers): the objects in each chunk's list of dossiers, the older key's if the newer holds no list."""
+    found = F.coalesce(F.try_variant_get("v", "$.character_dossiers", "array<variant>"), F.try_variant_get("v", "$.dossiers", "array<variant>"), F.array().cast("array<variant>"))
+    return _docs(outputs, "dossiers").select(book, "pos", F.filter(found, lambda x: jsonx.kind(x).startswith("OBJECT")).alias("character_dossiers"))
+
+
+def timing_chunks(outputs: DataFrame, book: str) -> DataFrame:
+    """(book, pos, total_duration_seconds, passes): what each chunk's timing says, VARIANTs; passes is an empty object where it is none."""
+    passes_ = jsonx.get(F.col("v"), "$.passes")
+    own = F.when(jsonx.kind(passes_).startswith("OBJECT"), passes_).otherwise(F.parse_json(F.lit("{}")))
+    return _docs(outputs, "timing").select(book, "pos", jsonx.get(F.col("v"), "$.total_duration_seconds").alias("total_duration_seconds"), own.alias("passes"))
+
+
 def dossier_merge(outputs: DataFrame, book: str) -> DataFrame:
     """A row per book and group of dossiers of one character.
 

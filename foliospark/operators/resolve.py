@@ -219,6 +219,13 @@ def canonical(answers: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     return answers.join(label, [key, "group_no"], "left").withColumn("canonical_name", F.coalesce("named", "_label")).drop("named", "_label")
 
 
+def flagged(answers: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """answers with not_members: of the names that an answer merges, those that are no member of its group by their normal form; they count all the same."""
+    held = groups.groupBy(key, "group_no").agg(F.collect_set("norm").alias("_held"))
+    strange = F.filter("members_to_merge", lambda m: ~F.coalesce(F.array_contains("_held", N.norm(m)), F.lit(False)))
+    return answers.join(held, [key, "group_no"], "left").withColumn("not_members", F.coalesce(strange, F.array().cast("array<string>"))).drop("_held")
+
+
 # What an adjudicating model is told, in short.
 SYSTEM = """You decide which names in a group stand for one character of a book.
 Answer with one JSON object: canonical_name, merge, confidence, members_to_merge, members_to_keep_separate, reasons.
