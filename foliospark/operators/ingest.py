@@ -17,6 +17,15 @@ def plain(c: Column) -> Column:
     return T.plain_breaks(T.plain_punctuation(c))
 
 
+def spread(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A table as it is read, dealt out by its key if it has fewer parts than the cluster has cores: a file of few row groups would else be few tasks' work.
+
+    Texts are shuffled only then; a large table has parts enough. Cleaning costs far more than this shuffle.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores, key) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, line_no from 0, line, stripped) of every line, punctuation and line breaks in plain form."""
     return docs.select(key, F.posexplode(F.split(plain(F.col(text_col)), "\n", -1)).alias("line_no", "line")).withColumn("stripped", T.strip(F.col("line")))

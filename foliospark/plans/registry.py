@@ -37,6 +37,11 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark, d):
+    """For work that is heavy by the row."""
+    return ingest.spread(t(spark, d, "documents"))
+
+
 def _talk(spark, d):
     """Conversations as books and turns as chunks, repeated turns in the order of role and text; turns without a conversation are book -1."""
     own = t(spark, d, "conversations").withColumn("book", F.coalesce("conv_id", F.lit(-1)))
@@ -146,7 +151,7 @@ def natural_keys(spark, d):
 
 @query("WITH" + LINES_SQL + " SELECT doc_id, stripped, CAST(cnt AS BIGINT) AS cnt FROM r")
 def repeated_lines(spark, d):
-    return ingest.repeated_lines(ingest.lines(t(spark, d, "documents")))
+    return ingest.repeated_lines(ingest.lines(_documents(spark, d)))
 
 
 CLEAN_STATS_SQL = rf""", x AS (SELECT doc_id, CAST(sum(length(text)) + 2 * count(*) - 1 AS BIGINT) AS clean_char_count, CAST(sum(len(regexp_extract_all(text, '{WORD}'))) AS BIGINT) AS clean_word_count FROM para GROUP BY doc_id)
@@ -157,7 +162,7 @@ SELECT doc_id, count(*) AS n_lines, count_if(page_marker)::BIGINT AS removed_pag
 
 @query("WITH" + clean_sql() + CLEAN_STATS_SQL)
 def clean_stats(spark, d):
-    return ingest.clean_stats(t(spark, d, "documents"))
+    return ingest.clean_stats(_documents(spark, d))
 
 
 #: Documents as books: blank lines, parts, chapters, scene breaks, dot leaders, front matter, page numbers, running heads and broken words, some with white space and digits beyond ASCII.
@@ -170,7 +175,7 @@ BOOK = (
 
 def _books(spark, d):
     shown = re.sub(r"chr\((\d+)\)", lambda m: f"'\\u{int(m[1]):04x}'", BOOK)
-    return t(spark, d, "documents").select("doc_id", F.expr(shown).alias("text"))
+    return _documents(spark, d).select("doc_id", F.expr(shown).alias("text"))
 
 
 
@@ -237,12 +242,12 @@ def structure_hints(spark, d):
 @query("WITH" + LINES_SQL + " SELECT doc_id, count_if(heading)::BIGINT AS headings, count_if(page_marker)::BIGINT AS page_markers, count_if(stripped = '')::BIGINT AS blanks FROM h GROUP BY doc_id")
 def line_kinds(spark, d):
     s = F.col("stripped")
-    return ingest.lines(t(spark, d, "documents")).groupBy("doc_id").agg(F.count_if(T.is_heading(s)).alias("headings"), F.count_if(s.rlike(T.PAGE_MARKER)).alias("page_markers"), F.count_if(s == "").alias("blanks"))
+    return ingest.lines(_documents(spark, d)).groupBy("doc_id").agg(F.count_if(T.is_heading(s)).alias("headings"), F.count_if(s.rlike(T.PAGE_MARKER)).alias("page_markers"), F.count_if(s == "").alias("blanks"))
 
 
 @query("WITH" + LINES_SQL + "," + folded_sql("h") + " SELECT doc_id, para_no, kind, text FROM para")
 def paragraph_fold(spark, d):
-    return ingest.paragraphs(t(spark, d, "documents"))
+    return ingest.paragraphs(_documents(spark, d))
 
 
 LONG_SQL = ", q AS (SELECT source AS doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY p.doc_id, para_no) - 1 AS INTEGER) AS para_no, p.text FROM para p JOIN documents USING (doc_id) WHERE source IS NOT NULL),"
@@ -265,7 +270,7 @@ def _line_paragraphs(spark, d):
     """Each line that isn't blank as a paragraph."""
     lines = F.transform(F.split(ingest.plain(F.col("text")), "\n", -1), T.strip)
     paras = F.transform(F.filter(lines, lambda s: s != ""), lambda s: F.struct(F.lit("text").alias("kind"), s.alias("text")))
-    return t(spark, d, "documents").select("doc_id", paras.alias("paras"))
+    return _documents(spark, d).select("doc_id", paras.alias("paras"))
 
 
 @query("WITH RECURSIVE" + LINE_PARAS_SQL + "," + chunks_sql(10, 40, 60) + " SELECT doc_id, chunk_no, words AS word_count, size AS n_paragraphs FROM chunk")
