@@ -35,6 +35,17 @@ def norm(c: Column) -> Column:
     return F.trim(F.regexp_replace(s, rf"[{SPACE}_-]+", " "))
 
 
+def folded(c: Column) -> Column:
+    """norm() that keeps the letters of every script: lower case, quotes and other signs gone, separators one space. Case and accents are left to a collation."""
+    s = F.regexp_replace(F.lower(c), rf"[^\p{{L}}\p{{M}}\p{{N}}{SPACE}_.-]", "")
+    return F.trim(F.regexp_replace(s, rf"[{SPACE}_-]+", " "))
+
+
+def key_of(c: Column, collation: str | None = None) -> Column:
+    """What names are grouped by: norm(), or folded() under a collation such as UNICODE_CI_AI, which takes Élodie and elodie for one."""
+    return norm(c) if collation is None else F.collate(folded(c), collation)
+
+
 def form(c: Column, titles: dict = TITLES, generic: tuple = GENERIC) -> Column:
     """struct(normalized, title, base, surname, given, is_generic) of a name.
 

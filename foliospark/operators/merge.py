@@ -32,15 +32,19 @@ def dominant(rows: DataFrame, keys: list[str], value: str, order: Column) -> Dat
     return first_seen(rows.where(F.col(value).isNotNull() & (F.col(value) != "")), keys, value, order).groupBy(*keys).agg(best.alias("dominant"))
 
 
-def entity_merge(mentions: DataFrame, keys: list[str], value: str, order: Column, chunk: str) -> DataFrame:
-    """Mentions grouped by normal form: canonical (seen first), variants and chunks in the order in which they appear."""
-    rows = mentions.withColumn("norm", N.norm(F.col(value))).where("norm <> ''").withColumn("_pos", order)
+def entity_merge(mentions: DataFrame, keys: list[str], value: str, order: Column, chunk: str, collation: str | None = None) -> DataFrame:
+    """Mentions grouped by normal form: canonical (seen first), variants and chunks in the order in which they appear.
+
+    With a collation they are grouped by names.key_of() instead, and norm is the folded canonical form.
+    """
+    rows = mentions.withColumn("norm", N.key_of(F.col(value), collation)).where("norm <> ''").withColumn("_pos", order)
     variants = rows.groupBy(*keys, "norm", F.col(value).alias("_v")).agg(F.min("_pos").alias("_p"))
     listed = lambda v, p: F.transform(F.array_sort(F.collect_list(F.struct(F.col(p), F.col(v)))), lambda r: r[v])
     a = variants.groupBy(*keys, "norm").agg(F.min_by("_v", "_p").alias("canonical"), listed("_v", "_p").alias("variants"))
     chunks = rows.groupBy(*keys, "norm", F.col(chunk).alias("_c")).agg(F.min("_pos").alias("_p"), F.count("*").alias("_n"))
     b = chunks.groupBy(*keys, "norm").agg(listed("_c", "_p").alias("chunks"), F.sum("_n").alias("n_mentions"))
-    return a.join(b, [*keys, "norm"])
+    out = a.join(b, [*keys, "norm"])
+    return out if collation is None else out.withColumn("norm", N.folded(F.col("canonical")))
 
 
 def completeness(chunks: DataFrame, present: DataFrame, passes: tuple, key: str, keys: list[str] = ()) -> DataFrame:

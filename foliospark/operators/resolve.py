@@ -45,24 +45,26 @@ def character_pool(book: str, entities: DataFrame, normalized: DataFrame, speake
     return pool(reduce(DataFrame.unionByName, parts), book)
 
 
-def pool(rows: DataFrame, key: str) -> DataFrame:
+def pool(rows: DataFrame, key: str, collation: str | None = None) -> DataFrame:
     """(key, norm, name, first, f, sources, roles, chunks, variants, accents) from rows as pool_rows() makes them.
 
     Names are grouped by normal form, an empty one too; the first name stands for the group, `first` is its place. Lists hold each value once in the order
-    of its first appearance, a row's name before its variants; sources keep repeats.
+    of its first appearance, a row's name before its variants; sources keep repeats. With a collation names are grouped by names.key_of(), and norm is the
+    folded first name.
     """
     rank = F.array_position(F.array(*[F.lit(s) for s in SOURCES]), F.col("source"))
-    own = rows.withColumn("norm", N.norm(F.col("name"))).withColumn("at", F.struct(rank.alias("rank"), "pos")).withColumn("variants", F.concat(F.array("name"), "variants"))
+    own = rows.withColumn("norm", N.key_of(F.col("name"), collation)).withColumn("at", F.struct(rank.alias("rank"), "pos")).withColumn("variants", F.concat(F.array("name"), "variants"))
 
     def listed(x: str) -> Column:
         return F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", x))), lambda r: r[x])))
 
-    return own.groupBy(key, "norm").agg(
+    out = own.groupBy(key, "norm").agg(
         F.min_by("name", "at").alias("name"),
         F.min("at").alias("first"),
         F.transform(F.array_sort(F.collect_list(F.struct("at", "source"))), lambda r: r["source"]).alias("sources"),
         *[listed(x).alias(x) for x in LISTS],
     ).withColumn("f", N.form(F.col("name"), N.RESOLVER_TITLES, N.RESOLVER_GENERIC))
+    return out if collation is None else out.withColumn("norm", N.folded(F.col("name")))
 
 
 def scored_pairs(people: DataFrame, key: str, least: int = LINK) -> DataFrame:

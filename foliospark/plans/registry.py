@@ -334,6 +334,17 @@ def entity_merge(spark, d):
     return got.select("p_type", "norm", "canonical", F.array_join("variants", "|").alias("variants"), F.array_join("chunks", "|").alias("chunks"), "n_mentions")
 
 
+ACCENTED = "CASE p_partkey % 3 WHEN 0 THEN 'É' || p_name WHEN 1 THEN 'e' || p_name ELSE 'Ë' || upper(p_name) END"
+
+
+@query(f"SELECT p_type, min(p_partkey) AS first, count(*) AS n_mentions, count(DISTINCT {ACCENTED}) AS n_variants FROM part GROUP BY p_type, lower(p_name)")
+def accented_names(spark, d):
+    """Names of one spelling but for case and accents are one, by a collation."""
+    p = t(spark, d, "part").withColumn("v", F.expr(ACCENTED))
+    got = merge.entity_merge(p, ["p_type"], "v", F.col("p_partkey"), "p_partkey", "UNICODE_CI_AI")
+    return got.select("p_type", F.array_min("chunks").alias("first"), "n_mentions", F.size("variants").cast("bigint").alias("n_variants"))
+
+
 @query("SELECT l_returnflag, l_linestatus, round(sum(CAST(l_quantity AS DECIMAL(18,2))), 3)::DOUBLE AS total_seconds, count(*) AS n FROM lineitem GROUP BY ALL")
 def timing_rollup(spark, d):
     return merge.timing_rollup(t(spark, d, "lineitem"), ["l_returnflag"], "l_linestatus", "l_quantity")
