@@ -19,13 +19,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import cut, drop
+from foliospark.operators import scans
+from foliospark.operators.scans import SHIFT, block_of, preceded
 
-#: A block has 2^SHIFT positions, and each further level's block as many blocks.
-SHIFT = 10
 #: Commits of an epoch.
 EPOCH = 16
 #: Fixed values of the query: what the remainders of a record's hash by MOD mean, and how many keys there are.
@@ -33,37 +33,11 @@ MOD, KEYS = 41, 3000
 OPS = ((1, "commit"), (2, "abort"), (4, "savepoint"), (6, "rollback"))
 
 END = (1 << 63) - 1
-_FOLDS = {"sum": (F.sum, lambda up, own: F.coalesce(up, F.lit(0)) + F.coalesce(own, F.lit(0))), "min": (F.min, F.least), "max": (F.max, F.greatest)}
 
 
 def levels_of(log: DataFrame, shift: int = SHIFT) -> int:
-    """How many levels of blocks cover all positions and as many epochs as there can be: from one row of the table's bounds."""
-    low, high, n = log.agg(F.min("pos"), F.max("pos"), F.count("*")).first()
-    return max(1, -(-max(abs(low or 0), abs(high or 0), n).bit_length() // shift))
-
-
-def _block(pos: str, shift: int, top: bool) -> Column:
-    """The block of a position; the top level is one block, also of negative positions."""
-    return F.lit(0).cast("bigint") if top else F.shiftright(F.col(pos), shift)
-
-
-def preceded(df: DataFrame, group: list[str], pos: str, measures: dict[str, tuple[str, Column]], levels: int, shift: int = SHIFT, ties: tuple[str, ...] = (), backwards: bool = False) -> DataFrame:
-    """df with, for each measure name -> (sum, min or max, column), that fold over the group's earlier rows (backwards: later ones); null or 0 if none.
-
-    A window over each block, the blocks' totals folded in the same way one level up, and a join of both.
-    """
-    order = [F.col(c).desc() if backwards else F.col(c) for c in (pos, *ties)]
-    w = Window.partitionBy(*group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    at = df.withColumn("_b", _block(pos, shift, levels == 1))
-    some = lambda kind, c: F.coalesce(c, F.lit(0)) if kind == "sum" else c
-    own = at.select("*", *[some(kind, _FOLDS[kind][0](c).over(w)).alias(name) for name, (kind, c) in measures.items()])
-    if levels > 1:
-        totals = at.groupBy(*group, "_b").agg(*[_FOLDS[kind][0](c).alias(f"_t{name}") for name, (kind, c) in measures.items()])
-        above = preceded(totals.withColumnRenamed("_b", "_p"), group, "_p", {f"_u{name}": (kind, F.col(f"_t{name}")) for name, (kind, _) in measures.items()}, levels - 1, shift, backwards=backwards)
-        above = above.select(*group, F.col("_p").alias("_b"), *[f"_u{name}" for name in measures]).hint("merge")
-        own = own.join(above, [*group, "_b"])
-        own = own.withColumns({name: _FOLDS[kind][1](F.col(f"_u{name}"), F.col(name)) for name, (kind, _) in measures.items()}).drop(*[f"_u{name}" for name in measures])
-    return own.drop("_b")
+    """How many levels of blocks cover all positions and as many epochs as there can be."""
+    return scans.levels_of(log, "pos", shift=shift)
 
 
 def _first_dips(asked: DataFrame, lows: DataFrame, levels: int, shift: int) -> DataFrame:
@@ -74,12 +48,12 @@ def _first_dips(asked: DataFrame, lows: DataFrame, levels: int, shift: int) -> D
 
     def first(asks, level, after):
         """asks with the first sibling under `_in` that dips; after: only those behind the block `_at`."""
-        siblings = minima[level].groupBy("stream", "txn", _block("block", shift, level == levels - 2).alias("_in")).agg(F.sort_array(F.collect_list(F.struct("block", "low"))).alias("_all"))
+        siblings = minima[level].groupBy("stream", "txn", block_of("block", shift, level == levels - 2).alias("_in")).agg(F.sort_array(F.collect_list(F.struct("block", "low"))).alias("_all"))
         fits = lambda x: (x["low"] <= F.col("height")) & ((x["block"] > F.col("_at")) if after else F.lit(True))
         return asks.join(siblings.hint("merge"), ["stream", "txn", "_in"], "left").withColumn("_hit", F.get(F.filter("_all", fits), F.lit(0))["block"]).drop("_all", "_in")
 
     for level in range(levels - 1):
-        here = first(at.withColumn("_at", F.col("block")).withColumn("_in", _block("block", shift, level == levels - 2)), level, True)
+        here = first(at.withColumn("_at", F.col("block")).withColumn("_in", block_of("block", shift, level == levels - 2)), level, True)
         hit = here.where("_hit IS NOT NULL").withColumn("block", F.col("_hit")).drop("_hit", "_at")
         for down in range(level - 1, -1, -1):
             hit = first(hit.withColumn("_in", F.col("block")), down, False).withColumn("block", F.col("_hit")).drop("_hit")
@@ -105,7 +79,7 @@ def outcomes(log: DataFrame, levels: int | None = None, shift: int = SHIFT) -> D
         own = preceded(own, group, "pos", {"_low": ("min", F.col("_sum"))}, levels, shift, ties)
         own = own.withColumn("_height", F.col("_height") - F.least(F.lit(0), F.coalesce("_low", F.lit(0))))
     own = own.where("op <> 'savepoint'").withColumn("_reach", F.when(F.col("op") == "rollback", F.greatest(F.lit(0), F.col("_height") + F.col("_rise"))))
-    own = cut(own.select(*group, "_kind", "pos", "op", "key", "live", "value", "_height", "_reach", _block("pos", shift, levels == 1).alias("block")), "txlog-heights")
+    own = cut(own.select(*group, "_kind", "pos", "op", "key", "live", "value", "_height", "_reach", block_of("pos", shift, levels == 1).alias("block")), "txlog-heights")
 
     # A rollback stands at each height it passes, of which there are no more in all than savepoints and rollbacks.
     passed = F.when(F.col("op") == "rollback", F.sequence("_reach", "_height")).otherwise(F.array("_height"))
