@@ -106,5 +106,76 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+#: CRC-32's table by its rule, and the CRC of a text's UTF-8 bytes.
+CRC_TABLE_SQL = "crcs AS (SELECT list(c ORDER BY i) AS crcs FROM (SELECT i, list_reduce([i::BIGINT] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"
+
+
+def crc_sql(text: str) -> str:
+    held = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {held}, lambda a, x: xor(a >> 8, crcs[(xor(a, x) & 255) + 1])), 4294967295)"
+
+
+#: With rollbacks that keep their savepoint, a change is undone by the next savepoint or end of its transaction only if a rollback comes before them.
+OP12_SQL = f"""
+WITH {CRC_TABLE_SQL},
+h AS (SELECT coalesce('=' || source, '') AS stream, doc_id, text, {crc_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents, crcs WHERE doc_id IS NOT NULL),
+k AS (SELECT *, CASE WHEN h % 41 <= 1 THEN 'commit' WHEN h % 41 = 2 THEN 'abort' WHEN h % 41 <= 4 THEN 'savepoint' WHEN h % 41 <= 6 THEN 'rollback' ELSE 'change' END AS op, h // 100 % 3000 AS key,
+  text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS live FROM h),
+n AS (SELECT stream, doc_id, op, key, live, CASE WHEN live AND op = 'change' THEN {crc_sql("key || ':' || text")} ELSE 0 END AS v,
+  min(CASE WHEN op IN ('commit', 'abort') THEN doc_id END) OVER w AS closer, min(CASE WHEN op <> 'change' THEN doc_id END) OVER w AS mark
+  FROM k, crcs WINDOW w AS (PARTITION BY stream ORDER BY doc_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+c AS (SELECT n.*, CASE WHEN m.op = 'rollback' THEN 'rollback' WHEN e.op = 'commit' THEN 'commit' ELSE 'abort' END AS outcome FROM n LEFT JOIN k m ON m.doc_id = n.mark LEFT JOIN k e ON e.doc_id = n.closer WHERE n.op = 'change'),
+e AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 16 + 1 AS epoch FROM k WHERE op = 'commit'),
+a AS (SELECT epoch, key, live::BIGINT AS n, v FROM c JOIN e ON e.doc_id = c.closer WHERE outcome = 'commit' QUALIFY row_number() OVER (PARTITION BY epoch, key ORDER BY closer DESC, c.doc_id DESC) = 1),
+d AS (SELECT epoch, n - coalesce(lag(n) OVER w, 0) AS n, v - coalesce(lag(v) OVER w, 0) AS v FROM a WINDOW w AS (PARTITION BY key ORDER BY epoch)),
+s AS (SELECT epoch, coalesce(sum(n), 0) AS n, coalesce(sum(v), 0) AS v FROM (SELECT DISTINCT epoch FROM e) LEFT JOIN d USING (epoch) GROUP BY epoch)
+SELECT 'state' AS kind, CAST(epoch AS BIGINT) AS id, CAST(sum(n) OVER (ORDER BY epoch) AS BIGINT) AS n, CAST(sum(v) OVER (ORDER BY epoch) AS BIGINT) AS value FROM s
+UNION ALL SELECT outcome, doc_id, CASE outcome WHEN 'rollback' THEN mark ELSE closer END, CAST(key AS BIGINT) FROM c WHERE outcome <> 'commit'
+"""
+
+
+#: The primes of XXH64.
+XXH64 = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+_WORD = "18446744073709551615::UHUGEINT"
+
+
+def _times(a: str, b: int) -> str:
+    return f"((({a}) * {b}::UHUGEINT) & {_WORD})"
+
+
+def _turned(a: str, by: int) -> str:
+    return f"(((({a}) * {1 << by}::UHUGEINT) & {_WORD}) + ({a}) // {1 << (64 - by)}::UHUGEINT)"
+
+
+def _hash_steps(rows: str, name: str, out: str, value: str, seed: str, wide: bool = True) -> str:
+    """CTEs from rows to `name`, which adds `out`: XXH64 of a long's (or an int's) bytes with a seed, as an unsigned word."""
+    p1, p2, p3, p4, p5 = XXH64
+    if wide:
+        first = [f"(({seed}) + {p5}::UHUGEINT + 8) & {_WORD} AS x, {_times(value, p2)} AS y", f"x, {_turned('y', 31)} AS y", f"xor(x, {_times('y', p1)}) AS x", f"{_turned('x', 27)} AS x", f"({_times('x', p1)} + {p4}::UHUGEINT) & {_WORD} AS x"]
+    else:
+        first = [f"xor((({seed}) + {p5}::UHUGEINT + 4) & {_WORD}, {_times(value, p1)}) AS x", f"{_turned('x', 23)} AS x", f"({_times('x', p2)} + {p3}::UHUGEINT) & {_WORD} AS x"]
+    last = [f"{_times(f'xor(x, x // {1 << 33}::UHUGEINT)', p2)} AS x", f"{_times(f'xor(x, x // {1 << 29}::UHUGEINT)', p3)} AS x", f"xor(x, x // {1 << 32}::UHUGEINT) AS {out}"]
+    steps, at = [], rows
+    for i, step in enumerate([*first, *last]):
+        to = name if i == len(first) + len(last) - 1 else f"{name}_{i}"
+        steps.append(f"{to} AS (SELECT {'*' if i == 0 else '* EXCLUDE (x' + (', y' if wide and i < 3 else '') + ')'}, {step} FROM {at})")
+        at = to
+    return ", ".join(steps)
+
+
+#: The jumps one by one, and slots in the order of the hash of what tells rows apart. Ids are at least 0, as in the table.
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {crc_sql("coalesce(text, '')")} AS text_crc32 FROM documents, crcs),
+{_hash_steps("d", "k", "h", "doc_id::UHUGEINT", "42::UHUGEINT")},
+j AS (SELECT doc_id, size, text_crc32, h AS seed, h, -1::BIGINT AS b, 0::BIGINT AS j FROM k
+ UNION ALL SELECT doc_id, size, text_crc32, seed, h, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / CAST(h // 8589934592::UHUGEINT + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT doc_id, size, text_crc32, seed, j, ({_times("h", sharding.MULTIPLIER)} + 1) & {_WORD} AS h FROM j WHERE j < 16)),
+g AS (SELECT doc_id, size, text_crc32, seed, CAST(b AS INTEGER) AS shard, CAST(CASE WHEN j = 16 THEN 16 ELSE b END AS INTEGER) AS grown_shard FROM j WHERE j >= 16),
+{_hash_steps("g", "s1", "h1", "size::UHUGEINT", "seed")}, {_hash_steps("s1", "s2", "h2", "text_crc32::UHUGEINT", "h1")}, {_hash_steps("s2", "s3", "h3", "grown_shard::UHUGEINT", "h2", False)}
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h3, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM s3
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op6_substring_dedup": OP6_SQL, "op7_topk": OP7_SQL}
+    return {"op6_substring_dedup": OP6_SQL, "op7_topk": OP7_SQL, "op11_sharding": OP11_SQL, "op12_transactions": OP12_SQL}
