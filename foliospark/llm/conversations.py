@@ -39,8 +39,8 @@ STATES, FINAL = 4, (0, 3)
 NEXT = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
 NAMES = {"u": "user", "a": "assistant"}
 FAR = 1 << 40
-#: Rows of a block that are few enough for its walks to be remembered.
-SHORT = 32
+#: Rows of a block that are few enough for its walks to be remembered, and how many blocks are.
+SHORT, WALKS = 32, 50_000
 
 
 def code(initial: str, fault: str) -> str:
@@ -205,7 +205,8 @@ def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = Memo(walked)
     for b in slices(batches):
         got = [(memo.__getitem__ if len(codes) <= SHORT else walked)((codes, tuple(e), last)) for codes, e, last in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
-        memo.trim()
+        if len(memo) > WALKS:
+            memo.clear()
         columns = [pa.array([g[i] for g in got], pa.list_(kind)) for i, kind in enumerate((pa.string(), pa.int32(), pa.int64()))]
         yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns], ["conv_id", "block", "codes", "audits", "exits", "costs"])
 
