@@ -26,9 +26,14 @@ def spread(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.repartition(cores, key) if docs.rdd.getNumPartitions() < cores else docs
 
 
+def exploded(df: DataFrame, key: str, values: Column, place: str, value: str) -> DataFrame:
+    """(key, place, value) of an array's elements. By the outer form, as Spark would filter for arrays that aren't empty before the plain one, and compute them twice for that."""
+    return df.select(key, F.posexplode_outer(values).alias(place, value)).where(F.col(place).isNotNull())
+
+
 def lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, line_no from 0, line, stripped) of every line, punctuation and line breaks in plain form."""
-    return docs.select(key, F.posexplode(F.split(plain(F.col(text_col)), "\n", -1)).alias("line_no", "line")).withColumn("stripped", T.strip(F.col("line")))
+    return exploded(docs, key, F.split(plain(F.col(text_col)), "\n", -1), "line_no", "line").withColumn("stripped", T.strip(F.col("line")))
 
 
 def may_repeat(s: Column) -> Column:
@@ -103,7 +108,7 @@ def clean_stats(docs: DataFrame, key: str = "doc_id", text_col: str = "text") ->
 
 def paragraph_rows(held: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, para_no, kind, text) from (key, paras)."""
-    return held.select(key, F.posexplode("paras").alias("para_no", "_p")).select(key, "para_no", "_p.kind", "_p.text")
+    return exploded(held, key, F.col("paras"), "para_no", "_p").select(key, "para_no", "_p.kind", "_p.text")
 
 
 def paragraphs(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,7 +203,7 @@ def chunk_records(held: DataFrame, key: str = "doc_id", least: int = 1200, targe
         ))
 
     # A chunk's struct holds its own paragraphs only, so that exploding doesn't copy the book into each chunk.
-    each = held.select(key, F.posexplode(let(F.col("paras"), lambda paras: F.transform(_cuts(F.transform(paras, fact), least, target, most), lambda c, no: made(c, paras, no)))).alias("chunk_no", "_c"))
+    each = exploded(held, key, let(F.col("paras"), lambda paras: F.transform(_cuts(F.transform(paras, fact), least, target, most), lambda c, no: made(c, paras, no))), "chunk_no", "_c")
     rows = each.select(key, "chunk_no", F.concat(F.lit("chunk_"), T.padded(F.col("chunk_no"), 3)).alias("chunk_id"), "_c.*")
     warnings = F.array_compact(F.array(F.when(F.col("word_count") < least, "short_chunk"), F.when(F.col("contains_toc_like_content"), "toc_like_content"), F.when(F.col("contains_front_matter"), "front_matter_like")))
     return rows.withColumn("warnings", warnings)
