@@ -2,6 +2,7 @@
 
 import random
 import re
+from datetime import datetime
 
 import duckdb
 import pytest
@@ -142,6 +143,26 @@ def test_shown_texts(spark):
     assert spark.range(1).select(T.is_toc_like(F.lit("Chapter IX9"))).first()[0] is False
 
 
+def test_shown_sizes_and_seconds_at_ties(spark):
+    """A tie goes to the even digit, as 961.25 KB, and what rounds to zero from below keeps its sign."""
+    sizes, secs = [984320, 984384, 1023 * 1024 + 768, 1310720, 1 << 40, 1500], [-0.04, -0.05, -0.06, 0.04, 0.25, -1.25, 0.0]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n long").select(T.byte_size(F.col("n"))).collect()]
+    assert got == [f"{n / 1024:.1f} KB" if n < 1024**2 else f"{n / 1024**2:.1f} MB" for n in sizes] and got[0] == "961.2 KB"
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in secs], "s double").select(T.seconds(F.col("s"))).collect()] == [f"{x:.1f}s" for x in secs]
+
+
+def test_progress_of_a_run_whose_chunks_end_but_never_begin(spark, tmp_path):
+    """Ten chunks completed of nine and none begun: there is no current chunk, so that the query has no index, as its SQL."""
+    rows = [(7 * i, datetime(2024, 1, 6, 0, i), 1, "purchase", 1.5) for i in range(10)] + [(1, datetime(2024, 1, 7), 2, "signup", 1.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(registry.oracle_sql()["run_progress"]).df()
+    got = registry.run_progress(spark, str(tmp_path)).toPandas()
+    assert got[want.columns].sort_values("user_id").astype(str).values.tolist() == want.sort_values("user_id").astype(str).values.tolist()
+    assert got.set_index("user_id").current_chunk_index.to_dict() == {1: -1, 2: 2}
+
+
 def test_odd_documents(spark):
     rows = [(1, None), (2, ""), (3, "\n\n"), (4, "A\n" * 5), (5, "x \t\n" * 4 + "y"), (6, "t\nh\n* * *\nc\ns"), (6, "t")]
     docs = spark.createDataFrame(rows, "doc_id int, text string").withColumn("paras", F.lit(1)).withColumn("_t", F.lit(1))
