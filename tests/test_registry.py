@@ -5,6 +5,7 @@ import re
 from datetime import datetime
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,21 @@ def test_progress_of_a_run_whose_chunks_end_but_never_begin(spark, tmp_path):
     assert got.set_index("user_id").current_chunk_index.to_dict() == {1: -1, 2: 2}
 
 
+def test_cleaning_takes_lines_of_many_documents_at_once(spark, monkeypatch):
+    """Cleaning is one pass over Arrow arrays, and cut into pieces of any size it gives the same; texts that aren't valid UTF-8 don't stop it."""
+    texts = ["A\nb-\nc\n1\n\n" * 4, None, "", "\n", "x\u2003\u3000y\nCHAPTER\u2009IV\x85\nÄ B\nß B\n* * *\nz .... 3", None, "Hd\n" * 3 + "k", "t"] * 3
+    whole = pa.array(texts)
+    want = [tuple(r) for r in zip(*[c.to_pylist() for c in ingest._cleaned(whole)], strict=True)]
+    monkeypatch.setattr(ingest, "CLEAN_BYTES", 30)
+    pieces = list(ingest._pieces(whole))
+    got = [r for start, n in pieces for r in zip(*[c.to_pylist() for c in ingest._cleaned(whole.slice(start, n))], strict=True)]
+    assert len(pieces) > 5 and got == want and want[1] == (None,) * 6
+    assert [p["kind"] for p in want[4][-1]] == ["text", "heading", "heading", "text", "scene_break", "toc"]
+    docs = spark.createDataFrame([(1, bytearray(b"a\xff b"))], "doc_id int, b binary").select("doc_id", F.expr("CAST(b AS STRING)").alias("text"))
+    made = ingest.cleaned(docs)
+    assert made.first().raw_word_count == 2 and "MapInArrow" in made._jdf.queryExecution().toString()
+
+
 def test_odd_documents(spark):
     rows = [(1, None), (2, ""), (3, "\n\n"), (4, "A\n" * 5), (5, "x \t\n" * 4 + "y"), (6, "t\nh\n* * *\nc\ns"), (6, "t")]
     docs = spark.createDataFrame(rows, "doc_id int, text string").withColumn("paras", F.lit(1)).withColumn("_t", F.lit(1))
