@@ -3,23 +3,23 @@
 A key's attempts begin with a `pass_start`; any later event of the key is activity; `pass_success` and `pass_failure` end the attempt. It has
 timed out once nothing came for its idle limit, or once its hard limit has passed since its start; of both the earlier counts, at equal times
 the hard one. Only idle timeouts make the next attempt's limit longer, by the rule of passes.idle_seconds(). Events between attempts
-count for nothing. State is the open attempt (a value), the attempts that are over (a list) and how they ended (a map); a timer stands at the
-open attempt's next limit. The state lives in RocksDB and a checkpoint, so that a restarted query goes on where it stopped.
+count for nothing. A key's state is one value, the open attempt and how the attempts before it ended: it is read and written once for all of a
+batch's events of the key, as each access is a message to the JVM. A timer stands at the open attempt's next limit. The state lives in RocksDB
+and a checkpoint, so that a restarted query goes on where it stopped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from foliospark.operators import passes
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUT = "attempt int, outcome string, at timestamp, idle_s int, after string, next_idle_s int, outcomes string"
+OUT = "attempt int, outcome string, at bigint, idle_s int, after string, next_idle_s int, outcomes string"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -50,82 +50,71 @@ class Watch(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "begun bigint, last bigint, idle int, timer bigint")
-        self.over = handle.getListState("over", "outcome string")
-        self.ends = handle.getMapState("ends", "outcome string", "n int")
-
-    def _ended(self, outcome: str) -> int:
-        return self.ends.getValue((outcome,))[0] if self.ends.containsKey((outcome,)) else 0
-
-    def _unset(self, timer: int) -> None:
-        if timer >= 0:
-            self.handle.deleteTimer(timer)
-
-    def _set(self, begun: int, last: int, idle: int, timer: int, now: int) -> None:
-        """The open attempt, its timer moved to where it is due: timers that are past at once would be lost."""
-        due = self.limits.due(begun, last, idle)
+        # begun is -1 where no attempt is open, timer -1 where none stands; over: the ends of the attempts so far, joined by bars.
+        self.state = handle.getValueState("state", "begun bigint, last bigint, idle int, timer bigint, over string")
+        self.row = Row(*self.keys, *(c.split()[0] for c in OUT.split(", ")))
+
+    def _read(self) -> tuple[tuple | None, int, list[str]]:
+        """(begun, last, idle) of the open attempt, its timer and how those before it ended."""
+        begun, last, idle, timer, over = self.state.get() or (-1, -1, 0, -1, "")
+        return (begun, last, idle) if begun >= 0 else None, timer, over.split("|") if over else []
+
+    def _write(self, got: tuple | None, timer: int, done: list[str], now: int) -> None:
+        """The state, and the timer where the open attempt is due: timers that are past at once would be lost."""
+        due = self.limits.due(*got) if got else None
         wanted = max(due[0], now + 1) if due else -1
         if wanted != timer:
-            self._unset(timer)
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
             if wanted >= 0:
                 self.handle.registerTimer(wanted)
-        self.open.update((begun, last, idle, wanted))
-
-    def _close(self, key: tuple, outcome: str, at: int, idle: int, timer: int) -> dict:
-        self._unset(timer)
-        self.open.clear()
-        self.over.appendValue((outcome,))
-        self.ends.updateValue((outcome,), (self._ended(outcome) + 1,))
-        done = [o for (o,) in self.over.get()]
+        if got or done:
+            self.state.update((*(got or (-1, -1, 0)), wanted, "|".join(done)))
+        else:
+            self.state.clear()
+
+    def _idle(self, done: list[str]) -> int:
+        return self.limits.idle_after(done.count("idle_timeout"))
+
+    def _close(self, key: tuple, outcome: str, at: int, idle: int, done: list[str]) -> Row:
+        done.append(outcome)
         after = "done" if outcome == "success" else "retry" if len(done) <= self.limits.retries else "failed"
-        row = dict(zip(self.keys, key, strict=True)) | {
-            "attempt": len(done), "outcome": outcome, "at": pd.Timestamp(at, unit="ms"), "idle_s": idle, "after": after,
-            "next_idle_s": self.limits.idle_after(self._ended("idle_timeout")) if after == "retry" else None, "outcomes": "|".join(done),
-        }
+        row = self.row(*key, len(done), outcome, at, idle, after, self._idle(done) if after == "retry" else None, "|".join(done))
         if after != "retry":
-            self.over.clear()
-            self.ends.clear()
+            done.clear()
         return row
 
-    def _frame(self, rows: list[dict]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=[*self.keys, *(c.split()[0] for c in OUT.split(", "))])
-        return frame.astype({"next_idle_s": "Int32"})
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        live, out = self.clock == "processing", []
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        live = self.clock == "processing"
         now = timerValues.getCurrentProcessingTimeInMs() if live else timerValues.getCurrentWatermarkInMs()
-        held = pd.concat(list(rows)).set_axis([*self.keys, "event_type", "_at", "_place"], axis=1)  # Spark renames what can't name a field of a tuple
-        held = held.sort_values(["_at", "_place"], kind="stable", na_position="last")
-        got = self.open.get() if self.open.exists() else None
-        for at, kind in zip(held["_at"], held["event_type"], strict=True):
-            at = now if live else int(at.timestamp() * 1000)
+        held = sorted(((r["_micros"], r["_place"], r["event_type"]) for r in rows), key=lambda r: r[:2])
+        got, timer, done = self._read()
+        for micros, _, kind in held:
+            at = now if live else micros // 1000
             if got:
-                begun, last, idle, timer = got
+                begun, last, idle = got
                 due = self.limits.due(begun, last, idle)
                 if due and due[0] < at:
-                    out.append(self._close(key, due[1], due[0], idle, timer))
+                    yield self._close(key, due[1], due[0], idle, done)
                     got = None
                 elif kind in ("pass_success", "pass_failure"):
-                    out.append(self._close(key, "success" if kind == "pass_success" else "error", at, idle, timer))
+                    yield self._close(key, "success" if kind == "pass_success" else "error", at, idle, done)
                     got = None
                     continue
                 elif kind != "pass_start":
-                    got = (begun, max(last, at), idle, timer)
+                    got = (begun, max(last, at), idle)
                     continue
-            if kind == "pass_start":
-                timer = got[3] if got else -1  # a start while an attempt is open starts that attempt anew
-                got = (at, at, self.limits.idle_after(self._ended("idle_timeout")), timer)
-        if got:
-            self._set(*got, now)
-        if out:
-            yield self._frame(out)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            begun, last, idle, timer = self.open.get()
-            due = self.limits.due(begun, last, idle)
-            if timer == expiredTimerInfo.getExpiryTimeInMs() and due:
-                yield self._frame([self._close(key, due[1], due[0], idle, -1)])
+            if kind == "pass_start":  # while an attempt is open, that attempt starts anew
+                got = (at, at, self._idle(done))
+        self._write(got, timer, done, now)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        got, timer, done = self._read()
+        due = self.limits.due(*got) if got else None
+        if due and timer == expiredTimerInfo.getExpiryTimeInMs():
+            row = self._close(key, due[1], due[0], got[2], done)
+            self._write(None, -1, done, 0)
+            yield row
 
     def close(self) -> None:
         pass
@@ -142,6 +131,9 @@ def watched(stream: DataFrame, keys: list[str], ts: str = "ts", limits: Limits |
     own = stream.where(F.col("event_type").isNotNull())
     for k in [*keys, *([ts] if clock == "event" else [])]:
         own = own.where(F.col(k).isNotNull())
-    own = own.select(*keys, "event_type", F.col(ts).alias("_at"), (F.col(place) if place else F.lit(0)).cast("bigint").alias("_place"))
+    last = F.lit((1 << 63) - 1)
+    micros, at = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), last), F.col(place).cast("bigint") if place else F.lit(0).cast("bigint")
+    own = own.select(*keys, "event_type", F.col(ts).alias("_at"), micros.alias("_micros"), F.coalesce(at, last).alias("_place"))
     kinds = ", ".join(f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in keys)
-    return own.groupBy(*keys).transformWithStateInPandas(Watch(keys, limits or Limits(), clock), f"{kinds}, {OUT}", "append", "ProcessingTime" if clock == "processing" else "EventTime")
+    got = own.groupBy(*keys).transformWithState(Watch(keys, limits or Limits(), clock), f"{kinds}, {OUT}", "append", "ProcessingTime" if clock == "processing" else "EventTime")
+    return got.select(*[F.timestamp_millis("at").alias("at") if c == "at" else c for c in got.columns])

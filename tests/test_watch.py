@@ -105,6 +105,38 @@ def test_a_live_stream_times_out_by_the_clock(rocksdb, tmp_path):
         q.stop()
 
 
+class Handle:
+    """A key's state that counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.calls, self.timers = None, 0, set()
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += name != "getValueState"
+            if name == "update":
+                self.value = args[0]
+            elif name == "clear":
+                self.value = None
+            elif name == "registerTimer":
+                self.timers.add(args[0])
+            elif name == "deleteTimer":
+                self.timers.remove(args[0])
+            return self if name == "getValueState" else self.value
+
+        return call
+
+
+def test_state_is_asked_once_a_batch_however_many_events_a_key_has():
+    handle, times = Handle(), type("Times", (), {"getCurrentWatermarkInMs": lambda self: 0})()
+    w = watch.Watch(["k"], watch.Limits(**LIMITS), "event")
+    w.init(handle)
+    events = [{"event_type": kind, "_micros": i * 1_000_000, "_place": i} for i, kind in enumerate(["pass_start", "output", "pass_failure"] * 500 + ["pass_start"])]
+    out = list(w.handleInputRows(("a",), iter(events), times))
+    assert len(out) == 500 and handle.calls <= 4 and handle.timers == {1_600_000}
+    assert [r.after for r in out[:3]] == ["retry", "retry", "failed"] and out[2].outcomes == "error|error|error"
+
+
 def test_no_limits_and_a_wrong_clock(spark):
     assert watch.Limits(idle=0, hard=0).due(0, 0, 0) is None and watch.Limits().due(0, 720_000, 180) == (900_000, "hard_timeout")
     with pytest.raises(ValueError, match="clock"):
