@@ -83,10 +83,13 @@ def artifact_index(jobs: DataFrame) -> DataFrame:
 
 def shown_artifacts(jobs: DataFrame) -> DataFrame:
     """(job_id, place, name, ...): artifacts to offer, the preferred ones first, then by name; no directories and none known to be missing."""
-    rows = artifact_index(jobs).where(~F.coalesce(F.col("kind") == "directory", F.lit(False)) & ~F.coalesce(F.element_at("metadata", "exists") == "false", F.lit(False)))
-    rank = F.array_position(F.array(*[F.lit(x) for x in PREFERRED]), F.col("name"))
-    order = W.partitionBy("job_id").orderBy(F.when(rank > 0, rank).otherwise(len(PREFERRED) + 1), "name", "path")
-    return rows.withColumn("place", F.row_number().over(order))
+    # A job is one row, so its artifacts are put in order within it, without a shuffle.
+    rank = lambda a: F.array_position(F.array(*[F.lit(x) for x in PREFERRED]), a["name"])
+    offered = lambda a: ~F.coalesce(a["kind"] == "directory", F.lit(False)) & ~F.coalesce(F.element_at(a["metadata"], "exists") == "false", F.lit(False))
+    keyed = lambda a, i: F.struct(F.when(rank(a) > 0, rank(a)).otherwise(len(PREFERRED) + 1).alias("rank"), a["name"].alias("name"), a["path"].alias("path"), i.alias("i"))
+    order = F.array_sort(F.transform(F.filter("artifacts", offered), keyed))
+    held = jobs.select("job_id", F.filter("artifacts", offered).alias("_a"), F.posexplode(order).alias("_p", "_k"))
+    return held.select("job_id", F.get("_a", F.col("_k.i")).alias("_x"), (F.col("_p") + 1).alias("place")).select("job_id", "_x.*", "place")
 
 
 def artifact(jobs: DataFrame, files: DataFrame, job_id: str, name: str, most: int = 4000) -> DataFrame:

@@ -125,3 +125,14 @@ def test_manuscripts_are_kept_by_slug_and_owner(spark):
     got = {r.owner_user_id: r for r in control.upsert_manuscripts(old, new).collect()}
     assert (got[None].manuscript_id, got[None].title, got[None].document_type, got[None].created_at, got[None].updated_at) == ("m1", "T2", "txt", "2020-01-01", "2021-01-01")
     assert (got["u"].manuscript_id, got["u"].document_type) == ("n2", "pdf")
+
+
+def test_artifacts_are_offered_in_order_without_a_shuffle(spark):
+    """Preferred ones first, then by name and path; no directories and none known to be missing; each as it is."""
+    rows = [("j1", [("z", "/b", "text", "s", None), ("z", "/a", "text", "s", {"exists": "true"}), ("report_pdf", "/r", "pdf", "report", {}), ("a", "/d", "directory", "s", {}), ("b", "/m", "text", "s", {"exists": "false"}), ("book_merged", "/bm", "json", None, None)]), ("j2", [])]
+    got = control.shown_artifacts(spark.createDataFrame(rows, f"job_id string, artifacts array<{control.ARTIFACT}>"))
+    assert [(r.job_id, r.place, r.name, r.path, r.kind, r.metadata) for r in sorted(got.collect(), key=lambda r: r.place)] == [
+        ("j1", 1, "book_merged", "/bm", "json", None), ("j1", 2, "report_pdf", "/r", "pdf", {}), ("j1", 3, "z", "/a", "text", {"exists": "true"}), ("j1", 4, "z", "/b", "text", None)
+    ]
+    plan = got._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Window" not in plan
