@@ -179,6 +179,12 @@ def test_cleaning_takes_lines_of_many_documents_at_once(spark, monkeypatch):
     assert made.first().raw_word_count == 2 and "MapInArrow" in made._jdf.queryExecution().toString()
 
 
+def test_chunk_summaries_shuffle_no_text(spark):
+    """The table is read once and without its texts; turns without a conversation, of equal place and role among them, count as in the SQL."""
+    plan = registry.chunk_summaries(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "text" not in re.search(r"ReadSchema: (.*)", plan)[1]
+
+
 def test_odd_documents(spark):
     rows = [(1, None), (2, ""), (3, "\n\n"), (4, "A\n" * 5), (5, "x \t\n" * 4 + "y"), (6, "t\nh\n* * *\nc\ns"), (6, "t")]
     docs = spark.createDataFrame(rows, "doc_id int, text string").withColumn("paras", F.lit(1)).withColumn("_t", F.lit(1))
