@@ -5,6 +5,7 @@ import random
 import pytest
 
 from foliospark.operators import ingest, longbooks, scans
+from foliospark.plans import registry
 
 KINDS = ["Chapter IV", "PART TWO", "* * *", "one two three.", "one two three four five", 'she said "no"', "LOUD LINE", "Contents", "x ..... 12", "w " * 25 + "end."]
 SCHEMA = "doc_id int, para_no int, text string"
@@ -73,3 +74,11 @@ def test_prefix_folds_over_blocks(spark):
         for r in got:
             other = [x[2] for x in rows if x[0] == r.g and ((x[1], x[3]) > (r.pos, r.n) if backwards else (x[1], x[3]) < (r.pos, r.n))]
             assert (r.s, r.least, r.most) == (sum(other), min(other, default=None), max(other, default=None))
+
+
+def test_long_books_are_cleaned_once(spark, monkeypatch):
+    """The paragraphs that the walk reads again and again come from a written table, so that no text is cleaned a second time."""
+    plans, walk_ = [], longbooks.chunk_records
+    monkeypatch.setattr(longbooks, "chunk_records", lambda paras, **args: (plans.append(paras._jdf.queryExecution().toString()), walk_(paras, **args))[1])
+    registry.long_book_chunks(spark, "/root/testdata/sf0.001").count()
+    assert plans and "MapInArrow" not in plans[0] and "Window" not in plans[0]
