@@ -69,3 +69,8 @@ def shown(v: Column) -> Column:
 def identity(v: Column) -> Column:
     """The text by which values are told apart: true equals "True" and 1 equals "1"; objects and lists go by their JSON."""
     return F.when(kind(v) == "BOOLEAN", F.initcap(F.to_json(v))).when(kind(v) == "VOID", "None").otherwise(shown(v))
+
+
+def shown_as(identity: Column) -> Column:
+    """shown() of a boolean or a null by its identity; of all others shown() is the identity."""
+    return F.when(identity == "None", "null").otherwise(F.lower(identity))

@@ -127,6 +127,7 @@ def first_fit(candidates: DataFrame, key: str) -> DataFrame:
 
 def group_label(members: DataFrame, keys: list[str]) -> DataFrame:
     """The name that stands for a group: titled and long base first, then the longer name, then the earlier one."""
+    members = members.groupBy(*keys, "name").agg(F.min("pos").alias("pos"))
     f = N.form(F.col("name"))
     size = F.when(f["base"] == "", 0).otherwise(F.size(F.split(f["base"], " ")))
     rank = F.struct((f["title"].isNotNull().cast("int") + size).alias("s"), F.length("name").alias("l"), (-F.col("pos")).alias("p"))
@@ -140,8 +141,8 @@ def group_confidence(surface: DataFrame, notes: DataFrame, book: str) -> DataFra
     before probable, single stands for none, and reasons are in the order of the notes.
     """
     distinct = notes.where("target_name IS NOT NULL").groupBy(book, "name", "target_name", "confidence", "reason").agg(F.min("pos").alias("_p"))
-    each = surface.select(book, "group_no", F.explode("surface_variants").alias("name"), "surface_variants")
-    met = each.join(distinct, [book, "name"]).where(F.array_contains("surface_variants", F.col("target_name")))
+    each = surface.select(book, "group_no", F.explode("surface_variants").alias("name"))
+    met = each.join(distinct, [book, "name"]).join(each.withColumnRenamed("name", "target_name"), [book, "group_no", "target_name"])
     reasons = met.groupBy(book, "group_no", "reason").agg(F.min("_p").alias("_p"), F.bool_or(F.col("confidence") == "safe").alias("_safe"))
     found = reasons.groupBy(book, "group_no").agg(F.bool_or("_safe").alias("_safe"), in_order("reason", "_p").alias("merge_reasons"))
     known = F.when(F.col("_safe"), "safe").when(F.col("_safe").isNotNull(), "probable").otherwise("single")

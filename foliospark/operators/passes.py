@@ -10,6 +10,7 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 from functools import reduce
 
 import pandas as pd
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import jsonx
 from foliospark.functions import text as T
 from foliospark.operators import jobs, merge
+from foliospark.storage import kept
 
 Model = Callable[[str, str, float], str]
 OUTPUT = "pass string, raw string, doc string, seconds double, attempts int, error string"
@@ -132,10 +134,25 @@ def _docs(outputs: DataFrame, name: str) -> DataFrame:
     return outputs.where(F.col("pass") == name).withColumn("v", jsonx.whole(F.col("doc")))
 
 
-def _in_order(rows: DataFrame, book: str, keys: list[str], value: str = "value", identity: str | None = None) -> DataFrame:
-    """Values of rows(book, keys, pos, i, value) as one list per key, each once by its identity, in the order of their first appearance."""
-    own = rows.withColumn("_id", F.col(identity or value)).groupBy(book, *keys, "_id").agg(F.min(F.struct("pos", "i", F.col(value).alias("v"))).alias("_f"))
-    return own.groupBy(book, *keys).agg(F.transform(F.array_sort(F.collect_list("_f")), lambda r: r["v"]).alias("values"))
+def place_of(pos: Column, *more: Column) -> Column:
+    """The order of (pos, more...) as one decimal, missing places first; more: one or two numbers below 10^9, none negative. A least decimal is found by a hash aggregate, a least struct only by sorting all rows."""
+    at = F.coalesce(pos.cast("bigint"), F.lit(-(2**63))).cast("decimal(19,0)")
+    for x in more:
+        at = (at * F.lit(10**9) + x).cast("decimal(38,0)")
+    return at
+
+
+def _in_order(rows: DataFrame, book: str, keys: list[str], value: str = "value", identity: str | None = None, at: Column | None = None) -> DataFrame:
+    """Values of rows(book, keys, pos, i, value) as one list per key, each once by its identity, in the order of their first appearance.
+
+    at: their order, if it isn't (pos, i). identity: a column of what jsonx.identity() gives where value is what shown() does.
+    """
+    at = place_of(F.col("pos"), F.col("i")) if at is None else at
+    own = rows.select(book, *keys, F.col(identity or value).alias("_id"), at.alias("_at"), F.coalesce((F.col(value) != F.col(identity or value)).cast("int"), F.lit(0)).alias("_other"))
+    # The value is not carried along: whether it is spelt as its identity is the order's last digit.
+    first = own.groupBy(book, *keys, "_id").agg(F.min((F.col("_at") * 2 + F.col("_other")).cast("decimal(38,0)")).alias("_f"))
+    shown = F.when(F.col("_f") % 2 == 0, F.col("_id")).otherwise(jsonx.shown_as(F.col("_id")))
+    return first.select(book, *keys, "_f", shown.alias("_v")).groupBy(book, *keys).agg(merge.in_order("_v", "_f").alias("values"))
 
 
 def _either(new: str, old: str, take):
@@ -250,15 +267,17 @@ def timing_chunks(outputs: DataFrame, book: str) -> DataFrame:
     return _docs(outputs, "timing").select(book, "pos", jsonx.get(F.col("v"), "$.total_duration_seconds").alias("total_duration_seconds"), own.alias("passes"))
 
 
-def dossier_merge(outputs: DataFrame, book: str) -> DataFrame:
+def dossier_merge(outputs: DataFrame, book: str, notes: DataFrame | None = None) -> DataFrame:
     """A row per book and group of dossiers of one character.
 
     (book, group_no, place, canonical_name, surface_variants, chunks, n_dossiers, merge_confidence, merge_reasons, source_dossiers, MERGED):
     lists hold each value once and in order, surface variants all names before all aliases; place numbers a book's groups by the natural order
-    of their names. An attribute of another type than the one meant is left out.
+    of their names. An attribute of another type than the one meant is left out. notes: resolver_notes() of the outputs, if it is at hand.
+
+    The notes, one fold of each book, and the groups' lists are used several times and written once.
     """
     own = dossier_rows(outputs, book)
-    notes = resolver_notes(own, book)
+    notes = kept(resolver_notes(own, book), "notes") if notes is None else notes
     members = own.join(notes.select(book, "pos", "group_no"), [book, "pos"])
     keys = [book, "group_no"]
     v = F.col("v")
@@ -274,22 +293,24 @@ def dossier_merge(outputs: DataFrame, book: str) -> DataFrame:
     lists += [entry(to, 0, one(jsonx.string(v, f"$.{a}"))) for a, to in SINGLE.items()]
     lists += [entry(to, 1, jsonx.strings(v, f"$.{a}")) for a, to in LISTED.items()]
     lists += [F.struct(F.lit("spoken_dialogue_values").alias("attribute"), F.lit(0).alias("rank"), F.when(there, F.array(F.struct(jsonx.shown(spoken).alias("value"), jsonx.identity(spoken).alias("id")))).alias("found"))]
-    flat = members.select(*keys, "pos", F.inline(F.array(*lists))).select(*keys, "attribute", "pos", "rank", F.posexplode("found").alias("_i", "x")).select(*keys, "attribute", "pos", "rank", "_i", "x.value", "x.id")
-    # Of a group's surface variants the names of all members come before their aliases.
-    surface = F.col("attribute") == "names"
-    placed = flat.withColumn("i", F.struct("pos", "rank", "_i")).withColumn("pos", F.when(surface, F.col("rank").cast("bigint")).otherwise(F.col("pos")))
-    by_name = _in_order(placed, book, ["group_no", "attribute"], identity="id").groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("attribute", "values")))).alias("attributes"))
+    flat = members.select(*keys, "pos", F.inline(F.array(*lists))).select(*keys, "attribute", "pos", "rank", F.posexplode("found").alias("i", "x")).select(*keys, "attribute", "pos", "rank", "i", "x.value", "x.id")
+    # A place counts its rank before its number in a list; of a group's surface variants the names of all members come before their aliases.
+    ranked = place_of(F.col("pos"), F.col("rank").cast("bigint") * 10**8 + F.col("i"))
+    at = F.when(F.col("attribute") == "names", ranked + F.col("rank") * F.lit(Decimal(10) ** 32)).otherwise(ranked)
+    found = _in_order(flat, book, ["group_no", "attribute"], identity="id", at=at.cast("decimal(37,0)")).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("attribute", "values")))).alias("attributes"))
+    by_name = kept(found, "dossier-lists")
     empty = F.array().cast("array<string>")
-    base = merge.group_label(members, keys).withColumnRenamed("label", "canonical_name").join(by_name, keys)
-    out = base.select(*keys, "canonical_name", *[F.coalesce(F.try_element_at("attributes", F.lit(a)), empty).alias(to) for a, to in (("names", "surface_variants"), *((m, m) for m in MERGED))])
-    source = F.struct("pos", "chunk", F.to_json("v").alias("dossier"))
-    chunks = members.groupBy(*keys).agg(
-        F.array_sort(F.collect_set("chunk")).alias("chunks"), F.count("*").alias("n_dossiers"),
-        F.transform(F.array_sort(F.collect_list(source)), lambda r: F.struct(r["chunk"].alias("chunk"), r["dossier"].alias("dossier"))).alias("source_dossiers"),
-    )
-    known = merge.group_confidence(out.select(*keys, "surface_variants"), notes, book)
-    place = F.row_number().over(W.partitionBy(book).orderBy(T.natural_key(F.col("canonical_name")), "group_no")) - 1
-    return out.join(chunks, keys).join(known, keys).withColumn("place", place)
+    values = by_name.select(*keys, *[F.coalesce(F.try_element_at("attributes", F.lit(a)), empty).alias(to) for a, to in (("names", "surface_variants"), *((m, m) for m in MERGED))])
+    # Places are numbered on the names alone, so that a book's lists and dossiers never meet in one task.
+    label = merge.group_label(notes, keys).withColumnRenamed("label", "canonical_name")
+    label = label.withColumn("place", F.row_number().over(W.partitionBy(book).orderBy(T.natural_key(F.col("canonical_name")), "group_no")) - 1)
+    chunk = F.expr(f"(pos - pmod(pos, {PLACES})) div {PLACES}").cast(own.schema["chunk"].dataType)
+    chunks = notes.groupBy(*keys).agg(F.array_sort(F.collect_set(chunk)).alias("chunks"), F.count("*").alias("n_dossiers"))
+    source = members.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk", F.to_json("v").alias("dossier")))), lambda r: F.struct(r["chunk"].alias("chunk"), r["dossier"].alias("dossier"))).alias("source_dossiers"))
+    known = merge.group_confidence(values.select(*keys, "surface_variants"), notes, book)
+    # Every group has sources; by a left join they are not computed where nobody asks for them.
+    out = label.join(values, keys).join(chunks, keys).join(source, keys, "left").join(known, keys)
+    return out.select(*keys, "canonical_name", "surface_variants", *MERGED, "chunks", "n_dossiers", "source_dossiers", "merge_confidence", "merge_reasons", "place")
 
 
 def resolver_notes(dossiers: DataFrame, book: str) -> DataFrame:
@@ -305,12 +326,12 @@ def conflict_report(book: str, dossiers: DataFrame, entities: DataFrame, dialogu
     entities: merge.entity_merge() by book and kind; dialogue: dialogue_merge(); statuses: structure_chunks().
     """
     c = F.col
-    attributes = [a for a, *_ in merge.CONFLICTS]
-    each = dossiers.select(book, "group_no", F.inline(F.array(*[F.struct(F.lit(a).alias("attribute"), c(a).alias("found")) for a in attributes])))
-    values = each.select(book, "group_no", "attribute", F.posexplode("found").alias("pos", "value"))
-    facts = dossiers.select(book, "group_no", "place", c("canonical_name").alias("name"), "variants", "surface_variants", c("chunks").cast("array<string>").alias("chunks"), "merge_confidence")
+    # A group's lists lie in its row, distinct and in order, so its conflicts are found there: no join of the dossiers with themselves.
+    told = lambda a: F.array_distinct(F.filter(F.transform(a, T.strip), lambda x: x != ""))
+    each = F.inline(F.array(*[F.struct(F.lit(t).alias("type"), F.lit(s).alias("severity"), F.lit(n).alias("over"), told(a).alias("values")) for a, t, s, n in merge.CONFLICTS]))
+    facts = dossiers.select(book, "place", c("canonical_name").alias("name"), "variants", "surface_variants", c("chunks").cast("array<string>").alias("chunks"), "merge_confidence", each).where(F.size("values") > c("over"))
     message = F.element_at(F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv]), c("type"))
-    people = merge.conflicts(values, [book, "group_no"]).join(facts, [book, "group_no"]).select(book, F.lit("character").alias("scope"), "place", "name", F.lit(None).cast("string").alias("kind"), "type", "severity", "values", "variants", "surface_variants", "chunks", "merge_confidence", F.concat(message, F.lit(" observed for "), "name", F.lit(".")).alias("message"))
+    people = facts.select(book, F.lit("character").alias("scope"), "place", "name", F.lit(None).cast("string").alias("kind"), "type", "severity", "values", "variants", "surface_variants", "chunks", "merge_confidence", F.concat(message, F.lit(" observed for "), "name", F.lit(".")).alias("message"))
     none = {"variants": "array<string>", "surface_variants": "array<string>", "chunks": "array<string>", "merge_confidence": "string", "kind": "string", "name": "string", "place": "int", "severity": "string"}
 
     def rows(df, **cols):
