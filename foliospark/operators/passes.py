@@ -13,10 +13,12 @@ from collections.abc import Callable, Iterator
 from decimal import Decimal
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from foliospark.functions import jsonx
 from foliospark.functions import text as T
@@ -25,6 +27,8 @@ from foliospark.storage import kept
 
 Model = Callable[[str, str, float], str]
 OUTPUT = "pass string, raw string, doc string, seconds double, attempts int, error string"
+#: So many characters of answers a task holds before it passes them on.
+HELD = 8_000_000
 
 
 def parsed(raw: str):
@@ -74,25 +78,41 @@ def run(
     empty excerpts. `doc` is the JSON of the answer. A lost task asks the model again for its chunks: write the rows, then use resumed().
     """
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for *key, body in pdf.itertuples(index=False, name=None):
-                rows, values = [], {}
+    found = to_arrow_schema(StructType.fromDDL(OUTPUT))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows, held = [], [], 0
+            for i, body in enumerate(batch.column(len(keys)).to_pylist()):
+                values = {}
                 for name in passes:
                     excerpt = body or ""
                     known = [v if isinstance(v := values.get(p), dict) else {} for p in ("entities", "dialogue")]
                     prompt = dossier_prompt(excerpt, *known) if name == "dossiers" else excerpt
                     raw, values[name], seconds, tries, error = attempted(model, name, prompt, retries, idle, backoff, most, pause)
                     doc = None if error else json.dumps(values[name], ensure_ascii=False)
-                    rows.append((*key, name, raw, doc, seconds, tries, error))
+                    rows.append((name, raw, doc, seconds, tries, error))
+                    at.append(i)
+                    held += len(raw or "") + len(doc or "")
                     if error and stop:
-                        raise RuntimeError(f"pass {name} of {key}: {error}")
+                        raise RuntimeError(f"pass {name} of {[c[i].as_py() for c in batch.columns[:-1]]}: {error}")
                     if error:
                         break
-                yield pd.DataFrame(rows, columns=[*keys, *(c.split()[0] for c in OUTPUT.split(", "))])
+                if held >= HELD:
+                    yield _tried(batch, keys, at, rows, found)
+                    at, rows, held = [], [], 0
+            if rows:
+                yield _tried(batch, keys, at, rows, found)
 
     kinds = ", ".join(f"`{k}` {chunks.schema[k].dataType.simpleString()}" for k in keys)
-    return chunks.select(*keys, text).mapInPandas(each, f"{kinds}, {OUTPUT}")
+    return chunks.select(*keys, text).mapInArrow(each, f"{kinds}, {OUTPUT}")
+
+
+def _tried(batch: pa.RecordBatch, keys: list[str], at: list[int], rows: list[tuple], found: pa.Schema) -> pa.RecordBatch:
+    """Tried passes of the chunks `at` places of a batch; a table for each chunk alone would cost more than the passes by rules."""
+    own = [batch.column(k).take(pa.array(at)) for k in range(len(keys))]
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), found, strict=True)]
+    return pa.RecordBatch.from_arrays(own + columns, names=[*keys, *found.names])
 
 
 def resumed(chunks: DataFrame, written: DataFrame, keys: list[str], passes: tuple = jobs.PASSES) -> DataFrame:

@@ -77,3 +77,13 @@ def test_parts_are_dealt_out_before_their_json_is_read(spark):
     assert registry.t(spark, SF, "part").rdd.getNumPartitions() < cores
     assert registry._dossier_docs(spark, SF).rdd.getNumPartitions() >= cores
     assert len(re.findall("RepartitionByExpression|REPARTITION_BY_NUM", plan(registry._dossier_docs(spark, SF)))) == 1
+
+
+def test_tried_passes_come_by_the_batch_and_keep_their_keys(spark):
+    chunks = spark.createDataFrame([(None, 0, "a"), (7, 1, None), (7, 2, "bad"), (2**62 + 1, 3, "b")], "book bigint, pos int, text string").coalesce(1)
+    model = lambda name, prompt, idle: "{" if prompt == "bad" and name == "dialogue" else json.dumps({"said": prompt})
+    got = passes.run(chunks, model, ["book", "pos"], passes=("structure", "dialogue"), retries=0, pause=0)
+    rows = {(r["book"], r["pos"], r["pass"]): r for r in got.collect()}
+    assert set(rows) == {(b, p, n) for b, p in ((None, 0), (7, 1), (7, 2), (2**62 + 1, 3)) for n in ("structure", "dialogue")}
+    assert rows[7, 1, "structure"]["doc"] == '{"said": ""}' and rows[7, 2, "dialogue"]["doc"] is None and rows[7, 2, "dialogue"]["error"]
+    assert "MapInArrow" in plan(got)
