@@ -11,7 +11,7 @@ from foliospark.functions import text as T
 def whole(raw: Column) -> Column:
     """VARIANT of a text that is one JSON value; null for anything else. The parser stops after a value, so the text is read as a list of one."""
     items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), "$", "array<variant>")
-    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
+    return T.let(items, lambda own: F.when(F.size(own) == 1, F.get(own, F.lit(0))))
 
 
 def recover(raw: Column) -> Column:

@@ -49,8 +49,9 @@ class Merged:
         self.dialogue_chunks = passes.dialogue_chunks(outputs, book)
         self.names = kept(passes.entity_lists(outputs, book), "names")
         self.entities = kept(merge.entity_merge(passes.entity_mentions(outputs, book), [book, "kind"], "value", passes.place_of(F.col("pos"), F.col("i")), "pos"), "entities")
-        self.notes = kept(passes.resolver_notes(passes.dossier_rows(outputs, book), book), "notes")
-        self.dossiers = kept(passes.dossier_merge(outputs, book, self.notes), "dossiers")
+        said = kept(passes.dossier_values(passes.dossier_rows(outputs, book), book), "dossier-values")
+        self.notes = kept(passes.resolver_notes(said, book), "notes")
+        self.dossiers = kept(passes.dossier_merge(outputs, book, self.notes, said), "dossiers")
         self.timing = kept(merge.timing_summary(outputs.where(F.col("pass") == "timing"), [book]), "timing")
         self.report = kept(passes.merge_report(book, self.chunks, outputs, self.dossiers), "report")
         self.conflicts = kept(passes.conflict_report(book, self.dossiers, self.entities, self.dialogue, self.structure_chunks), "conflicts")

@@ -85,18 +85,26 @@ def first_fit(candidates: DataFrame, key: str) -> DataFrame:
     are not pairs but, for each of the few things by which names match, the first member of each group that has it.
     """
     f = N.form(F.col("name"))
-    own = candidates.select(key, F.col("pos").cast("bigint").alias("pos"), "name", f.alias("f"), "roles").select("*", N.role_state(F.col("f.title"), F.col("roles")).alias("state")).drop("roles")
+    own = candidates.select(key, F.col("pos").cast("bigint").alias("pos"), "name", f.alias("f"), "roles")
+    own = own.select(key, "pos", "name", *[f"f.{c}" for c in ("normalized", "title", "base", "surname")], N.role_state(F.col("f.title"), F.col("roles")).alias("state"))
     kinds = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in (key, "pos", "name"))
 
     def begin():
         first: dict[tuple, dict[int, tuple]] = {}
         lowest: dict[tuple, int] = {}
+        # What a form and its state lead to; it holds until a member brings its group something new to match by.
+        known: dict[tuple, tuple] = {}
         made = 0
 
         def step(row: dict):
             nonlocal made
-            f, state = row["f"], row["state"]
-            plain, title, base, surname = f["normalized"], f["title"], f["base"], f["surname"]
+            plain, state = row["normalized"], row["state"]
+            if (fit := known.get((plain, state))) is None:
+                fit = place(plain, row["title"], row["base"], row["surname"], state, (row["pos"], row["name"]))
+            yield row[key], row["pos"], row["name"], *fit
+
+        def place(plain, title, base, surname, state, member):
+            nonlocal made
             fit = {"free": ("free",), "hit": ("hit", "none", "miss"), "none": ("hit", "none"), "miss": ("hit",)}[state]
             has, wants = [("name", plain)], [(("name", plain), "safe", "exact_normalized_match", 100)]
             if surname and title:
@@ -114,11 +122,17 @@ def first_fit(candidates: DataFrame, key: str) -> DataFrame:
             made += not met
             # Rules come in the order of their rank, so of those that lead to the same member the first counts.
             targets = [(first[k][group], -score, c, r) for k, c, r, score in wants if group in first.get(k, ())]
-            for h in has:
-                first.setdefault(h, {}).setdefault(group, (row["pos"], row["name"]))
-                lowest[h] = min(group, lowest.get(h, group))
             (at, name), score, confidence, reason = min(targets, default=((None, None), None, None, None))
-            yield row[key], row["pos"], row["name"], group, at, name, confidence, reason, None if score is None else -score
+            found = group, at, name, confidence, reason, None if score is None else -score
+            new = [h for h in has if group not in first.get(h, ())]
+            for h in new:
+                first.setdefault(h, {})[group] = member
+                lowest[h] = min(group, lowest.get(h, group))
+            if new:
+                known.clear()
+            else:
+                known[plain, state] = found
+            return found
 
         return step
 

@@ -269,6 +269,18 @@ def dossier_rows(outputs: DataFrame, book: str) -> DataFrame:
     return named.select(book, "chunk", (F.col("chunk").cast("bigint") * PLACES + F.col("i")).alias("pos"), "name", jsonx.trimmed_strings(v, "$.aliases").alias("aliases"), roles.alias("roles"), "v")
 
 
+def dossier_values(dossiers: DataFrame, book: str) -> DataFrame:
+    """(book, pos, name, aliases, roles, told, spoken) of dossier_rows(): all that their merge reads, plain texts and lists, so that it may be written once and no JSON read again.
+
+    told: the SINGLE attributes that are texts and the LISTED ones as they are listed. spoken: how a spoken_dialogue is shown, and its identity.
+    """
+    v = F.col("v")
+    told = [jsonx.string(v, f"$.{a}").alias(f"one_{a}") for a in SINGLE] + [jsonx.strings(v, f"$.{a}").alias(f"all_{a}") for a in LISTED]
+    spoken = jsonx.get(v, "$.spoken_dialogue")
+    said = F.when(jsonx.kind(spoken) != "VOID", F.struct(jsonx.shown(spoken).alias("value"), jsonx.identity(spoken).alias("id")))
+    return dossiers.select(book, "pos", "name", "aliases", "roles", F.struct(*told).alias("told"), said.alias("spoken"))
+
+
 def entity_chunks(outputs: DataFrame, book: str, kinds: tuple = ENTITY_KINDS) -> DataFrame:
     """(book, pos, kinds): the lists of each chunk's entities pass as they are, VARIANTs; an empty one for anything that is no list."""
     return _docs(outputs, "entities").select(book, "pos", *[jsonx.items(F.col("v"), f"$.{k}").alias(k) for k in kinds])
@@ -287,32 +299,31 @@ def timing_chunks(outputs: DataFrame, book: str) -> DataFrame:
     return _docs(outputs, "timing").select(book, "pos", jsonx.get(F.col("v"), "$.total_duration_seconds").alias("total_duration_seconds"), own.alias("passes"))
 
 
-def dossier_merge(outputs: DataFrame, book: str, notes: DataFrame | None = None) -> DataFrame:
+def dossier_merge(outputs: DataFrame, book: str, notes: DataFrame | None = None, said: DataFrame | None = None) -> DataFrame:
     """A row per book and group of dossiers of one character.
 
     (book, group_no, place, canonical_name, surface_variants, chunks, n_dossiers, merge_confidence, merge_reasons, source_dossiers, MERGED):
     lists hold each value once and in order, surface variants all names before all aliases; place numbers a book's groups by the natural order
-    of their names. An attribute of another type than the one meant is left out. notes: resolver_notes() of the outputs, if it is at hand.
+    of their names. An attribute of another type than the one meant is left out. notes, said: resolver_notes() and dossier_values() of the outputs, if they are at hand.
 
-    The notes, one fold of each book, and the groups' lists are used several times and written once.
+    What the dossiers say, the notes, one fold of each book, and the groups' lists are used several times and written once.
     """
     own = dossier_rows(outputs, book)
-    notes = kept(resolver_notes(own, book), "notes") if notes is None else notes
-    members = own.join(notes.select(book, "pos", "group_no"), [book, "pos"])
+    said = kept(dossier_values(own, book), "dossier-values") if said is None else said
+    notes = kept(resolver_notes(said, book), "notes") if notes is None else notes
+    grouped = notes.select(book, "pos", "group_no")
+    members = said.join(grouped, [book, "pos"])
     keys = [book, "group_no"]
-    v = F.col("v")
 
     def entry(to, rank, values, ids=None):
         pairs = F.transform(values, lambda x: F.struct(x.alias("value"), x.alias("id"))) if ids is None else F.arrays_zip(values.alias("value"), ids.alias("id"))
         return F.struct(F.lit(to).alias("attribute"), F.lit(rank).alias("rank"), pairs.cast("array<struct<value:string,id:string>>").alias("found"))
 
     one = lambda c: F.array_compact(F.array(F.nullif(c, F.lit(""))))
-    spoken = jsonx.get(v, "$.spoken_dialogue")
-    there = jsonx.kind(spoken) != "VOID"
     lists = [entry("variants", 0, F.array("name")), entry("names", 0, F.array("name")), entry("names", 1, F.col("aliases"))]
-    lists += [entry(to, 0, one(jsonx.string(v, f"$.{a}"))) for a, to in SINGLE.items()]
-    lists += [entry(to, 1, jsonx.strings(v, f"$.{a}")) for a, to in LISTED.items()]
-    lists += [F.struct(F.lit("spoken_dialogue_values").alias("attribute"), F.lit(0).alias("rank"), F.when(there, F.array(F.struct(jsonx.shown(spoken).alias("value"), jsonx.identity(spoken).alias("id")))).alias("found"))]
+    lists += [entry(to, 0, one(F.col(f"told.one_{a}"))) for a, to in SINGLE.items()]
+    lists += [entry(to, 1, F.col(f"told.all_{a}")) for a, to in LISTED.items()]
+    lists += [F.struct(F.lit("spoken_dialogue_values").alias("attribute"), F.lit(0).alias("rank"), F.when(F.col("spoken").isNotNull(), F.array("spoken")).alias("found"))]
     flat = members.select(*keys, "pos", F.inline(F.array(*lists))).select(*keys, "attribute", "pos", "rank", F.posexplode("found").alias("i", "x")).select(*keys, "attribute", "pos", "rank", "i", "x.value", "x.id")
     # A place counts its rank before its number in a list; of a group's surface variants the names of all members come before their aliases.
     ranked = place_of(F.col("pos"), F.col("rank").cast("bigint") * 10**8 + F.col("i"))
@@ -326,7 +337,7 @@ def dossier_merge(outputs: DataFrame, book: str, notes: DataFrame | None = None)
     label = label.withColumn("place", F.row_number().over(W.partitionBy(book).orderBy(T.natural_key(F.col("canonical_name")), "group_no")) - 1)
     chunk = F.expr(f"(pos - pmod(pos, {PLACES})) div {PLACES}").cast(own.schema["chunk"].dataType)
     chunks = notes.groupBy(*keys).agg(F.array_sort(F.collect_set(chunk)).alias("chunks"), F.count("*").alias("n_dossiers"))
-    source = members.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk", F.to_json("v").alias("dossier")))), lambda r: F.struct(r["chunk"].alias("chunk"), r["dossier"].alias("dossier"))).alias("source_dossiers"))
+    source = own.join(grouped, [book, "pos"]).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk", F.to_json("v").alias("dossier")))), lambda r: F.struct(r["chunk"].alias("chunk"), r["dossier"].alias("dossier"))).alias("source_dossiers"))
     known = merge.group_confidence(values.select(*keys, "surface_variants"), notes, book)
     # Every group has sources; by a left join they are not computed where nobody asks for them.
     out = label.join(values, keys).join(chunks, keys).join(source, keys, "left").join(known, keys)
@@ -334,7 +345,7 @@ def dossier_merge(outputs: DataFrame, book: str, notes: DataFrame | None = None)
 
 
 def resolver_notes(dossiers: DataFrame, book: str) -> DataFrame:
-    """merge.first_fit of dossier_rows(): a row per dossier with its group; those with a target are the notes on why it joined."""
+    """merge.first_fit of dossier_rows() or dossier_values(): a row per dossier with its group; those with a target are the notes on why it joined."""
     return merge.first_fit(dossiers.select(book, "pos", "name", "roles"), book)
 
 

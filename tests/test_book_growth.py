@@ -1,12 +1,14 @@
 """What books with very many chunks need: no sort of all their values, no list beside each of its elements, no whole table in one task."""
 
 import json
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import merge, passes
+from foliospark.functions import jsonx, names
+from foliospark.operators import folds, merge, passes
 from foliospark.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -87,3 +89,55 @@ def test_tried_passes_come_by_the_batch_and_keep_their_keys(spark):
     assert set(rows) == {(b, p, n) for b, p in ((None, 0), (7, 1), (7, 2), (2**62 + 1, 3)) for n in ("structure", "dialogue")}
     assert rows[7, 1, "structure"]["doc"] == '{"said": ""}' and rows[7, 2, "dialogue"]["doc"] is None and rows[7, 2, "dialogue"]["error"]
     assert "MapInArrow" in plan(got)
+
+
+def test_a_text_is_parsed_once(spark):
+    got = spark.createDataFrame([('{"a": 1}',), ("1, 2",), ("",), (None,), ('{"a":',)], "doc string").select(jsonx.whole(F.col("doc")).alias("v"))
+    assert [r[0] for r in got.select(F.to_json("v")).collect()] == ['{"a":1}', None, None, None, None]
+    assert len(re.findall("parse_json|parseJson", got._jdf.queryExecution().optimizedPlan().toString())) == 1
+
+
+def test_dossiers_are_read_from_json_once(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(passes, "kept", lambda df, kind: plans.setdefault(kind, (plan(df), df.localCheckpoint()))[1])
+    rows = [(0, [{"name": "Ann", "role": " cook ", "roles": ["x", 1, None, " "], "accent": 3, "spoken_dialogue": None, "biography": ""}]), (1, [{"name": "ann", "spoken_dialogue": [1], "personality_traits": ["a", " b "], "identity_status": "known"}])]
+    got = passes.dossier_merge(outputs(spark, rows), "book").first()
+    assert [kind for kind, (p, _) in plans.items() if re.search("parse_json|parseJson", p)] == ["dossier-values"]
+    assert (got["roles"], got["accents"], got["spoken_dialogue_values"], got["biographies"]) == ([" cook ", "x", " "], [], ["[1]"], [])
+    assert (got["personality_traits"], got["identity_status_values"], got["n_dossiers"]) == (["a", " b "], ["known"], 2)
+    assert [json.loads(s["dossier"])["name"] for s in got["source_dossiers"]] == ["Ann", "ann"]
+
+
+def test_a_name_met_before_is_not_placed_anew(spark, monkeypatch):
+    held = {}
+    monkeypatch.setattr(folds, "streamed", lambda rows, keys, order, begin, schema: held.update(begin=begin))
+    merge.first_fit(spark.createDataFrame([], "book string, pos long, name string, roles array<string>"), "book")
+    step = held["begin"]()
+    full = {"book": "b", "name": "Ann", "normalized": "ann", "title": None, "base": "ann", "surname": "ann", "state": "free"}
+    assert [list(step(full | {"pos": i}))[0][3:5] for i in range(2)] == [(0, None), (0, 0)]
+    # Once a form has led to nothing new, its parts are not looked at again.
+    assert list(step({k: full[k] for k in ("book", "name", "normalized", "state")} | {"pos": 2})) == [("b", 2, "Ann", 0, 0, "Ann", "safe", "exact_normalized_match", 100)]
+
+
+def test_groups_of_repeated_names_as_by_all_pairs(spark):
+    deal = random.Random(5)
+    said = ["Dr. Ann Lee", "doctor lee", "Lee", "Ann Lee", "the Doctor", "captain", "Capt. Bo", "Bo", "Miss Bo", "captain bo lee", "Mr. Lee", "mr", "stranger", "the", "Captain Lee"]
+    rows = [("b" if i % 3 else "c", i, deal.choice(said[: 2 + i // 12]), [[], ["surgeon"], ["an old sailor"], ["cook"]][deal.randrange(4)]) for i in range(180)]
+    df = spark.createDataFrame(rows, "book string, pos long, name string, roles array<string>")
+    f = df.withColumn("f", names.form(F.col("name"))).localCheckpoint()
+    a, b = f.alias("a"), f.alias("b")
+    rule = names.match_rule(F.col("a.f"), F.col("b.f"), F.col("a.roles"), F.col("b.roles"))
+    pairs = a.join(b, F.expr("a.book = b.book AND a.pos < b.pos")).select(F.col("a.pos").alias("x"), F.col("b.pos").alias("y"), rule.alias("r")).where("r.score > 0")
+    met = {(r["x"], r["y"]): r["r"] for r in pairs.collect()}
+    group, made, want = {}, {}, set()
+    for book, pos, name, _ in rows:
+        hits = [p for p in group if (p, pos) in met]
+        if hits:
+            group[pos] = min(group[p] for p in hits)
+            at = min(p for p in hits if group[p] == group[pos])
+            want.add((book, pos, name, group[pos], at, rows[at][2], *met[at, pos]))
+        else:
+            group[pos] = made.setdefault(book, 0)
+            made[book] += 1
+            want.add((book, pos, name, group[pos], None, None, None, None, None))
+    assert {tuple(r) for r in merge.first_fit(df, "book").collect()} == want
