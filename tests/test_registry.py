@@ -152,6 +152,18 @@ def test_shown_sizes_and_seconds_at_ties(spark):
     assert [r[0] for r in spark.createDataFrame([(x,) for x in secs], "s double").select(T.seconds(F.col("s"))).collect()] == [f"{x:.1f}s" for x in secs]
 
 
+def test_shown_values_of_negative_zero_and_of_nulls(spark, tmp_path):
+    """A balance just below zero is stored as -0.0 and shown so; what is null is null."""
+    rows = [(0, -0.0, "MACHINERY"), (1, 0.0, "BUILDING"), (2, -0.04, "BUILDING"), (3, None, "HOUSEHOLD"), (4, 1.92, None), (None, 5000.0, "FURNITURE")]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = con.sql(registry.oracle_sql()["shown_values"]).fetchall()
+    got = registry.shown_values(spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert {r.c_custkey: r.seconds for r in got} == {0: "-0.0s", 1: "0.0s", 2: "-0.0s", 3: None, 4: "1.9s", None: "5000.0s"}
+
+
 def test_progress_of_a_run_whose_chunks_end_but_never_begin(spark, tmp_path):
     """Ten chunks completed of nine and none begun: there is no current chunk, so that the query has no index, as its SQL."""
     rows = [(7 * i, datetime(2024, 1, 6, 0, i), 1, "purchase", 1.5) for i in range(10)] + [(1, datetime(2024, 1, 7), 2, "signup", 1.0)]
