@@ -37,6 +37,10 @@ SAMPLE_TEXTS, COMMON = 8000, 50_000
 STAR_ROUNDS, STAR_ORDERS = 2, 8
 #: Words of 64 bits, each bit the parity of how many shingles fall on it: sets differ in as many shingles as bits at least.
 PARITY = [f"p{i}" for i in range(8)]
+#: Sets of more shingles have wide parities too, a bit for each shingle at least: unlike sets of more than about 1150 differ in no more bits of PARITY than alike ones may.
+WIDE_FROM = 1000
+#: Bits of the map by which texts are looked over before they are shuffled.
+MAP_BITS = 1 << 23
 
 
 def shingle_hashes(text: str | None, size: int, seed: int = SEED) -> np.ndarray:
@@ -203,7 +207,7 @@ def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(keyed: DataFrame, size: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, h1, h2, n, s1, s2, fp, keys, PARITY): a text's count of distinct shingles, a hash pair, the fingerprint, the prefix and the parities of their set.
+    """(doc_id, h1, h2, n, s1, s2, fp, keys, wide, PARITY): a text's count of distinct shingles, a hash pair, the fingerprint, the prefix and the parities of their set.
 
     The prefix is what comes first in an order of all shingles that is the same for all texts: those least common in the sample,
     then by hash. Two sets of at least the similarity have a shingle of both prefixes in common, whatever the order.
@@ -212,7 +216,7 @@ def _prefixes(keyed: DataFrame, size: int, similarity: float, common: tuple[np.n
 
     def run(batches):
         for b in slices(batches):
-            n, s1, s2, fp, keys, odd = [], [], [], [], [], []
+            n, s1, s2, fp, keys, wide, odd = [], [], [], [], [], [], []
             for t in b.column(3).to_pylist():
                 sh = np.unique(shingle_hashes(t, size))
                 digest = xxhash.xxh3_128_intdigest(sh.tobytes())
@@ -226,17 +230,22 @@ def _prefixes(keyed: DataFrame, size: int, similarity: float, common: tuple[np.n
                 s2.append(digest & (1 << 64) - 1)
                 fp.append(fingerprint(sh))
                 keys.append(sh[first].view(np.int64))
-                places = (sh % np.uint64(64 * len(PARITY))).astype(np.int64)
-                odd.append(np.packbits(np.bincount(places, minlength=64 * len(PARITY)) & 1, bitorder="little").view(np.int64))
+                wide.append(parities(sh, 1 << (len(sh) - 1).bit_length()) if len(sh) > WIDE_FROM else None)
+                odd.append(parities(sh, 64 * len(PARITY)))
             hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s1, s2, fp)]
             parity = [pa.array(x) for x in np.array(odd, np.int64).reshape(-1, len(PARITY)).T.copy()]
-            columns = [*b.columns[:3], pa.array(n, pa.int32()), *hashes, pa.array(keys, pa.list_(pa.int64())), *parity]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h1", "h2", "n", "s1", "s2", "fp", "keys", *PARITY])
+            columns = [*b.columns[:3], pa.array(n, pa.int32()), *hashes, *[pa.array(x, pa.list_(pa.int64())) for x in (keys, wide)], *parity]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h1", "h2", "n", "s1", "s2", "fp", "keys", "wide", *PARITY])
 
-    schema = "doc_id bigint, h1 bigint, h2 bigint, n int, s1 bigint, s2 bigint, fp bigint, keys array<bigint>"
+    schema = "doc_id bigint, h1 bigint, h2 bigint, n int, s1 bigint, s2 bigint, fp bigint, keys array<bigint>, wide array<bigint>"
     return keyed.select("doc_id", "h1", "h2", "text").mapInArrow(run, ", ".join([schema, *[f"{p} bigint" for p in PARITY]]))
 
 
+def parities(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Words of 64 bits, each bit the parity of how many hashes fall on it. Of half as many bits they are the two halves' exclusive or."""
+    return np.packbits(np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1, bitorder="little").view(np.int64)
+
+
 def _least(x: float) -> int:
     """x rounded up, unless it is above an integer only by a rounding error."""
     return math.ceil(x - 1e-9)
@@ -253,18 +262,37 @@ def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "id bigint, sh array<bigint>")
 
 
+def _among(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """The rows but for most of those whose columns `on` are not among wanted's: a map of MAP_BITS bits, however large the tables, lets those few through that fall on a bit of another."""
+    place = F.pmod(F.xxhash64(*on), F.lit(MAP_BITS))
+    word, bit = F.shiftright(place, 6).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))
+    bits = wanted.select(word, bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return rows.join(F.broadcast(bits), word == bits["_word"]).where(bit.bitwiseAND(bits["_bits"]) != 0).select(*rows.columns)
+
+
 def _alike(asked: DataFrame, nodes: DataFrame, keyed: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (x, y) of asked, as (a, b), whose shingle sets have at least the Jaccard similarity."""
-    ends = asked.select(F.col("x").alias("id")).union(asked.select("y")).distinct()
-    wanted = nodes.select("id", "h1", "h2").join(ends, "id")
-    sets = cut(_shingle_sets(keyed.join(wanted, ["h1", "h2"]).select("id", "text"), size).dropDuplicates(["id"]), "sets")
+    ends, row = asked.select(F.col("x").alias("id")).union(asked.select("y")).distinct(), ["doc_id", "h1", "h2"]
+    wanted = cut(nodes.select("id", *row).join(ends, "id"), "wanted")
+    texts = _among(keyed, wanted, row).join(wanted, row).dropDuplicates(row)
+    sets = cut(_shingle_sets(texts.select("id", "text"), size), "sets")
     both = asked.join(sets.select(F.col("id").alias("x"), F.col("sh").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("sh").alias("sy")), "y")
     shared = F.size(F.array_intersect("sx", "sy"))
     out = cut(both.where(shared >= similarity * (F.size("sx") + F.size("sy") - shared) - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b")), "alike")
-    drop(sets)
+    drop(wanted, sets)
     return out
 
 
+def _differ():
+    """Bits in which the parities of two postings x and y differ."""
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in PARITY])
+
+
+def _may_differ(bits, both, similarity: float):
+    """Whether sets of `both` shingles together may have the similarity, though their parities differ in so many bits."""
+    return bits * (1 + similarity) <= (1 - similarity) * both + 1e-9
+
+
 def _may_be_alike(similarity: float):
     """Of two postings x and y of a key, whether their sets may have the similarity.
 
@@ -273,8 +301,30 @@ def _may_be_alike(similarity: float):
     most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     sizes = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
     both = F.col("x.n") + F.col("y.n")
-    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in PARITY])
-    return sizes & (most * (1 + similarity) >= similarity * both - 1e-9) & (differ * (1 + similarity) <= (1 - similarity) * both + 1e-9)
+    return sizes & (most * (1 + similarity) >= similarity * both - 1e-9) & _may_differ(_differ(), both, similarity)
+
+
+def _still_close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (x, y, far and others) but for those of long sets that their wide parities rule out; far, the share of bits that differ, is then that of the wide ones.
+
+    So the sets themselves, many times as large, are joined to pairs that are nearly all alike. Parities of two widths are compared at the smaller, unless one is more than twice the other.
+    """
+    wide = nodes.where("wide IS NOT NULL")
+    of = lambda end: wide.select(F.col("id").alias(end), F.col("n").alias(f"_n{end}"), F.col("wide").alias(f"_w{end}"))
+    both = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left")
+    xor = lambda a, b: a.bitwiseXOR(b)
+
+    def at_most(own, other):
+        half = F.size(own) / 2
+        halves = [F.slice(own, F.lit(1), half.cast("int")), F.slice(own, half.cast("int") + 1, half.cast("int"))]
+        return F.when(F.size(own) > F.size(other), F.zip_with(*halves, xor)).otherwise(own)
+
+    x, y = at_most(F.col("_wx"), F.col("_wy")), at_most(F.col("_wy"), F.col("_wx"))
+    differ = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(xor(a, b))), F.lit(0), lambda a, b: a + b)
+    near = (F.size("_wx") <= 2 * F.size("_wy")) & (F.size("_wy") <= 2 * F.size("_wx"))
+    told = both.withColumn("_bits", F.when(F.col("_wx").isNotNull() & F.col("_wy").isNotNull() & near, differ))
+    left = told.where(F.col("_bits").isNull() | _may_differ(F.col("_bits"), F.col("_nx") + F.col("_ny"), similarity))
+    return left.withColumn("far", F.coalesce(F.col("_bits") / (F.col("_nx") + F.col("_ny")), "far")).select(*pairs.columns)
 
 
 def _labelled(postings: DataFrame, label: DataFrame) -> DataFrame:
@@ -295,19 +345,22 @@ def _fingerprint_pairs(nodes: DataFrame, radius: int, segments: int) -> DataFram
     ends = found.select(F.col("a").alias("fp"), F.col("b").alias("other")).union(found.select("b", "a"))
     partner = ends.groupBy("fp").agg(F.min("other").alias("other"))
     near = partner.join(classes, "fp").withColumnRenamed("least", "x").join(classes.select(F.col("fp").alias("other"), F.col("least").alias("y")), "other")
-    out = cut(same.union(near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))).distinct(), "candidates")
+    out = cut(same.union(near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))).distinct(), "found")
     drop(found)
     return out
 
 
 def _set_components(nodes: DataFrame, keyed: DataFrame, size: int, similarity: float, radius: int, segments: int) -> DataFrame:
-    """(fp, label) of the nodes that pairs of at least the similarity join to others. nodes: (id, h1, h2, n, fp, keys).
+    """(fp, label) of the nodes that pairs of at least the similarity join to others. nodes: (id, doc_id, h1, h2, n, fp, keys, wide, PARITY).
 
     First the pairs that the fingerprints find are verified. Then, in STAR_ROUNDS, the sets that share a key and are in different components are compared with one
     of them, which joins dense groups without expanding them. Which one is the first in one of STAR_ORDERS orders, by the key, as many sets of a
-    dense group may be unlike any single one of it. At last all pairs that share a key and are still in different components are compared, so no pair is missed that would join two.
+    dense group may be unlike any single one of it. At last all pairs that share a key and are still in different components are candidates, so no pair is missed that would
+    join two. Of those between the same two components the one whose parities differ least is compared first, and the others only if the components are apart after that.
     """
-    asked = _fingerprint_pairs(nodes, radius, segments)
+    found = _fingerprint_pairs(nodes, radius, segments)
+    asked = cut(_still_close(found.withColumn("far", F.lit(0.0)), nodes, similarity), "candidates")
+    drop(found)
     edges = _alike(asked, nodes, keyed, size, similarity)
     label = components(edges)
     drop(asked)
@@ -323,8 +376,19 @@ def _set_components(nodes: DataFrame, keyed: DataFrame, size: int, similarity: f
         else:
             ranked = own.withColumn("rank", F.xxhash64(F.lit(step), F.pmod("key", F.lit(STAR_ORDERS)), "id"))
             x = ranked.join(ranked.groupBy("key").agg(F.min("rank").alias("rank")), ["key", "rank"], "left_semi").alias("x")
-        pair = x.join(y, where).select(F.least("x.id", "y.id").alias("x"), F.greatest("x.id", "y.id").alias("y")).distinct()
-        asked = cut(pair, "candidates")
+        ends = [f("x.id", "y.id").alias(c) for f, c in ((F.least, "x"), (F.greatest, "y"))] + [f("x.label", "y.label").alias(c) for f, c in ((F.least, "lx"), (F.greatest, "ly"))]
+        pair = x.join(y, where).select(*ends, (_differ() / (F.col("x.n") + F.col("y.n"))).alias("far")).distinct()
+        asked = cut(_still_close(pair, nodes, similarity), "candidates")
+        if step == "all":
+            first = cut(asked.groupBy("lx", "ly").agg(F.min(F.struct("far", "x", "y")).alias("of")).select("of.x", "of.y"), "candidates")
+            edges = edges.union(_alike(first, nodes, keyed, size, similarity))
+            label = components(edges)
+            at = lambda end: label.select(F.col("fp").alias(end), F.col("label").alias(f"_l{end}"))  # noqa: E731, B023
+            apart = F.coalesce("_lx", "x") != F.coalesce("_ly", "y")
+            others = asked.join(first, ["x", "y"], "left_anti").join(at("x"), "x", "left").join(at("y"), "y", "left").where(apart).select("x", "y")
+            rest = cut(others, "candidates")
+            drop(asked, first)
+            asked = rest
         edges = edges.union(_alike(asked, nodes, keyed, size, similarity))
         label = components(edges)
         drop(own, asked)
@@ -347,7 +411,7 @@ def verified_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, rad
     own = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id IS NOT NULL")
     keyed = own.select("doc_id", "text", *text_hashes(F.col("text")))
     prefixes = cut(_prefixes(keyed, size, similarity, _common(own, size)), "prefixes")
-    nodes = cut(prefixes.where("n > 0").drop("doc_id").dropDuplicates(["s1", "s2"]).withColumn("id", F.monotonically_increasing_id()), "nodes")
+    nodes = cut(prefixes.where("n > 0").dropDuplicates(["s1", "s2"]).withColumn("id", F.monotonically_increasing_id()), "nodes")
     # Texts without shingles are their own nodes by their hash pair; those of a set share its hash pair.
     texts = cut(prefixes.select("doc_id", "h1", "h2", F.expr("if(n > 0, s1, h1)").alias("s1"), F.expr("if(n > 0, s2, h2)").alias("s2"), F.expr("n > 0").alias("full")), "texts")
     drop(prefixes)

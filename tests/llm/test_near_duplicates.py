@@ -94,3 +94,52 @@ def test_each_text_of_a_repeated_id_has_its_own_group(spark):
     rows = [(1, " ".join(words[0])), (2, " ".join(words[1])), (5, near[0]), (5, near[1]), (5, " ".join(words[2])), (6, near[2])]
     kept = sorted((r.doc_id, r.text) for r in simhash.keep_one(frame(spark, rows)).collect())
     assert kept == sorted([rows[0], rows[1], rows[4]])
+
+
+def long_texts(rng):
+    """Long texts, unlike but for a passage that each shares with the next, and so prefix keys; then copies of some, one with parities of another width."""
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = [new(200) for _ in range(11)]
+    rows = [shared[i] + new(1400 + 65 * i) + shared[i + 1] for i in range(10)]
+    for i, part, extra in ((3, 0.015, 60), (4, 0.06, 0), (5, 0.01, 0), (8, 0.015, 100)):
+        copy = list(rows[i])
+        for _ in range(int(part * len(copy))):
+            copy[rng.randrange(len(copy))] = f"n{rng.randrange(10**6)}"
+        rows.append(copy + new(extra))
+    return [(i, " ".join(r)) for i, r in enumerate(rows)]
+
+
+def test_sets_of_long_texts_are_fetched_only_where_parities_leave_a_pair_alike(spark, monkeypatch):
+    """Before, all unlike long texts that shared a key had their sets joined to every pair, a number that grows with the square of the input."""
+    rows, real, kinds = long_texts(random.Random(6)), simhash.cut, []
+
+    def cut(df, kind):
+        out = real(df, kind)
+        kinds.extend([{r.id for r in out.select("id").collect()}] if kind == "sets" else [])
+        return out
+
+    monkeypatch.setattr(simhash, "cut", cut)
+    assert found(spark, rows) == brute(rows) == {(3, 3), (10, 3), (5, 5), (12, 5), (8, 8), (13, 8)}
+    assert set().union(*kinds) and len(set().union(*kinds)) <= 8
+
+
+def test_parities_of_two_widths_never_rule_out_alike_sets(spark):
+    rng = random.Random(7)
+    sets = [[rng.getrandbits(64) for _ in range(n)] for n in (1100, 2040, 2040)]
+    sets += [sets[1] + [rng.getrandbits(64) for _ in range(500)], sets[2][:1700] + [rng.getrandbits(64) for _ in range(900)], sets[0][:1090], sets[0][:900]]
+    hashes = [simhash.np.unique(simhash.np.array(s, simhash.np.uint64)) for s in sets]
+    nodes = [(i, len(h), simhash.parities(h, 1 << (len(h) - 1).bit_length()).tolist() if len(h) > simhash.WIDE_FROM else None) for i, h in enumerate(hashes)]
+    frame = spark.createDataFrame(nodes, "id long, n int, wide array<bigint>")
+    pairs = [(i, j, 0.0) for j in range(len(sets)) for i in range(j)]
+    got = {(r.x, r.y) for r in simhash._still_close(spark.createDataFrame(pairs, "x long, y long, far double"), frame, SIMILARITY).collect()}
+    alike = {(i, j) for i, j, _ in pairs if jaccard(set(sets[i]), set(sets[j])) >= SIMILARITY}
+    # No wide parities, or none that can be compared: those stay.
+    unknown = {(i, j) for i, j, _ in pairs if 6 in (i, j)}
+    assert alike == {(1, 3), (0, 5), (0, 6), (5, 6)} and alike | unknown <= got and not {(1, 2), (2, 3), (2, 4), (0, 1)} & got
+
+
+def test_the_map_of_wanted_rows_loses_none(spark):
+    rows = spark.range(200_000).selectExpr("id", "id % 7 AS other")
+    wanted = rows.where("id % 100 = 3")
+    got = {r.id for r in simhash._among(rows, wanted, ["id", "other"]).collect()}
+    assert set(range(3, 200_000, 100)) <= got and len(got) < 2_200
