@@ -55,6 +55,42 @@ def test_one_book_of_many_paragraphs(spark):
     assert all(r.text == "\n\n".join(paras[s:e]) + "\n" for r, (s, _), e in zip(got, want, ends, strict=True))
 
 
+def test_states_go_up_and_down_several_levels_of_blocks(spark):
+    """As above, by blocks of 16 paragraphs, and blocks of 16 such, so that tables are composed; a round of pointers over all paragraphs is needed no more."""
+    assert not hasattr(longbooks, "reached")
+    rng = random.Random(9)
+    books = {b: [rng.choice(KINDS) for _ in range(n)] for b, n in ((1, 6000), (2, 300), (3, 16), (4, 1))}
+    frame = spark.createDataFrame([(b, i, p) for b, paras in books.items() for i, p in enumerate(paras)], SCHEMA)
+    got = longbooks.chunk_records(frame, "doc_id", 20, 60, 90, shift=4).orderBy("doc_id", "chunk_no").collect()
+    assert [(r.doc_id, r.chunk_no, r.word_count) for r in got] == [(b, n, w) for b, paras in books.items() for n, (_, w) in enumerate(walk(paras, 20, 60, 90))]
+
+
+def test_a_block_equals_the_walk_from_every_state(spark):
+    """A block's table and starts, for each number of words that the chunk before may have, are those of the walk."""
+    rng = random.Random(10)
+    for _ in range(60):
+        least, target, most = sorted(rng.randrange(1, 25) for _ in range(3))
+        w = longbooks.np.array([rng.choice((0, 1, 3, 9, 40)) for _ in range(rng.randrange(1, 30))])
+        chapter, scene, ends = (longbooks.np.array([rng.random() < p for _ in w]) for p in (0.15, 0.2, 0.4))
+        block = longbooks.Block(w, chapter, scene, ends, least, target, most)
+        exits, begun = block.table()
+        for state in range(most + 3):
+            filled, words, starts, closes = state > 0, state - 1 if state else 0, [], []
+            for i, n in enumerate(w.tolist()):
+                if filled and (words >= least if chapter[i] else words >= target if scene[i] else words + n > most):
+                    closes.append(i)
+                    filled = False
+                if not filled:
+                    starts.append(i)
+                    filled, words = True, 0
+                words += n
+                if not chapter[i] and not scene[i] and ends[i] and words >= target:
+                    filled = False
+            start, by = block.starts(state)
+            assert (longbooks.np.flatnonzero(start).tolist(), longbooks.np.flatnonzero(by).tolist()) == (starts, closes)
+            assert (exits[state], begun[state]) == (1 + min(words, most + 1) if filled else 0, len(starts))
+
+
 def test_odd_tables(spark):
     """Null books are none; one paragraph is one chunk; an empty table has none; bounds out of order are refused."""
     frame = spark.createDataFrame([(None, 0, "a."), (1, 0, "a."), (2, 0, "PART ONE")], SCHEMA)
